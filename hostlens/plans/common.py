@@ -22,5 +22,13 @@ def guarded(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def oracle(sql: str, *views: str) -> str:
-    """Oracle text: the domain views the query needs as CTEs, then ``sql``."""
-    return (oracle_with(*views) + sql) if views else sql
+    """Oracle text: the domain views the query needs as CTEs, then ``sql``.
+
+    A ``sql`` that starts with its own ``WITH`` is merged into one clause."""
+    if not views:
+        return sql
+    head = oracle_with(*views)
+    body = sql.lstrip()
+    if body[:5].upper() == "WITH ":
+        return head.rstrip() + ",\n" + body[5:]
+    return head + body

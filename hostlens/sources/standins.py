@@ -25,6 +25,7 @@ SELECT /*+ BROADCAST(n) */
        l.l_orderkey AS obs_order,
        l.l_linenumber AS obs_line,
        p.p_partkey AS tax_id,
+       l.l_suppkey AS host_id,
        p.p_brand AS VIRUS_FAMILY,
        NULLIF(p.p_type, 'PROMO') AS VIRUS_GENUS,
        p.p_name AS VIRUS_SPECIES,
