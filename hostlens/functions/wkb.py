@@ -97,3 +97,15 @@ def st_point_wkb(x: Column, y: Column, little_endian: Column | bool = True) -> C
     little = F.concat(F.lit("01"), F.lit("01000000"), _swap_bytes16(hx), _swap_bytes16(hy))
     return F.when(x.isNotNull() & y.isNotNull(),
                   F.unhex(F.when(le, little).otherwise(big)))
+
+
+def st_point_ewkb(x: Column, y: Column, srid: int, little_endian: Column | bool = True) -> Column:
+    """EWKB point with an SRID (type word flagged 0x20000000)."""
+    hx, hy = _double_to_hex(x), _double_to_hex(y)
+    hs = F.lpad(F.hex(F.lit(srid).cast("bigint")), 8, "0")
+    le = F.lit(little_endian) if isinstance(little_endian, bool) else little_endian
+    big = F.concat(F.lit("00"), F.lit("20000001"), hs, hx, hy)
+    little = F.concat(F.lit("01"), F.lit("01000020"), _swap_bytes8(hs),
+                      _swap_bytes16(hx), _swap_bytes16(hy))
+    return F.when(x.isNotNull() & y.isNotNull(),
+                  F.unhex(F.when(le, little).otherwise(big)))
