@@ -3,8 +3,8 @@
 it runs inside whole-stage codegen with no Python in the task.
 
 Regex dialect: Java.  Python's ``str.strip``/``split`` are approximated
-with ``\\s`` (ASCII whitespace); ``(?U)`` is used where the reference relies
-on Unicode word classes (F10).
+with ``\\s`` (ASCII whitespace); word characters are ``\\p{L}\\p{N}_`` where the
+reference relies on Unicode ``\\w`` (F10).
 """
 
 from __future__ import annotations
@@ -97,8 +97,9 @@ def strip_citation_markers(text: Column) -> Column:
 
 
 def clean_term(term: Column) -> Column:
-    """keep word characters, whitespace and hyphens (Unicode-aware)."""
-    return F.regexp_replace(strip_ws(term), r"(?U)[^\w\s\-]", "")
+    """keep word characters (any script's letters and digits, and
+    ``_``), whitespace and hyphens."""
+    return F.regexp_replace(strip_ws(term), r"[^\p{L}\p{N}_\s\-]", "")
 
 
 def wiki_url(title: Column) -> Column:

@@ -30,5 +30,5 @@ def query(key: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every plan module so their queries register."""
     from hostlens.plans import (  # noqa: F401
-        core, passthrough, geo, accounts, turns, text,
+        core, passthrough, geo, accounts, turns, text, search,
     )
