@@ -329,3 +329,36 @@ SELECT event_id,
        concat('{"id":', CAST(event_id AS VARCHAR), ',"type":"', event_type, '"}') AS js
 FROM events
 """)
+
+
+# -- J1 / J8 as DataFrame operators ---------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from hostlens.operators import joins as J  # noqa: E402
+from hostlens.sources.tables import read_table  # noqa: E402
+
+
+@query("host_taxonomy_enrich", oracle("""
+SELECT h.obs_order, h.obs_line, h.tax_id, h.host_id, t.GENUS_NAME, t.FAMILY_NAME, t.GENOME_SIZE
+FROM host h LEFT JOIN taxonomy t ON h.tax_id = t.tax_id
+""", "host", "taxonomy"))
+def host_taxonomy_enrich(spark, sf_dir):
+    s = session(spark, sf_dir)
+    h = s.host.select("obs_order", "obs_line", "tax_id", "host_id")
+    t = s.taxonomy.select("tax_id", "GENUS_NAME", "FAMILY_NAME", "GENOME_SIZE")
+    return J.enrich(h, t, ["tax_id"], "left")
+
+
+@query("join_asof", """
+SELECT p.event_id, p.user_id, v.event_id AS r_event_id, CAST(v.ts AS VARCHAR) AS r_ts
+FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') p
+ASOF LEFT JOIN (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view') v
+  ON p.user_id = v.user_id AND p.ts >= v.ts
+""")
+def join_asof(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    purchases = ev.filter(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
+    views = ev.filter(F.col("event_type") == "view").select("event_id", "user_id", "ts")
+    out = J.asof_join(purchases, views, ["user_id"], "ts", ["event_id"], ["event_id"],
+                      bucket_seconds=6 * 3600)
+    return out.select("event_id", "user_id", "r_event_id", F.col("r_ts").cast("string").alias("r_ts"))
