@@ -8,16 +8,20 @@ Spark 4.1 has no ``ST_X``/``ST_Y``.  A WKB point is
     then        x, y as IEEE-754 doubles in that byte order
 
 Decoding works on ``hex(wkb)``: the 16 hex digits of a coordinate are put in
-big-endian order, split into two 32-bit words (``conv`` to BIGINT is exact
-for 8 hex digits; a 64-bit unsigned value would overflow under ANSI), and
-the double is rebuilt from sign, exponent and mantissa with exact
-power-of-two arithmetic.  Everything stays in whole-stage codegen.
-NULL, non-point, short input and NaN coordinates (``POINT EMPTY``) give NULL.
+big-endian order, read as a signed 64-bit integer with ``conv(h, 16, -10)``
+(negative base = two's complement, so no BIGINT overflow under ANSI) and
+turned into the double with ``java.lang.Double.longBitsToDouble`` through
+the built-in ``reflect``.  The expression stays small (one copy of the
+coordinate's hex per output), which matters: an arithmetic rebuild of the
+double repeats its inputs many times, overflows the 64 KB limit of a
+generated method and, once predicates are pushed through it, grows the
+optimised plan.  NULL, non-point, short input and NaN coordinates
+(``POINT EMPTY``) give NULL.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _EWKB_SRID_FLAG = 0x20000000
@@ -32,80 +36,71 @@ def _swap_bytes8(h: Column) -> Column:
     return F.concat(*[F.substring(h, 7 - 2 * i, 2) for i in range(4)])
 
 
-def _word(h8: Column) -> Column:
-    return F.conv(h8, 16, 10).cast("bigint")
+def _bits_to_double(h16: Column) -> Column:
+    """Double whose IEEE-754 bits are the 16 big-endian hex digits ``h16``;
+    NaN becomes NULL."""
+    bits = F.conv(h16, 16, -10).cast("bigint")
+    d = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("longBitsToDouble"),
+                        bits).cast("double")
+    return F.nanvl(d, F.lit(None).cast("double"))
 
 
-def _double_from_hex(h16: Column) -> Column:
-    """IEEE-754 double from 16 big-endian hex digits."""
-    hi = _word(F.substring(h16, 1, 8))
-    lo = _word(F.substring(h16, 9, 8))
-    sign = F.when(F.shiftright(hi, 31) == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
-    exp = F.shiftright(hi, 20).bitwiseAND(F.lit(0x7FF))
-    frac = (hi.bitwiseAND(F.lit(0xFFFFF)) * F.lit(4294967296) + lo).cast("double") \
-        / F.lit(4503599627370496.0)  # 2^52
-    normal = sign * (F.lit(1.0) + frac) * F.pow(F.lit(2.0), (exp - F.lit(1023)).cast("double"))
-    subnormal = sign * frac * F.pow(F.lit(2.0), F.lit(-1022.0))
-    return (F.when(exp == 0x7FF, F.lit(None).cast("double"))
-            .when(exp == 0, subnormal)
-            .otherwise(normal))
+def _double_to_hex(x: Column) -> Column:
+    """16 big-endian hex digits of the IEEE-754 bits of ``x``."""
+    bits = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("doubleToLongBits"),
+                           x.cast("double")).cast("bigint")
+    return F.lpad(F.hex(bits), 16, "0")
 
 
-def _coord_hex(wkb: Column, which: int) -> Column:
-    """16 big-endian hex digits of coordinate ``which`` (0 = x, 1 = y)."""
+def _layout(wkb: Column) -> tuple[Column, Column, Column, Column]:
+    """(hex, little-endian flag, offset of x, is-point flag) of a WKB value."""
     h = F.hex(wkb)
-    little = F.substring(h, 1, 2) == "01"
-    type_word = F.when(little, _swap_bytes8(F.substring(h, 3, 8))).otherwise(F.substring(h, 3, 8))
-    has_srid = _word(type_word).bitwiseAND(F.lit(_EWKB_SRID_FLAG)) != 0
-    start = F.when(has_srid, F.lit(19)).otherwise(F.lit(11)) + F.lit(16 * which)
-    raw = F.substr(h, start, F.lit(16))
-    return F.when(little, _swap_bytes16(raw)).otherwise(raw)
+    order = F.substring(h, 1, 2)
+    little = order == "01"
+    tw = F.conv(F.when(little, _swap_bytes8(F.substring(h, 3, 8)))
+                .otherwise(F.substring(h, 3, 8)), 16, 10).cast("bigint")
+    srid = tw.bitwiseAND(F.lit(_EWKB_SRID_FLAG)) != 0
+    start = F.when(srid, F.lit(19)).otherwise(F.lit(11))
+    ok = (order.isin("00", "01") & (tw.bitwiseAND(F.lit(0xFFFF)) == 1)
+          & (F.length(h) >= start + F.lit(31)))
+    return h, little, start, ok
 
 
-def _is_point(wkb: Column) -> Column:
-    h = F.hex(wkb)
-    little = F.substring(h, 1, 2) == "01"
-    type_word = F.when(little, _swap_bytes8(F.substring(h, 3, 8))).otherwise(F.substring(h, 3, 8))
-    t = _word(type_word)
-    has_srid = t.bitwiseAND(F.lit(_EWKB_SRID_FLAG)) != 0
-    need = F.when(has_srid, F.lit(50)).otherwise(F.lit(42))
-    return (t.bitwiseAND(F.lit(0xFFFF)) == 1) & (F.length(h) >= need) & \
-        F.substring(h, 1, 2).isin("00", "01")
+def _coord(wkb: Column, which: int) -> Column:
+    h, little, start, ok = _layout(wkb)
+    raw = F.substr(h, start + F.lit(16 * which), F.lit(16))
+    return F.when(ok, _bits_to_double(F.when(little, _swap_bytes16(raw)).otherwise(raw)))
 
 
 def st_x(wkb: Column) -> Column:
     """Longitude (x) of a WKB/EWKB point; NULL when not a point."""
-    return F.when(_is_point(wkb), _double_from_hex(_coord_hex(wkb, 0)))
+    return _coord(wkb, 0)
 
 
 def st_y(wkb: Column) -> Column:
     """Latitude (y) of a WKB/EWKB point; NULL when not a point."""
-    return F.when(_is_point(wkb), _double_from_hex(_coord_hex(wkb, 1)))
-
-
-def _double_to_hex(x: Column) -> Column:
-    bits = F.call_function("reflect", F.lit("java.lang.Double"),
-                           F.lit("doubleToLongBits"), x.cast("double")).cast("bigint")
-    return F.lpad(F.hex(bits), 16, "0")
-
-
-def st_point_wkb(x: Column, y: Column, little_endian: Column | bool = True) -> Column:
-    """WKB point from two doubles (used to land test geometry).  NULL in → NULL."""
-    hx, hy = _double_to_hex(x), _double_to_hex(y)
-    le = F.lit(little_endian) if isinstance(little_endian, bool) else little_endian
-    big = F.concat(F.lit("00"), F.lit("00000001"), hx, hy)
-    little = F.concat(F.lit("01"), F.lit("01000000"), _swap_bytes16(hx), _swap_bytes16(hy))
-    return F.when(x.isNotNull() & y.isNotNull(),
-                  F.unhex(F.when(le, little).otherwise(big)))
+    return _coord(wkb, 1)
 
 
-def st_point_ewkb(x: Column, y: Column, srid: int, little_endian: Column | bool = True) -> Column:
-    """EWKB point with an SRID (type word flagged 0x20000000)."""
+def st_point(x: Column, y: Column, little_endian: Column | bool = True,
+             srid: int | None = None) -> Column:
+    """WKB point (EWKB when ``srid`` is given) from two doubles; NULL in →
+    NULL.  Used to land geometry in tests and derived tables."""
     hx, hy = _double_to_hex(x), _double_to_hex(y)
-    hs = F.lpad(F.hex(F.lit(srid).cast("bigint")), 8, "0")
     le = F.lit(little_endian) if isinstance(little_endian, bool) else little_endian
-    big = F.concat(F.lit("00"), F.lit("20000001"), hs, hx, hy)
-    little = F.concat(F.lit("01"), F.lit("01000020"), _swap_bytes8(hs),
-                      _swap_bytes16(hx), _swap_bytes16(hy))
-    return F.when(x.isNotNull() & y.isNotNull(),
-                  F.unhex(F.when(le, little).otherwise(big)))
+    if srid is None:
+        big = F.concat(F.lit("0000000001"), hx, hy)
+        small = F.concat(F.lit("0101000000"), _swap_bytes16(hx), _swap_bytes16(hy))
+    else:
+        hs = "%08X" % srid
+        hs_le = "".join(reversed([hs[i:i + 2] for i in range(0, 8, 2)]))
+        big = F.concat(F.lit("0020000001" + hs), hx, hy)
+        small = F.concat(F.lit("0101000020" + hs_le), _swap_bytes16(hx), _swap_bytes16(hy))
+    return F.when(x.isNotNull() & y.isNotNull(), F.unhex(F.when(le, small).otherwise(big)))
+
+
+def with_point_coords(df: DataFrame, geom: str, x_name: str = "lon",
+                      y_name: str = "lat") -> DataFrame:
+    """``df`` plus the x/y of its WKB column."""
+    g = F.col(geom)
+    return df.withColumn(x_name, st_x(g)).withColumn(y_name, st_y(g))

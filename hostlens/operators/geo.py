@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.functions.wkb import st_x, st_y
+from hostlens.functions.wkb import with_point_coords
 
 MISSING_COLUMN_MSG = ("Error: the map must include 'sample_id' in hover_data so every "
                       "point can be traced back to its sample.")
@@ -22,9 +22,8 @@ def map_frame(host: DataFrame, species: str = "VIRUS_SPECIES", host_col: str = "
               country: str = "COUNTRY") -> DataFrame:
     """M1: lon, lat, sample_id, species, host, country; rows missing any of the
     first three are dropped (P8).  Coordinates come from the WKB column (P7)."""
-    pts = host.select(
-        st_x(F.col("geometry")).alias("lon"),
-        st_y(F.col("geometry")).alias("lat"),
+    pts = with_point_coords(host, "geometry").select(
+        "lon", "lat",
         sample_id().alias("sample_id"),
         F.col(species).alias("species"),
         F.col(host_col).alias("host"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hostlens.functions.wkb import st_point_ewkb, st_point_wkb, st_x, st_y
+from hostlens.functions.wkb import st_point, with_point_coords
 from hostlens.operators import geo
 from hostlens.plans.common import oracle, session
 from hostlens.plans.registry import query
@@ -18,14 +18,14 @@ FROM embeddings
 def point_coordinates(spark, sf_dir):
     # encode the first two entries as WKB (both byte orders, with and without
     # an SRID), then decode with the column expressions
-    e = read_table(spark, sf_dir, "embeddings")
-    x = F.element_at("embedding", 1).cast("double")
-    y = F.element_at("embedding", 2).cast("double")
+    e = read_table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.element_at("embedding", 1).cast("double").alias("x"),
+        F.element_at("embedding", 2).cast("double").alias("y"))
+    x, y = F.col("x"), F.col("y")
     little = F.col("vec_id") % 2 == 0
-    wkb = F.when(F.col("vec_id") % 3 == 0, st_point_ewkb(x, y, 4326, little)) \
-        .otherwise(st_point_wkb(x, y, little))
-    return e.select("vec_id", wkb.alias("g")).select(
-        "vec_id", st_x(F.col("g")).alias("lon"), st_y(F.col("g")).alias("lat"))
+    g = e.select("vec_id", F.when(F.col("vec_id") % 3 == 0, st_point(x, y, little, srid=4326))
+                 .otherwise(st_point(x, y, little)).alias("g"))
+    return with_point_coords(g, "g").select("vec_id", "lon", "lat")
 
 
 @query("map_points", oracle("""
@@ -51,7 +51,6 @@ GROUP BY VIRUS_FAMILY
 """, "host"))
 def traceability_gate(spark, sf_dir):
     s = session(spark, sf_dir)
-    frame = s.host.select(
-        "VIRUS_FAMILY", st_x(F.col("geometry")).alias("lon"), st_y(F.col("geometry")).alias("lat"),
-        geo.sample_id().alias("sample_id")).dropna(subset=["lon", "lat"])
+    frame = with_point_coords(s.host, "geometry").select(
+        "VIRUS_FAMILY", "lon", "lat", geo.sample_id().alias("sample_id")).dropna(subset=["lon", "lat"])
     return geo.traceability(frame, ["VIRUS_FAMILY"])

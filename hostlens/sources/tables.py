@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.functions.wkb import st_point_wkb
+from hostlens.functions.wkb import st_point
 from hostlens.sources.standins import STANDIN_VIEWS
 
 RAW_TABLES = (
@@ -45,10 +45,8 @@ def register_all(spark: SparkSession, sf_dir: str) -> None:
     src = spark.table("host_src")
     # WKB geometry from the landed coordinates; odd lines little endian,
     # even lines big endian, so both byte orders are exercised.
-    host = src.withColumn(
-        "geometry",
-        st_point_wkb(F.col("lon_src"), F.col("lat_src"), F.col("obs_line") % 2 == 1),
-    ).drop("lon_src", "lat_src")
+    geometry = st_point(F.col("lon_src"), F.col("lat_src"), F.col("obs_line") % 2 == 1)
+    host = src.withColumn("geometry", geometry).drop("lon_src", "lat_src")
     host.createOrReplaceTempView("host")
 
 
