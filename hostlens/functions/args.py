@@ -28,8 +28,8 @@ def parse_args(raw: Column) -> Column:
     n = F.size(ks)
     # keep entry i when it is the last occurrence of its key
     idx = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    entries = F.transform(idx, lambda i: F.struct(F.element_at(ks, i).alias("k"),
-                                                   F.element_at(vs, i).alias("v"), i.alias("i")))
+    entries = F.transform(idx, lambda i: F.struct(F.try_element_at(ks, i).alias("k"),
+                                                   F.try_element_at(vs, i).alias("v"), i.alias("i")))
     last = F.filter(entries, lambda e: (n - F.array_position(F.reverse(ks), e["k"]) + 1) == e["i"])
     recovered = F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
     raw_only = F.create_map(F.lit("_raw"), json_string(raw))

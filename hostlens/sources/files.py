@@ -132,12 +132,12 @@ def read_pubmed_xml(spark: SparkSession, path: str) -> DataFrame:
                                                   F.concat_ws(" ", a["ForeName"], a["LastName"]))
                         .otherwise(a["LastName"]))
     ids = F.coalesce(F.col("PubmedData.ArticleIdList.ArticleId"), F.array())
-    doi = F.element_at(F.filter(ids, lambda i: i["_IdType"] == "doi"), 1)["_VALUE"]
+    doi = F.try_element_at(F.filter(ids, lambda i: i["_IdType"] == "doi"), F.lit(1))["_VALUE"]
     pmid = F.coalesce(F.col("MedlineCitation.PMID._VALUE"), F.lit(NO_PMID))
     return raw.select(
         pmid.alias("pmid"),
         F.coalesce(art["ArticleTitle"], F.lit(NO_TITLE)).alias("title"),
-        F.coalesce(F.element_at(art["Abstract"]["AbstractText"], 1)["_VALUE"], F.lit(NO_ABSTRACT)).alias("abstract"),
+        F.coalesce(F.try_element_at(art["Abstract"]["AbstractText"], F.lit(1))["_VALUE"], F.lit(NO_ABSTRACT)).alias("abstract"),
         F.slice(names, 1, 3).alias("authors"),
         F.coalesce(art["Journal"]["Title"], F.lit(UNKNOWN_JOURNAL)).alias("journal"),
         F.coalesce(art["Journal"]["JournalIssue"]["PubDate"]["Year"], F.lit(UNKNOWN_YEAR)).alias("year"),
