@@ -101,6 +101,20 @@ def st_point(x: Column, y: Column, little_endian: Column | bool = True,
 
 def with_point_coords(df: DataFrame, geom: str, x_name: str = "lon",
                       y_name: str = "lat") -> DataFrame:
-    """``df`` plus the x/y of its WKB column."""
-    g = F.col(geom)
-    return df.withColumn(x_name, st_x(g)).withColumn(y_name, st_y(g))
+    """``df`` plus the x/y of its WKB column.
+
+    One small staging projection holds the hex text, byte order and x offset;
+    they are referenced many times by the coordinate expressions, so Catalyst
+    keeps that projection (the hex is computed once per row instead of once
+    per reference) and a predicate pushed through it grows only linearly."""
+    h, little, start, ok = _layout(F.col(geom))
+    staged = (df.withColumn("_wkb_h", h).withColumn("_wkb_le", little)
+              .withColumn("_wkb_s", F.when(ok, start)))
+
+    def coord(which: int) -> Column:
+        raw = F.substr(F.col("_wkb_h"), F.col("_wkb_s") + F.lit(16 * which), F.lit(16))
+        be = F.when(F.col("_wkb_le"), _swap_bytes16(raw)).otherwise(raw)
+        return F.when(F.col("_wkb_s").isNotNull(), _bits_to_double(be))
+
+    out = staged.withColumn(x_name, coord(0)).withColumn(y_name, coord(1))
+    return out.drop("_wkb_h", "_wkb_le", "_wkb_s")

@@ -132,21 +132,34 @@ def token_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def search_topk(queries: DataFrame, q_id: str, q_text: str, postings: DataFrame,
-                k: int = 5, stopword_share: int = STOPWORD_SHARE) -> DataFrame:
+                k: int = 5, stopword_share: int = STOPWORD_SHARE,
+                n_docs: Column | None = None) -> DataFrame:
     """Top-k documents per query by the number of distinct shared tokens,
     ties by document id.  Tokens in more than 1/``stopword_share`` of the
-    documents are stop words and carry no weight."""
-    n_docs = postings.select(F.countDistinct("doc_id")).scalar()
-    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    documents are stop words and carry no weight.
+
+    Postings are first cut to the queries' vocabulary (semi join), so the
+    document-frequency aggregate and the scoring join only see tokens some
+    query uses.  ``n_docs`` (documents with at least one token) may be given
+    as a scalar column; otherwise it is counted from the postings."""
+    if n_docs is None:
+        n_docs = postings.select(F.countDistinct("doc_id")).scalar()
+    qt = queries.select(F.col(q_id).alias("query_id"), F.explode(tokens(F.col(q_text))).alias("token"))
+    vocab = qt.select("token").distinct()
+    post_q = postings.join(vocab, "token", "left_semi")
+    df = post_q.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     useful = df.filter(F.col("df") * F.lit(stopword_share) <= n_docs).select("token")
-    qt = queries.select(F.col(q_id).alias("query_id"), F.explode(tokens(F.col(q_text))).alias("token")) \
-        .join(useful, "token", "left_semi")
-    scores = qt.join(postings, "token").groupBy("query_id", "doc_id") \
-        .agg(F.count(F.lit(1)).alias("score"))
+    scores = (qt.join(useful, "token", "left_semi").join(post_q, "token")
+              .groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score")))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def docs_with_tokens(docs: DataFrame, text_col: str) -> Column:
+    """Scalar: number of documents with at least one token."""
+    return docs.select(F.count_if(F.col(text_col).rlike(TOKEN_PATTERN))).scalar()
+
+
 # -- J7 ---------------------------------------------------------------------------------------
 def page_title(html: Column) -> Column:
     return F.regexp_extract(html, "<title>(.*?)</title>", 1)

@@ -79,7 +79,8 @@ def article_topk(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     bench = read_table(spark, sf_dir, "benchmark")
     postings = S.token_index(docs, "doc_id", "text")
-    return S.search_topk(bench, "item_id", "text", postings, k=5)
+    return S.search_topk(bench, "item_id", "text", postings, k=5,
+                         n_docs=S.docs_with_tokens(docs, "text"))
 
 
 _TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"

@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import hashlib
+import uuid
+
 from hostlens.functions.wkb import st_point
+from hostlens.session import ensure_checkpoint_dir
 from hostlens.sources.standins import STANDIN_VIEWS
 
 RAW_TABLES = (
@@ -37,16 +41,57 @@ def host_scan(spark: SparkSession, parquet_glob: str) -> DataFrame:
     return df
 
 
-def register_all(spark: SparkSession, sf_dir: str) -> None:
+def build_host(spark: SparkSession) -> DataFrame:
+    """The observation table from the registered raw views: the stand-in
+    join plus a WKB ``geometry`` (odd lines little endian, even lines big
+    endian, so both byte orders occur)."""
+    src = spark.table("host_src")
+    geometry = st_point(F.col("lon_src"), F.col("lat_src"), F.col("obs_line") % 2 == 1)
+    return src.withColumn("geometry", geometry).drop("lon_src", "lat_src")
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Identity of the input files (path, size, modification time)."""
+    h = hashlib.sha1()
+    for name in ("lineitem", "part", "supplier", "nation"):
+        p, fs = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+        st = fs.getFileStatus(p)
+        h.update(f"{p.toString()}|{st.getLen()}|{st.getModificationTime()};".encode())
+    return h.hexdigest()[:16]
+
+
+def landed_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``host`` as the reference has it: one stored Parquet dataset.
+
+    Built once per input (fingerprinted) into ``<spark.checkpoint.dir>/landed``
+    — the shared folder the cluster names — by writing to a fresh folder and
+    renaming it into place, so concurrent or retried jobs never see a partial
+    table.  Later queries scan it with column pruning and pushed filters."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/landed/host-{_fingerprint(spark, sf_dir)}"
+    done, fs = _fs(spark, path + "/_SUCCESS")
+    if not fs.exists(done):
+        tmp = f"{root}/landed/tmp-{uuid.uuid4().hex}"
+        build_host(spark).write.mode("overwrite").parquet(tmp)
+        src, _ = _fs(spark, tmp)
+        dst, _ = _fs(spark, path)
+        if not fs.rename(src, dst):      # another job landed it first
+            fs.delete(src, True)
+    return spark.read.parquet(path)
+
+
+def register_all(spark: SparkSession, sf_dir: str, land: bool = True) -> None:
     """Raw tables plus the domain views (host, taxonomy, users, ...)."""
     register_raw(spark, sf_dir)
     for name, sql in STANDIN_VIEWS.items():
         spark.sql(sql).createOrReplaceTempView(name)
-    src = spark.table("host_src")
-    # WKB geometry from the landed coordinates; odd lines little endian,
-    # even lines big endian, so both byte orders are exercised.
-    geometry = st_point(F.col("lon_src"), F.col("lat_src"), F.col("obs_line") % 2 == 1)
-    host = src.withColumn("geometry", geometry).drop("lon_src", "lat_src")
+    host = landed_host(spark, sf_dir) if land else build_host(spark)
     host.createOrReplaceTempView("host")
 
 
