@@ -86,13 +86,27 @@ def landed_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+# Resolved frames per (application, folder, landing): building them lists
+# files and reads footers; re-binding the temp views is only catalog work.
+_FRAMES: dict[tuple[str, str, bool], dict[str, DataFrame]] = {}
+
+
 def register_all(spark: SparkSession, sf_dir: str, land: bool = True) -> None:
     """Raw tables plus the domain views (host, taxonomy, users, ...)."""
-    register_raw(spark, sf_dir)
-    for name, sql in STANDIN_VIEWS.items():
-        spark.sql(sql).createOrReplaceTempView(name)
-    host = landed_host(spark, sf_dir) if land else build_host(spark)
-    host.createOrReplaceTempView("host")
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), land)
+    frames = _FRAMES.get(key)
+    if frames is None:
+        frames = {}
+        for name in RAW_TABLES:
+            frames[name] = read_table(spark, sf_dir, name)
+            frames[name].createOrReplaceTempView(name)
+        for name, sql in STANDIN_VIEWS.items():
+            frames[name] = spark.sql(sql)
+            frames[name].createOrReplaceTempView(name)
+        frames["host"] = landed_host(spark, sf_dir) if land else build_host(spark)
+        _FRAMES[key] = frames
+    for name, df in frames.items():
+        df.createOrReplaceTempView(name)
 
 
 def tables(spark: SparkSession, sf_dir: str) -> SparkSession:
