@@ -70,7 +70,8 @@ def resolve_names(terms: DataFrame, names: DataFrame, k: int = 5) -> DataFrame:
     best = names.groupBy("key", "tax_id").agg(F.min(F.struct("priority", "name", "name_class")).alias("b"))
     hits = q.join(best, "key", "left")
     w = Window.partitionBy("term").orderBy(F.col("b.priority").asc_nulls_last(), F.col("tax_id"))
-    ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
+        .withColumn("rank", F.col("rank").cast("bigint"))
     return ranked.select("term", "rank", "tax_id", F.col("b.name").alias("name"),
                          F.col("b.name_class").alias("name_class"),
                          F.col("tax_id").isNotNull().alias("found"))
@@ -152,7 +153,8 @@ def search_topk(queries: DataFrame, q_id: str, q_text: str, postings: DataFrame,
     scores = (qt.join(useful, "token", "left_semi").join(post_q, "token")
               .groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score")))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
-    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .withColumn("rank", F.col("rank").cast("bigint")))
 
 
 def docs_with_tokens(docs: DataFrame, text_col: str) -> Column:

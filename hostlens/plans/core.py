@@ -295,7 +295,7 @@ def limit_topn(spark, sf_dir):
 
 
 SORT_NULLS_SQL = """
-SELECT COUNTRY, n, ROW_NUMBER() OVER (ORDER BY COUNTRY ASC NULLS LAST) AS rank
+SELECT COUNTRY, n, CAST(ROW_NUMBER() OVER (ORDER BY COUNTRY ASC NULLS LAST) AS BIGINT) AS rank
 FROM (SELECT COUNTRY, COUNT(*) AS n FROM host GROUP BY COUNTRY) c
 """
 

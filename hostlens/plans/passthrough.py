@@ -121,7 +121,7 @@ GROUP BY GROUPING SETS ((DISEASE_STATUS, VIRUS_GENUS), (DISEASE_STATUS), ())
 """, ("host",))
 
 shape("agg_rollup", """
-SELECT VIRUS_FAMILY, DISEASE_STATUS, COUNT(*) AS n, GROUPING(DISEASE_STATUS) AS g_status
+SELECT VIRUS_FAMILY, DISEASE_STATUS, COUNT(*) AS n, CAST(GROUPING(DISEASE_STATUS) AS BIGINT) AS g_status
 FROM host
 GROUP BY ROLLUP (VIRUS_FAMILY, DISEASE_STATUS)
 """, ("host",))
@@ -169,8 +169,8 @@ GROUP BY VIRUS_GENUS
 # -- W4: windows (partitions are bounded: aggregated rows or one observation) ----------
 shape("win_rank", """
 SELECT VIRUS_GENUS, COUNTRY, n,
-       RANK() OVER (PARTITION BY VIRUS_GENUS ORDER BY n DESC) AS rnk,
-       DENSE_RANK() OVER (PARTITION BY VIRUS_GENUS ORDER BY n DESC) AS drnk
+       CAST(RANK() OVER (PARTITION BY VIRUS_GENUS ORDER BY n DESC) AS BIGINT) AS rnk,
+       CAST(DENSE_RANK() OVER (PARTITION BY VIRUS_GENUS ORDER BY n DESC) AS BIGINT) AS drnk
 FROM (SELECT VIRUS_GENUS, COUNTRY, COUNT(*) AS n FROM host GROUP BY VIRUS_GENUS, COUNTRY) c
 """, ("host",))
 
@@ -183,20 +183,20 @@ FROM host
 """, ("host",))
 
 shape("win_running_sum", """
-SELECT d, n, SUM(n) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_n
+SELECT d, n, CAST(SUM(n) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_n
 FROM (SELECT CAST(COLLECTION_DATE AS DATE) AS d, COUNT(*) AS n FROM host GROUP BY CAST(COLLECTION_DATE AS DATE)) x
 """, ("host",))
 
 shape("win_range_frame", """
 SELECT VIRUS_GENUS, yr, n,
-       SUM(n) OVER (PARTITION BY VIRUS_GENUS ORDER BY yr RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS n_3yr
-FROM (SELECT VIRUS_GENUS, year(COLLECTION_DATE) AS yr, COUNT(*) AS n FROM host
+       CAST(SUM(n) OVER (PARTITION BY VIRUS_GENUS ORDER BY yr RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS n_3yr
+FROM (SELECT VIRUS_GENUS, CAST(year(COLLECTION_DATE) AS BIGINT) AS yr, COUNT(*) AS n FROM host
       GROUP BY VIRUS_GENUS, year(COLLECTION_DATE)) x
 """, ("host",))
 
 shape("win_ntile", """
 SELECT VIRUS_GENUS, COUNTRY, n,
-       NTILE(4) OVER (PARTITION BY VIRUS_GENUS ORDER BY n DESC, COUNTRY) AS quartile
+       CAST(NTILE(4) OVER (PARTITION BY VIRUS_GENUS ORDER BY n DESC, COUNTRY) AS BIGINT) AS quartile
 FROM (SELECT VIRUS_GENUS, COUNTRY, COUNT(*) AS n FROM host
       WHERE VIRUS_GENUS IS NOT NULL AND COUNTRY IS NOT NULL GROUP BY VIRUS_GENUS, COUNTRY) c
 """, ("host",))
@@ -220,10 +220,10 @@ shape("set_except", "SELECT VIRUS_SPECIES, VIRUS_FAMILY FROM host WHERE COUNTRY
 shape("fn_string", """
 SELECT tax_id,
        lower(ORGANISM_NAME) AS lo, upper(ORGANISM_NAME) AS up, trim(concat('  ', GENUS_NAME, ' ')) AS tr,
-       length(ORGANISM_NAME) AS len, substring(ORGANISM_NAME, 2, 4) AS sub,
+       CAST(length(ORGANISM_NAME) AS BIGINT) AS len, substring(ORGANISM_NAME, 2, 4) AS sub,
        replace(ORGANISM_NAME, ' ', '_') AS rep, concat(GENUS_NAME, '/', ORGANISM_NAME) AS cat,
        lpad(CAST(GENOME_COUNT AS STRING), 4, '0') AS pad, split_part(ORGANISM_NAME, ' ', 2) AS part2,
-       instr(ORGANISM_NAME, 'e') AS pos_e, reverse(GENUS_NAME) AS rev, initcap(ORGANISM_NAME) AS cap,
+       CAST(instr(ORGANISM_NAME, 'e') AS BIGINT) AS pos_e, reverse(GENUS_NAME) AS rev, initcap(ORGANISM_NAME) AS cap,
        regexp_replace(ORGANISM_NAME, '[aeiou]', '*') AS masked,
        regexp_extract(ORGANISM_NAME, '([a-z]+) ([a-z]+)', 2) AS second_word,
        ORGANISM_NAME LIKE '%ring' AS is_ring, ORGANISM_NAME ILIKE 'RED%' AS is_red
@@ -231,10 +231,10 @@ FROM taxonomy
 """, ("taxonomy",), """
 SELECT tax_id,
        lower(ORGANISM_NAME) AS lo, upper(ORGANISM_NAME) AS up, trim(concat('  ', GENUS_NAME, ' ')) AS tr,
-       length(ORGANISM_NAME) AS len, substring(ORGANISM_NAME, 2, 4) AS sub,
+       CAST(length(ORGANISM_NAME) AS BIGINT) AS len, substring(ORGANISM_NAME, 2, 4) AS sub,
        replace(ORGANISM_NAME, ' ', '_') AS rep, concat(GENUS_NAME, '/', ORGANISM_NAME) AS cat,
        lpad(CAST(GENOME_COUNT AS VARCHAR), 4, '0') AS pad, split_part(ORGANISM_NAME, ' ', 2) AS part2,
-       instr(ORGANISM_NAME, 'e') AS pos_e, reverse(GENUS_NAME) AS rev,
+       CAST(instr(ORGANISM_NAME, 'e') AS BIGINT) AS pos_e, reverse(GENUS_NAME) AS rev,
        array_to_string(list_transform(string_split(ORGANISM_NAME, ' '),
            lambda x: concat(upper(substring(x, 1, 1)), lower(substring(x, 2)))), ' ') AS cap,
        regexp_replace(ORGANISM_NAME, '[aeiou]', '*', 'g') AS masked,
@@ -245,9 +245,9 @@ FROM taxonomy
 
 shape("fn_date", """
 SELECT id,
-       year(created_at) AS y, month(created_at) AS m, day(created_at) AS d,
+       CAST(year(created_at) AS BIGINT) AS y, CAST(month(created_at) AS BIGINT) AS m, CAST(day(created_at) AS BIGINT) AS d,
        CAST(date_trunc('MONTH', created_at) AS DATE) AS month_start,
-       datediff(CAST(created_at AS DATE), DATE '1995-01-01') AS days_since,
+       CAST(datediff(CAST(created_at AS DATE), DATE '1995-01-01') AS BIGINT) AS days_since,
        date_add(CAST(created_at AS DATE), 30) AS plus30,
        date_format(created_at, 'yyyy-MM') AS ym,
        CAST(created_at + INTERVAL 36 HOURS AS STRING) AS plus36h,
@@ -255,9 +255,9 @@ SELECT id,
 FROM conv_list
 """, ("conv_list",), """
 SELECT id,
-       year(created_at) AS y, month(created_at) AS m, day(created_at) AS d,
+       CAST(year(created_at) AS BIGINT) AS y, CAST(month(created_at) AS BIGINT) AS m, CAST(day(created_at) AS BIGINT) AS d,
        CAST(date_trunc('month', created_at) AS DATE) AS month_start,
-       date_diff('day', DATE '1995-01-01', CAST(created_at AS DATE)) AS days_since,
+       CAST(date_diff('day', DATE '1995-01-01', CAST(created_at AS DATE)) AS BIGINT) AS days_since,
        CAST(CAST(created_at AS DATE) + INTERVAL 30 DAY AS DATE) AS plus30,
        strftime(created_at, '%Y-%m') AS ym,
        CAST(created_at + INTERVAL 36 HOUR AS VARCHAR) AS plus36h,
@@ -294,14 +294,14 @@ FROM host
 
 shape("fn_array", """
 SELECT tax_id,
-       size(split(ORGANISM_NAME, ' ')) AS n_words,
+       CAST(size(split(ORGANISM_NAME, ' ')) AS BIGINT) AS n_words,
        element_at(split(ORGANISM_NAME, ' '), 1) AS first_word,
        array_contains(split(ORGANISM_NAME, ' '), 'ring') AS has_ring,
        array_join(array_sort(split(ORGANISM_NAME, ' ')), '|') AS sorted_words,
        array_join(slice(array(GENUS_NAME, ORGANISM_NAME, FAMILY_NAME), 1, 2), '|') AS first_two,
        array_join(transform(split(ORGANISM_NAME, ' '), w -> upper(w)), ' ') AS upper_words,
-       size(filter(split(ORGANISM_NAME, ' '), w -> length(w) > 4)) AS n_long,
-       aggregate(transform(split(ORGANISM_NAME, ' '), w -> length(w)), 0, (acc, x) -> acc + x) AS letters
+       CAST(size(filter(split(ORGANISM_NAME, ' '), w -> length(w) > 4)) AS BIGINT) AS n_long,
+       CAST(aggregate(transform(split(ORGANISM_NAME, ' '), w -> length(w)), 0, (acc, x) -> acc + x) AS BIGINT) AS letters
 FROM taxonomy
 """, ("taxonomy",), """
 SELECT tax_id,
@@ -312,7 +312,7 @@ SELECT tax_id,
        array_to_string(list_slice([GENUS_NAME, ORGANISM_NAME, FAMILY_NAME], 1, 2), '|') AS first_two,
        array_to_string(list_transform(string_split(ORGANISM_NAME, ' '), lambda w: upper(w)), ' ') AS upper_words,
        len(list_filter(string_split(ORGANISM_NAME, ' '), lambda w: length(w) > 4)) AS n_long,
-       list_sum(list_transform(string_split(ORGANISM_NAME, ' '), lambda w: length(w))) AS letters
+       CAST(list_sum(list_transform(string_split(ORGANISM_NAME, ' '), lambda w: length(w))) AS BIGINT) AS letters
 FROM taxonomy
 """)
 

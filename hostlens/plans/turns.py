@@ -47,8 +47,8 @@ def turn_summary(spark, sf_dir):
 @query("tool_call_numbering", oracle("""
 WITH per_round AS (SELECT conv_id, turn, round, COUNT(*) AS n FROM tool_calls GROUP BY conv_id, turn, round),
 before AS (SELECT conv_id, turn, round,
-                  COALESCE(SUM(n) OVER (PARTITION BY conv_id, turn ORDER BY round
-                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used_before
+                  CAST(COALESCE(SUM(n) OVER (PARTITION BY conv_id, turn ORDER BY round
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS used_before
            FROM per_round)
 SELECT c.call_id, c.conv_id, c.turn, c.round,
        ROW_NUMBER() OVER (PARTITION BY c.conv_id, c.turn ORDER BY c.round, c.ts, c.call_id) AS call_no,
