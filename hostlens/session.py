@@ -94,6 +94,11 @@ class EngineSession:
         self.taxonomy = taxonomy
         self.host = host
 
+    def describe(self, view: str = "host") -> list[tuple[str, str]]:
+        """S3: ``DESCRIBE`` a view → (column name, type); reads only the
+        schema, no data."""
+        return [(f.name, f.dataType.simpleString()) for f in self.spark.table(view).schema.fields]
+
     @property
     def df_host(self) -> DataFrame | None:
         return self._df_host

@@ -56,3 +56,10 @@ def test_traceability_gate(spark):
     bad = spark.createDataFrame([(1.0, 2.0, "SAMN1"), (3.0, 4.0, None)], "lon DOUBLE, lat DOUBLE, sample_id STRING")
     assert geo.check_traceability(bad) == geo.MISSING_VALUE_MSG
     assert geo.check_traceability(ok.drop("sample_id")) == geo.MISSING_COLUMN_MSG
+
+
+def test_chart_gate_counts_points(spark):
+    from hostlens.operators.frames import chart_has_points
+    df = spark.createDataFrame([(None, 1.0), (None, None)], "x DOUBLE, y DOUBLE")
+    r = chart_has_points(df, ["x", "y"]).first()
+    assert (r.x, r.y) == (0, 1)

@@ -86,3 +86,10 @@ def test_empty_frame_message(spark):
     msg = G.check_not_empty({"data": spark.range(0)})
     assert msg is not None and "0 rows" in msg
     assert G.check_not_empty({"df": spark.range(2)}) is None
+
+
+def test_describe_lists_columns(spark):
+    spark.range(2).selectExpr("id AS VIRUS_FAMILY", "CAST(id AS STRING) AS COUNTRY") \
+        .createOrReplaceTempView("host")
+    s = EngineSession(spark)
+    assert s.describe() == [("VIRUS_FAMILY", "bigint"), ("COUNTRY", "string")]

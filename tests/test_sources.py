@@ -122,3 +122,12 @@ def test_report_export(spark, scratch_dir):
     back = spark.read.json(out).first()
     assert back.id == 1 and back.executed_codes == ["SELECT 1"] and back.recent_logs == []
     assert back.month == "2026-01" and back.timestamp == "2026-01-05T10:00:00"
+
+
+def test_author_and_synonym_lines(spark):
+    df = spark.createDataFrame([(["A B", "C D"], ["s1", "s2", "s3", "s4", "s5", "s6", "s7"]), ([], [])],
+                               "authors ARRAY<STRING>, syn ARRAY<STRING>")
+    rows = df.select(SF.author_line(F.col("authors")).alias("a"),
+                     SF.synonym_line(F.col("syn")).alias("s")).collect()
+    assert rows[0].a == "A B, C D" and rows[0].s == "s1, s2, s3, s4, s5, s6"
+    assert rows[1].a == "Unknown authors" and rows[1].s == ""
