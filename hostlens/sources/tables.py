@@ -56,9 +56,13 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+LANDING_LAYOUT = "v2-sorted-family-genus"
+
+
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    """Identity of the input files (path, size, modification time)."""
-    h = hashlib.sha1()
+    """Identity of the input files (path, size, modification time) and of
+    the landing layout."""
+    h = hashlib.sha1(LANDING_LAYOUT.encode())
     for name in ("lineitem", "part", "supplier", "nation"):
         p, fs = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
         st = fs.getFileStatus(p)
@@ -78,7 +82,10 @@ def landed_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     done, fs = _fs(spark, path + "/_SUCCESS")
     if not fs.exists(done):
         tmp = f"{root}/landed/tmp-{uuid.uuid4().hex}"
-        build_host(spark).write.mode("overwrite").parquet(tmp)
+        # sorted within files so that row-group min/max statistics let
+        # equality and range filters on family/genus skip data
+        (build_host(spark).sortWithinPartitions("VIRUS_FAMILY", "VIRUS_GENUS")
+         .write.mode("overwrite").parquet(tmp))
         src, _ = _fs(spark, tmp)
         dst, _ = _fs(spark, path)
         if not fs.rename(src, dst):      # another job landed it first
