@@ -17,9 +17,8 @@ Skew and pair blow-up:
   carry no weight), not a cap: the result is exact for that score, and no
   posting list joined against the queries is longer than the threshold;
 * substring search draws candidates from the rarest 3-gram of each term and
-  then checks the full predicate, so it is exact; terms shorter than 3
-  characters are matched against the names directly — there are at most
-  |alphabet|^2 such distinct terms, so that side has a proven size bound.
+  then checks the full predicate, so it is exact; terms of 1 or 2
+  characters equi-join the names' 1- or 2-grams (no broadcast needed).
 """
 
 from __future__ import annotations
@@ -86,25 +85,28 @@ def _grams(s: Column, n: int = 3) -> Column:
 def contains_join(terms: DataFrame, names: DataFrame, term_col: str = "term",
                   name_col: str = "name") -> DataFrame:
     """All (term, name) with lower(name) containing lower(term) as a literal
-    substring.  Exact; candidates come from the term's rarest 3-gram."""
+    substring.  Exact and join-based: a term of length 1 or 2 equals one of
+    the name's n-grams of that length (equi-join on the n-gram); a longer
+    term draws candidates from its rarest 3-gram and the predicate is then
+    checked on each candidate."""
     t = terms.select(F.col(term_col).alias("term")).distinct() \
         .withColumn("t", F.lower(F.col("term")))
     nm = names.select(F.col(name_col).alias("name")).distinct() \
         .withColumn("n", F.lower(F.col("name")))
-    posting = nm.select("name", "n", F.explode(_grams(F.col("n"))).alias("g")) \
-        .filter(F.length("g") == 3)
+
+    # one posting table with the 1-, 2- and 3-grams of each name
+    grams = F.array_distinct(F.concat(_grams(F.col("n"), 1), _grams(F.col("n"), 2),
+                                      _grams(F.col("n"), 3)))
+    posting = nm.select("name", "n", F.explode(grams).alias("g"))
     df = posting.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     long_t = t.filter(F.length("t") >= 3)
     tg = long_t.select("term", "t", F.explode(_grams(F.col("t"))).alias("g"))
     rare = (tg.join(df, "g", "left").withColumn("df", F.coalesce("df", F.lit(0)))
             .groupBy("term", "t").agg(F.min(F.struct("df", "g")).alias("r"))
             .select("term", "t", F.col("r.g").alias("g")))
-    long_hits = rare.join(posting, "g").filter(F.col("n").contains(F.col("t"))) \
-        .select("term", "name")
-    short_t = t.filter(F.length("t") < 3)
-    # distinct terms shorter than 3 characters: at most |alphabet|^2 rows
-    short_hits = nm.join(F.broadcast(short_t), F.col("n").contains(F.col("t"))) \
-        .select("term", "name")
+    long_hits = rare.join(posting, "g").filter(F.col("n").contains(F.col("t"))).select("term", "name")
+    short = t.filter(F.length("t") < 3).select("term", F.col("t").alias("g"))
+    short_hits = short.join(posting, "g").select("term", "name")
     return long_hits.unionByName(short_hits)
 
 
