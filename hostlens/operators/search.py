@@ -36,8 +36,10 @@ WIKI_TRUNCATED = "... [truncated]"
 
 
 def tokens(text: Column) -> Column:
-    """Distinct lower-cased letter/digit runs (ARRAY<STRING>)."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0))
+    """Distinct lower-cased letter/digit runs (ARRAY<STRING>).  Splitting on
+    the complement is about twice as fast as extracting the runs."""
+    parts = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 
 def norm_name(name: Column) -> Column:
