@@ -32,10 +32,23 @@ def register_raw(spark: SparkSession, sf_dir: str) -> None:
         read_table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-def host_scan(spark: SparkSession, parquet_glob: str) -> DataFrame:
+# Object-store read settings (the reference allows 60 s per read, 3 tries).
+S3A_TIMEOUT_MS = 60_000
+S3A_ATTEMPTS = 3
+
+
+def host_scan(spark: SparkSession, parquet_glob: str, timeout_ms: int = S3A_TIMEOUT_MS,
+              attempts: int = S3A_ATTEMPTS, **s3a_options: str) -> DataFrame:
     """S2 for real deployments: ``host`` is one parquet dataset (path or glob,
-    e.g. ``s3a://bucket/host/*.parquet``); object-store timeouts and retries
-    are ``spark.hadoop.fs.s3a.*`` settings of the session."""
+    e.g. ``s3a://bucket/host/*.parquet``) exposed as the view ``host``.
+    Timeouts, retries and other ``fs.s3a.*`` options (endpoint, path-style
+    access, credentials provider) go to the session's Hadoop configuration;
+    the scan itself is lazy and pruned per query."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.s3a.connection.timeout", str(timeout_ms))
+    conf.set("fs.s3a.attempts.maximum", str(attempts))
+    for k, v in s3a_options.items():
+        conf.set(k if k.startswith("fs.s3a.") else f"fs.s3a.{k}", str(v))
     df = spark.read.parquet(parquet_glob)
     df.createOrReplaceTempView("host")
     return df

@@ -131,3 +131,16 @@ def test_author_and_synonym_lines(spark):
                      SF.synonym_line(F.col("syn")).alias("s")).collect()
     assert rows[0].a == "A B, C D" and rows[0].s == "s1, s2, s3, s4, s5, s6"
     assert rows[1].a == "Unknown authors" and rows[1].s == ""
+
+
+def test_host_scan_and_lineage_cut(spark, scratch_dir):
+    from hostlens.session import cut_lineage
+    from hostlens.sources.tables import host_scan
+    spark.range(5).selectExpr("id AS obs", "CAST(id % 2 AS STRING) AS VIRUS_FAMILY") \
+        .write.mode("overwrite").parquet(scratch_dir + "/host")
+    df = host_scan(spark, scratch_dir + "/host/*.parquet", timeout_ms=1000, attempts=2)
+    assert spark.sparkContext._jsc.hadoopConfiguration().get("fs.s3a.attempts.maximum") == "2"
+    assert spark.sql("SELECT COUNT(*) FROM host WHERE VIRUS_FAMILY = '1'").first()[0] == 2
+    cut = cut_lineage(df.filter("obs > 1"))
+    assert cut.count() == 3
+    assert "LogicalRDD" in cut._jdf.queryExecution().logical().toString()
