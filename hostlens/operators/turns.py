@@ -34,11 +34,18 @@ def source_items(artifacts: DataFrame) -> DataFrame:
             .filter(F.col("kind").isNotNull()))
 
 
-def turn_sources(artifacts: DataFrame) -> DataFrame:
+def turn_sources(artifacts: DataFrame, calls: DataFrame | None = None) -> DataFrame:
     """A10 in long form: each distinct source of a turn with its first-seen
-    rank.  Dedup is an aggregate (map-side combined); ranking is skew-safe."""
+    rank, and (given ``calls``) every executed code snippet in call order,
+    not deduplicated (kind ``code``).  Dedup is an aggregate (map-side
+    combined); ranking is skew-safe."""
     first = (source_items(artifacts)
              .groupBy(*_TURN, "kind", "item").agg(F.min("at").alias("first_at")))
+    if calls is not None:
+        codes = executed_codes(calls).select(
+            *_TURN, F.lit("code").alias("kind"), F.col("code").alias("item"),
+            F.struct("round", "ts", "call_id", F.lit(0).alias("pos")).alias("first_at"))
+        first = first.unionByName(codes)
     return rank_within(first, [*_TURN, "kind"], ["first_at"]).drop("first_at")
 
 

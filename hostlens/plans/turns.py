@@ -22,14 +22,19 @@ firsts AS (
   FROM items)
 SELECT conv_id, turn, kind, item,
        ROW_NUMBER() OVER (PARTITION BY conv_id, turn, kind ORDER BY round, ts, call_id, pos) AS rank
-FROM firsts WHERE rn = 1
+FROM (SELECT conv_id, turn, kind, item, round, ts, call_id, pos FROM firsts WHERE rn = 1
+      UNION ALL
+      SELECT conv_id, turn, 'code', CASE WHEN sql IS NOT NULL THEN concat('-- SQL (', tool, ')
+', sql)
+                                         ELSE code END, round, ts, call_id, 0
+      FROM tool_calls WHERE success AND COALESCE(sql, code) IS NOT NULL) u
 """
 
 
 @query("turn_sources", oracle(_SOURCES_ORACLE, "artifacts"))
 def turn_sources(spark, sf_dir):
     session(spark, sf_dir)
-    return TU.turn_sources(spark.table("artifacts"))
+    return TU.turn_sources(spark.table("artifacts"), spark.table("tool_calls"))
 
 
 @query("turn_summary", oracle("""

@@ -134,7 +134,13 @@ SELECT event_id AS call_id,
        props AS raw_args,
        CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k,
        event_type <> 'error' AND value < 18 AS success,
-       value
+       value,
+       CASE WHEN event_type = 'signup'
+            THEN concat('SELECT VIRUS_GENUS FROM host WHERE tax_id = ', CAST(regexp_extract(props, '[0-9]+', 0) AS STRING))
+       END AS sql,
+       CASE WHEN event_type = 'error'
+            THEN concat('fig = px.scatter_mapbox(df_host, size=', CAST(regexp_extract(props, '[0-9]+', 0) AS STRING), ')')
+       END AS code
 FROM events
 """
 

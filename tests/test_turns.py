@@ -65,3 +65,19 @@ def test_turn_summary(spark):
                                   "conv_id BIGINT, turn BIGINT, tool STRING, success BOOLEAN")
     r = TU.turn_summary(calls).first()
     assert (r.calls_used, r.ok_calls, r.failed_calls, r.figures, r.snippets) == (3, 2, 1, 1, 1)
+
+
+def test_code_snippets_not_deduped_sql_prefixed(spark):
+    t0 = datetime(2024, 1, 1)
+    calls = spark.createDataFrame([
+        (1, 1, 1, 1, t0, "query_host_sql", True, "SELECT 1", None),
+        (2, 1, 1, 1, t0 + timedelta(seconds=1), "query_dataframe", True, None, "result = df"),
+        (3, 1, 1, 2, t0, "query_host_sql", True, "SELECT 1", None),
+        (4, 1, 1, 2, t0, "query_host_sql", False, "SELECT 2", None),
+    ], "call_id BIGINT, conv_id BIGINT, turn BIGINT, round BIGINT, ts TIMESTAMP, tool STRING, "
+       "success BOOLEAN, sql STRING, code STRING")
+    arts = spark.createDataFrame([], "call_id BIGINT, conv_id BIGINT, turn BIGINT, round BIGINT, "
+                                     "ts TIMESTAMP, success BOOLEAN, pos INT, type STRING, url STRING, pmid BIGINT")
+    got = sorted((r.rank, r.item) for r in TU.turn_sources(arts, calls).collect())
+    assert got == [(1, "-- SQL (query_host_sql)\nSELECT 1"), (2, "result = df"),
+                   (3, "-- SQL (query_host_sql)\nSELECT 1")]
