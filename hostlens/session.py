@@ -23,6 +23,9 @@ ENGINE_CONF = {
     # file-path tables (parquet.`/x`) bypass the view layer; the guard
     # relies on them being unresolvable
     "spark.sql.runSQLOnFiles": "false",
+    # ordering.global_rank reads one range exchange from two branches; they
+    # must share it (a second sampling could draw other boundaries)
+    "spark.sql.exchange.reuse": "true",
 }
 
 
