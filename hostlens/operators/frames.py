@@ -101,8 +101,13 @@ def running_total(df: DataFrame, partition: Sequence[str], order: Sequence[str],
     return df.withColumn(name, F.sum(value).over(w))
 
 
-def distinct_count(df: DataFrame, key: str, col: str, name: str) -> DataFrame:
-    """Distinct members per group (Catalyst's two-level distinct agg)."""
+def distinct_count(df: DataFrame, key: str, col: str, name: str,
+                   approx_rsd: float | None = None) -> DataFrame:
+    """Distinct members per group.  Exact by default (Catalyst's two-level
+    distinct aggregate); with ``approx_rsd`` a HyperLogLog++ sketch of that
+    relative standard deviation, merged map-side, for very large groups."""
+    if approx_rsd is not None:
+        return df.groupBy(key).agg(F.approx_count_distinct(col, approx_rsd).alias(name))
     return df.groupBy(key).agg(F.countDistinct(col).alias(name))
 
 

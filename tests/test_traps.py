@@ -47,3 +47,11 @@ def test_try_cast_under_ansi(spark):
 def test_unicode_word_class(spark):
     df = spark.createDataFrame([("Virus été—ü?",)], "s STRING")
     assert df.select(clean_term(F.col("s"))).first()[0] == "Virus étéü"
+
+
+def test_distinct_count_exact_and_approx(spark):
+    df = spark.range(2000).selectExpr("id % 2 AS k", "id % 500 AS v")
+    exact = {r.k: r.n for r in frames.distinct_count(df, "k", "v", "n").collect()}
+    assert exact == {0: 250, 1: 250}
+    approx = {r.k: r.n for r in frames.distinct_count(df, "k", "v", "n", approx_rsd=0.02).collect()}
+    assert all(abs(approx[k] - 250) <= 25 for k in (0, 1))
