@@ -7,8 +7,12 @@ Where Spark and DuckDB spell a query identically one string serves both.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from hostlens.operators import joins as J
 from hostlens.plans.common import guarded, oracle, session
 from hostlens.plans.registry import query
+from hostlens.sources.tables import read_table
 
 # key -> (spark sql, duckdb sql or None when identical, views)
 SHAPES: dict[str, tuple[str, str | None, tuple[str, ...]]] = {}
@@ -332,10 +336,6 @@ FROM events
 
 
 # -- J1 / J8 as DataFrame operators ---------------------------------------------------------
-from pyspark.sql import functions as F  # noqa: E402
-
-from hostlens.operators import joins as J  # noqa: E402
-from hostlens.sources.tables import read_table  # noqa: E402
 
 
 @query("host_taxonomy_enrich", oracle("""

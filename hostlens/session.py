@@ -7,7 +7,6 @@ user: the views ``taxonomy`` and ``host`` and the last successful result
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession

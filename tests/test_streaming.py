@@ -1,7 +1,6 @@
 """Streaming twins equal their batch jobs."""
 
 import os
-import shutil
 
 from pyspark.sql import functions as F
 

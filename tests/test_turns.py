@@ -2,8 +2,6 @@
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
-
 from hostlens.operators import turns as TU
 
 
