@@ -143,9 +143,7 @@ def _parsed(spark, sf_dir):
     return ca.select("call_id", "tool", A.parse_args(F.col("raw")).alias("args"))
 
 
-@query("tolerant_json", _PARSED_ORACLE.replace("WITH ca AS", oracle("WITH ca AS", "tool_calls")
-                                               .replace("WITH ca AS", "ca AS"), 1)
-       + "SELECT call_id, key, value FROM parsed")
+@query("tolerant_json", oracle(_PARSED_ORACLE + "SELECT call_id, key, value FROM parsed", "tool_calls"))
 def tolerant_json(spark, sf_dir):
     p = _parsed(spark, sf_dir)
     return p.select("call_id", F.explode("args").alias("key", "lit")) \
@@ -173,8 +171,7 @@ _SCHEMA_VALUES = ", ".join(
     f"('{t}', [{', '.join(repr(p) for p in props)}], {len(req)}, '{req[0]}')"
     for t, props, req in TOOL_SCHEMAS)
 
-_SANITIZE_ORACLE = _PARSED_ORACLE.replace("WITH ca AS", oracle("WITH ca AS", "tool_calls")
-                                          .replace("WITH ca AS", "ca AS"), 1) + f""",
+_SANITIZE_ORACLE = _PARSED_ORACLE + f""",
 schemas AS (SELECT * FROM (VALUES {_SCHEMA_VALUES}) s(tool, props, n_req, req1)),
 sizes AS (SELECT call_id, COUNT(*) AS n_keys, bool_and(key = '_raw') AS only_raw FROM parsed GROUP BY call_id),
 renamed AS (
@@ -192,7 +189,7 @@ WHERE len(s.props) = 0 OR list_contains(s.props, a.key)
 """
 
 
-@query("sanitize_args", _SANITIZE_ORACLE)
+@query("sanitize_args", oracle(_SANITIZE_ORACLE, "tool_calls"))
 def sanitize_args(spark, sf_dir):
     p = _parsed(spark, sf_dir)
     schemas = tool_schema_frame(spark)  # 7 fixed rows: broadcast
@@ -205,8 +202,7 @@ def sanitize_args(spark, sf_dir):
         .select("call_id", "key", A.arg_text(F.col("lit")).alias("value"))
 
 
-_KEYWORD_ORACLE = _PARSED_ORACLE.replace("WITH ca AS", oracle("WITH ca AS", "tool_calls")
-                                         .replace("WITH ca AS", "ca AS"), 1) + """,
+_KEYWORD_ORACLE = _PARSED_ORACLE + """,
 cand AS (
   SELECT call_id, regexp_replace(regexp_replace(value, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS txt,
          CASE key WHEN 'search_term' THEN 1 WHEN 'query' THEN 2 ELSE 3 END AS prio
@@ -219,7 +215,7 @@ FROM (SELECT DISTINCT call_id FROM parsed) c LEFT JOIN best b ON c.call_id = b.c
 """.replace("\\\\", "\\")
 
 
-@query("search_keyword", _KEYWORD_ORACLE)
+@query("search_keyword", oracle(_KEYWORD_ORACLE, "tool_calls"))
 def search_keyword(spark, sf_dir):
     p = _parsed(spark, sf_dir)
     return p.select("call_id", A.search_keyword(F.col("args")).alias("keyword"))
