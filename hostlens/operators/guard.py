@@ -150,7 +150,8 @@ def table_result(df: DataFrame, preview_rows: int = DEFAULT_PREVIEW_ROWS) -> Pre
     head = df.limit(preview_rows)
     rows = [json.loads(r[0]) for r in head.select(
         F.to_json(F.struct(*[F.col(c) for c in df.columns]),
-                  {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS",
+                  {"ignoreNullFields": "false",
+                   "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS",
                    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS",
                    "dateFormat": "yyyy-MM-dd"})).collect()]
     lines = [" | ".join(df.columns)]

@@ -93,3 +93,11 @@ def test_describe_lists_columns(spark):
         .createOrReplaceTempView("host")
     s = EngineSession(spark)
     assert s.describe() == [("VIRUS_FAMILY", "bigint"), ("COUNTRY", "string")]
+
+
+def test_preview_rows_are_iso_dated(spark):
+    df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-02 03:04:05' AS ts, DATE '2024-01-02' AS d, "
+                   "CAST(NULL AS STRING) AS s")
+    p = G.table_result(df, 5)
+    assert p.rows == [{"ts": "2024-01-02T03:04:05.000", "d": "2024-01-02", "s": None}]
+    assert p.columns == ["ts", "d", "s"]
