@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hostlens.functions.text import strip_ws
 from hostlens.session import EngineSession
 
 # Fixed values that must equal the reference's guard.
@@ -67,8 +68,8 @@ def check_sql(sql: str) -> str | None:
 def audit_rule(statement: Column) -> Column:
     """The same three checks as a column expression over logged
     statements; the first failing rule wins, NULL when the statement passes.
-    Java regex: ``(?i)`` for case, ``(?s)`` so ``\\s`` spans lines."""
-    s = F.trim(statement)
+    Java regex with ``(?i)``; surrounding whitespace is stripped as in G1."""
+    s = strip_ws(statement)
     return (
         F.when(~s.rlike("(?i)" + _SELECT_START), F.lit("select_only"))
         .when(s.rlike("(?i)" + _FORBIDDEN), F.lit("forbidden_keyword"))

@@ -52,7 +52,8 @@ FROM tool_calls
 
 SQL_AUDIT_ORACLE = """
 SELECT call_id,
-       CASE WHEN NOT regexp_matches(trim(statement), '(?i)^\\(?\\s*SELECT\\b') THEN 'select_only'
+       CASE WHEN NOT regexp_matches(regexp_replace(statement, '^\\s+|\\s+$', '', 'g'),
+                                    '(?i)^\\(?\\s*SELECT\\b') THEN 'select_only'
             WHEN regexp_matches(statement, '(?i)\\b(INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|ATTACH|DETACH|COPY|PRAGMA|EXPORT|IMPORT|CALL)\\b') THEN 'forbidden_keyword'
             WHEN regexp_matches(statement, '(?i)SELECT\\s+\\*\\s+FROM') THEN 'select_star'
        END AS rule

@@ -36,7 +36,8 @@ def test_guard_passes(sql):
 
 def test_audit_rule_matches_check(spark):
     stmts = ["DROP TABLE host", "SELECT 1; DELETE FROM t", "SELECT * FROM host",
-             "SELECT a FROM host", " (SELECT t.* FROM host t)", "\n  SELECT x FROM host"]
+             "SELECT a FROM host", " (SELECT t.* FROM host t)", "\n  SELECT x FROM host",
+             "\n\t(SELECT y FROM host)"]
     df = spark.createDataFrame([(s,) for s in stmts], "statement STRING")
     got = [r[0] for r in df.select(G.audit_rule(F.col("statement"))).collect()]
     names = {G.SELECT_ONLY_MSG: "select_only", G.FORBIDDEN_MSG: "forbidden_keyword",
