@@ -54,13 +54,16 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str,
                  F.lit(None).cast(R.schema["_p"].dataType).alias("_p")) \
         .unionByName(R.select(*by, F.col(ts).alias("_t"), "_b", F.lit(None).cast(L.schema["_lid"].dataType).alias("_lid"),
                               F.lit(1).alias("_side"), "_p"))
-    w = (Window.partitionBy(*by, "_b").orderBy(F.col("_t"), F.col("_side").desc())
+    # right rows before left rows at equal times; among right rows at one
+    # time the largest payload wins (deterministic ties)
+    w = (Window.partitionBy(*by, "_b").orderBy(F.col("_t"), F.col("_side").desc(), F.col("_p"))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inside = (u.withColumn("_in", F.last("_p", ignorenulls=True).over(w))
               .filter(F.col("_side") == 0).select("_lid", "_in"))
 
     # 2. nearest earlier bucket, from one row per (by, bucket)
-    last_in_bucket = R.groupBy(*by, "_b").agg(F.max_by("_p", F.col("_p._rts")).alias("_last"))
+    # payload structs start with the time, so max() is the latest (ties as above)
+    last_in_bucket = R.groupBy(*by, "_b").agg(F.max("_p").alias("_last"))
     left_buckets = L.select(*by, "_b").distinct()
     keys = left_buckets.select(*by, "_b", F.lit(None).cast(R.schema["_p"].dataType).alias("_last")) \
         .unionByName(last_in_bucket)

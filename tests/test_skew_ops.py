@@ -114,3 +114,18 @@ def test_resolve_names_ranking(spark):
            for r in S.resolve_names(terms, names).orderBy("term", "rank").collect()]
     assert got == [(" hiv ", 1, 3, "synonym", True), (" hiv ", 2, 5, "acronym", True),
                    (" hiv ", 3, 9, "common name", True), ("unknown", 1, None, None, False)]
+
+
+def test_asof_ties_are_deterministic(spark):
+    t0 = datetime(2024, 1, 1)
+    L = spark.createDataFrame([(1, 7, t0 + timedelta(hours=5)), (2, 7, t0 + timedelta(minutes=1))],
+                              "event_id BIGINT, user_id BIGINT, ts TIMESTAMP")
+    R = spark.createDataFrame([(10, 7, t0), (11, 7, t0), (12, 7, t0 + timedelta(minutes=1))],
+                              "event_id BIGINT, user_id BIGINT, ts TIMESTAMP")
+    got = {r.event_id: r.r_event_id for r in
+           asof_join(L, R, ["user_id"], "ts", ["event_id"], ["event_id"], bucket_seconds=3600).collect()}
+    assert got == {1: 12, 2: 12}
+    same = spark.createDataFrame([(20, 7, t0), (21, 7, t0)], "event_id BIGINT, user_id BIGINT, ts TIMESTAMP")
+    got = {r.event_id: r.r_event_id for r in
+           asof_join(L, same, ["user_id"], "ts", ["event_id"], ["event_id"], bucket_seconds=3600).collect()}
+    assert got == {1: 21, 2: 21}
