@@ -25,6 +25,10 @@ ENGINE_CONF = {
     # ordering.global_rank reads one range exchange from two branches; they
     # must share it (a second sampling could draw other boundaries)
     "spark.sql.exchange.reuse": "true",
+    # HotSpot does not JIT-compile methods over 8000 bytes of bytecode; a
+    # whole-stage method above that runs interpreted, so Spark should fall
+    # back to per-operator code instead (the value Spark's docs suggest)
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
