@@ -39,13 +39,15 @@ PAYLOAD_SCHEMA = ", ".join(f"{k} ARRAY<STRING>" for k in PAYLOAD_KEYS)
 
 # -- J2 -------------------------------------------------------------------------
 def users_with_counts(users: DataFrame, conversations: DataFrame) -> DataFrame:
-    """Every user with its conversation count (zero kept); the count is
-    pre-aggregated per owner (map-side combine) before the join."""
+    """Every user with its conversation count (zero kept), ordered by
+    creation time; the count is pre-aggregated per owner (map-side combine)
+    before the join, and the order is a distributed range sort."""
     counts = conversations.groupBy(F.col("user_email").alias("email")) \
         .agg(F.count(F.lit(1)).alias("n_conversations"))
     cols = ["email", "first_name", "last_name", "role", "created_at", "last_login"]
     return (users.select(*cols).join(counts, "email", "left")
-            .withColumn("n_conversations", F.coalesce("n_conversations", F.lit(0).cast("bigint"))))
+            .withColumn("n_conversations", F.coalesce("n_conversations", F.lit(0).cast("bigint")))
+            .orderBy("created_at", "email"))
 
 
 # -- J3 / J4 / J5 -------------------------------------------------------------------
