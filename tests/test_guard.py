@@ -102,3 +102,12 @@ def test_preview_rows_are_iso_dated(spark):
     p = G.table_result(df, 5)
     assert p.rows == [{"ts": "2024-01-02T03:04:05.000", "d": "2024-01-02", "s": None}]
     assert p.columns == ["ts", "d", "s"]
+
+
+def test_chained_statements_do_not_run(spark):
+    spark.range(3).selectExpr("id AS v").createOrReplaceTempView("host")
+    s = EngineSession(spark)
+    assert G.check_sql("SELECT v FROM host; SELECT v FROM host") is None   # the text guard passes
+    with pytest.raises(Exception):
+        G.guarded_sql(s, "SELECT v FROM host; SELECT v FROM host")        # Spark refuses to parse
+    assert s.df_host is None
