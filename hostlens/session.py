@@ -33,7 +33,7 @@ ENGINE_CONF = {
 
 
 def build_spark(master: str = "local[8]", shuffle_partitions: int = 8,
-                app_name: str = "hostlens") -> SparkSession:
+                app_name: str = "hostlens", extra_conf: dict[str, str] | None = None) -> SparkSession:
     """Local/test session.  On a cluster the session comes from spark-submit."""
     builder = (
         SparkSession.builder.master(master)
@@ -44,7 +44,7 @@ def build_spark(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for k, v in ENGINE_CONF.items():
+    for k, v in {**ENGINE_CONF, **(extra_conf or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
