@@ -50,3 +50,28 @@ def test_tool_log_stream_counts(spark, scratch_dir):
     key = ["hour", "tool", "marker", "n"]
     assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, batch.select(*key).collect()))
     assert got.agg(F.sum("n")).first()[0] == 80
+
+
+def test_late_events_beyond_watermark_are_dropped(spark, scratch_dir):
+    import datetime as dt
+
+    from hostlens.streaming.jobs import EVENTS_SCHEMA
+
+    src = os.path.join(scratch_dir, "feed")
+    os.makedirs(src)
+    t0 = dt.datetime(2024, 1, 10, 12, 0, 0)
+
+    def drop(name, rows):
+        spark.createDataFrame(rows, EVENTS_SCHEMA).write.parquet(os.path.join(src, name))
+
+    drop("a", [(1, t0, 7, "click", 1.0, "{}"), (2, t0 + dt.timedelta(hours=1), 7, "error", 1.0, "{}")])
+    drop("b", [(3, t0 + dt.timedelta(days=3), 7, "click", 1.0, "{}")])        # moves the watermark on
+    drop("c", [(4, t0 - dt.timedelta(hours=1), 7, "click", 1.0, "{}"),      # late: before watermark
+               (2, t0 + dt.timedelta(hours=1), 7, "error", 1.0, "{}")])     # duplicate id
+    stream = ST.turn_rollup_stream(spark, os.path.join(src, "*"), window="1 day",
+                                   watermark="1 day", max_files=1)
+    ST.run_to_table(stream, "t1_late")
+    got = ST.latest_rows(spark.table("t1_late"), ["user_id", "window_start"]) \
+        .withColumn("day", F.col("window_start").cast("date").cast("string"))
+    rows = {r.day: (r.n_events, r.n_ok, r.n_failed) for r in got.collect()}
+    assert rows == {"2024-01-10": (2, 1, 1), "2024-01-13": (1, 1, 0)}
