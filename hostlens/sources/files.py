@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostlens.functions.text import strip_ws
 
 # -- S1 -----------------------------------------------------------------------------
 TAXONOMY_SCHEMA = T.StructType([
@@ -250,7 +249,3 @@ def export_reports(reports: DataFrame, path: str) -> None:
         F.coalesce(F.from_json("recent_logs", arr), F.array().cast(arr)).alias("recent_logs"),
         F.date_format("created_at", "yyyy-MM").alias("month"))
     out.write.mode("overwrite").partitionBy("month").json(path)
-
-
-def blank_to_null(c):
-    return F.when(strip_ws(c) == "", F.lit(None)).otherwise(c)
