@@ -84,7 +84,9 @@ def strip_pmids(text: Column, fake: Column) -> Column:
 
 
 def citation_marker_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(CITATION_MARKER_PATTERN))
+    """Number of 【…】 markers; texts without '【' skip the regex."""
+    return F.when(text.contains("【"), F.regexp_count(text, F.lit(CITATION_MARKER_PATTERN))) \
+        .otherwise(F.when(text.isNotNull(), F.lit(0)))
 
 
 def strip_citation_markers(text: Column) -> Column:

@@ -255,8 +255,10 @@ FROM (SELECT doc_id, lower(trim(unnest(regexp_extract_all(text, '{_EMAIL_RE}')))
 """)
 def email_domain_rule(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_EMAIL_RE), 0))
-                        .alias("raw"))
+    # only texts with an '@' can hold an address: a cheap substring test
+    # spares the regex scan of the others (same result)
+    found = docs.filter(F.col("text").contains("@")).select(
+        "doc_id", F.explode(F.regexp_extract_all("text", F.lit(_EMAIL_RE), 0)).alias("raw"))
     email = F.lower(F.trim("raw"))
     return found.select("doc_id", email.alias("email"), T.email_domain(email).alias("domain"),
                         T.email_rule(email).alias("verdict"))
