@@ -57,17 +57,22 @@ def apply_engine_conf(spark: SparkSession) -> None:
         spark.conf.set(k, v)
 
 
+_PRIVATE_CKPT: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is only read.  A
-    private folder is created only when nothing is configured (tests).
+    On a cluster this setting points at shared storage and is only read
+    (it cannot be changed at runtime).  When nothing is configured (tests,
+    local runs) one private folder per application is used instead.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    configured = (spark.conf.get("spark.checkpoint.dir", None)
+                  or _PRIVATE_CKPT.get(sc.applicationId) or sc.getCheckpointDir())
     if not configured:
         configured = tempfile.mkdtemp(prefix="hostlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    sc = spark.sparkContext
+    _PRIVATE_CKPT.setdefault(sc.applicationId, configured)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return configured

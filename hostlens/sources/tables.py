@@ -101,7 +101,9 @@ def landed_host(spark: SparkSession, sf_dir: str) -> DataFrame:
          .write.mode("overwrite").parquet(tmp))
         src, _ = _fs(spark, tmp)
         dst, _ = _fs(spark, path)
-        if not fs.rename(src, dst):      # another job landed it first
+        # renaming onto an existing directory would move tmp inside it, so
+        # a job that lost the race drops its copy instead
+        if fs.exists(dst) or not fs.rename(src, dst):
             fs.delete(src, True)
     return spark.read.parquet(path)
 
