@@ -10,7 +10,8 @@ reference's order:
    ``SELECT DISTINCT *`` and ``SELECT *, x`` pass).
 
 ``;``-chained statements are a parse error in ``spark.sql``; file-path tables
-are unresolvable because ``spark.sql.runSQLOnFiles`` is off.
+(``parquet.`/x```) are refused by a fourth text rule and are unresolvable
+anyway because ``spark.sql.runSQLOnFiles`` is off.
 """
 
 from __future__ import annotations
@@ -43,10 +44,15 @@ DEFAULT_PREVIEW_ROWS = 50
 _SELECT_START = r"^\(?\s*SELECT\b"
 _FORBIDDEN = r"\b(" + "|".join(FORBIDDEN_KEYWORDS) + r")\b"
 _STAR = r"SELECT\s+\*\s+FROM"
+# file-path tables (format.`/path`); refused by text as well as by
+# spark.sql.runSQLOnFiles=false, in case a session cannot change that setting
+_FILE_TABLE = r"\b\w+\s*\.\s*`[^`]*[/\\:][^`]*`"
 
 _SELECT_START_RE = re.compile(_SELECT_START, re.IGNORECASE)
 _FORBIDDEN_RE = re.compile(_FORBIDDEN, re.IGNORECASE)
 _STAR_RE = re.compile(_STAR, re.IGNORECASE)
+_FILE_TABLE_RE = re.compile(_FILE_TABLE)
+FILE_TABLE_MSG = "Error: file-path tables are not allowed — query the registered views."
 
 
 class GuardError(ValueError):
@@ -62,6 +68,8 @@ def check_sql(sql: str) -> str | None:
         return FORBIDDEN_MSG
     if _STAR_RE.search(stripped):
         return STAR_MSG
+    if _FILE_TABLE_RE.search(stripped):
+        return FILE_TABLE_MSG
     return None
 
 

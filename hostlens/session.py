@@ -53,8 +53,16 @@ def build_spark(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def apply_engine_conf(spark: SparkSession) -> None:
+    """Apply the engine settings to a session we did not build; a setting the
+    session refuses to change is skipped with a warning."""
+    import warnings
+
     for k, v in ENGINE_CONF.items():
-        spark.conf.set(k, v)
+        try:
+            if spark.conf.get(k, None) != v:
+                spark.conf.set(k, v)
+        except Exception as e:  # e.g. CANNOT_MODIFY_CONFIG in a managed session
+            warnings.warn(f"could not set {k}: {e}")
 
 
 _PRIVATE_CKPT: dict[str, str] = {}

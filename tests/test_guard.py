@@ -111,3 +111,9 @@ def test_chained_statements_do_not_run(spark):
     with pytest.raises(Exception):
         G.guarded_sql(s, "SELECT v FROM host; SELECT v FROM host")        # Spark refuses to parse
     assert s.df_host is None
+
+
+def test_file_path_tables_refused_by_text():
+    assert G.check_sql("SELECT id FROM parquet.`/data/x.parquet`") == G.FILE_TABLE_MSG
+    assert G.check_sql("SELECT id FROM csv . `s3a://b/k.csv`") == G.FILE_TABLE_MSG
+    assert G.check_sql("SELECT `weird name` FROM host") is None
