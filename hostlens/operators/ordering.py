@@ -7,7 +7,8 @@ computed here from a range-partitioned sort instead:
 
 1. only the sort-key columns are range-partitioned (``repartitionByRange``:
    sampled boundaries; a hot group is split across ranges);
-2. a local row number inside each range partition;
+2. a local row number inside each range partition (local sort, then the
+   row counter of ``monotonically_increasing_id``; no window, no shuffle);
 3. per-partition row counts (one row per partition) prefix-summed and
    broadcast back — the broadcast side is bounded by the partition count;
 4. the ranks are joined back to the full rows on the (unique) sort key.
@@ -52,8 +53,14 @@ def global_rank(df: DataFrame, order: Sequence[OrderSpec], name: str = "rank",
     keys = df.select(*[F.col(c).alias(f"_k{i}") for i, (c, _) in enumerate(specs)])
     kspecs = [(f"_k{i}", asc) for i, (_, asc) in enumerate(specs)]
     sort = _sort_cols(kspecs)
-    ranged = keys.repartitionByRange(n, *sort).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*sort)))
+    # inside a range partition the position needs no window (and no second
+    # shuffle): after a local sort, monotonically_increasing_id() counts rows
+    # in iterator order on top of (partition id << 33)
+    ranged = (keys.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
+              .withColumn("_pid", F.spark_partition_id()))
+    local = ranged.withColumn(
+        "_local", F.monotonically_increasing_id()
+        - F.shiftleft(F.col("_pid").cast("bigint"), 33) + F.lit(1))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
