@@ -33,3 +33,12 @@ def test_no_python_no_cartesian(spark, key):
     p = plan(spark, key)
     for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "MapInPandas"):
         assert bad not in p
+
+
+def test_ranking_shares_one_range_exchange(spark):
+    from hostlens.operators.ordering import global_rank
+    df = spark.range(500).selectExpr("id", "id % 7 AS g", "repeat('x', 20) AS payload")
+    ranked = global_rank(df, [("g", False), "id"], num_partitions=4)
+    rows = ranked.collect()
+    assert sorted(r["rank"] for r in rows) == list(range(1, 501))
+    assert "ReusedExchange" in ranked._jdf.queryExecution().executedPlan().toString()
