@@ -14,8 +14,9 @@ Skew and pair blow-up:
   shuffle;
 * ranked search ignores tokens found in more than 1/``stopword_share`` of
   the corpus (stop words).  This is part of the ranking's definition (they
-  carry no weight), not a cap: the result is exact for that score, and no
-  posting list joined against the queries is longer than the threshold;
+  carry no weight), not a cap: the result is exact for that score.  Their
+  postings are dropped in the map tasks (broadcast semi joins behind a size
+  check of the query vocabulary), so they never reach a shuffle;
 * substring search draws candidates from the rarest 3-gram of each term and
   then checks the full predicate, so it is exact; terms of 1 or 2
   characters equi-join the names' 1- or 2-grams (no broadcast needed).
@@ -136,25 +137,38 @@ def token_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(tokens(F.col(text_col))).alias("token"))
 
 
+DEFAULT_MAX_BROADCAST_VOCAB = 1_000_000
+
+
 def search_topk(queries: DataFrame, q_id: str, q_text: str, postings: DataFrame,
                 k: int = 5, stopword_share: int = STOPWORD_SHARE,
-                n_docs: Column | None = None) -> DataFrame:
+                n_docs: Column | None = None,
+                max_broadcast_vocab: int = DEFAULT_MAX_BROADCAST_VOCAB) -> DataFrame:
     """Top-k documents per query by the number of distinct shared tokens,
     ties by document id.  Tokens in more than 1/``stopword_share`` of the
     documents are stop words and carry no weight.
 
-    Postings are first cut to the queries' vocabulary (semi join), so the
-    document-frequency aggregate and the scoring join only see tokens some
-    query uses.  ``n_docs`` (documents with at least one token) may be given
-    as a scalar column; otherwise it is counted from the postings."""
+    Postings are first cut to the queries' vocabulary, so the
+    document-frequency aggregate (partial, map-side combined) and the scoring
+    join only see tokens some query uses.  When the vocabulary has at most
+    ``max_broadcast_vocab`` tokens (a cheap check over the queries alone),
+    both cuts are broadcast semi joins: postings are filtered in the map
+    tasks and stop-word postings never reach a shuffle.  Otherwise the cuts
+    are shuffle joins.  ``n_docs`` (documents with at least one token) may be
+    given as a scalar column; otherwise it is counted from the postings."""
     if n_docs is None:
         n_docs = postings.select(F.countDistinct("doc_id")).scalar()
     qt = queries.select(F.col(q_id).alias("query_id"), F.explode(tokens(F.col(q_text))).alias("token"))
     vocab = qt.select("token").distinct()
-    post_q = postings.join(vocab, "token", "left_semi")
+    small = vocab.limit(max_broadcast_vocab + 1).count() <= max_broadcast_vocab
+
+    def cut(df: DataFrame, keep: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(keep) if small else keep, "token", "left_semi")
+
+    post_q = cut(postings, vocab)
     df = post_q.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     useful = df.filter(F.col("df") * F.lit(stopword_share) <= n_docs).select("token")
-    scores = (qt.join(useful, "token", "left_semi").join(post_q, "token")
+    scores = (cut(qt, useful).join(cut(post_q, useful), "token")
               .groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score")))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
     return (scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
