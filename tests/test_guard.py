@@ -117,3 +117,14 @@ def test_file_path_tables_refused_by_text():
     assert G.check_sql("SELECT id FROM parquet.`/data/x.parquet`") == G.FILE_TABLE_MSG
     assert G.check_sql("SELECT id FROM csv . `s3a://b/k.csv`") == G.FILE_TABLE_MSG
     assert G.check_sql("SELECT `weird name` FROM host") is None
+
+
+def test_persisted_results_are_released_on_replacement(spark):
+    spark.range(20).selectExpr("id AS v").createOrReplaceTempView("host")
+    s = EngineSession(spark, persist_results=True)
+    first = G.guarded_sql(s, "SELECT v FROM host WHERE v < 5")
+    assert first.is_cached
+    second = G.guarded_sql(s, "SELECT v FROM host WHERE v >= 5")
+    assert second.is_cached and not first.is_cached
+    assert spark.table("df_host").count() == 15
+    second.unpersist()
