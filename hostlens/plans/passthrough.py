@@ -188,7 +188,8 @@ FROM host
 
 shape("win_running_sum", """
 SELECT d, n, CAST(SUM(n) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_n
-FROM (SELECT CAST(COLLECTION_DATE AS DATE) AS d, COUNT(*) AS n FROM host GROUP BY CAST(COLLECTION_DATE AS DATE)) x
+FROM (SELECT CAST(CAST(COLLECTION_DATE AS DATE) AS STRING) AS d, COUNT(*) AS n FROM host
+      GROUP BY CAST(CAST(COLLECTION_DATE AS DATE) AS STRING)) x
 """, ("host",))
 
 shape("win_range_frame", """
@@ -250,9 +251,9 @@ FROM taxonomy
 shape("fn_date", """
 SELECT id,
        CAST(year(created_at) AS BIGINT) AS y, CAST(month(created_at) AS BIGINT) AS m, CAST(day(created_at) AS BIGINT) AS d,
-       CAST(date_trunc('MONTH', created_at) AS DATE) AS month_start,
+       CAST(CAST(date_trunc('MONTH', created_at) AS DATE) AS STRING) AS month_start,
        CAST(datediff(CAST(created_at AS DATE), DATE '1995-01-01') AS BIGINT) AS days_since,
-       date_add(CAST(created_at AS DATE), 30) AS plus30,
+       CAST(date_add(CAST(created_at AS DATE), 30) AS STRING) AS plus30,
        date_format(created_at, 'yyyy-MM') AS ym,
        CAST(created_at + INTERVAL 36 HOURS AS STRING) AS plus36h,
        CAST(to_timestamp(concat(CAST(CAST(created_at AS DATE) AS STRING), ' 12:30:00')) AS STRING) AS noon
@@ -260,9 +261,9 @@ FROM conv_list
 """, ("conv_list",), """
 SELECT id,
        CAST(year(created_at) AS BIGINT) AS y, CAST(month(created_at) AS BIGINT) AS m, CAST(day(created_at) AS BIGINT) AS d,
-       CAST(date_trunc('month', created_at) AS DATE) AS month_start,
+       CAST(CAST(date_trunc('month', created_at) AS DATE) AS VARCHAR) AS month_start,
        CAST(date_diff('day', DATE '1995-01-01', CAST(created_at AS DATE)) AS BIGINT) AS days_since,
-       CAST(CAST(created_at AS DATE) + INTERVAL 30 DAY AS DATE) AS plus30,
+       CAST(CAST(CAST(created_at AS DATE) + INTERVAL 30 DAY AS DATE) AS VARCHAR) AS plus30,
        strftime(created_at, '%Y-%m') AS ym,
        CAST(created_at + INTERVAL 36 HOUR AS VARCHAR) AS plus36h,
        CAST(strptime(concat(CAST(CAST(created_at AS DATE) AS VARCHAR), ' 12:30:00'), '%Y-%m-%d %H:%M:%S') AS VARCHAR) AS noon
