@@ -42,22 +42,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered up to ``limit`` words per process."""
+class WordHashes(dict):
+    """64-bit hashes of words; each process remembers up to ``limit`` words."""
 
     def __init__(self, limit: int = 400_000):
         import xxhash
 
-        self._of, self._known, self._limit = xxhash.xxh64_intdigest, {}, limit
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known, of = self._known, self._of
-        if len(known) > self._limit:
-            known.clear()
-        out = np.empty(len(words), dtype=np.uint64)
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = of(w)
-            out[i] = h
-        return out
+        super().__init__()
+        self._of, self._limit = xxhash.xxh64_intdigest, limit
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self._limit:
+            self.clear()
+        h = self[word] = self._of(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words between the ASCII blanks \\x09-\\x0D and \\x20, A-Z lower-cased
+    (bytes.lower and bytes.split know ASCII only)."""
+    return text.encode("utf-8").lower().split() if text else []
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every run of ``k`` words; of the whole sequence if it is shorter."""
+    n = len(words)
+    if n == 0:
+        return words
+    k = min(k, n)
+    h = np.full(n - k + 1, np.uint64(k))
+    for j in range(k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[j:n - k + 1 + j]
+    return mix64(h)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import hilbert, winnow
+from hostlens.llm import hilbert, oph, winnow
 from hostlens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_shards(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+@register("op6_one_permutation_minhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed one-permutation MinHash of every text and of its edited text."""
+    return oph.fingerprint_edits(read_table(spark, sf_dir, "documents"))
