@@ -104,12 +104,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, carry: bool = False) -> Dat
         when w_len < {SPAN} then if(slice(ws, k.at - {base} + 1, w_len) = win, array(k.at), cast(array() as array<int>))
         else filter(sequence(k.at, least({to}, {base} + size(least) - 1)),
                     i -> least[i - {base}] = k.key and slice(ws, i - {base} + 1, {SPAN}) = win) end"""
-    found = hit.select(*cols, F.col("w_len").alias("len"), "items", F.expr(starts).alias("starts")).where(
-        "len = 0 or size(starts) > 0")
+    # no filter on starts here: it would move into the join, which then leaves the generated
+    # code together with explode and copies the word array for every kept hash
+    found = hit.select(*cols, F.col("w_len").alias("len"), "items", F.expr(starts).alias("starts"))
     per = found.groupBy("uid").agg(
         F.max("n_words").alias("n_words"), F.first(F.expr("if(len = 0, row, null)"), ignorenulls=True).alias("row"),
         F.collect_list(F.expr("if(len > 0, transform(starts, s -> named_struct('start', s, 'len', len)), null)")).alias("spans"),
-        F.collect_set(F.expr("if(len > 0, items, null)")).alias("items"))
+        F.collect_set(F.expr("if(size(starts) > 0, items, null)")).alias("items"))
     out = per.withColumn("spans", F.expr("array_sort(array_distinct(flatten(spans)))")).withColumn(
         "items", F.expr("array_sort(transform(array_distinct(flatten(items)), x -> string(x)))")).withColumn(
         # words covered: each span adds what lies beyond the furthest end so far (spans are sorted by start)
