@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import chosen_path, hilbert, oph, winnow
-from hostlens.llm.common import read_table
+from hostlens.llm import backoff_lm, chosen_path, hilbert, oph, winnow
+from hostlens.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,9 @@ FROM documents d JOIN comp ON comp.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over two-word shingle sets, Jaccard 0.8 or more."""
     return chosen_path.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@register("op5_backoff_automaton_lm")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text under a bigram automaton learnt from six of seven folds."""
+    return backoff_lm.score(read_table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
