@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from hostlens.llm.common import mix64, width, words_of
 
-PRIOR = 2.0                      # M: prior mass, in occurrences
+PRIOR = 200.0                      # M: prior mass, in occurrences
 BLOCK_TOKENS = 2_000_000         # tokens of a block; a longer document is a block of its own
 BUCKET_GRAMS = 2_000_000         # words and bigrams that a bucket should hold, repeats included
 _END, _START = b"\x00end", b"\x00start"   # no word has a blank in it; \x00 words differ from these by length or text
