@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import backoff_lm, chosen_path, hilbert, oph, winnow
+from hostlens.llm import backoff_lm, chosen_path, hilbert, langmix, oph, winnow
 from hostlens.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every text under a bigram automaton learnt from six of seven folds."""
     return backoff_lm.score(read_table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+
+
+@register("op8_language_mixture")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main language of every text by mixture inference, learnt from three of four folds."""
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    model = langmix.learn(docs, ~held_out)
+    return docs.select("doc_id", held_out.alias("held_out"), langmix.predict(model, F.col("text"), spark).alias("p")).select(
+        "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.langs")
