@@ -77,3 +77,18 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         h = h * np.uint64(0x9E3779B97F4A7C15) + words[j:n - k + 1 + j]
     return mix64(h)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int) -> DataFrame:
+    """text and y of at most ``per_class`` labelled training rows of each class,
+    those with the least id hashes: a bounded sample, written to the shared
+    folder.  Rows without a 0/1 label are left out; of several labels of one
+    id the larger counts."""
+    ids = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & F.coalesce(train, F.lit(False))).groupBy(
+        "doc_id").agg(F.max(label).alias("y"))
+    picked = None
+    for y in (0, 1):
+        some = ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        picked = some if picked is None else picked.unionByName(some)
+    # 2 * per_class rows of two numbers, whatever the input
+    return checkpointed(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import backoff_lm, chosen_path, hilbert, langmix, oph, winnow
+from hostlens.llm import backoff_lm, chosen_path, hilbert, langmix, oph, subword, winnow
 from hostlens.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langmix.learn(docs, ~held_out)
     return docs.select("doc_id", held_out.alias("held_out"), langmix.predict(model, F.col("text"), spark).alias("p")).select(
         "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.langs")
+
+
+@register("op2_subword_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text, learnt from four of five folds."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = fold("doc_id", 5) == 0
+    model = subword.learn(docs, labels, "quality", ~held_out)
+    return docs.select("doc_id", held_out.alias("held_out"), subword.score(model, F.col("text"), spark).alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.3).cast("int"))
