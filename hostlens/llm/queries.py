@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import backoff_lm, chosen_path, hilbert, langmix, oph, subword, winnow
+from hostlens.llm import backoff_lm, chosen_path, hilbert, langmix, noisy_channel, oph, subword, winnow
 from hostlens.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = subword.learn(docs, labels, "quality", ~held_out)
     return docs.select("doc_id", held_out.alias("held_out"), subword.score(model, F.col("text"), spark).alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@register("op7_noisy_channel_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every restored text, learnt from three of four folds."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = fold("doc_id", 4) == 2
+    model = noisy_channel.learn(docs, labels, "toxic", ~held_out)
+    return docs.select("doc_id", held_out.alias("held_out"), noisy_channel.score(model, F.col("text"), spark).alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.3).cast("int"))
