@@ -6,9 +6,9 @@ for, and a Viterbi search finds the reading that the channel's costs and a
 character trigram model together make likeliest.  Words written in letters
 only, without a long repeat, have a single reading and skip the search.
 
-The restored words are scored with log-odds of their byte n-grams (lower
-confidence bounds, from a bounded labelled sample); a logistic layer on the
-strongest words of the text gives the probability.
+The restored words are scored by their log-odds (lower confidence bounds, from
+a bounded labelled sample); a logistic layer on the strongest words of the text
+gives the probability.
 """
 
 from __future__ import annotations
@@ -21,26 +21,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import checkpointed, labelled_sample, mix64
+from hostlens.llm.common import checkpointed, labelled_sample
 
 # What a written character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
 LEET_COST, SAME_COST, DROP_COST, REPEAT_COST, BREAK_COST = 1.5, 6.0, 0.7, 0.4, 3.0
 
-SLOTS = 1 << 18                # hashed n-grams of restored words
-GRAMS = (4, 5, 6, 7)           # bytes, on words padded at both ends
 PER_CLASS = 10_000             # labelled rows of each class to learn from, at most
 CHAR_SLOTS = 1 << 18           # hashed character trigrams of the language model
 BOUND = 1.5                    # standard errors below the log-odds
 STRONG = 2.0                   # a word above this counts as strong
+LEAST = 0.5                    # words below this say nothing
 CACHE = 300_000                # words a process remembers
 SINGLES = 3                    # so many single characters in a row are read as one spaced word at least
 
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _LONG = re.compile(r"(.)\1\1")
 _EDGE = re.compile(r"^[^\w@$!|+(<€£]+|[^\w@$|+(<€£]+$")
-_K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5], dtype=np.uint64)
 
 
 def tokens(text: str | None) -> list[str]:
@@ -162,39 +160,12 @@ class Decoder:
         return text[:-1].split()
 
 
-def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the words' n-grams (each word with pads is one too) and where each word's begin."""
-    coded = [b"\x02" + w.encode("utf-8", "replace") + b"\x03" for w in words]
-    n = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-    b = np.frombuffer(b"".join(coded), dtype=np.uint8).astype(np.uint64)
-    starts = np.concatenate(([0], np.cumsum(n)[:-1]))
-    left = np.repeat(starts + n, n) - np.arange(len(b))          # bytes to the end of the word
-    slots, owner = [], []
-    word = np.repeat(np.arange(len(words)), n)
-    h = np.zeros(len(b), dtype=np.uint64)
-    padded = np.concatenate((b, np.zeros(max(GRAMS), dtype=np.uint64)))
-    for j in range(max(GRAMS)):
-        h += (padded[j:j + len(b)] + np.uint64(1)) * _K[j]
-        if j + 1 in GRAMS:
-            ok = left >= j + 1
-            slots.append((mix64(h[ok] + np.uint64(j)) >> np.uint64(46)).astype(np.int64))
-            owner.append(word[ok])
-    whole = np.zeros(len(words), dtype=np.uint64)
-    np.add.at(whole, word, (b + np.uint64(7)) * mix64(np.arange(len(b), dtype=np.uint64) - starts[word].astype(np.uint64) + np.uint64(11)))
-    slots.append((mix64(whole) >> np.uint64(46)).astype(np.int64))
-    owner.append(np.arange(len(words)))
-    slots, owner = np.concatenate(slots), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    return slots[order], np.searchsorted(owner[order], np.arange(len(words)))
-
-
 class Reader:
     """Restored words of texts, and the strength of each written word."""
 
-    def __init__(self, counts: np.ndarray, odds: np.ndarray | None = None):
-        self._decode, self._odds = Decoder(counts), odds
+    def __init__(self, counts: np.ndarray, odds: dict[str, float] | None = None):
+        self._decode, self._odds = Decoder(counts), odds or {}
         self._read: dict[str, list[str]] = {}
-        self._strength: dict[str, float] = {}
 
     def restored(self, word: str) -> list[str]:
         if is_plain(word):
@@ -209,31 +180,19 @@ class Reader:
     def texts(self, texts: pd.Series) -> list[list[str]]:
         return [[r for w in tokens(t) for r in self.restored(w)] for t in texts]
 
-    def strengths(self, words: list[list[str]]) -> list[np.ndarray]:
-        """Largest n-gram log-odds of every word of every text."""
-        known = self._strength
-        if len(known) > CACHE:
-            known.clear()
-        new = list({w for d in words for w in d} - known.keys())
-        if new:
-            slots, first = _grams(new)
-            known.update(zip(new, np.maximum.reduceat(self._odds[slots], first).tolist()))
-        return [np.fromiter(map(known.__getitem__, d), dtype=np.float64, count=len(d)) for d in words]
-
     def features(self, texts: pd.Series) -> np.ndarray:
         """Per text: 1, the two strongest words, how many are strong, length."""
-        out = np.zeros((len(texts), 5))
-        for a in range(0, len(texts), 500):
-            for i, s in enumerate(self.strengths(self.texts(texts.iloc[a:a + 500])), a):
-                top = np.sort(s)[-2:] if len(s) > 1 else np.concatenate((np.zeros(2 - len(s)), s))
-                out[i] = 1, max(top[-1], 0), max(top[0], 0), np.log1p((s > STRONG).sum()), np.log1p(len(s))
+        out, odds = np.zeros((len(texts), 5)), self._odds
+        for i, words in enumerate(self.texts(texts)):
+            s = sorted(x for w in words if (x := odds.get(w)) is not None)
+            out[i] = 1, s[-1] if s else 0, s[-2] if len(s) > 1 else 0, np.log1p(sum(x > STRONG for x in s)), np.log1p(len(words))
         return out
 
 
-def _log_odds(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Lower bound of how much likelier a slot's n-grams are in texts of label 1."""
-    c0, c1 = counts[0] + 0.5, counts[1] + 0.5
-    return (np.log(c1 / (n[1] + 1)) - np.log(c0 / (n[0] + 1)) - BOUND * np.sqrt(1 / c0 + 1 / c1)).astype(np.float32)
+def _log_odds(c0: Column, c1: Column, n: list[int]) -> Column:
+    """Lower bound of how much likelier a word is in texts of label 1."""
+    a, b = c0 + 0.5, c1 + 0.5
+    return F.log(b / (n[1] + 1)) - F.log(a / (n[0] + 1)) - BOUND * F.sqrt(1 / a + 1 / b)
 
 
 def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,22 +224,21 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column, pe
 
     restored = checkpointed(sample.mapInPandas(restore, "doc_id long, y int, half int, words string"))
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, n = np.zeros((2, 2, SLOTS), dtype=np.int32), np.zeros((2, 2), dtype=np.int64)
-        for b in batches:
-            for y, half, words in zip(b["y"], b["half"], b["words"]):
-                n[half, y] += 1
-                if words:
-                    table[half, y, np.unique(_grams(list(set(words.split(" "))))[0])] += 1
-        yield pd.DataFrame({"t": [table.tobytes()], "n": [n.tobytes()]})
-
-    # one table of fixed size per task; the sample is bounded and so are its tasks
-    rows = restored.coalesce(16).mapInPandas(tally, "t binary, n binary").collect()
-    table = sum((np.frombuffer(r["t"], dtype=np.int32).reshape(2, 2, SLOTS).astype(np.int64) for r in rows), np.zeros((2, 2, SLOTS), dtype=np.int64))
-    n = sum((np.frombuffer(r["n"], dtype=np.int64).reshape(2, 2) for r in rows), np.zeros((2, 2), dtype=np.int64))
+    n = np.zeros((2, 2), dtype=int)
+    for r in restored.groupBy("half", "y").count().collect():
+        n[r["half"], r["y"]] = r["count"]
+    nothing = {"counts": counts, "odds": {}, "layer": np.array([-50.0, 0, 0, 0, 0]), "scale": np.ones(5)}
     if not n.sum(axis=0).all():
-        return {"counts": counts, "odds": np.zeros(SLOTS, dtype=np.float32), "layer": np.array([-50.0, 0, 0, 0, 0]), "scale": np.ones(5)}
-    other = spark.sparkContext.broadcast([_log_odds(table[1 - h], n[1 - h]) for h in (0, 1)])
+        return nothing
+    c = {(h, y): F.col(f"c{h}{y}") for h in (0, 1) for y in (0, 1)}
+    words = restored.select("half", "y", F.explode(F.array_distinct(F.split("words", " "))).alias("word")).where("word <> ''")
+    words = words.groupBy("word").agg(*[F.count_if((F.col("half") == h) & (F.col("y") == y)).alias(f"c{h}{y}") for h, y in c])
+    words = words.select("word", *[_log_odds(c[h, 0], c[h, 1], n[h].tolist()).alias(f"o{h}") for h in (0, 1)],
+                         _log_odds(c[0, 0] + c[1, 0], c[0, 1] + c[1, 1], n.sum(axis=0).tolist()).alias("o"))
+    # words of a bounded sample, and of these only the ones that speak for label 1
+    told = words.where(f"greatest(o, o0, o1) > {LEAST}").collect()
+    odds = {r["word"]: r["o"] for r in told if r["o"] > LEAST}
+    other = spark.sparkContext.broadcast([{r["word"]: r[f"o{1 - h}"] for r in told if r[f"o{1 - h}"] > LEAST} for h in (0, 1)])
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         readers = [Reader(chars.value, o) for o in other.value]
@@ -295,13 +253,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column, pe
     all_n = {r[label]: r["count"] for r in labels.where(F.col(label).isin(0, 1) & train_rows).groupBy(label).count().collect()}
     weight = np.where(y == 1, all_n[1] / max((y == 1).sum(), 1), all_n[0] / max((y == 0).sum(), 1))
     layer, scale = _fit(x[order], y[order], (weight / weight.mean())[order])
-    return {"counts": counts, "odds": _log_odds(table.sum(axis=0), n.sum(axis=0)), "layer": layer, "scale": scale}
+    return {"counts": counts, "odds": odds, "layer": layer, "scale": scale}
 
 
 def score(model: dict, text: Column, spark) -> Column:
     """Probability that a text is toxic.  A null or empty text has no words and
     scores the layer's offset; texts are read whole."""
-    shared = spark.sparkContext.broadcast(model)     # tables of fixed size
+    shared = spark.sparkContext.broadcast(model)     # tables of fixed size, words of a bounded sample
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
