@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import backoff_lm, chosen_path, hilbert, langmix, noisy_channel, oph, subword, winnow
+from hostlens.llm import backoff_lm, chat, chosen_path, hilbert, langmix, noisy_channel, oph, raking, subword, winnow
 from hostlens.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = noisy_channel.learn(docs, labels, "toxic", ~held_out)
     return docs.select("doc_id", held_out.alias("held_out"), noisy_channel.score(model, F.col("text"), spark).alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@register("op1_chat_role_repair")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation, repaired at least cost and rendered."""
+    return chat.repair(read_table(spark, sf_dir, "conversations"))
+
+
+@register("op4_raked_mixture")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling probability of every document, raked to source, language and topic targets."""
+    return raking.mix(read_table(spark, sf_dir, "documents"))
