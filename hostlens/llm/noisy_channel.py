@@ -38,7 +38,7 @@ SINGLES = 3                    # so many single characters in a row are read as
 
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _LONG = re.compile(r"(.)\1\1")
-_EDGE = re.compile(r"^[^\w@$!|+(<€£]+|[^\w@$|+(<€£]+$")
+_EDGE = re.compile(r"^[^\w@$!|+(<€£]+|[^\w@$|+(<€£]+$|[^\w]{3,}$")   # three signs at the end are no letters
 
 
 def tokens(text: str | None) -> list[str]:
@@ -116,9 +116,15 @@ class Decoder:
 
     def __init__(self, counts: np.ndarray):
         self._tri, self._two = counts
+        self._costs: dict[tuple[str, str, str], float] = {}
 
     def _cost(self, a: str, b: str, c: str) -> float:
-        return -float(np.log((self._tri[_slot(a, b, c)] + 0.05) / (self._two[_slot(a, b)] + 5.0)))
+        k = self._costs.get((a, b, c))
+        if k is None:
+            if len(self._costs) > CACHE:
+                self._costs.clear()
+            k = self._costs[a, b, c] = -float(np.log((self._tri[_slot(a, b, c)] + 0.05) / (self._two[_slot(a, b)] + 5.0)))
+        return k
 
     def _lattice(self, word: str) -> list[list[tuple[str, float]]]:
         """For every run of a character, the readings with their channel costs."""
@@ -166,6 +172,7 @@ class Reader:
     def __init__(self, counts: np.ndarray, odds: dict[str, float] | None = None):
         self._decode, self._odds = Decoder(counts), odds or {}
         self._read: dict[str, list[str]] = {}
+        self._kinds = _Kinds(self)
 
     def restored(self, word: str) -> list[str]:
         if is_plain(word):
@@ -182,13 +189,47 @@ class Reader:
 
     def features(self, texts: pd.Series) -> np.ndarray:
         """Per text: 1, the two strongest words, how many are strong, length."""
-        out, odds = np.zeros((len(texts), 5)), self._odds
-        for i, words in enumerate(self.texts(texts)):
-            s = sorted(x for w in words if (x := odds.get(w)) is not None)
-            out[i] = 1, s[-1] if s else 0, s[-2] if len(s) > 1 else 0, np.log1p(sum(x > STRONG for x in s)), np.log1p(len(words))
+        out = np.zeros((len(texts), 5))
+        for i, t in enumerate(texts):
+            if len(self._kinds) > CACHE:
+                self._kinds = _Kinds(self)
+            words = (t or "").lower().split()
+            kinds = bytes(map(self._kinds.__getitem__, words))
+            n = len(kinds) - kinds.count(_NOTHING)
+            if _SINGLE * SINGLES in kinds.replace(bytes([_NOTHING]), b""):  # a spaced word: read word by word
+                read = [r for w in tokens(t) for r in self.restored(w)]
+                s, n = [self._odds[r] for r in read if r in self._odds], len(read)
+            else:
+                s, at = [], kinds.find(_TELLS)
+                while at >= 0:
+                    s += self._kinds.odds[words[at]]
+                    at = kinds.find(_TELLS, at + 1)
+            s.sort()
+            out[i] = 1, s[-1] if s else 0, s[-2] if len(s) > 1 else 0, np.log1p(sum(x > STRONG for x in s)), np.log1p(n)
         return out
 
 
+class _Kinds(dict):
+    """What a written word holds, so that most words cost one lookup: a single
+    character, nothing but punctuation, words with log-odds (in ``odds``), others."""
+
+    def __init__(self, reader: Reader):
+        super().__init__()
+        self._reader, self.odds = reader, {}
+
+    def __missing__(self, word: str) -> int:
+        read = tokens(word)
+        kind = _NOTHING if not read else _SINGLE[0] if len(read[0]) == 1 else 0
+        told = [o for w in read for r in self._reader.restored(w) if (o := self._reader._odds.get(r)) is not None]
+        if told and kind == 0:
+            self.odds[word], kind = told, _TELLS[0]
+        self[word] = kind
+        return kind
+
+
+_SINGLE, _NOTHING, _TELLS = b"\x01", 3, b"\x02"
+
+
 def _log_odds(c0: Column, c1: Column, n: list[int]) -> Column:
     """Lower bound of how much likelier a word is in texts of label 1."""
     a, b = c0 + 0.5, c1 + 0.5

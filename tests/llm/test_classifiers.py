@@ -1,0 +1,141 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from hostlens.llm import langmix, noisy_channel, queries, subword
+
+from .conftest import AWKWARD, SF, docs_of, prose
+
+SF01 = SF.replace("0.001", "0.01")
+
+
+def scored(spark, df, label):
+    return df.join(spark.read.parquet(f"{SF01}/labels.parquet").select("doc_id", label), "doc_id").toPandas()
+
+
+def test_quality_held_out(spark):
+    df = queries.op2(spark, SF01)
+    assert df.count() == 1000
+    p = scored(spark, df, "quality")
+    p = p[p.held_out]
+    assert (p.predicted == p.quality).mean() > 0.95
+    assert p[p.quality == 1].score.min() > 0.3
+
+
+def test_toxicity_held_out(spark):
+    df = queries.op7(spark, SF01)
+    assert df.count() == 1000
+    p = scored(spark, df, "toxic")
+    p = p[p.held_out]
+    assert (p.predicted == p.toxic).mean() > 0.93
+    assert p[p.toxic == 1].score.mean() > 5 * p[p.toxic == 0].score.mean()
+
+
+def test_language_held_out(spark):
+    df = queries.op8(spark, SF01).join(spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    p = df.toPandas()
+    p = p[p.held_out]
+    assert len(p) and (p.lang == p.lang_pred).mean() > 0.98
+
+
+def test_mixture_finds_both_languages(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    model = langmix.learn(docs, F.lit(True))
+    en, de = (docs.where(f"lang = '{k}' and n_chars between 1500 and 3000").orderBy("doc_id").first()["text"] for k in ("en", "de"))
+    share, _ = model.infer([langmix.letters(en), langmix.letters(en[:1200] + " " + de[:600])])
+    at = {k: i for i, k in enumerate(model.langs)}
+    assert share[0, at["en"]] == 1.0
+    assert 0.5 < share[1, at["en"]] < 0.85 and share[1, at["de"]] > 0.15 and (share[1] > 0).sum() == 2
+
+
+def test_em_matches_plain_mixture_estimate():
+    """Proportions of a two-language document against a grid search of its likelihood."""
+    rng = np.random.default_rng(3)
+    tables = {k: rng.integers(0, 50, langmix.SLOTS) for k in ("x", "y")}
+    m = langmix.Mixture(tables)
+    words = [prose(i, 1, 5000) for i in range(200)]
+    row = m._lookup([words])
+    log = m._rows[row]
+    grid = np.linspace(0.01, 0.99, 99)
+    ll = [np.logaddexp(np.log(g) + log[:, 0], np.log(1 - g) + log[:, 1]).sum() for g in grid]
+    like = np.exp(log - log.max(axis=1, keepdims=True))
+    share, _ = m._em(like, np.ones(len(row)), np.array([0]), np.zeros(len(row), dtype=int), np.full((1, 2), 0.5), rounds=300)
+    assert abs(share[0, 0] - grid[int(np.argmax(ll))]) < 0.011
+
+
+def test_language_awkward(spark, awkward, no_docs):
+    model = langmix.learn(docs_of(spark, [(1, prose(1, 50), "en"), (2, "áé íó úñ", "es"), (3, None, "xx"), (4, "abc", None)]), F.lit(True))
+    assert model.langs == ["en", "es"]
+    rows = awkward.select("doc_id", langmix.predict(model, F.col("text"), spark).alias("p")).collect()
+    assert len(rows) == len(AWKWARD)
+    und = {r["doc_id"] for r in rows if r["p"]["lang"] == "und"}
+    assert {3, 4, 5, 8} <= und and not und & {1, 2, 6, 7, 9}
+    assert all(0 <= r["p"]["score"] <= 1 for r in rows)
+    none = langmix.learn(no_docs, F.lit(True))
+    assert none.langs == [] and awkward.select(langmix.predict(none, F.col("text"), spark)["lang"]).distinct().collect() == [("und",)]
+
+
+def test_quality_awkward(spark, awkward, no_docs):
+    docs = docs_of(spark, [(i, prose(i, 40) + (" ### ###" if i % 2 else "")) for i in range(60)])
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)] + [(None, 1), (999, 1), (3, None)], "doc_id long, quality int")
+    model = subword.learn(docs, labels, "quality", F.lit(True), 20)
+    out = awkward.select("doc_id", subword.score(model, F.col("text"), spark).alias("score")).collect()
+    assert len(out) == len(AWKWARD) and all(0 <= r["score"] <= 1 for r in out)
+    empty = subword.learn(no_docs, labels, "quality", F.lit(True))
+    assert {r["s"] for r in awkward.select(subword.score(empty, F.col("text"), spark).alias("s")).collect()} == {0.5}
+
+
+def char_model(words):
+    counts = np.zeros((2, noisy_channel.CHAR_SLOTS), dtype=np.int64)
+    for w in words:
+        s = "^^" + w + "$"
+        for i in range(len(s) - 2):
+            counts[0, noisy_channel._slot(*s[i:i + 3])] += 1
+            counts[1, noisy_channel._slot(*s[i:i + 2])] += 1
+    return counts
+
+
+def test_decoder_restores_obfuscated_words():
+    d = noisy_channel.Decoder(char_model(["idiot", "moron", "stupid", "loser", "class", "the", "and", "pathetic"] * 50))
+    for written, want in [("1d10t", ["idiot"]), ("m0r0n", ["moron"]), ("st.u.p.i.d", ["stupid"]), ("l0$er", ["loser"]),
+                          ("i d i o t", ["idiot"]), ("sssstupiiiid", ["stupid"]), ("c l a s s", ["class"]), ("p@th3t1c", ["pathetic"])]:
+        assert d(written) == want
+
+
+def test_viterbi_is_the_best_reading():
+    """Against every reading of small lattices."""
+    import itertools
+
+    d = noisy_channel.Decoder(char_model(["abba", "silo", "oil", "sis"] * 20))
+
+    def cost(text):
+        total, x, y = 0.0, "^", "^"
+        for c in text + "$":
+            if c == " ":
+                total += d._cost(x, y, "$")
+                x, y = "^", "^"
+            else:
+                total += d._cost(x, y, c)
+                x, y = y, c
+        return total
+
+    for w in ("5110", "s i l o", "a88a", "0.1.l", "1$1"):
+        best = min(((sum(k for _, k in path) + cost("".join(a for a, _ in path))), "".join(a for a, _ in path))
+                   for path in itertools.product(*d._lattice(w)))
+        assert d(w) == best[1].split()
+
+
+def test_spaced_words_are_joined():
+    assert noisy_channel.tokens("You I d i o t, go 1 a") == ["you", "i d i o t", "go", "1", "a"]
+
+
+def test_toxicity_awkward(spark, awkward, no_docs):
+    docs = docs_of(spark, [(i, prose(i, 30) + (" vile" if i % 3 == 0 else "")) for i in range(200)])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    model = noisy_channel.learn(docs, labels, "toxic", F.lit(True), 100)
+    tests = docs_of(spark, [(1, prose(900, 30) + " v!le"), (2, prose(901, 30)), (3, prose(902, 20) + " v i l e " + prose(903, 10))])
+    s = {r["doc_id"]: r["s"] for r in tests.select("doc_id", noisy_channel.score(model, F.col("text"), spark).alias("s")).collect()}
+    assert s[1] > 0.3 and s[3] > 0.3 and s[2] < 0.3
+    out = awkward.select(noisy_channel.score(model, F.col("text"), spark).alias("s")).collect()
+    assert len(out) == len(AWKWARD) and all(0 <= r["s"] <= 1 for r in out)
+    none = noisy_channel.learn(no_docs, labels, "toxic", F.lit(True))
+    assert all(r["s"] < 0.01 for r in awkward.select(noisy_channel.score(none, F.col("text"), spark).alias("s")).collect())
