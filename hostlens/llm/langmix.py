@@ -23,8 +23,8 @@ SLOTS = 1 << 16             # n-grams are hashed into so many slots; the size of
 SMOOTH = 0.5                # added to every slot's count
 ROUNDS = 12                 # of expectation-maximisation
 PENALTY = 1.0               # times log(words): what one more language must gain
-CACHE = 300_000             # words whose likelihoods a process remembers
-PART = 500                  # documents estimated together
+CACHE = 200_000             # words whose likelihoods a process remembers
+PART = 250                  # documents estimated together
 HELD = 32                   # languages a task counts before it hands on its tables
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -163,16 +163,16 @@ class Mixture:
 
     def predict(self, texts: pd.Series) -> pd.DataFrame:
         """lang, score and langs (the chosen set with proportions) of each text."""
-        words = [letters(t) for t in texts]
-        lang, score, mix = ["und"] * len(words), [0.0] * len(words), [""] * len(words)
-        at = [i for i, w in enumerate(words) if w] if self.langs else []
-        for a in range(0, len(at), PART):
-            part = at[a:a + PART]
-            share, single = self.infer([words[i] for i in part])
+        lang, score, mix = ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts)
+        for a in range(0, len(texts) if self.langs else 0, PART):
+            words = {i: w for i, t in enumerate(texts.iloc[a:a + PART], a) if (w := letters(t))}
+            if not words:
+                continue
+            share, single = self.infer(list(words.values()))
             # by which margin the main language alone explains the text better than each other one alone
             sure = 1 / np.exp(single - single.max(axis=1, keepdims=True)).sum(axis=1)
             best = share.argmax(axis=1)
-            for i, s, b, c in zip(part, share, best, sure):
+            for i, s, b, c in zip(words, share, best, sure):
                 lang[i], score[i] = self.langs[b], float(min(1.0, s[b] * (c if s[b] > 0.999 else 1.0)))
                 mix[i] = " ".join(f"{self.langs[j]}:{s[j]:.2f}" for j in np.argsort(-s) if s[j] > 0)
         return pd.DataFrame({"lang": lang, "score": score, "langs": mix})

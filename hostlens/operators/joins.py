@@ -1,6 +1,4 @@
-"""Joins Spark has no single operator for: size-checked broadcast (J1) and
-the as-of join (J8).
-"""
+"""Dimension enrichment (J1) and the as-of join Spark has no operator for."""
 
 from __future__ import annotations
 
@@ -9,23 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when ``df`` provably has at most ``max_rows`` rows.
-
-    The check is ``limit(max_rows + 1).count()``: a bounded job that stops
-    reading once the bound is passed.  Beyond it the plain frame is returned
-    and the planner shuffles (sort-merge, AQE skew handling)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def enrich(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left",
-           max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Observations joined to a dimension (e.g. taxonomy)."""
-    return big.join(broadcast_if_small(small, max_rows), list(on), how)
+def enrich(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Observations joined to a dimension (e.g. taxonomy).  The side to
+    broadcast is the planner's choice: by ``spark.sql.autoBroadcastJoinThreshold``
+    (bytes), or by AQE from the measured size; beyond it the join shuffles."""
+    return big.join(small, list(on), how)
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str,

@@ -13,10 +13,9 @@ computed here from a range-partitioned sort instead:
    broadcast back — the broadcast side is bounded by the partition count;
 4. the ranks are joined back to the full rows on the (unique) sort key.
 
-Steps 2 and 3 read the same range exchange; it must be one exchange (Spark
-reuses identical exchanges), since a second sampling could draw other
-boundaries.  Keeping the ranked frame to the key columns makes both branches
-identical, so column pruning cannot make them differ.
+Steps 2 and 3 must see the same ranges, and a second sampling could draw
+other boundaries, so the sorted keys are checkpointed to the shared folder
+and both steps read that copy.
 
 ``rank_within`` turns the global position into a position inside a group by
 subtracting the global position of the group's first row (a partial+final
@@ -30,6 +29,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hostlens.session import cut_lineage
+
 OrderSpec = str | tuple[str, bool]
 
 
@@ -56,12 +57,12 @@ def global_rank(df: DataFrame, order: Sequence[OrderSpec], name: str = "rank",
     # inside a range partition the position needs no window (and no second
     # shuffle): after a local sort, monotonically_increasing_id() counts rows
     # in iterator order on top of (partition id << 33)
-    ranged = (keys.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
-              .withColumn("_pid", F.spark_partition_id()))
-    local = ranged.withColumn(
-        "_local", F.monotonically_increasing_id()
-        - F.shiftleft(F.col("_pid").cast("bigint"), 33) + F.lit(1))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    local = cut_lineage(
+        keys.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_local", F.monotonically_increasing_id()
+                    - F.shiftleft(F.col("_pid").cast("bigint"), 33) + F.lit(1)))
+    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
         F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))

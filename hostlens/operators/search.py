@@ -12,11 +12,10 @@ Skew and pair blow-up:
 * top-k per query (``row_number() <= k``) is planned with a
   WindowGroupLimit that keeps k rows per query in each task before the
   shuffle;
-* ranked search ignores tokens found in more than 1/``stopword_share`` of
-  the corpus (stop words).  This is part of the ranking's definition (they
-  carry no weight), not a cap: the result is exact for that score.  Their
-  postings are dropped in the map tasks (broadcast semi joins behind a size
-  check of the query vocabulary), so they never reach a shuffle;
+* ranked search scores every document against all queries in the task that
+  reads it and keeps the best k per query there, so no (query, document)
+  pair table exists and only k rows per query and task are shuffled.  The
+  queries travel as a broadcast, in blocks of bounded size;
 * substring search draws candidates from the rarest 3-gram of each term and
   then checks the full predicate, so it is exact; terms of 1 or 2
   characters equi-join the names' 1- or 2-grams (no broadcast needed).
@@ -24,6 +23,8 @@ Skew and pair blow-up:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +32,6 @@ from hostlens.functions.text import clean_term, collapse_ws, cut, strip_ws
 
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 NAME_CLASS_PRIORITY = {"scientific name": 1, "synonym": 2, "acronym": 3, "common name": 4}
-# a token in more than 1/STOPWORD_SHARE of the documents is a stop word
-STOPWORD_SHARE = 20
 WIKI_TRUNCATED = "... [truncated]"
 
 
@@ -70,10 +69,11 @@ def resolve_names(terms: DataFrame, names: DataFrame, k: int = 5) -> DataFrame:
     q = terms.select("term").distinct().withColumn("key", norm_name(F.col("term")))
     # one row per (key, tax_id): the best class a taxon matches the key with
     best = names.groupBy("key", "tax_id").agg(F.min(F.struct("priority", "name", "name_class")).alias("b"))
-    hits = q.join(best, "key", "left")
-    w = Window.partitionBy("term").orderBy(F.col("b.priority").asc_nulls_last(), F.col("tax_id"))
-    ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
-        .withColumn("rank", F.col("rank").cast("bigint"))
+    # the rank depends on the names alone, so a key shared by millions of taxa
+    # is cut to k rows (in the map tasks, too) before it meets the terms
+    w = Window.partitionBy("key").orderBy(F.col("b.priority"), F.col("tax_id"))
+    best = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = q.join(best, "key", "left").withColumn("rank", F.coalesce("rank", F.lit(1)).cast("bigint"))
     return ranked.select("term", "rank", "tax_id", F.col("b.name").alias("name"),
                          F.col("b.name_class").alias("name_class"),
                          F.col("tax_id").isNotNull().alias("found"))
@@ -97,87 +97,117 @@ def contains_join(terms: DataFrame, names: DataFrame, term_col: str = "term",
     nm = names.select(F.col(name_col).alias("name")).distinct() \
         .withColumn("n", F.lower(F.col("name")))
 
-    # one posting table with the 1-, 2- and 3-grams of each name
+    long_t = t.filter(F.length("t") >= 3)
+    tg = long_t.select("term", "t", F.explode(_grams(F.col("t"))).alias("g"))
+    short = t.filter(F.length("t") < 3).select("term", F.col("t").alias("g"))
+    # one posting table with the 1-, 2- and 3-grams of each name, cut to the
+    # grams that some term asks for
+    asked = tg.select("g").unionByName(short.select("g")).distinct()
     grams = F.array_distinct(F.concat(_grams(F.col("n"), 1), _grams(F.col("n"), 2),
                                       _grams(F.col("n"), 3)))
-    posting = nm.select("name", "n", F.explode(grams).alias("g"))
+    posting = nm.select("name", "n", F.explode(grams).alias("g")).join(asked, "g", "left_semi")
     df = posting.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    long_t = t.filter(F.length("t") >= 3)
-    tg = long_t.select("term", "t", F.explode(_grams(F.col("t"))).alias("g"))
     rare = (tg.join(df, "g", "left").withColumn("df", F.coalesce("df", F.lit(0)))
             .groupBy("term", "t").agg(F.min(F.struct("df", "g")).alias("r"))
             .select("term", "t", F.col("r.g").alias("g")))
-    long_hits = rare.join(posting, "g").filter(F.col("n").contains(F.col("t"))).select("term", "name")
-    short = t.filter(F.length("t") < 3).select("term", F.col("t").alias("g"))
-    short_hits = short.join(posting, "g").select("term", "name")
-    return long_hits.unionByName(short_hits)
+    # a short term is its own gram, so one join serves both
+    probe = rare.unionByName(short.withColumn("t", F.col("g")).select("term", "t", "g"))
+    return probe.join(posting, "g").filter(F.col("n").contains(F.col("t"))).select("term", "name")
 
 
 def name_fallback_search(terms: DataFrame, taxa: DataFrame, name_col: str,
                          id_col: str) -> DataFrame:
     """P5 in batch: taxa whose name contains the whole term; for terms with
     no such taxon, taxa whose name contains the term's first word.
-    Output: term, match_level ('species' | 'genus'), tax id, name."""
+    Output: term, match_level ('species' | 'genus'), tax id, name.
+
+    Terms and first words are looked up in one pass; a term then keeps its
+    best level."""
     names = taxa.select(F.col(name_col).alias("name")).filter(F.col("name").isNotNull())
-    full = contains_join(terms.select("term"), names).withColumn("match_level", F.lit("species"))
-    missed = terms.select("term").distinct().join(full.select("term").distinct(), "term", "left_anti")
-    first = missed.withColumn("word", F.element_at(F.split(strip_ws(F.col("term")), r"\s+"), 1))
-    genus = (contains_join(first.select(F.col("word").alias("term")).distinct(), names)
-             .withColumnRenamed("term", "word")
-             .join(first, "word").select("term", "name")
-             .withColumn("match_level", F.lit("genus")))
-    hits = full.unionByName(genus)
-    return hits.join(taxa.select(F.col(id_col).alias("tax_id"), F.col(name_col).alias("name")), "name") \
-        .select("term", "match_level", "tax_id", "name")
+    asked = terms.select("term").distinct().select(
+        "term", F.explode(F.array(F.struct(F.lit(1).alias("level"), F.col("term").alias("text")),
+                                  F.struct(F.lit(2).alias("level"),
+                                           F.element_at(F.split(strip_ws(F.col("term")), r"(?U)\s+"), 1).alias("text")))).alias("a")) \
+        .select("term", "a.level", "a.text")
+    found = contains_join(asked.select(F.col("text").alias("term")).distinct(), names).withColumnRenamed("term", "text")
+    hits = asked.join(found, "text")
+    best = hits.groupBy("term").agg(F.min("level").alias("level"))
+    return (hits.join(best, ["term", "level"])
+            .join(taxa.select(F.col(id_col).alias("tax_id"), F.col(name_col).alias("name")), "name")
+            .select("term", F.when(F.col("level") == 1, "species").otherwise("genus").alias("match_level"), "tax_id", "name"))
 
 
 # -- L6 --------------------------------------------------------------------------------------
-def token_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, token) postings, one per distinct token of a document."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(tokens(F.col(text_col))).alias("token"))
-
-
-DEFAULT_MAX_BROADCAST_VOCAB = 1_000_000
+# queries are scored in blocks whose texts together stay below this (one
+# block's token map is broadcast; more queries mean more passes over the documents)
+QUERY_BLOCK_BYTES = 32 << 20
+_CELLS = 4_000_000  # scores held at once in a task
 
 
-def search_topk(queries: DataFrame, q_id: str, q_text: str, postings: DataFrame,
-                k: int = 5, stopword_share: int = STOPWORD_SHARE,
-                n_docs: Column | None = None,
-                max_broadcast_vocab: int = DEFAULT_MAX_BROADCAST_VOCAB) -> DataFrame:
+def search_topk(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame, id_col: str,
+                text_col: str, k: int = 5, block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
     """Top-k documents per query by the number of distinct shared tokens,
-    ties by document id.  Tokens in more than 1/``stopword_share`` of the
-    documents are stop words and carry no weight.
-
-    Postings are first cut to the queries' vocabulary, so the
-    document-frequency aggregate (partial, map-side combined) and the scoring
-    join only see tokens some query uses.  When the vocabulary has at most
-    ``max_broadcast_vocab`` tokens (a cheap check over the queries alone),
-    both cuts are broadcast semi joins: postings are filtered in the map
-    tasks and stop-word postings never reach a shuffle.  Otherwise the cuts
-    are shuffle joins.  ``n_docs`` (documents with at least one token) may be
-    given as a scalar column; otherwise it is counted from the postings."""
-    if n_docs is None:
-        n_docs = postings.select(F.countDistinct("doc_id")).scalar()
-    qt = queries.select(F.col(q_id).alias("query_id"), F.explode(tokens(F.col(q_text))).alias("token"))
-    vocab = qt.select("token").distinct()
-    small = vocab.limit(max_broadcast_vocab + 1).count() <= max_broadcast_vocab
-
-    def cut(df: DataFrame, keep: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(keep) if small else keep, "token", "left_semi")
-
-    post_q = cut(postings, vocab)
-    df = post_q.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    useful = df.filter(F.col("df") * F.lit(stopword_share) <= n_docs).select("token")
-    scores = (cut(qt, useful).join(cut(post_q, useful), "token")
-              .groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score")))
+    ties by document id; every token counts, however common it is.
+
+    One scan of the documents per block of queries.  A task keeps the best k
+    rows of each query it has seen so far, so the shuffle carries at most
+    k rows per query and task."""
+    import math
+
+    q = queries.select(F.col(q_id).cast("bigint").alias("query_id"), F.col(q_text).alias("text")) \
+        .filter(F.col("query_id").isNotNull())
+    size = q.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_bytes))
+    out = None
+    for b in range(blocks):
+        part = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q
+        best = _score_block(part, docs, id_col, text_col, k)
+        out = best if out is None else out.unionByName(best)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
-    return (scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .withColumn("rank", F.col("rank").cast("bigint")))
 
 
-def docs_with_tokens(docs: DataFrame, text_col: str) -> Column:
-    """Scalar: number of documents with at least one token."""
-    return docs.select(F.count_if(F.col(text_col).rlike(TOKEN_PATTERN))).scalar()
+def _score_block(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """Per task and query the best k documents: (query_id, doc_id, score)."""
+    import numpy as np
+    import pandas as pd
+
+    # block_bytes of text at most
+    rows = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")) \
+        .groupBy("token").agg(F.collect_set("query_id").alias("ids")).collect()
+    ids = np.array(sorted({i for r in rows for i in r["ids"]}), dtype=np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (ids, {r["token"]: np.searchsorted(ids, np.array(r["ids"], dtype=np.int64)) for r in rows}))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, queries_of = shared.value
+        n = len(ids)
+        if not n:
+            return
+        # best rows so far: query index, score, document; sorted by query, score desc, document
+        bq, bs, bd = (np.empty(0, dtype=np.int64) for _ in range(3))
+        step = max(1, _CELLS // n)
+        for batch in batches:
+            batch = batch[batch["doc_id"].notna()]
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at:at + step]
+                doc = part["doc_id"].to_numpy(dtype=np.int64)
+                cells = [queries_of[t] + n * i for i, found in enumerate(part["found"]) for t in (found if found is not None else ())
+                         if t in queries_of]
+                if not cells:
+                    continue
+                scores = np.bincount(np.concatenate(cells), minlength=n * len(part))
+                hit = np.flatnonzero(scores)
+                bq, bs, bd = (np.concatenate(x) for x in ((bq, hit % n), (bs, scores[hit]), (bd, doc[hit // n])))
+                order = np.lexsort((bd, -bs, bq))
+                bq, bs, bd = bq[order], bs[order], bd[order]
+                keep = np.arange(len(bq)) - np.searchsorted(bq, bq) < k
+                bq, bs, bd = bq[keep], bs[keep], bd[keep]
+        yield pd.DataFrame({"query_id": ids[bq], "doc_id": bd, "score": bs})
+
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), tokens(F.col(text_col)).alias("found")) \
+        .mapInPandas(score, "query_id bigint, doc_id bigint, score bigint")
 
 
 # -- J7 ---------------------------------------------------------------------------------------

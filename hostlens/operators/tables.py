@@ -34,6 +34,8 @@ BLOCKED_EMAIL_DOMAINS = (
     "yandex.com", "yandex.ru", "mail.com", "zoho.com",
 )
 
+REPORT_FIELDS = ("question", "answer", "comment", "created_at", "updated_at")
+
 PAYLOAD_SCHEMA = ", ".join(f"{k} ARRAY<STRING>" for k in PAYLOAD_KEYS)
 
 
@@ -112,10 +114,9 @@ def user_search(users: DataFrame, q: str | None) -> DataFrame:
 
 
 def conversation_list(conversations: DataFrame, email: str) -> DataFrame:
-    """One user's conversations, most recently updated first, with a rank."""
+    """One user's conversations, most recently updated first."""
     mine = conversations.filter(F.col("user_email") == F.lower(F.lit(email.strip())))
-    return global_rank(mine.select("id", "title", "created_at", "updated_at"),
-                       [("updated_at", False), ("id", False)])
+    return mine.select("id", "title", "created_at", "updated_at").orderBy(F.desc("updated_at"), F.desc("id"))
 
 
 def decode_payload(messages: DataFrame) -> DataFrame:
@@ -139,10 +140,10 @@ def report_list(reports: DataFrame, status: str | None = None) -> DataFrame:
         reports = reports.filter(F.col("status") == status)
     empty = F.array().cast("array<string>")
     parsed = reports.select(
-        "id", "user_email", "question", "answer", "status", "created_at",
+        "id", "user_email", *[c for c in REPORT_FIELDS if c in reports.columns], "status",
         F.coalesce(F.from_json("executed_codes", "ARRAY<STRING>"), empty).alias("executed_codes"),
         F.coalesce(F.from_json("recent_logs", "ARRAY<STRING>"), empty).alias("recent_logs"))
-    return global_rank(parsed, [("id", False)])
+    return parsed.orderBy(F.desc("id"))
 
 
 # -- U1 / U2 / U3 ---------------------------------------------------------------------------
@@ -174,7 +175,7 @@ def apply_status_changes(reports: DataFrame, changes: DataFrame,
               .agg(F.max_by("status", "change_id").alias("_new_status")))
     out = (reports.join(latest, "id", "left")
            .withColumn("updated_at", F.when(F.col("_new_status").isNotNull(), touched_at)
-                       .otherwise(F.col("created_at")))
+                       .otherwise(F.col("updated_at" if "updated_at" in reports.columns else "created_at")))
            .withColumn("status", F.coalesce("_new_status", "status"))
            .drop("_new_status"))
     return out, rejects
@@ -190,6 +191,53 @@ def touch_from_messages(conversations: DataFrame, messages: DataFrame) -> DataFr
             .drop("_last"))
 
 
+def rename_conversations(conversations: DataFrame, renames: DataFrame, new_title: str = "New conversation") -> DataFrame:
+    """Titles changed by ``renames`` (change_id, id, title, changed_at): per conversation
+    the latest change wins, a blank title becomes ``new_title``, and the
+    conversation is touched at the time of the change."""
+    last = renames.groupBy("id").agg(F.max_by(F.struct("title", "changed_at"), "change_id").alias("_new"))
+    title = F.trim(F.coalesce(F.col("_new.title"), F.lit("")))
+    changed = F.col("_new").isNotNull()
+    return (conversations.join(last, "id", "left")
+            .withColumn("title", F.when(changed, F.when(title == "", F.lit(new_title)).otherwise(title)).otherwise(F.col("title")))
+            .withColumn("updated_at", F.when(changed, F.col("_new.changed_at")).otherwise(F.col("updated_at").cast("timestamp_ntz")))
+            .drop("_new"))
+
+
+def apply_user_changes(users: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Role and last-login updates (``change_id, email, role, last_login``; a null
+    field is left alone) as one batch.  Returns (new_users, rejects): a role
+    outside VALID_ROLES or an unknown email is rejected with a reason, and the
+    whole change with it.  Per field the latest valid change wins."""
+    c = changes.withColumn("email", F.lower(F.trim("email")))
+    bad = F.col("role").isNotNull() & ~F.col("role").isin(*VALID_ROLES)
+    known = c.join(users.select("email").distinct(), "email", "left_semi")
+    rejects = (c.filter(bad).select("change_id", "email", F.lit("invalid_role").alias("reason"))
+               .unionByName(c.filter(~bad).join(users.select("email").distinct(), "email", "left_anti")
+                            .select("change_id", "email", F.lit("unknown_email").alias("reason"))))
+    latest = known.filter(~bad).groupBy("email").agg(
+        *[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("change_id"))).alias(f"_{f}") for f in ("role", "last_login")])
+    out = users.join(latest, "email", "left")
+    for f in ("role", "last_login"):
+        out = out.withColumn(f, F.coalesce(f"_{f}", f)).drop(f"_{f}")
+    return out.select(*users.columns), rejects
+
+
+def append_messages(messages: DataFrame, conversations: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``new`` messages (seq, conversation_id, role, content, the five payload
+    arrays, created_at) added to the table: ids go on from the largest one in
+    ``seq`` order, the payload is encoded, messages of unknown conversations
+    are dropped, and the conversations are touched.  Returns
+    (new_messages, new_conversations).
+
+    Ids need one order over the batch; ``seq`` must be unique."""
+    top = messages.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]  # one number
+    kept = new.join(conversations.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
+    rows = (global_rank(kept, ["seq"], name="_n").withColumn("id", F.col("_n") + F.lit(top))
+            .withColumn("payload_json", encode_payload(kept)).select(*messages.columns))
+    return messages.unionByName(rows), touch_from_messages(conversations, rows)
+
+
 # -- F14 ----------------------------------------------------------------------------------------
 def email_rule(email: Column) -> Column:
     """NULL when acceptable, else 'invalid' or 'blocked_domain'."""

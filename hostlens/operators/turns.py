@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostlens.functions.text import PUBMED_URL
-from hostlens.operators.ordering import rank_within
 
 DEFAULT_MAX_TOOL_CALLS = 7
 DEFAULT_CONTEXT_TURNS = 5
@@ -38,7 +37,8 @@ def turn_sources(artifacts: DataFrame, calls: DataFrame | None = None) -> DataFr
     """A10 in long form: each distinct source of a turn with its first-seen
     rank, and (given ``calls``) every executed code snippet in call order,
     not deduplicated (kind ``code``).  Dedup is an aggregate (map-side
-    combined); ranking is skew-safe."""
+    combined); a turn is bounded by the call budget, so its rank is a plain
+    window over it."""
     first = (source_items(artifacts)
              .groupBy(*_TURN, "kind", "item").agg(F.min("at").alias("first_at")))
     if calls is not None:
@@ -46,7 +46,8 @@ def turn_sources(artifacts: DataFrame, calls: DataFrame | None = None) -> DataFr
             *_TURN, F.lit("code").alias("kind"), F.col("code").alias("item"),
             F.struct("round", "ts", "call_id", F.lit(0).alias("pos")).alias("first_at"))
         first = first.unionByName(codes)
-    return rank_within(first, [*_TURN, "kind"], ["first_at"]).drop("first_at")
+    w = Window.partitionBy(*_TURN, "kind").orderBy("first_at")
+    return first.withColumn("rank", F.row_number().over(w).cast("bigint")).drop("first_at")
 
 
 def real_pmids(artifacts: DataFrame) -> DataFrame:
@@ -81,14 +82,12 @@ def call_numbering(calls: DataFrame, max_calls: int = DEFAULT_MAX_TOOL_CALLS) ->
     *before* the round runs, so a round may overshoot.  ``over_budget`` marks
     calls of rounds that start with ``>= max_calls`` calls already used.
 
-    The number is a skew-safe rank; the per-round counts are aggregated first
-    and the running sum runs over one row per round."""
-    numbered = rank_within(calls, _TURN, ["round", "ts", "call_id"], name="call_no")
-    per_round = calls.groupBy(*_TURN, "round").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*_TURN).orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_round.select(*_TURN, "round",
-                              F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("used_before"))
-    return (numbered.join(before, [*_TURN, "round"])
+    A turn is bounded by the call budget plus one round, so both numbers
+    are windows over the turn and share one shuffle."""
+    turn = Window.partitionBy(*_TURN)
+    before = turn.orderBy("round").rangeBetween(Window.unboundedPreceding, -1)
+    return (calls.withColumn("call_no", F.row_number().over(turn.orderBy("round", "ts", "call_id")).cast("bigint"))
+            .withColumn("used_before", F.count(F.lit(1)).over(before))
             .withColumn("over_budget", F.col("used_before") >= max_calls))
 
 

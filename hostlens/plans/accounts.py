@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hostlens.operators import tables as T
-from hostlens.operators.ordering import rank_within
+from hostlens.operators.ordering import global_rank
 from hostlens.plans.common import oracle, session
 from hostlens.plans.registry import query
 from hostlens.sources.tables import read_table
@@ -101,7 +102,8 @@ FROM conv_list WHERE user_email = 'user7@example.org'
 def conversation_list(spark, sf_dir):
     session(spark, sf_dir)
     out = T.conversation_list(spark.table("conv_list"), _LIST_USER.strip().lower())
-    return out.select("id", "title", _ts("created_at"), _ts("updated_at"), "rank")
+    rank = F.row_number().over(Window.partitionBy(F.lit(_LIST_USER)).orderBy(F.desc("updated_at"), F.desc("id")))
+    return out.select("id", "title", _ts("created_at"), _ts("updated_at"), rank.cast("bigint").alias("rank"))
 
 
 def _joined(c):
@@ -109,7 +111,8 @@ def _joined(c):
 
 
 @query("message_list", oracle("""
-SELECT id, conversation_id, role,
+SELECT id, conversation_id, role, content, CAST(created_at AS VARCHAR) AS created_at,
+       array_to_string(CAST(json_extract(payload_json, '$.ncbi_urls') AS VARCHAR[]), '|') AS ncbi_urls,
        array_to_string(CAST(json_extract(payload_json, '$.figures') AS VARCHAR[]), '|') AS figures,
        array_to_string(CAST(json_extract(payload_json, '$.pubmed_urls') AS VARCHAR[]), '|') AS pubmed_urls,
        array_to_string(CAST(json_extract(payload_json, '$.wikipedia_urls') AS VARCHAR[]), '|') AS wikipedia_urls,
@@ -120,13 +123,14 @@ FROM messages
 def message_list(spark, sf_dir):
     session(spark, sf_dir)
     decoded = T.decode_payload(spark.table("messages"))
-    ranked = rank_within(decoded, ["conversation_id"], ["id"])
-    return ranked.select("id", "conversation_id", "role", _joined("figures"), _joined("pubmed_urls"),
-                         _joined("wikipedia_urls"), _joined("executed_codes"), "rank")
+    rank = F.row_number().over(Window.partitionBy("conversation_id").orderBy("id"))
+    return decoded.select("id", "conversation_id", "role", "content", _ts("created_at"),
+                          *[_joined(k) for k in T.PAYLOAD_KEYS], rank.cast("bigint").alias("rank"))
 
 
 @query("report_list_by_status", oracle("""
-SELECT id, status,
+SELECT id, user_email, question, answer, comment, CAST(created_at AS VARCHAR) AS created_at,
+       CAST(updated_at AS VARCHAR) AS updated_at, status,
        array_to_string(COALESCE(CAST(json(executed_codes) AS VARCHAR[]), []), '|') AS executed_codes,
        array_to_string(COALESCE(CAST(json(recent_logs) AS VARCHAR[]), []), '|') AS recent_logs,
        len(COALESCE(CAST(json(recent_logs) AS VARCHAR[]), [])) AS n_logs,
@@ -135,8 +139,9 @@ FROM reports WHERE status = 'open'
 """, "reports"))
 def report_list_by_status(spark, sf_dir):
     session(spark, sf_dir)
-    out = T.report_list(spark.table("reports"), "open")
-    return out.select("id", "status", _joined("executed_codes"), _joined("recent_logs"),
+    out = global_rank(T.report_list(spark.table("reports"), "open"), [("id", False)])
+    return out.select("id", "user_email", "question", "answer", "comment", F.col("created_at").cast("string").alias("created_at"),
+                      F.col("updated_at").cast("string").alias("updated_at"), "status", _joined("executed_codes"), _joined("recent_logs"),
                       F.size("recent_logs").cast("bigint").alias("n_logs"), "rank")
 
 
@@ -211,7 +216,7 @@ latest AS (SELECT id, arg_max(status, change_id) AS new_status FROM changes
            WHERE status IN ('open', 'in_progress', 'done') AND id IN (SELECT id FROM reports) GROUP BY id)
 SELECT r.id, COALESCE(l.new_status, r.status) AS status,
        CAST(CASE WHEN l.new_status IS NOT NULL THEN TIMESTAMP '2024-06-01 00:00:00'
-                 ELSE r.created_at END AS VARCHAR) AS updated_at
+                 ELSE r.updated_at END AS VARCHAR) AS updated_at
 FROM reports r LEFT JOIN latest l ON r.id = l.id
 """, "reports"))
 def apply_changes(spark, sf_dir):
@@ -242,6 +247,91 @@ def touch_from_messages(spark, sf_dir):
     return out.select("id", F.col("updated_at").cast("string").alias("updated_at"))
 
 
+_RENAMES = """
+SELECT o_orderkey * 2 AS change_id, o_orderkey AS id, concat('  renamed ', o_orderpriority) AS title,
+       o_orderdate + INTERVAL 1 DAY AS changed_at FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL
+SELECT o_orderkey * 2 + 1, o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '   ' ELSE 'last' END, o_orderdate + INTERVAL 2 DAY
+FROM orders WHERE o_orderkey % 9 = 0
+"""
+
+
+@query("rename_and_touch", oracle("WITH renames AS (" + _RENAMES + """),
+last AS (SELECT id, title, changed_at FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY change_id DESC) AS rn FROM renames) x WHERE rn = 1)
+SELECT c.id, CASE WHEN l.id IS NULL THEN c.title WHEN trim(l.title) = '' THEN 'New conversation' ELSE trim(l.title) END AS title,
+       CAST(COALESCE(l.changed_at, c.updated_at) AS VARCHAR) AS updated_at
+FROM conv_list c LEFT JOIN last l ON l.id = c.id
+""", "conv_list"))
+def rename_and_touch(spark, sf_dir):
+    session(spark, sf_dir)
+    out = T.rename_conversations(spark.table("conv_list"), spark.sql(_RENAMES))
+    return out.select("id", "title", _ts("updated_at"))
+
+
+_USER_CHANGES = """
+SELECT user_key * 4 AS change_id, email, 'dev' AS role, NULL AS last_login FROM users WHERE user_key % 5 = 0
+UNION ALL
+SELECT user_key * 4 + 1, concat(' ', upper(email)), NULL, '2024-07-01' FROM users WHERE user_key % 4 = 0
+UNION ALL
+SELECT user_key * 4 + 2, email, 'owner', '2024-08-01' FROM users WHERE user_key % 10 = 0
+UNION ALL
+SELECT user_key * 4 + 3, concat('no-', email), 'admin', NULL FROM users WHERE user_key % 50 = 0
+"""
+
+
+@query("set_roles", oracle("WITH changes AS (SELECT change_id, lower(trim(email)) AS email, role, last_login FROM (" + _USER_CHANGES + """) c),
+ok AS (SELECT * FROM changes WHERE role IS NULL OR role IN ('user', 'dev', 'admin')),
+rejected AS (SELECT email, COUNT(*) AS n FROM (
+    SELECT email FROM changes WHERE role NOT IN ('user', 'dev', 'admin')
+    UNION ALL SELECT email FROM ok WHERE email NOT IN (SELECT email FROM users)) r GROUP BY email)
+SELECT COALESCE(u.email, r.email) AS email,
+       COALESCE((SELECT arg_max(role, change_id) FROM ok WHERE ok.email = u.email AND ok.role IS NOT NULL), u.role) AS role,
+       COALESCE((SELECT arg_max(last_login, change_id) FROM ok WHERE ok.email = u.email AND ok.last_login IS NOT NULL), u.last_login) AS last_login,
+       COALESCE(r.n, 0) AS n_rejected
+FROM users u FULL JOIN rejected r ON r.email = u.email
+""", "users"))
+def set_roles(spark, sf_dir):
+    session(spark, sf_dir)
+    users, rejects = T.apply_user_changes(spark.table("users"), spark.sql(_USER_CHANGES))
+    n = rejects.groupBy("email").agg(F.count(F.lit(1)).alias("n_rejected"))
+    return users.join(n, "email", "full").select("email", "role", "last_login", F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"))
+
+
+# a reply to every user turn that is a conversation's last, and one message nobody owns
+_NEW_MESSAGES = """
+SELECT conv_id * 100 + turn AS seq, conv_id AS conversation_id, 'assistant' AS role, concat('re: ', text) AS content,
+       TIMESTAMP '2024-03-01 00:00:00' + CAST(turn AS INTEGER) * INTERVAL 1 MINUTE AS created_at
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) x
+WHERE rn = 1 AND role = 'user'
+UNION ALL SELECT -1, -5, 'user', 'lost', TIMESTAMP '2024-03-01 00:00:00'
+"""
+
+
+@query("append_messages", oracle("WITH added AS (" + _NEW_MESSAGES + """),
+known AS (SELECT * FROM added WHERE conversation_id IN (SELECT id FROM conv_list)),
+rows AS (
+  SELECT id, conversation_id, role, content, payload_json, created_at FROM messages
+  UNION ALL
+  SELECT (SELECT max(id) FROM messages) + ROW_NUMBER() OVER (ORDER BY seq), conversation_id, role, content,
+         concat('{"figures":[],"ncbi_urls":["n', CAST(seq AS VARCHAR), '"]}'), created_at FROM known)
+SELECT r.id, r.conversation_id, r.role, r.content, r.payload_json, CAST(r.created_at AS VARCHAR) AS created_at,
+       CAST(GREATEST(c.updated_at, t.last) AS VARCHAR) AS conversation_updated_at
+FROM rows r LEFT JOIN conv_list c ON c.id = r.conversation_id
+LEFT JOIN (SELECT conversation_id, max(created_at) AS last FROM known GROUP BY conversation_id) t ON t.conversation_id = c.id
+""", "messages", "conv_list"))
+def append_messages(spark, sf_dir):
+    session(spark, sf_dir)
+    empty = F.array().cast("array<string>")
+    none = F.lit(None).cast("array<string>")
+    new = spark.sql(_NEW_MESSAGES).select(
+        "seq", "conversation_id", "role", "content", "created_at", empty.alias("figures"), none.alias("wikipedia_urls"),
+        none.alias("pubmed_urls"), F.array(F.concat(F.lit("n"), F.col("seq").cast("string"))).alias("ncbi_urls"), none.alias("executed_codes"))
+    messages, conversations = T.append_messages(spark.table("messages").drop("turn"), spark.table("conv_list"), new)
+    touched = conversations.select(F.col("id").alias("conversation_id"), F.col("updated_at").cast("string").alias("conversation_updated_at"))
+    return messages.join(touched, "conversation_id", "left").select(
+        "id", "conversation_id", "role", "content", "payload_json", _ts("created_at"), "conversation_updated_at")
+
+
 # -- F14: addresses found in documents, checked against the domain rule -----------------
 _EMAIL_RE = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"
 _BLOCKED_SQL = ", ".join(f"'{d}'" for d in T.BLOCKED_EMAIL_DOMAINS)

@@ -60,13 +60,10 @@ def resolve_names(spark, sf_dir):
 _TOPK_ORACLE = f"""
 WITH post AS (SELECT DISTINCT doc_id, token FROM (
                 SELECT doc_id, unnest({_TOKENS.format(x="text")}) AS token FROM documents) x),
-n AS (SELECT COUNT(DISTINCT doc_id) AS n FROM post),
-dfs AS (SELECT token, COUNT(*) AS df FROM post GROUP BY token),
-useful AS (SELECT token FROM dfs, n WHERE dfs.df * 20 <= n.n),
 qt AS (SELECT DISTINCT query_id, token FROM (
          SELECT item_id AS query_id, unnest({_TOKENS.format(x="text")}) AS token FROM benchmark) y),
 sc AS (SELECT q.query_id, p.doc_id, COUNT(*) AS score
-       FROM qt q JOIN useful u ON q.token = u.token JOIN post p ON p.token = q.token
+       FROM qt q JOIN post p ON p.token = q.token
        GROUP BY q.query_id, p.doc_id)
 SELECT query_id, doc_id, score, rank FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) z
@@ -78,9 +75,7 @@ WHERE rank <= 5
 def article_topk(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     bench = read_table(spark, sf_dir, "benchmark")
-    postings = S.token_index(docs, "doc_id", "text")
-    return S.search_topk(bench, "item_id", "text", postings, k=5,
-                         n_docs=S.docs_with_tokens(docs, "text"))
+    return S.search_topk(bench, "item_id", "text", docs, "doc_id", "text", k=5)
 
 
 _TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"

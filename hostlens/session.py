@@ -8,6 +8,7 @@ user: the views ``taxonomy`` and ``host`` and the last successful result
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +23,6 @@ ENGINE_CONF = {
     # file-path tables (parquet.`/x`) bypass the view layer; the guard
     # relies on them being unresolvable
     "spark.sql.runSQLOnFiles": "false",
-    # ordering.global_rank reads one range exchange from two branches; they
-    # must share it (a second sampling could draw other boundaries)
-    "spark.sql.exchange.reuse": "true",
     # HotSpot does not JIT-compile methods over 8000 bytes of bytecode; a
     # whole-stage method above that runs interpreted, so Spark should fall
     # back to per-operator code instead (the value Spark's docs suggest)
@@ -72,13 +70,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is only read
-    (it cannot be changed at runtime).  When nothing is configured (tests,
-    local runs) one private folder per application is used instead.
+    (it cannot be changed at runtime).  When nothing is configured, a local
+    master gets one private folder per application; any other master is
+    refused, since its executors and driver have no folder in common.
     """
     sc = spark.sparkContext
     configured = (spark.conf.get("spark.checkpoint.dir", None)
                   or _PRIVATE_CKPT.get(sc.applicationId) or sc.getCheckpointDir())
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="hostlens-ckpt-")
     _PRIVATE_CKPT.setdefault(sc.applicationId, configured)
     if sc.getCheckpointDir() is None:
@@ -95,16 +96,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 class EngineSession:
     """Views ``taxonomy``/``host`` plus the last successful result ``df_host``.
 
-    ``df_host`` is per EngineSession (the reference keeps one per process).
-    It is registered as a temp view and optionally persisted; the previous
-    result is unpersisted when replaced.
+    ``df_host`` is per EngineSession (the reference keeps one per process) and
+    registered as a temp view.  By default a result is computed once and
+    written to the shared folder, so its emptiness test, count, preview and
+    every later use read the same rows (a LIMIT without an order could give
+    others each time); the previous result's files are removed when it is
+    replaced.  With ``materialise=False`` the result stays a lazy plan.
     """
 
     def __init__(self, spark: SparkSession, host: DataFrame | None = None,
-                 taxonomy: DataFrame | None = None, persist_results: bool = False):
+                 taxonomy: DataFrame | None = None, materialise: bool = True):
         self.spark = spark
-        self.persist_results = persist_results
+        self.materialise = materialise
         self._df_host: DataFrame | None = None
+        self._path: str | None = None
         apply_engine_conf(spark)
         if host is not None:
             host.createOrReplaceTempView("host")
@@ -122,13 +127,23 @@ class EngineSession:
     def df_host(self) -> DataFrame | None:
         return self._df_host
 
-    def set_result(self, df: DataFrame) -> DataFrame:
-        if self._df_host is not None and self.persist_results:
-            self._df_host.unpersist()
-        if self.persist_results:
-            df = df.persist()
+    def stage(self, df: DataFrame) -> tuple[DataFrame, str | None]:
+        """``df`` as computed rows in the shared folder, and their path."""
+        if not self.materialise:
+            return df, None
+        path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/results/{uuid.uuid4().hex}"
+        names = [f"c{i}" for i in range(len(df.columns))]  # a SELECT may repeat or leave out names
+        df.toDF(*names).write.parquet(path)
+        return self.spark.read.parquet(path).toDF(*df.columns), path
+
+    def drop(self, path: str | None) -> None:
+        if path:
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def set_result(self, df: DataFrame, path: str | None = None) -> DataFrame:
+        old, self._path = self._path, path
         self._df_host = df
         df.createOrReplaceTempView("df_host")
+        self.drop(old)
         return df
-
-

@@ -113,7 +113,9 @@ SELECT o_orderkey AS id,
        CASE WHEN o_orderpriority = '1-URGENT' THEN NULL
             ELSE concat('["log ', CAST(o_orderkey AS STRING), '"]') END AS recent_logs,
        CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'in_progress' ELSE 'done' END AS status,
-       o_orderdate AS created_at
+       CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('seen: ', o_orderpriority) END AS comment,
+       o_orderdate AS created_at,
+       o_orderdate + CAST(o_orderkey % 9 AS INTEGER) * INTERVAL 1 DAY AS updated_at
 FROM orders
 """
 

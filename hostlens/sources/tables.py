@@ -27,11 +27,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def register_raw(spark: SparkSession, sf_dir: str) -> None:
-    for name in RAW_TABLES:
-        read_table(spark, sf_dir, name).createOrReplaceTempView(name)
-
-
 # Object-store read settings (the reference allows 60 s per read, 3 tries).
 S3A_TIMEOUT_MS = 60_000
 S3A_ATTEMPTS = 3
@@ -73,13 +68,16 @@ LANDING_LAYOUT = "v2-sorted-family-genus"
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    """Identity of the input files (path, size, modification time) and of
-    the landing layout."""
+    """Identity of the input files (path, size and modification time of every
+    file below each table's path) and of the landing layout."""
     h = hashlib.sha1(LANDING_LAYOUT.encode())
     for name in ("lineitem", "part", "supplier", "nation"):
         p, fs = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
-        st = fs.getFileStatus(p)
-        h.update(f"{p.toString()}|{st.getLen()}|{st.getModificationTime()};".encode())
+        files, found = fs.listFiles(p, True), []
+        while files.hasNext():
+            st = files.next()
+            found.append(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()};")
+        h.update("".join(sorted(found)).encode())
     return h.hexdigest()[:16]
 
 
@@ -108,14 +106,20 @@ def landed_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-# Resolved frames per (application, folder, landing): building them lists
+def land_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Register everything over ``sf_dir``, landing ``host`` if it is not there yet."""
+    register_all(spark, sf_dir)
+    return spark.table("host")
+
+
+# Resolved frames per (application, folder, input files): building them lists
 # files and reads footers; re-binding the temp views is only catalog work.
-_FRAMES: dict[tuple[str, str, bool], dict[str, DataFrame]] = {}
+_FRAMES: dict[tuple[str, str, str], dict[str, DataFrame]] = {}
 
 
 def register_all(spark: SparkSession, sf_dir: str, land: bool = True) -> None:
     """Raw tables plus the domain views (host, taxonomy, users, ...)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), land)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _fingerprint(spark, sf_dir) if land else "")
     frames = _FRAMES.get(key)
     if frames is None:
         frames = {}
@@ -130,7 +134,3 @@ def register_all(spark: SparkSession, sf_dir: str, land: bool = True) -> None:
     for name, df in frames.items():
         df.createOrReplaceTempView(name)
 
-
-def tables(spark: SparkSession, sf_dir: str) -> SparkSession:
-    register_all(spark, sf_dir)
-    return spark

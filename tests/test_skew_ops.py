@@ -4,10 +4,11 @@ holding a third of all rows."""
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from hostlens.operators import search as S
-from hostlens.operators.joins import asof_join, broadcast_if_small
+from hostlens.operators.joins import asof_join
 from hostlens.operators.ordering import global_rank, rank_within
 
 
@@ -70,37 +71,31 @@ def test_contains_join_matches_brute_force(spark):
     assert got == expect
 
 
-def test_search_topk_matches_brute_force(spark):
-    docs = [(1, "red ring virus"), (2, "the red fox"), (3, "ring of the fox"), (4, "blue whale"),
-            (5, "the the the"), (6, "red virus ring fox")]
-    queries = [(10, "red ring"), (11, "fox the"), (12, "nothing here")]
-    d = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+@pytest.mark.parametrize("block_bytes", [S.QUERY_BLOCK_BYTES, 8])
+def test_search_topk_matches_brute_force(spark, block_bytes):
+    rnd = random.Random(11)
+    words = [f"v{i}" for i in range(12)]
+    docs = [(i, " ".join(["common", *rnd.choices(words, k=rnd.randint(1, 6))])) for i in range(60)] + [(None, "common"), (99, None)]
+    queries = [(10, "common v1 v2"), (11, "v3 V3 v4"), (12, "nothing here"), (13, "common"), (14, None)]
+    d = spark.createDataFrame(docs, "doc_id BIGINT, text STRING").repartition(3)
     q = spark.createDataFrame(queries, "qid BIGINT, text STRING")
-    post = S.token_index(d, "doc_id", "text")
     got = {(r.query_id, r.rank): (r.doc_id, r.score) for r in
-           S.search_topk(q, "qid", "text", post, k=2, stopword_share=2).collect()}
-    df = {}
-    for _, t in docs:
-        for tok in set(t.split()):
-            df[tok] = df.get(tok, 0) + 1
-    useful = {t for t, c in df.items() if c * 2 <= len(docs)}
+           S.search_topk(q, "qid", "text", d, "doc_id", "text", k=4, block_bytes=block_bytes).collect()}
     expect = {}
     for qid, qt in queries:
-        sc = []
-        for did, t in docs:
-            s = len(set(qt.split()) & set(t.split()) & useful)
-            if s:
-                sc.append((-s, did))
-        for rank, (s, did) in enumerate(sorted(sc)[:2], 1):
-            expect[(qid, rank)] = (did, -s)
+        sc = [(-n, did) for did, t in docs if did is not None and t and (n := len(set((qt or "").lower().split()) & set(t.split())))]
+        expect.update({(qid, i): (did, -n) for i, (n, did) in enumerate(sorted(sc)[:4], 1)})
     assert got == expect
+    assert {k: v for k, v in got.items() if k[0] == 13} == {(13, i + 1): (i, 1) for i in range(4)}   # a word in every document
 
 
-def test_broadcast_only_under_bound(spark):
-    small = spark.range(10)
-    assert "broadcast" in str(broadcast_if_small(small, 100)._jdf.queryExecution().logical()).lower()
-    big = broadcast_if_small(small, 5)
-    assert "broadcast" not in str(big._jdf.queryExecution().logical()).lower()
+def test_resolve_names_cuts_a_hot_key_before_the_join(spark):
+    names = spark.range(3000).select(
+        F.col("id").alias("tax_id"), F.when(F.col("id") % 3 == 0, "HIV").otherwise(F.concat(F.lit("n"), "id")).alias("name"),
+        F.lit("acronym").alias("name_class"), F.lit(3).alias("priority")).withColumn("key", S.norm_name(F.col("name")))
+    out = S.resolve_names(spark.createDataFrame([("hiv",), ("n7",), ("?",)], "term STRING"), names, k=5)
+    assert sorted((r.term, r.rank, r.tax_id) for r in out.collect() if r.found) == [
+        *(("hiv", i + 1, 3 * i) for i in range(5)), ("n7", 1, 7)]
 
 
 def test_resolve_names_ranking(spark):
