@@ -2,18 +2,21 @@
 
 Each returns ``{"success": bool, "content": str, "artifacts": [...]}``.  The
 work is distributed; only bounded results reach the driver (a preview of
-``preview_rows``, top-k lists, one article).  Frame "code" is a Python
+``preview_rows``, top-k lists, one article), and charts and maps name a table
+with every row.  Frame "code" is a Python
 callable over DataFrames instead of a code string.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.functions.text import ncbi_url
+from hostlens.functions.text import WIKI_URL, ncbi_url
 from hostlens.operators import frames as FR
 from hostlens.operators import geo, guard, search
 from hostlens.session import EngineSession
@@ -21,128 +24,159 @@ from hostlens.session import EngineSession
 MAX_PUBMED_RESULTS = 5
 MAX_TAXONOMY_MATCHES = 5
 DEFAULT_WIKIPEDIA_LIMIT = 4000
+ARTICLE_FIELDS = ("title", "authors", "journal", "year", "doi", "abstract")
+TAXON_FIELDS = ("rank", "division", "lineage", "synonyms")
 
 
-def ok(content: str, artifacts: list | None = None) -> dict:
-    return {"success": True, "content": content, "artifacts": artifacts or []}
+@dataclass
+class Outcome:
+    """What a tool hands back; ``as_dict`` has the fixed keys."""
 
+    content: str
+    artifacts: list = field(default_factory=list)
+    success: bool = True
 
-def fail(content: str) -> dict:
-    return {"success": False, "content": content, "artifacts": []}
+    def as_dict(self) -> dict:
+        return {"success": self.success, "content": self.content, "artifacts": self.artifacts}
 
 
-def _table(df: DataFrame, preview_rows: int) -> dict:
+def tool(fn: Callable[..., Outcome]) -> Callable[..., dict]:
+    """A tool reports every failure of its query or callable as a result."""
+    @functools.wraps(fn)
+    def run(*args, **kwargs) -> dict:
+        try:
+            return fn(*args, **kwargs).as_dict()
+        except guard.GuardError as e:
+            return Outcome(str(e), success=False).as_dict()
+        except Exception as e:  # noqa: BLE001  analysis errors, bad columns, failed jobs
+            return Outcome(f"Error: {type(e).__name__}: {e}", success=False).as_dict()
+    return run
+
+
+def _table(df: DataFrame, preview_rows: int) -> Outcome:
     p = guard.table_result(df, preview_rows)
-    return ok(p.text, [{"type": "table", "rows": p.rows, "columns": p.columns, "total_rows": p.total}])
+    return Outcome(p.text, [{"type": "table", "rows": p.rows, "columns": p.columns, "total_rows": p.total}])
 
 
+@tool
 def query_host_sql(session: EngineSession, sql: str,
-                   preview_rows: int = guard.DEFAULT_PREVIEW_ROWS) -> dict:
+                   preview_rows: int = guard.DEFAULT_PREVIEW_ROWS) -> Outcome:
     """Guarded SELECT over ``host``; on success the result becomes df_host."""
-    try:
-        df = guard.guarded_sql(session, sql)
-    except guard.GuardError as e:
-        return fail(str(e))
-    except Exception as e:  # analysis errors are reported, not raised
-        return fail(f"Error: {e}")
-    return _table(df, preview_rows)
+    return _table(guard.guarded_sql(session, sql), preview_rows)
 
 
+@tool
 def query_dataframe(session: EngineSession, fn: Callable[[DataFrame, DataFrame], DataFrame],
-                    preview_rows: int = guard.DEFAULT_PREVIEW_ROWS) -> dict:
+                    preview_rows: int = guard.DEFAULT_PREVIEW_ROWS) -> Outcome:
     """A callable over (df_taxo, df_host) returning a non-empty DataFrame."""
-    try:
-        return _table(guard.query_frames(session, fn), preview_rows)
-    except guard.GuardError as e:
-        return fail(str(e))
+    return _table(guard.query_frames(session, fn), preview_rows)
+
+
+def _drawn(session: EngineSession, frame: DataFrame, preview_rows: int, **about) -> tuple[int, dict]:
+    """(rows, artifact) of a frame to draw: every row of it as a table in the
+    shared folder (``path``, and the lazy ``frame``), a few as a preview."""
+    if session.materialise:
+        frame, path = session.stage(frame)
+    else:
+        path = None
+    p = guard.table_result(frame, preview_rows)
+    return p.total, {**about, "rows": p.rows, "columns": p.columns, "total_rows": p.total, "path": path, "frame": frame}
 
 
+@tool
 def create_visualization(session: EngineSession, fn: Callable[[DataFrame, DataFrame], DataFrame],
-                         kind: str, x: str, y: str | None = None) -> dict:
+                         kind: str, x: str, y: str | None = None,
+                         preview_rows: int = guard.DEFAULT_PREVIEW_ROWS) -> Outcome:
     """Chart frame for ``bar``/``pie``/``histogram``/``scatter`` from the
     callable's frame; refused when it has no plottable point.  Drawing is
-    left to the caller (the artifact carries the small frame)."""
-    try:
-        base = guard.query_frames(session, fn)
-    except guard.GuardError as e:
-        return fail(str(e))
-    if kind == "bar":
-        frame = FR.group_size(base, x)
-    elif kind == "pie":
-        frame = FR.category_share(base, x)
-    elif kind == "histogram":
-        frame = FR.histogram(base, x)
-    elif kind == "scatter":
-        frame = base.select(x, y)
-    else:
-        return fail(f"Error: unknown chart kind {kind!r}.")
+    left to the caller: the artifact names the whole frame."""
+    kinds = {"bar": lambda b: FR.group_size(b, x), "pie": lambda b: FR.category_share(b, x),
+             "histogram": lambda b: FR.histogram(b, x), "scatter": lambda b: b.select(x, y)}
+    if kind not in kinds:
+        raise guard.GuardError(f"Error: unknown chart kind {kind!r}.")
+    frame = kinds[kind](guard.query_frames(session, fn))
     counts = FR.chart_has_points(frame, frame.columns).first()
     if not any(counts[c] for c in frame.columns):
-        return fail("Error: the figure has no data points.")
-    p = guard.table_result(frame, 10_000)
-    return ok(f"{kind} chart with {p.total} rows.",
-              [{"type": "chart", "kind": kind, "rows": p.rows, "columns": p.columns}])
+        raise guard.GuardError("Error: the figure has no data points.")
+    total, artifact = _drawn(session, frame, preview_rows, type="chart", kind=kind)
+    return Outcome(f"{kind} chart with {total} rows.", [artifact])
 
 
+@tool
 def create_map(session: EngineSession, fn: Callable[[DataFrame, DataFrame], DataFrame],
-               max_points: int = 50_000) -> dict:
-    """Map frame (lon, lat, sample_id, ...) with both traceability gates."""
-    try:
-        frame = guard.query_frames(session, fn)
-    except guard.GuardError as e:
-        return fail(str(e))
-    plotted = frame.dropna(subset=["lon", "lat"]) if {"lon", "lat"} <= set(frame.columns) else frame
-    msg = geo.check_traceability(plotted)
-    if msg:
-        return fail(msg)
-    pts = plotted.limit(max_points)
-    p = guard.table_result(pts, max_points)
-    return ok(f"Map with {p.total} points.", [{"type": "map", "rows": p.rows, "columns": p.columns}])
-
-
+               preview_rows: int = guard.DEFAULT_PREVIEW_ROWS) -> Outcome:
+    """Map frame (lon, lat, sample_id, ...): refused without a single point
+    that has coordinates, then by both traceability gates.  Every point is
+    in the artifact's table."""
+    frame = guard.query_frames(session, fn)
+    points = frame.dropna(subset=["lon", "lat"])
+    if points.isEmpty():
+        raise guard.GuardError("Error: the map has no point with coordinates.")
+    if msg := geo.check_traceability(points):
+        raise guard.GuardError(msg)
+    total, artifact = _drawn(session, points, preview_rows, type="map")
+    return Outcome(f"Map with {total} points.", [artifact])
+
+
+@tool
 def wikipedia_search(pages: DataFrame, search_term: str,
-                     wikipedia_limit: int = DEFAULT_WIKIPEDIA_LIMIT) -> dict:
+                     wikipedia_limit: int = DEFAULT_WIKIPEDIA_LIMIT) -> Outcome:
     """Exact-then-closest article from landed pages (one row collected)."""
-    spark = pages.sparkSession
-    terms = spark.createDataFrame([(search_term,)], "term STRING")
+    terms = pages.sparkSession.createDataFrame([(search_term,)], "term STRING")
     r = search.article_lookup(terms, pages, wikipedia_limit).first()
     if r is None or not r["found"]:
-        return fail(f"No Wikipedia article found for {search_term}")
-    url = "https://en.wikipedia.org/wiki/" + (r["title"] or "").replace(" ", "_")
-    content = f"**{r['title']}**\n\n{r['extract']}\n\n🔗 {url}"
-    if r["fuzzy"]:
-        content += f"\n\n> ⚠️ No exact page found for *{search_term}* — showing closest match."
-    return ok(content, [{"type": "url", "url": url}])
+        raise guard.GuardError(f"Error: no article matches {search_term!r}.")
+    url = WIKI_URL + (r["title"] or "").replace(" ", "_")
+    note = f"\n(closest title; there is no page called {search_term!r})" if r["fuzzy"] else ""
+    return Outcome(f"{r['title']}\n{url}{note}\n\n{r['extract']}", [{"type": "url", "url": url}])
+
+
+def article_details(top: DataFrame, articles: DataFrame, id_col: str = "pmid") -> DataFrame:
+    """Ranked hits (query_id, rank, doc_id, score) with title, abstract, authors,
+    journal, year and DOI of each article, where ``articles`` has them."""
+    fields = [c for c in ARTICLE_FIELDS if c in articles.columns]
+    return top.join(articles.select(F.col(id_col).cast("bigint").alias("doc_id"), *fields), "doc_id", "left") \
+        .select("query_id", "rank", "doc_id", "score", *fields)
 
 
+@tool
 def pubmed_search(articles: DataFrame, query: str, max_results: int = MAX_PUBMED_RESULTS,
-                  id_col: str = "pmid", text_col: str = "text") -> dict:
-    """Top articles for one query by shared tokens (at most ``max_results``)."""
-    spark = articles.sparkSession
-    q = spark.createDataFrame([(0, query)], "qid BIGINT, text STRING")
-    post = search.token_index(articles, id_col, text_col)
-    top = search.search_topk(q, "qid", "text", post, k=max_results,
-                             n_docs=search.docs_with_tokens(articles, text_col))
-    rows = top.orderBy("rank").collect()
+                  id_col: str = "pmid", text_col: str = "text") -> Outcome:
+    """Top articles for one query by shared tokens (at most ``max_results``),
+    with their bibliographic fields where the table has them."""
+    q = articles.sparkSession.createDataFrame([(0, query)], "qid BIGINT, text STRING")
+    top = search.search_topk(q, "qid", "text", articles, id_col, text_col, k=max_results)
+    rows = article_details(top, articles, id_col).orderBy("rank").collect()
     if not rows:
-        return fail(f"No articles found on PubMed for '{query}'.")
-    pmids = [int(r["doc_id"]) for r in rows]
-    lines = [f"Found {len(rows)} article(s) on PubMed for '{query}':"]
-    lines += [f"{r['rank']}. PMID {r['doc_id']} (score {r['score']})" for r in rows]
-    return ok("\n".join(lines), [{"type": "pubmed", "pmids": pmids}])
-
-
-def ncbi_taxonomy_search(names: DataFrame, name: str) -> dict:
-    """Up to five taxa for one name, best first (see ``search.resolve_names``)."""
-    spark = names.sparkSession
-    terms = spark.createDataFrame([(name,)], "term STRING")
-    rows = search.resolve_names(terms, names, MAX_TAXONOMY_MATCHES).orderBy("rank") \
-        .select("rank", "tax_id", "name", "name_class", "found",
-                ncbi_url(F.col("tax_id")).alias("url")).collect()
+        raise guard.GuardError(f"Error: no article shares a word with {query!r}.")
+    parts = [f"{len(rows)} article(s) for {query!r}"]
+    for r in rows:
+        d = r.asDict()
+        more = [", ".join(d[f]) if isinstance(d[f], list) else str(d[f]) for f in ARTICLE_FIELDS if d.get(f)]
+        parts.append("\n".join([f"{d['rank']}. PMID {d['doc_id']}, {d['score']} shared words", *more]))
+    return Outcome("\n\n".join(parts), [{"type": "pubmed", "pmids": [int(r["doc_id"]) for r in rows]}])
+
+
+def taxon_details(hits: DataFrame, taxa: DataFrame) -> DataFrame:
+    """Resolved names with rank, division, lineage and synonyms of each taxon,
+    where ``taxa`` (tax_id and any of them) has them."""
+    fields = [c for c in TAXON_FIELDS if c in taxa.columns]
+    more = taxa.select(F.col("tax_id"), *[F.col(c).alias(f"taxon_{c}") for c in fields])
+    return hits.join(more, "tax_id", "left").select(*hits.columns, *[f"taxon_{c}" for c in fields])
+
+
+@tool
+def ncbi_taxonomy_search(names: DataFrame, name: str, taxa: DataFrame | None = None) -> Outcome:
+    """Up to five taxa for one name, best first (see ``search.resolve_names``),
+    with their details when ``taxa`` is given."""
+    terms = names.sparkSession.createDataFrame([(name,)], "term STRING")
+    hits = search.resolve_names(terms, names, MAX_TAXONOMY_MATCHES).withColumn("url", ncbi_url(F.col("tax_id")))
+    rows = (hits if taxa is None else taxon_details(hits, taxa)).orderBy("rank").collect()
     if not rows or not rows[0]["found"]:
-        return fail(f"No NCBI Taxonomy entry found for '{name}'.")
-    parts = [f"Found {len(rows)} NCBI Taxonomy match(es) for '{name}':"]
-    parts += [f"--- Match {r['rank']} --- {r['name']} (TaxID {r['tax_id']}, {r['name_class']})\n🔗 {r['url']}"
-              for r in rows]
-    return ok("\n".join(parts), [{"type": "ncbi_taxonomy", "url": rows[0]["url"],
-                                  "tax_id": str(rows[0]["tax_id"])}])
+        raise guard.GuardError(f"Error: no taxon is called {name!r}.")
+    parts = [f"{len(rows)} taxon match(es) for {name!r}"]
+    for r in rows:
+        d = r.asDict()
+        more = [f"{f}: {', '.join(v[:6]) if isinstance(v, list) else v}" for f in TAXON_FIELDS if (v := d.get(f"taxon_{f}"))]
+        parts.append("\n".join([f"{d['rank']}. {d['name']} ({d['name_class']}, TaxID {d['tax_id']})", d["url"], *more]))
+    return Outcome("\n\n".join(parts), [{"type": "ncbi_taxonomy", "url": rows[0]["url"], "tax_id": str(rows[0]["tax_id"])}])

@@ -8,7 +8,7 @@ survives for the rules that need it (the keyword takes strings only).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.functions.text import KEYWORD_LEN, collapse_ws, cut
@@ -18,24 +18,38 @@ PAIR_PATTERN = r'"(\w+)"\s*:\s*("(?:[^"\\]|\\.)*"|\d+(?:\.\d+)?|true|false|null)
 KEYWORD_KEYS = ("search_term", "query", "name")
 
 
-def parse_args(raw: Column) -> Column:
-    """valid JSON object → its members; otherwise the ``"key": scalar``
-    pairs found in the text (last key wins); otherwise ``{"_raw": text}``."""
-    valid = F.transform_values(F.from_json(raw, "MAP<STRING,VARIANT>"),
-                               lambda k, v: F.to_json(v))
-    ks = F.regexp_extract_all(raw, F.lit(PAIR_PATTERN), 1)
-    vs = F.regexp_extract_all(raw, F.lit(PAIR_PATTERN), 2)
-    n = F.size(ks)
-    # keep entry i when it is the last occurrence of its key
-    idx = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    entries = F.transform(idx, lambda i: F.struct(F.try_element_at(ks, i).alias("k"),
-                                                   F.try_element_at(vs, i).alias("v"), i.alias("i")))
-    last = F.filter(entries, lambda e: (n - F.array_position(F.reverse(ks), e["k"]) + 1) == e["i"])
-    recovered = F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
-    raw_only = F.create_map(F.lit("_raw"), json_string(raw))
-    return (F.when(valid.isNotNull(), valid)
-            .when(n > 0, recovered)
-            .otherwise(raw_only))
+def _last_of_each(entries: Column) -> Column:
+    """Entries (k, v) with only the last one of every key kept, in order of
+    those last ones (``json.loads`` and ``dict`` keep the last, too)."""
+    n = F.size(entries)
+    keys = F.transform(entries, lambda e: e["k"])
+    # an entry stays if its key does not occur behind it
+    return F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(n, F.lit(1))), e["k"]))
+
+
+def with_parsed_args(df: DataFrame, raw: str, name: str = "args") -> DataFrame:
+    """``df`` plus the parsed arguments (F6) of the text column ``raw``.
+
+    Valid JSON object (the whole text) → its members; otherwise the
+    ``"key": scalar`` pairs found in the text; otherwise ``{"_raw": text}``.
+    Of repeated keys the last one counts.
+
+    The text is parsed once: the staging columns are used several times
+    each, so Catalyst keeps them in a projection of their own."""
+    text = F.col(raw)
+    # from_json stops behind the first object; as the only member of an array the whole text must be one
+    whole = (F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1) & F.ltrim(text).startswith("{")
+    staged = df.withColumn("_obj", F.when(whole, F.from_json(text, "MAP<STRING,VARIANT>")))
+    # the pairs of the texts that are not an object, both groups by one pass each
+    broken = F.when(F.col("_obj").isNull(), text)
+    pairs = F.arrays_zip(F.regexp_extract_all(broken, F.lit(PAIR_PATTERN), 1).alias("k"),
+                         F.regexp_extract_all(broken, F.lit(PAIR_PATTERN), 2).alias("v"))
+    members = F.transform(F.map_entries("_obj"), lambda e: F.struct(e["key"].alias("k"), F.to_json(e["value"]).alias("v")))
+    alone = F.array(F.struct(F.lit("_raw").alias("k"), json_string(text).alias("v")))
+    staged = staged.withColumn("_pairs", F.coalesce(members, pairs))
+    staged = staged.withColumn("_pairs", F.when((F.size("_pairs") == 0) & F.col("_obj").isNull(), alone).otherwise(F.col("_pairs")))
+    args = F.when(text.isNotNull(), F.map_from_entries(_last_of_each(F.col("_pairs"))))
+    return staged.withColumn(name, args).drop("_obj", "_pairs")
 
 
 def json_string(s: Column) -> Column:
@@ -56,13 +70,10 @@ def is_string(literal: Column) -> Column:
 def search_keyword(args: Column) -> Column:
     """F8: first non-blank *string* among search_term, query, name; collapsed
     and cut at 80 characters + '…'; '' when none."""
-    out = F.lit(None).cast("string")
-    for key in reversed(KEYWORD_KEYS):
-        lit_v = F.element_at(args, F.lit(key))
-        txt = collapse_ws(arg_text(lit_v))
-        ok = lit_v.isNotNull() & is_string(lit_v) & (F.coalesce(txt, F.lit("")) != "")
-        out = F.when(ok, cut(txt, KEYWORD_LEN)).otherwise(out)
-    return F.coalesce(out, F.lit(""))
+    given = F.array(*[F.element_at(args, F.lit(key)) for key in KEYWORD_KEYS])
+    texts = F.transform(F.filter(given, lambda v: v.isNotNull() & is_string(v)), lambda v: collapse_ws(arg_text(v)))
+    first = F.try_element_at(F.filter(texts, lambda t: t != ""), F.lit(1))
+    return F.coalesce(F.transform(F.array(first), lambda t: cut(t, KEYWORD_LEN))[0], F.lit(""))
 
 
 def sanitize_args(args: Column, properties: Column, required: Column,

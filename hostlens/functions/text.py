@@ -2,9 +2,9 @@
 (F1-F5, F8, F10, F11, F13).  Everything is built-in Spark SQL functions, so
 it runs inside whole-stage codegen with no Python in the task.
 
-Regex dialect: Java.  Python's ``str.strip``/``split`` are approximated
-with ``\\s`` (ASCII whitespace); word characters are ``\\p{L}\\p{N}_`` where the
-reference relies on Unicode ``\\w`` (F10).
+Regex dialect: Java.  Patterns start with ``(?U)`` where the reference relies
+on Unicode classes: ``\\s`` then covers the no-break space and its kin, as
+``str.strip`` and ``str.split`` do; word characters are ``\\p{L}\\p{N}_`` (F10).
 """
 
 from __future__ import annotations
@@ -13,10 +13,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values that must equal the reference's.
-PMID_PATTERN = r"(?i)\bPMID[:\s#]*([0-9]{5,9})\b"
-EG_DEBRIS_PATTERN = r"\(e\.g\.\s*,?\s*on\s+[^)]{0,80}\)"
-SEE_DEBRIS_PATTERN = r"\(see\s*\)"
+PMID_PREFIX = r"(?iU)\bPMID[:\s#]*"
+PMID_PATTERN = PMID_PREFIX + r"([0-9]{5,9})\b"
+EG_DEBRIS_PATTERN = r"(?U)\(e\.g\.\s*,?\s*on\s+[^)]{0,80}\)"
+SEE_DEBRIS_PATTERN = r"(?U)\(see\s*\)"
 CITATION_MARKER_PATTERN = "【[^【】]*】"
+BLANK_RUN_PATTERN = r"[ \t]+"
+NEWLINE_RUN_PATTERN = r"\n{3,}"
+SPACE_BEFORE_MARK_PATTERN = r"(?U)\s+([.,;:!?])"
 SNIPPET_LEN = 120
 TITLE_LEN = 48
 KEYWORD_LEN = 80
@@ -30,12 +34,12 @@ NCBI_URL = "https://www.ncbi.nlm.nih.gov/Taxonomy/Browser/wwwtax.cgi?id="
 
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()``: leading and trailing whitespace of any kind."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def collapse_ws(c: Column) -> Column:
     """``" ".join(s.strip().split())``."""
-    return strip_ws(F.regexp_replace(c, r"\s+", " "))
+    return strip_ws(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def cut(c: Column, n: int, tail: str = ELLIPSIS) -> Column:
@@ -75,11 +79,11 @@ def strip_pmids(text: Column, fake: Column) -> Column:
     removed = F.aggregate(
         fake, text,
         lambda acc, p: F.regexp_replace(
-            acc, F.concat(F.lit(r"(?i)\bPMID[:\s#]*"), p, F.lit(r"\b")), F.lit("")))
+            acc, F.concat(F.lit(PMID_PREFIX), p, F.lit(r"\b")), F.lit("")))
     s = F.regexp_replace(removed, EG_DEBRIS_PATTERN, "")
     s = F.regexp_replace(s, SEE_DEBRIS_PATTERN, "")
-    s = F.regexp_replace(s, r"[ \t]+", " ")
-    s = F.regexp_replace(s, r"\n{3,}", "\n\n")
+    s = F.regexp_replace(s, BLANK_RUN_PATTERN, " ")
+    s = F.regexp_replace(s, NEWLINE_RUN_PATTERN, "\n\n")
     return strip_ws(s)
 
 
@@ -92,16 +96,16 @@ def citation_marker_count(text: Column) -> Column:
 def strip_citation_markers(text: Column) -> Column:
     """delete 【…】 markers; tidy only when at least one was found."""
     s = F.regexp_replace(text, CITATION_MARKER_PATTERN, "")
-    s = F.regexp_replace(s, r"[ \t]+", " ")
-    s = F.regexp_replace(s, r"\s+([.,;:!?])", "$1")
-    s = F.regexp_replace(s, r"\n{3,}", "\n\n")
+    s = F.regexp_replace(s, BLANK_RUN_PATTERN, " ")
+    s = F.regexp_replace(s, SPACE_BEFORE_MARK_PATTERN, "$1")
+    s = F.regexp_replace(s, NEWLINE_RUN_PATTERN, "\n\n")
     return F.when(citation_marker_count(text) > 0, strip_ws(s)).otherwise(text)
 
 
 def clean_term(term: Column) -> Column:
     """keep word characters (any script's letters and digits, and
     ``_``), whitespace and hyphens."""
-    return F.regexp_replace(strip_ws(term), r"[^\p{L}\p{N}_\s\-]", "")
+    return F.regexp_replace(strip_ws(term), r"(?U)[^\p{L}\p{N}_\s\-]", "")
 
 
 def wiki_url(title: Column) -> Column:

@@ -7,22 +7,20 @@ Spark 4.1 has no ``ST_X``/``ST_Y``.  A WKB point is
                 4-byte SRID follows the type word)
     then        x, y as IEEE-754 doubles in that byte order
 
-Decoding works on ``hex(wkb)``: the 16 hex digits of a coordinate are put in
-big-endian order, read as a signed 64-bit integer with ``conv(h, 16, -10)``
-(negative base = two's complement, so no BIGINT overflow under ANSI) and
-turned into the double with ``java.lang.Double.longBitsToDouble`` through
-the built-in ``reflect``.  The expression stays small (one copy of the
-coordinate's hex per output), which matters: an arithmetic rebuild of the
-double repeats its inputs many times, overflows the 64 KB limit of a
-generated method and, once predicates are pushed through it, grows the
-optimised plan.  NULL, non-point, short input and NaN coordinates
+Coordinates are decoded and encoded by vectorised functions over Arrow
+batches (numpy reads the doubles of a whole batch at once); whether a value
+is a point with coordinates at all is a test of a few bytes and stays a
+built-in expression.  NULL, non-point, short input and NaN coordinates
 (``POINT EMPTY``) give NULL.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _EWKB_SRID_FLAG = 0x20000000
 
@@ -36,22 +34,6 @@ def _swap_bytes8(h: Column) -> Column:
     return F.concat(*[F.substring(h, 7 - 2 * i, 2) for i in range(4)])
 
 
-def _bits_to_double(h16: Column) -> Column:
-    """Double whose IEEE-754 bits are the 16 big-endian hex digits ``h16``;
-    NaN becomes NULL."""
-    bits = F.conv(h16, 16, -10).cast("bigint")
-    d = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("longBitsToDouble"),
-                        bits).cast("double")
-    return F.nanvl(d, F.lit(None).cast("double"))
-
-
-def _double_to_hex(x: Column) -> Column:
-    """16 big-endian hex digits of the IEEE-754 bits of ``x``."""
-    bits = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("doubleToLongBits"),
-                           x.cast("double")).cast("bigint")
-    return F.lpad(F.hex(bits), 16, "0")
-
-
 def _layout(wkb: Column) -> tuple[Column, Column, Column, Column]:
     """(hex, little-endian flag, offset of x, is-point flag) of a WKB value."""
     h = F.hex(wkb)
@@ -66,55 +48,94 @@ def _layout(wkb: Column) -> tuple[Column, Column, Column, Column]:
     return h, little, start, ok
 
 
-def _coord(wkb: Column, which: int) -> Column:
+def has_coordinates(wkb: Column) -> Column:
+    """Whether a WKB/EWKB value is a point whose coordinates are numbers."""
     h, little, start, ok = _layout(wkb)
-    raw = F.substr(h, start + F.lit(16 * which), F.lit(16))
-    return F.when(ok, _bits_to_double(F.when(little, _swap_bytes16(raw)).otherwise(raw)))
+
+    def number(which: int) -> Column:
+        raw = F.substr(h, start + F.lit(16 * which), F.lit(16))
+        big = F.when(little, _swap_bytes16(raw)).otherwise(raw)
+        # NaN: exponent bits all set and a mantissa that is not zero
+        return ~(F.substring(big, 1, 3).isin("7FF", "FFF") & (F.substring(big, 4, 13) != "0" * 13))
+
+    return F.coalesce(ok & number(0) & number(1), F.lit(False))
+
+
+def _decode(wkb: pd.Series) -> pd.DataFrame:
+    """x and y of a batch of WKB values."""
+    out = np.full((len(wkb), 2), np.nan)
+    at = np.array([i for i, v in enumerate(wkb) if v is not None and len(v) >= 21], dtype=np.int64)
+    if len(at):
+        head = np.frombuffer(b"".join(bytes(wkb.iloc[i][:25]).ljust(25, b"\0") for i in at), dtype=np.uint8).reshape(-1, 25)
+        size = np.array([len(wkb.iloc[i]) for i in at])
+        for order, end in ((0, ">"), (1, "<")):
+            kind = np.ascontiguousarray(head[:, 1:5]).view(end + "u4").ravel()
+            srid = (kind & _EWKB_SRID_FLAG) != 0
+            for flag, start in ((False, 5), (True, 9)):
+                use = (head[:, 0] == order) & ((kind & 0xFFFF) == 1) & (srid == flag) & (size >= start + 16)
+                out[at[use]] = np.ascontiguousarray(head[use, start:start + 16]).view(end + "f8")
+    xy = pd.DataFrame(out, columns=["x", "y"]).astype(object)
+    return xy.where(~np.isnan(out), None)
+
+
+@F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+def _point(wkb: pd.Series) -> pd.DataFrame:
+    return _decode(wkb)
+
+
+@F.pandas_udf(T.DoubleType())
+def _st_x(wkb: pd.Series) -> pd.Series:
+    return _decode(wkb)["x"]
+
+
+@F.pandas_udf(T.DoubleType())
+def _st_y(wkb: pd.Series) -> pd.Series:
+    return _decode(wkb)["y"]
 
 
 def st_x(wkb: Column) -> Column:
     """Longitude (x) of a WKB/EWKB point; NULL when not a point."""
-    return _coord(wkb, 0)
+    return _st_x(wkb)
 
 
 def st_y(wkb: Column) -> Column:
     """Latitude (y) of a WKB/EWKB point; NULL when not a point."""
-    return _coord(wkb, 1)
+    return _st_y(wkb)
+
+
+def register_functions(spark: SparkSession) -> None:
+    """``ST_X`` and ``ST_Y`` for SQL text."""
+    spark.udf.register("ST_X", _st_x)
+    spark.udf.register("ST_Y", _st_y)
+
+
+@F.pandas_udf(T.BinaryType())
+def _encode(x: pd.Series, y: pd.Series, little: pd.Series, srid: pd.Series) -> pd.Series:
+    xy = np.column_stack([x.to_numpy(dtype=float, na_value=np.nan), y.to_numpy(dtype=float, na_value=np.nan)])
+    body = {True: xy.astype("<f8").tobytes(), False: xy.astype(">f8").tobytes()}
+    out = []
+    for i, (a, b, le, code) in enumerate(zip(x, y, little, srid)):
+        if a is None or b is None or pd.isna(a) or pd.isna(b):
+            out.append(None)
+            continue
+        order, le = ("little", True) if le else ("big", False)
+        head = (1).to_bytes(4, order) if pd.isna(code) else (1 | _EWKB_SRID_FLAG).to_bytes(4, order) + int(code).to_bytes(4, order)
+        out.append(bytes([le]) + head + body[le][16 * i:16 * i + 16])
+    return pd.Series(out, dtype=object)
 
 
 def st_point(x: Column, y: Column, little_endian: Column | bool = True,
              srid: int | None = None) -> Column:
-    """WKB point (EWKB when ``srid`` is given) from two doubles; NULL in →
-    NULL.  Used to land geometry in tests and derived tables."""
-    hx, hy = _double_to_hex(x), _double_to_hex(y)
+    """WKB point (EWKB when ``srid`` is given) from two doubles; NULL (or NaN)
+    in → NULL.  Used to land geometry in tests and derived tables."""
     le = F.lit(little_endian) if isinstance(little_endian, bool) else little_endian
-    if srid is None:
-        big = F.concat(F.lit("0000000001"), hx, hy)
-        small = F.concat(F.lit("0101000000"), _swap_bytes16(hx), _swap_bytes16(hy))
-    else:
-        hs = "%08X" % srid
-        hs_le = "".join(reversed([hs[i:i + 2] for i in range(0, 8, 2)]))
-        big = F.concat(F.lit("0020000001" + hs), hx, hy)
-        small = F.concat(F.lit("0101000020" + hs_le), _swap_bytes16(hx), _swap_bytes16(hy))
-    return F.when(x.isNotNull() & y.isNotNull(), F.unhex(F.when(le, small).otherwise(big)))
+    return _encode(x.cast("double"), y.cast("double"), le, F.lit(srid).cast("int"))
 
 
 def with_point_coords(df: DataFrame, geom: str, x_name: str = "lon",
                       y_name: str = "lat") -> DataFrame:
-    """``df`` plus the x/y of its WKB column.
-
-    One small staging projection holds the hex text, byte order and x offset;
-    they are referenced many times by the coordinate expressions, so Catalyst
-    keeps that projection (the hex is computed once per row instead of once
-    per reference) and a predicate pushed through it grows only linearly."""
-    h, little, start, ok = _layout(F.col(geom))
-    staged = (df.withColumn("_wkb_h", h).withColumn("_wkb_le", little)
-              .withColumn("_wkb_s", F.when(ok, start)))
-
-    def coord(which: int) -> Column:
-        raw = F.substr(F.col("_wkb_h"), F.col("_wkb_s") + F.lit(16 * which), F.lit(16))
-        be = F.when(F.col("_wkb_le"), _swap_bytes16(raw)).otherwise(raw)
-        return F.when(F.col("_wkb_s").isNotNull(), _bits_to_double(be))
-
-    out = staged.withColumn(x_name, coord(0)).withColumn(y_name, coord(1))
-    return out.drop("_wkb_h", "_wkb_le", "_wkb_s")
+    """``df`` plus the x/y of its WKB column, both from one decoding.  It is
+    marked nondeterministic so that a filter on the coordinates is not pushed
+    below it, which would decode twice."""
+    return (df.withColumn("_xy", _point.asNondeterministic()(F.col(geom)))
+            .withColumn(x_name, F.col("_xy.x")).withColumn(y_name, F.col("_xy.y")).drop("_xy"))

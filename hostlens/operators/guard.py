@@ -12,15 +12,21 @@ reference's order:
 ``;``-chained statements are a parse error in ``spark.sql``; file-path tables
 (``parquet.`/x```) are refused by a fourth text rule and are unresolvable
 anyway because ``spark.sql.runSQLOnFiles`` is off.
+
+A statement that passes the text check is parsed (not run) and its plan is
+walked, subqueries included: no script transformation (``TRANSFORM ... USING``
+runs a shell command), no call into the JVM by name (``reflect`` and its
+kin), and no relation but temporary views and the statement's own CTEs.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlens.functions.text import strip_ws
@@ -34,11 +40,13 @@ FORBIDDEN_KEYWORDS = (
 SELECT_ONLY_MSG = "Error: only SELECT statements are allowed."
 FORBIDDEN_MSG = ("Error: query contains a forbidden keyword — only a read-only "
                  "SELECT is allowed.")
-STAR_MSG = ("Error: `SELECT *` is not allowed — list only the columns you "
-            "actually need.")
-EMPTY_MSG = ("Error: query returned 0 rows. Try a broader ILIKE filter, check "
-             "exact values first with SELECT DISTINCT, or use the full "
-             "scientific name instead of an acronym.")
+
+# Own wording.
+STAR_MSG = "Error: name the columns to read; `SELECT * FROM` is refused."
+EMPTY_MSG = "Error: no row matched. Loosen the filter, or look up the stored values with SELECT DISTINCT first."
+PROGRAM_MSG = "Error: running scripts or Java methods from SQL is refused."
+RELATION_MSG = "Error: {!r} is not a registered view."
+MAX_PREVIEW_ROWS = 1000
 DEFAULT_PREVIEW_ROWS = 50
 
 _SELECT_START = r"^\(?\s*SELECT\b"
@@ -85,37 +93,89 @@ def audit_rule(statement: Column) -> Column:
     )
 
 
+# functions that call a method of the JVM by name
+_JVM_CALLS = ("reflect", "java_method", "try_reflect")
+
+
+def check_plan(spark: SparkSession, sql: str) -> str | None:
+    """Refusal message for what the parsed (unresolved) plan of ``sql`` would
+    run or read, or None.  Parsing alone executes and resolves nothing."""
+    nodes = json.loads(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toJSON())
+    views = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    views |= {m.lower() for m in _CTE_NAME_RE.findall(sql)}
+    relations: list[str] = []
+
+    def walk(x) -> str | None:
+        if isinstance(x, list):
+            return next((m for y in x if (m := walk(y))), None)
+        if not isinstance(x, dict):
+            return None
+        kind = str(x.get("class", "")).rsplit(".", 1)[-1]
+        if "ScriptTransformation" in kind or kind == "CallMethodViaReflection":
+            return PROGRAM_MSG
+        if kind == "UnresolvedFunction" and _name(x.get("nameParts"))[-1].lower() in _JVM_CALLS:
+            return PROGRAM_MSG
+        if kind == "UnresolvedRelation":
+            relations.append(".".join(_name(x.get("multipartIdentifier"))))
+        return walk(list(x.values()))
+
+    return walk(nodes) or next((RELATION_MSG.format(r) for r in relations if r.lower() not in views), None)
+
+
+_CTE_NAME_RE = re.compile(r"`?(\w+)`?\s+AS\s*\(", re.IGNORECASE)
+
+
+def _name(parts) -> list[str]:
+    """Parts of a name as toJSON writes it: ``[a, b]`` or a list."""
+    return [p.strip() for p in parts.strip("[]").split(",")] if isinstance(parts, str) else list(parts or [""])
+
+
 def guarded_sql(session: EngineSession, sql: str, check_empty: bool = True) -> DataFrame:
     """G1: run a guarded SELECT; on success it becomes ``df_host``.
 
-    The emptiness test is a limit-1 job; nothing else is collected.  A failure
-    (refusal, analysis error or 0 rows) leaves the previous ``df_host``.
+    A materialising session computes the result once; the emptiness test
+    reads that copy.  A failure (refusal, analysis error or 0 rows) leaves
+    the previous ``df_host``.
     """
-    msg = check_sql(sql)
+    sql = sql.strip()
+    msg = check_sql(sql) or check_plan(session.spark, sql)
     if msg:
         raise GuardError(msg)
-    df = session.spark.sql(sql.strip())
+    df, path = session.stage(session.spark.sql(sql))
     if check_empty and df.isEmpty():
+        session.drop(path)
         raise GuardError(EMPTY_MSG)
-    return session.set_result(df)
+    return session.set_result(df, path)
 
 
 FrameFn = Callable[[DataFrame | None, DataFrame | None], DataFrame]
+NO_RESULT_MSG = "Error: df_host is not available — run query_host_sql first."
+
+
+class _NoResult:
+    """Stands for ``df_host`` before any guarded query: any use of it fails."""
+
+    def __getattr__(self, name: str):
+        raise GuardError(NO_RESULT_MSG)
+
+    def __getitem__(self, name):
+        raise GuardError(NO_RESULT_MSG)
 
 
 def query_frames(session: EngineSession, fn: FrameFn, check_empty: bool = True) -> DataFrame:
     """Run a callable over (df_taxo, df_host).
 
-    ``df_host`` before any guarded query is an explicit error; the result must
-    be a DataFrame and non-empty.
+    Touching ``df_host`` before any guarded query is an explicit error (work
+    on the taxonomy alone needs none); the result must be a DataFrame and
+    non-empty.
     """
-    if session.df_host is None:
-        raise GuardError("Error: df_host is not available — run query_host_sql first.")
-    out = fn(session.taxonomy, session.df_host)
+    out = fn(session.taxonomy, _NoResult() if session.df_host is None else session.df_host)
+    if isinstance(out, _NoResult):
+        raise GuardError(NO_RESULT_MSG)
     if not isinstance(out, DataFrame):
         raise GuardError(f"Error: result must be a DataFrame, got {type(out).__name__}.")
-    if check_empty and out.isEmpty():
-        raise GuardError("Error: result is empty (0 rows).")
+    if check_empty and (msg := check_not_empty({"result": out})):
+        raise GuardError(msg)
     return out
 
 
@@ -124,8 +184,7 @@ def check_not_empty(frames: dict[str, DataFrame]) -> str | None:
     for name in ("data", "result", "df_filtered", "df"):
         df = frames.get(name)
         if isinstance(df, DataFrame) and df.isEmpty():
-            return (f"Error: the DataFrame '{name}' used to build the figure is "
-                    "empty (0 rows).")
+            return f"Error: nothing to show, '{name}' has 0 rows."
     return None
 
 
@@ -151,10 +210,10 @@ def preview_counts(df: DataFrame, preview_rows: int = DEFAULT_PREVIEW_ROWS) -> D
 def table_result(df: DataFrame, preview_rows: int = DEFAULT_PREVIEW_ROWS) -> Preview:
     """Total rows, the first N rows as ISO-dated JSON records, wording.
 
-    One count and one ``limit(n)``; only ≤ N rows reach the driver.
+    One count and one ``limit(n)``; at most N rows (and never more than
+    MAX_PREVIEW_ROWS) reach the driver.
     """
-    import json
-
+    preview_rows = min(preview_rows, MAX_PREVIEW_ROWS)
     total = df.count()
     head = df.limit(preview_rows)
     rows = [json.loads(r[0]) for r in head.select(

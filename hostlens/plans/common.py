@@ -10,10 +10,11 @@ from hostlens.sources.standins import oracle_with
 from hostlens.sources.tables import register_all
 
 
-def session(spark: SparkSession, sf_dir: str) -> EngineSession:
-    """Register the tables of ``sf_dir`` and open an engine session over them."""
+def session(spark: SparkSession, sf_dir: str, materialise: bool = False) -> EngineSession:
+    """Register the tables of ``sf_dir`` and open an engine session over them.
+    The registered queries use a result once, so it stays lazy."""
     register_all(spark, sf_dir)
-    return EngineSession(spark, host=spark.table("host"), taxonomy=spark.table("taxonomy"))
+    return EngineSession(spark, host=spark.table("host"), taxonomy=spark.table("taxonomy"), materialise=materialise)
 
 
 def guarded(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hostlens.functions.wkb import st_point, with_point_coords
+from hostlens.functions.wkb import has_coordinates, st_point, with_point_coords
 from hostlens.operators import geo
-from hostlens.plans.common import oracle, session
+from hostlens.plans.common import guarded, oracle, session
 from hostlens.plans.registry import query
 from hostlens.sources.tables import read_table
 
@@ -40,6 +40,18 @@ def map_points(spark, sf_dir):
     return geo.map_frame(s.host.filter(F.col("VIRUS_FAMILY").ilike("%brand#1%")))
 
 
+@query("map_points_sql", oracle("""
+SELECT lon_src AS lon, lat_src AS lat, COALESCE(primary_id, secondary_id) AS sample_id, VIRUS_SPECIES AS species
+FROM host
+WHERE VIRUS_FAMILY ILIKE '%brand#1%' AND lon_src IS NOT NULL AND lat_src IS NOT NULL
+""", "host"))
+def map_points_sql(spark, sf_dir):
+    return guarded(spark, sf_dir, """
+SELECT ST_X(geometry) AS lon, ST_Y(geometry) AS lat, COALESCE(primary_id, secondary_id) AS sample_id, VIRUS_SPECIES AS species
+FROM host
+WHERE VIRUS_FAMILY ILIKE '%brand#1%' AND ST_X(geometry) IS NOT NULL AND ST_Y(geometry) IS NOT NULL""")
+
+
 @query("traceability_gate", oracle("""
 SELECT VIRUS_FAMILY, COUNT(*) AS n_points,
        COUNT(*) FILTER (WHERE COALESCE(primary_id, secondary_id) IS NULL) AS n_missing,
@@ -51,6 +63,5 @@ GROUP BY VIRUS_FAMILY
 """, "host"))
 def traceability_gate(spark, sf_dir):
     s = session(spark, sf_dir)
-    frame = with_point_coords(s.host, "geometry").select(
-        "VIRUS_FAMILY", "lon", "lat", geo.sample_id().alias("sample_id")).dropna(subset=["lon", "lat"])
+    frame = s.host.filter(has_coordinates(F.col("geometry"))).select("VIRUS_FAMILY", geo.sample_id().alias("sample_id"))
     return geo.traceability(frame, ["VIRUS_FAMILY"])

@@ -140,7 +140,7 @@ parsed AS (
 def _parsed(spark, sf_dir):
     session(spark, sf_dir)
     ca = spark.sql(CALL_ARGS_SQL)
-    return ca.select("call_id", "tool", A.parse_args(F.col("raw")).alias("args"))
+    return A.with_parsed_args(ca, "raw").select("call_id", "tool", "args")
 
 
 @query("tolerant_json", oracle(_PARSED_ORACLE + "SELECT call_id, key, value FROM parsed", "tool_calls"))

@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hostlens.functions.wkb import register_functions
+
 # Settings every job relies on.  Sizes that depend on the cluster
 # (shuffle partitions, maxPartitionBytes) are left to the deployment;
 # AQE coalesces small shuffles and splits skewed join partitions at runtime.
@@ -111,6 +113,7 @@ class EngineSession:
         self._df_host: DataFrame | None = None
         self._path: str | None = None
         apply_engine_conf(spark)
+        register_functions(spark)
         if host is not None:
             host.createOrReplaceTempView("host")
         if taxonomy is not None:

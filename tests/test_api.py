@@ -7,12 +7,13 @@ from hostlens.functions.wkb import st_x, st_y
 from hostlens.operators.geo import sample_id
 from hostlens.operators import search
 from hostlens.plans.common import session
+from hostlens.session import EngineSession
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_sql_then_frames_then_map(spark):
-    s = session(spark, SF)
+    s = session(spark, SF, materialise=True)
     r = api.query_host_sql(s, "SELECT VIRUS_GENUS, COUNT(*) AS n FROM host "
                               "WHERE VIRUS_FAMILY ILIKE '%brand#1%' GROUP BY VIRUS_GENUS")
     assert r["success"] and r["artifacts"][0]["total_rows"] > 0
@@ -47,21 +48,45 @@ def test_lookup_tools(spark):
     assert not api.ncbi_taxonomy_search(names, "zzz unknown")["success"]
 
 
-def test_table_result_contract(spark):
-    df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "species STRING, count INT")
-    r = api._table(df, 50)
-    assert r["success"] is True and "3 rows" in r["content"]
+def test_table_results(spark):
+    s = EngineSession(spark, taxonomy=spark.range(120).selectExpr("id", "id % 7 AS part"))
+    r = api.query_dataframe(s, lambda taxo, host: taxo, preview_rows=20)
     art = r["artifacts"][0]
-    assert art["type"] == "table" and art["total_rows"] == 3
-    assert art["columns"] == ["species", "count"] and len(art["rows"]) == 3
-    assert "1 row." in api._table(spark.createDataFrame([("a",)], "species STRING"), 50)["content"]
-    ten = api._table(spark.range(10).withColumnRenamed("id", "n"), 3)
-    assert "10 rows" in ten["content"] and "and 7 more rows" in ten["content"]
-    assert len(ten["artifacts"][0]["rows"]) == 3 and ten["artifacts"][0]["total_rows"] == 10
+    assert r["success"] and art["type"] == "table" and art["columns"] == ["id", "part"]
+    assert art["total_rows"] == 120 and len(art["rows"]) == 20 and "and 100 more rows" in r["content"]
+    for fn in (lambda taxo, host: taxo.select("nope"), lambda taxo, host: 1 / 0, lambda taxo, host: "text", lambda taxo, host: host.limit(1),
+               lambda taxo, host: taxo.limit(0)):
+        failed = api.query_dataframe(s, fn)
+        assert not failed["success"] and failed["content"].startswith("Error") and failed["artifacts"] == []
+    assert not api.query_host_sql(s, "SELECT nope FROM host")["success"]
+
+
+def test_maps_and_charts_keep_every_row(spark):
+    s = EngineSession(spark, taxonomy=spark.range(60_010).selectExpr("id % 180 - 0.5D AS lon", "id % 90 + 0.25D AS lat", "CAST(id AS STRING) AS sample_id"))
+    m = api.create_map(s, lambda taxo, host: taxo)
+    art = m["artifacts"][0]
+    assert m["content"] == "Map with 60010 points." and art["total_rows"] == 60_010
+    assert spark.read.parquet(art["path"]).count() == art["frame"].count() == 60_010 and len(art["rows"]) <= 50
+    c = api.create_visualization(s, lambda taxo, host: taxo, "scatter", "lon", "lat")["artifacts"][0]
+    assert c["total_rows"] == c["frame"].count() == 60_010
+    none = api.create_map(s, lambda taxo, host: taxo.selectExpr("CAST(NULL AS DOUBLE) AS lon", "lat", "sample_id"))
+    assert not none["success"] and "no point" in none["content"]
+
+
+def test_lookups_show_details(spark):
+    arts = spark.createDataFrame([(i, f"virus number{i}", f"T{i}", ["A B"], "J", "2001", None) for i in range(40)],
+                                 "pmid BIGINT, text STRING, title STRING, authors ARRAY<STRING>, journal STRING, year STRING, doi STRING")
+    r = api.pubmed_search(arts, "virus")                      # a word in every article still finds five
+    assert r["artifacts"][0]["pmids"] == [0, 1, 2, 3, 4] and "T0" in r["content"] and "2001" in r["content"]
+    taxa = spark.createDataFrame([(9, "Lyssavirus", "genus", "Viruses", "a; b", ["RABV"])],
+                                 "tax_id BIGINT, name STRING, rank STRING, division STRING, lineage STRING, synonyms ARRAY<STRING>")
+    names = search.name_table(taxa, "tax_id", {"scientific name": F.col("name")})
+    t = api.ncbi_taxonomy_search(names, " lyssaVIRUS", taxa)
+    assert t["success"] and "lineage: a; b" in t["content"] and "synonyms: RABV" in t["content"]
 
 
 def test_chart_kinds(spark):
-    s = session(spark, SF)
+    s = session(spark, SF, materialise=True)
     api.query_host_sql(s, "SELECT VIRUS_GENUS, SCORE, HOST_COUNT FROM host WHERE VIRUS_FAMILY = 'Brand#3'")
     frame = lambda taxo, host: host
     pie = api.create_visualization(s, frame, "pie", "VIRUS_GENUS")

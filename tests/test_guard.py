@@ -58,6 +58,34 @@ def test_guarded_sql_keeps_previous_result_on_failure(spark):
     assert spark.table("df_host").count() == 3
 
 
+@pytest.mark.parametrize("sql", [
+    "SELECT TRANSFORM(v) USING 'cat' AS (g STRING) FROM host",
+    "SELECT g FROM (SELECT TRANSFORM(v) USING 'cat' AS (g STRING) FROM host) t",
+    "SELECT v FROM host WHERE v IN (SELECT TRANSFORM(v) USING 'cat' AS (g STRING) FROM host)",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM host",
+    "SELECT java_method('java.lang.System', 'getProperty', 'user.home') FROM host",
+    "SELECT v FROM host WHERE length(try_reflect('java.lang.System', 'getProperty', 'user.home')) > (SELECT max(v) FROM host)",
+    "SELECT v FROM host WHERE EXISTS (SELECT 1 FROM host h WHERE reflect('java.lang.Math', 'abs', 1) = '1')",
+    "SELECT a FROM some_other_table",
+    "SELECT v FROM host JOIN default.secrets USING (v)",
+    "SELECT v FROM host WHERE v IN (SELECT v FROM hidden)",
+])
+def test_plan_refusals(spark, sql):
+    spark.range(3).selectExpr("id AS v").createOrReplaceTempView("host")
+    with pytest.raises(G.GuardError):
+        G.guarded_sql(EngineSession(spark), sql)
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT transform(array(v), x -> x + 1) AS t FROM host",
+    "(SELECT c.v FROM (WITH c AS (SELECT v FROM host) SELECT c.v FROM c) c)",
+    "SELECT h.v FROM host h JOIN host g ON h.v = g.v WHERE EXISTS (SELECT 1 FROM host)",
+])
+def test_plan_passes(spark, sql):
+    spark.range(3).selectExpr("id AS v").createOrReplaceTempView("host")
+    assert G.guarded_sql(EngineSession(spark), sql).count() == 3
+
+
 def test_file_path_tables_are_unresolvable(spark, scratch_dir):
     spark.range(3).write.mode("overwrite").parquet(scratch_dir + "/p")
     s = EngineSession(spark)
@@ -66,9 +94,11 @@ def test_file_path_tables_are_unresolvable(spark, scratch_dir):
 
 
 def test_query_frames_needs_df_host(spark):
-    s = EngineSession(spark)
-    with pytest.raises(G.GuardError, match="df_host"):
-        G.query_frames(s, lambda taxo, host: host)
+    s = EngineSession(spark, taxonomy=spark.range(4))
+    for fn in (lambda taxo, host: host, lambda taxo, host: host.limit(1), lambda taxo, host: taxo.join(host["x"])):
+        with pytest.raises(G.GuardError, match="df_host"):
+            G.query_frames(s, fn)
+    assert G.query_frames(s, lambda taxo, host: taxo).count() == 4    # the taxonomy alone needs none
 
 
 def test_preview_wording(spark):
@@ -119,12 +149,24 @@ def test_file_path_tables_refused_by_text():
     assert G.check_sql("SELECT `weird name` FROM host") is None
 
 
-def test_persisted_results_are_released_on_replacement(spark):
-    spark.range(20).selectExpr("id AS v").createOrReplaceTempView("host")
-    s = EngineSession(spark, persist_results=True)
-    first = G.guarded_sql(s, "SELECT v FROM host WHERE v < 5")
-    assert first.is_cached
-    second = G.guarded_sql(s, "SELECT v FROM host WHERE v >= 5")
-    assert second.is_cached and not first.is_cached
-    assert spark.table("df_host").count() == 15
-    second.unpersist()
+def test_results_are_computed_once_and_released(spark):
+    import os
+
+    spark.range(1000).repartition(7).selectExpr("id AS v", "rand() AS r").createOrReplaceTempView("host")
+    s = EngineSession(spark)
+    first = G.guarded_sql(s, "SELECT v, r FROM host LIMIT 9")
+    assert first.collect() == first.collect() == spark.table("df_host").collect()
+    old = s._path
+    G.guarded_sql(s, "SELECT v, v FROM host WHERE v >= 5")               # repeated names are fine
+    assert s.df_host.count() == 995 and not os.path.exists(old.removeprefix("file:"))
+    lazy = EngineSession(spark, materialise=False)
+    assert G.guarded_sql(lazy, "SELECT v FROM host WHERE v < 2").count() == 2 and lazy._path is None
+
+
+def test_st_functions_in_sql(spark):
+    from hostlens.functions.wkb import st_point
+
+    pts = spark.createDataFrame([(1.5, -2.0), (None, 3.0)], "x DOUBLE, y DOUBLE")
+    pts.select(st_point(F.col("x"), F.col("y")).alias("geometry")).createOrReplaceTempView("host")
+    got = G.guarded_sql(EngineSession(spark), "SELECT ST_X(geometry) AS lon, ST_Y(geometry) AS lat FROM host").collect()
+    assert sorted(map(tuple, got), key=str) == [(1.5, -2.0), (None, None)]

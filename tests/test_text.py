@@ -66,7 +66,7 @@ def test_clean_term(spark):
 
 def _args(spark, raw):
     df = spark.createDataFrame([(raw,)], "t STRING")
-    m = df.select(A.parse_args(F.col("t")).alias("m")).first()["m"]
+    m = A.with_parsed_args(df, "t", "m").first()["m"]
     return m
 
 
@@ -77,12 +77,30 @@ def test_tolerant_json(spark):
         {"search_term": '"HIV"', "max_results": "5"}
     assert _args(spark, 'garbage text') == {"_raw": '"garbage text"'}
     assert _args(spark, '{"a": 1, "a": 2') == {"a": "2"}   # last key wins
+    assert _args(spark, '{"a": [1], "b": 3, "a": {"x": 2}}') == {"a": '{"x":2}', "b": "3"}
+    assert _args(spark, '{"a":1}{"b":2}') == {"a": "1", "b": "2"}   # not one object: both are recovered
+    assert _args(spark, "{}") == {} and _args(spark, "[1]") == {"_raw": '"[1]"'}
+    assert _args(spark, None) is None
+
+
+def test_sanitize_survives_repeated_keys(spark):
+    df = spark.createDataFrame([('{"sql": "a", "sql": "b", "zz": 1}',)], "t STRING")
+    props, req = F.array(F.lit("sql"), F.lit("n")), F.array(F.lit("sql"))
+    got = A.with_parsed_args(df, "t").select(A.sanitize_args(F.col("args"), props, req, F.create_map(F.lit("n"), F.lit("5")))).first()[0]
+    assert got == {"sql": '"b"', "n": "5"}
+
+
+def test_unicode_whitespace(spark):
+    df = spark.createDataFrame([("\u00a0PMID:\u00a012345678 \u2003x\u00a0",)], "t STRING")
+    r = df.select(X.pmid_mentions(F.col("t")).alias("p"), X.snippet(F.col("t")).alias("s"),
+                  X.strip_pmids(F.col("t"), F.array(F.lit("12345678"))).alias("f")).first()
+    assert r.p == ["12345678"] and r.s == "PMID: 12345678 x" and r.f == "x"
 
 
 def test_search_keyword(spark):
     def kw(raw):
         df = spark.createDataFrame([(raw,)], "t STRING")
-        return df.select(A.search_keyword(A.parse_args(F.col("t")))).first()[0]
+        return A.with_parsed_args(df, "t", "m").select(A.search_keyword(F.col("m"))).first()[0]
     assert kw('{"query": "q", "search_term": "  HIV   type 1 "}') == "HIV type 1"
     assert kw('{"name": "Poxviridae", "query": "x"}') == "x"
     assert kw('{"query": "' + "a" * 100 + '"}') == "a" * 80 + "…"
