@@ -20,6 +20,7 @@ from hostlens.llm.common import checkpointed
 
 DIMS = ("source", "lang", "topic")
 TOLERANCE = 1e-4            # largest relative gap of a marginal that ends the fitting
+STALLED = 0.95              # a gap that shrinks by less in a sweep ends it as well
 SWEEPS = 30                 # at most
 BROADCAST_CELLS = 100_000   # a larger cell table (about 10 MB) is joined by a shuffle
 #: default targets: shares of tokens to these powers, so that common values lose and rare ones gain
@@ -65,7 +66,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> tuple[DataFrame, li
             w = w.join(f, d).withColumn("gap", F.greatest("gap", F.abs(F.col("f") - 1))).withColumn("weight", F.col("weight") * F.col("f")).drop("f")
         out = checkpointed(w)
         gaps.append(out.where("weight > 0").agg(F.max("gap")).first()[0] or 0.0)
-        if gaps[-1] <= TOLERANCE:
+        # targets that no weights can meet (a language that has one source, say) leave a gap that stays
+        if gaps[-1] <= TOLERANCE or len(gaps) > 3 and gaps[-1] > STALLED * gaps[-2]:
             break
     return out.drop("gap"), gaps
 
