@@ -6,6 +6,7 @@ is read whole into the driver or into one task.
 
 from __future__ import annotations
 
+import re
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +24,15 @@ TAXONOMY_SCHEMA = T.StructType([
 
 def load_taxonomy(spark: SparkSession, path: str, schema: T.StructType | None = None,
                   **options) -> DataFrame:
-    """Header CSV, one row per taxon.  With no schema the header's columns
-    are read as strings (no inference pass over the data)."""
-    reader = spark.read.option("header", True).options(**options)
-    if schema is not None:
-        return reader.schema(schema).csv(path)
-    return reader.option("inferSchema", False).csv(path)
+    """Header CSV, one row per taxon; doubled quotes and line breaks inside
+    quoted fields are read as text.  Columns go by the header's names, all as
+    strings (no inference pass over the data); with ``schema`` its columns
+    are picked by name and cast, and one the file lacks is an error."""
+    df = (spark.read.option("header", True).option("inferSchema", False)
+          .option("quote", '"').option("escape", '"').option("multiLine", True).options(**options).csv(path))
+    if schema is None:
+        return df
+    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
 
 
 # -- S4 -------------------------------------------------------------------------------
@@ -64,6 +68,19 @@ def load_column_dictionary(spark: SparkSession, path: str, dataset: str) -> Data
                     F.col("Type").alias("type"))
 
 
+def load_dictionary_document(spark: SparkSession, path: str) -> DataFrame:
+    """Everything a JSON column dictionary says beside its columns (name,
+    description, primary key, row definition, ...): one row (field, value)
+    per top-level member, arrays and objects as JSON text."""
+    doc = spark.read.option("multiLine", True).json(path)
+    rest = [f for f in doc.schema if f.name != "columns"]
+    plain = [F.struct(F.lit(f.name).alias("field"), (
+        F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, (T.ArrayType, T.StructType)) else F.col(f"`{f.name}`").cast("string")
+    ).alias("value")) for f in rest]
+    return doc.select(F.explode(F.array(*plain)).alias("m")).select("m.field", "m.value") if rest else \
+        spark.createDataFrame([], "field STRING, value STRING")
+
+
 def undocumented_columns(df: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Columns of ``df`` that the dictionary does not describe (tiny: one row
     per column of the schema)."""
@@ -203,9 +220,15 @@ def parse_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
         F.when(ok, F.regexp_extract(v, LOG_LINE, 3)).otherwise(v).alias("message"))
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_logs(spark: SparkSession, path: str, month: str | None = None) -> DataFrame:
     """Monthly agent logs (``agent_YYYY-MM.log``): one row per line with the
-    file, its month, a per-file line order key and the parsed fields."""
+    file, its month, a per-file line order key (byte block of the split, then
+    line in it) and the parsed fields.  With ``month`` only that month's file
+    below ``path`` is read."""
+    if month is not None:
+        if not re.fullmatch(r"\d{4}-\d{2}", month):
+            raise ValueError(f"not a month: {month!r}")
+        path = f"{path.rstrip('/')}/agent_{month}.log"
     raw = spark.read.text(path).select(
         "value", F.col("_metadata.file_name").alias("file"),
         # increasing in line order inside each split; splits of a file are
@@ -215,12 +238,12 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return parse_log_lines(raw)
 
 
-def log_tail(logs: DataFrame, month: str, lines: int = TAIL_DEFAULT) -> DataFrame:
+def log_tail(spark: SparkSession, path: str, month: str, lines: int = TAIL_DEFAULT) -> DataFrame:
     """The last ``lines`` lines of one month's log (clamped to 1..2000), in
-    file order; a top-k, so only ``lines`` rows leave each task."""
+    file order; no other month's file is opened, and only ``lines`` rows
+    leave each task."""
     n = max(1, min(int(lines), TAIL_MAX))
-    last = logs.filter(F.col("month") == month).orderBy(F.col("line_key").desc()).limit(n)
-    return last.orderBy("line_key")
+    return read_logs(spark, path, month).orderBy(F.col("line_key").desc()).limit(n).orderBy("line_key")
 
 
 # -- T2 helpers --------------------------------------------------------------------------------

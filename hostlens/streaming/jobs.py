@@ -4,17 +4,19 @@ The reference streams one turn's events to a browser; a Spark user builds
 the same folds over an append-only feed: event-time windows, a watermark
 for late data, duplicates dropped within the watermark, and ``update``
 output (in ``append`` mode the last open windows of a finite replay are
-never emitted).  The checkpoint lives under ``spark.checkpoint.dir``.
+never emitted).  Rows and checkpoints live under ``spark.checkpoint.dir`` by
+name, so a stream that is started again resumes.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hostlens.session import ensure_checkpoint_dir
 from hostlens.sources.files import parse_log_lines, tool_events
@@ -58,27 +60,93 @@ def tool_log_stream(spark: SparkSession, logs_dir: str, window: str = "1 hour",
             .select(F.col("w.start").alias("hour"), "tool", "marker", "n"))
 
 
+# Fixed values that must equal the reference's event types.
+TURN_END = ("done", "saved")
+TURN_EVENTS_SCHEMA = T.StructType([
+    T.StructField("conv_id", T.LongType()),
+    T.StructField("turn", T.LongType()),
+    T.StructField("seq", T.LongType()),
+    T.StructField("ts", T.TimestampType()),
+    T.StructField("type", T.StringType()),
+    T.StructField("name", T.StringType()),
+    T.StructField("ok", T.BooleanType()),
+])
+_TURN_OUT = "conv_id LONG, turn LONG, calls LONG, ok_calls LONG, failed_calls LONG, figures LONG, errors LONG, ended STRING"
+
+
+def turn_close_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """T1 by turn: the events of a turn are folded until ``done`` or ``saved``
+    closes it; one row per turn is emitted then (``ended`` names the event),
+    or with ``ended = 'timeout'`` once the watermark has passed the turn's
+    last event.  Repeated events (same seq) count once; events that come
+    after the end are ignored, so a closed turn never changes.
+
+    The state holds the seqs seen (bounded by the call budget) and counters;
+    a closed turn keeps its mark until the watermark passes."""
+    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, calls, ok, bad, figures, errors, ended, last = (
+            state.get if state.exists else ("", 0, 0, 0, 0, 0, "", 0))
+        known = set(seen.split(",")) if seen else set()
+
+        def row(how: str) -> pd.DataFrame:
+            return pd.DataFrame([(*key, calls, ok, bad, figures, errors, how)],
+                                columns=["conv_id", "turn", "calls", "ok_calls", "failed_calls", "figures", "errors", "ended"])
+
+        if state.hasTimedOut:
+            state.remove()
+            if not ended:
+                yield row("timeout")
+            return
+        was_open = not ended
+        for b in batches:
+            for e in b.sort_values("seq").itertuples():
+                last = max(last, int(e.ts.timestamp() * 1000))
+                if ended or str(e.seq) in known:
+                    continue
+                known.add(str(e.seq))
+                calls += e.type == "tool_call"
+                ok += e.type == "tool_result" and bool(e.ok)
+                bad += e.type == "tool_result" and not e.ok
+                figures += e.type == "figure"
+                errors += e.type == "error"
+                if e.type in TURN_END:
+                    ended = e.type
+        state.update((",".join(sorted(known)), calls, ok, bad, figures, errors, ended, last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+        if ended and was_open:
+            yield row(ended)
+
+    return (events.withWatermark("ts", watermark).groupBy("conv_id", "turn").applyInPandasWithState(
+        fold, _TURN_OUT, "seen STRING, calls LONG, ok LONG, bad LONG, figures LONG, errors LONG, ended STRING, last LONG",
+        "append", GroupStateTimeout.EventTimeTimeout))
+
+
 def run_to_table(df: DataFrame, table: str, output_mode: str = "update",
-                 checkpoint: str | None = None) -> StreamingQuery:
-    """Drain everything available (``availableNow``) into a table through
-    ``foreachBatch``; the newest row per key wins in ``update`` mode, which
-    the caller folds with ``latest_rows``.  Returns the finished query."""
+                 checkpoint: str | None = None) -> DataFrame:
+    """Drain everything available (``availableNow``) into the folder of
+    ``table`` below ``spark.checkpoint.dir`` and return all rows written so
+    far, with their ``epoch``.
+
+    The stream's checkpoint has the table's name: a later run goes on where
+    the last one stopped.  A batch writes its own epoch's folder, whole, so
+    one that is run again after a failure replaces its rows.  In ``update``
+    mode the caller folds the rows with ``latest_rows``."""
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    ckpt = checkpoint or f"{root.rstrip('/')}/streams/{table}-{uuid.uuid4().hex}"
+    home = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{table}"
+    schema = T.StructType([*df.schema.fields, T.StructField("epoch", T.LongType())])
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").saveAsTable(table)
+        batch.write.mode("overwrite").parquet(f"{home}/rows/epoch={epoch}")
 
     q = (df.writeStream.outputMode(output_mode).foreachBatch(sink)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+         .option("checkpointLocation", checkpoint or f"{home}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return q
+    return spark.read.schema(schema).parquet(f"{home}/rows")
 
 
 def latest_rows(updates: DataFrame, key: list[str]) -> DataFrame:
     """Fold ``update``-mode output: the row of the latest epoch per key."""
-    cols = [c for c in updates.columns if c not in key and c != "_epoch"]
+    cols = [c for c in updates.columns if c not in key and c != "epoch"]
     return (updates.groupBy(*key)
-            .agg(F.max_by(F.struct(*cols), F.col("_epoch")).alias("_r"))
+            .agg(F.max_by(F.struct(*cols), F.col("epoch")).alias("_r"))
             .select(*key, *[F.col("_r")[c].alias(c) for c in cols]))

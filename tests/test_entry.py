@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from hostlens.plans.registry import ORACLES, QUERIES, load_all
 from hostlens.sources.tables import RAW_TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +22,9 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    load_all()
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.fixture(scope="module")
@@ -48,12 +51,15 @@ def norm(v):
     return v
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+load_all()
+
+
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, key):
-    sdf = E.queries()[key](spark, SF)
+    sdf = QUERIES[key](spark, SF)
     cols = sorted(sdf.columns)
     srows = sorted((tuple(norm(r[c]) for c in cols) for r in sdf.collect()), key=repr)
-    rel = duck.sql(E.oracle_sql()[key])
+    rel = duck.sql(ORACLES[key])
     assert sorted(rel.columns) == cols
     idx = [rel.columns.index(c) for c in cols]
     orows = sorted((tuple(norm(r[i]) for i in idx) for r in rel.fetchall()), key=repr)

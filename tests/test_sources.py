@@ -51,6 +51,11 @@ def test_taxonomy_csv(spark, scratch_dir):
     rows = df.orderBy("ORGANISM_NAME").collect()
     assert rows[0].ORGANISM_NAME == "HIV-1" and rows[0].FAMILY_NAME is None
     assert rows[1].SPECIES_NAME is None
+    q = write(os.path.join(scratch_dir, "more.csv"),
+              'TAXID,FAMILY_NAME,ORGANISM_NAME,SPECIES_NAME\n7,F,"Rabies ""x"" v","two\nlines"\n')
+    r = SF.load_taxonomy(spark, q, SF.TAXONOMY_SCHEMA).first()      # by name, not by position
+    assert (r.ORGANISM_NAME, r.SPECIES_NAME, r.FAMILY_NAME) == ('Rabies "x" v', "two\nlines", "F")
+    assert SF.load_taxonomy(spark, q).columns == ["TAXID", "FAMILY_NAME", "ORGANISM_NAME", "SPECIES_NAME"]
 
 
 def test_column_dictionaries(spark, scratch_dir):
@@ -60,6 +65,8 @@ def test_column_dictionaries(spark, scratch_dir):
          "primary_key": "ORGANISM_NAME", "row": "one taxon"}))
     assert SF.load_column_dictionary(spark, c, "host").first().column_name == "COUNTRY"
     assert SF.load_column_dictionary(spark, j, "taxonomy").first().column_name == "ORGANISM_NAME"
+    assert {r.field: r.value for r in SF.load_dictionary_document(spark, j).collect()} == {
+        "primary_key": "ORGANISM_NAME", "row": "one taxon"}
     import warnings
     with warnings.catch_warnings(record=True) as w:
         warnings.simplefilter("always")
@@ -104,9 +111,13 @@ def test_logs_parse_and_tail(spark, scratch_dir):
     write(os.path.join(d, "agent_2026-01.log"), "\n".join(lines) + "\n")
     logs = SF.read_logs(spark, d)
     assert logs.filter(F.col("level").isNull()).count() == 1
-    tail = [r.value for r in SF.log_tail(logs, "2026-01", 3).collect()]
+    tail = [r.value for r in SF.log_tail(spark, d, "2026-01", 3).collect()]
     assert tail == lines[-3:]
-    assert SF.log_tail(logs, "2026-01", 0).count() == 1           # clamped to 1
+    assert SF.log_tail(spark, d, "2026-01", 0).count() == 1           # clamped to 1
+    write(os.path.join(d, "agent_2026-02.log"), "later\n")
+    assert SF.log_tail(spark, d, "2026-01", 5).count() == 5
+    files = SF.read_logs(spark, d, "2026-01").inputFiles()
+    assert len(files) == 1 and files[0].endswith("agent_2026-01.log")
     ev = SF.tool_events(logs).first()
     assert (ev.marker, ev.tool) == ("TOOL_CALL", "query_host_sql")
 
@@ -144,3 +155,44 @@ def test_host_scan_and_lineage_cut(spark, scratch_dir):
     cut = cut_lineage(df.filter("obs > 1"))
     assert cut.count() == 3
     assert "LogicalRDD" in cut._jdf.queryExecution().logical().toString()
+
+
+def test_landing_notices_a_changed_part_file(spark, scratch_dir):
+    import shutil
+
+    from hostlens.sources.tables import RAW_TABLES, _fingerprint, land_host
+
+    src = "/root/testdata/sf0.001"
+    for t in RAW_TABLES:
+        if t != "lineitem":
+            shutil.copy(f"{src}/{t}.parquet", f"{scratch_dir}/{t}.parquet")
+    rows = spark.read.parquet(f"{src}/lineitem.parquet")
+    part = f"{scratch_dir}/lineitem.parquet/day=1"
+    rows.limit(100).coalesce(1).write.parquet(part)
+    before, mark = land_host(spark, scratch_dir).count(), _fingerprint(spark, scratch_dir)
+    rows.limit(100).coalesce(1).write.mode("append").parquet(part)
+    assert _fingerprint(spark, scratch_dir) != mark
+    assert land_host(spark, scratch_dir).count() > before
+
+
+def test_shared_folder_is_required_off_local(spark, monkeypatch):
+    import pytest
+
+    from hostlens import session as S
+
+    class Context:
+        master, applicationId = "yarn", "app-x"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Fake:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(*_):
+                return None
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        S.ensure_checkpoint_dir(Fake())

@@ -21,8 +21,7 @@ def test_turn_rollup_stream_equals_batch(spark, scratch_dir):
     dup.write.mode("overwrite").parquet(os.path.join(src, "dups"))
     stream = ST.turn_rollup_stream(spark, os.path.join(src, "*"), window="1 day", watermark="30 days",
                                    max_files=2)
-    ST.run_to_table(stream, "t1_rollup")
-    got = ST.latest_rows(spark.table("t1_rollup"), ["user_id", "window_start"]) \
+    got = ST.latest_rows(ST.run_to_table(stream, f"t1_rollup-{os.path.basename(scratch_dir)}"), ["user_id", "window_start"]) \
         .withColumn("window_start", F.col("window_start").cast("timestamp_ntz").cast("string"))
     batch = TU.turn_rollup(ev, "1 day")
     cols = ["user_id", "window_start", "n_events", "n_ok", "n_failed"]
@@ -42,8 +41,7 @@ def test_tool_log_stream_counts(spark, scratch_dir):
     with open(os.path.join(d, "agent_2026-01.log"), "w") as f:
         f.write("\n".join(lines) + "\n")
     stream = ST.tool_log_stream(spark, d, window="1 hour", watermark="2 hours")
-    ST.run_to_table(stream, "t2_tools")
-    got = ST.latest_rows(spark.table("t2_tools"), ["hour", "tool", "marker"])
+    got = ST.latest_rows(ST.run_to_table(stream, f"t2_tools-{os.path.basename(scratch_dir)}"), ["hour", "tool", "marker"])
     batch = (tool_events(parse_log_lines(spark.read.text(d))).filter(F.col("ts").isNotNull())
              .groupBy(F.window("ts", "1 hour").start.alias("hour"), "tool", "marker")
              .agg(F.count(F.lit(1)).alias("n")))
@@ -84,8 +82,38 @@ def test_duplicates_ignored_and_late_event_behaviour(spark, scratch_dir):
                (2, t0 + dt.timedelta(hours=1), 7, "error", 1.0, "{}")])     # duplicate id
     stream = ST.turn_rollup_stream(spark, os.path.join(src, "*"), window="1 day",
                                    watermark="1 day", max_files=1)
-    ST.run_to_table(stream, "t1_late")
-    got = ST.latest_rows(spark.table("t1_late"), ["user_id", "window_start"]) \
+    got = ST.latest_rows(ST.run_to_table(stream, f"t1_late-{os.path.basename(scratch_dir)}"), ["user_id", "window_start"]) \
         .withColumn("day", F.col("window_start").cast("date").cast("string"))
     rows = {r.day: (r.n_events, r.n_ok, r.n_failed) for r in got.collect()}
     assert rows == {"2024-01-10": (3, 2, 1), "2024-01-13": (1, 1, 0)}
+
+
+def test_turns_close_and_streams_resume(spark, scratch_dir):
+    """Turns close on done or saved, repeats and late events change nothing, an
+    open turn ends by timeout; a second run of the same name only sees new files."""
+    import datetime as dt
+
+    src, name = os.path.join(scratch_dir, "turns"), f"turns-{os.path.basename(scratch_dir)}"
+    os.makedirs(src)
+    t0 = dt.datetime(2024, 1, 10, 12)
+
+    def put(rows):
+        spark.createDataFrame([(c, t, s, t0 + dt.timedelta(minutes=m), k, None, ok) for c, t, s, m, k, ok in rows],
+                              ST.TURN_EVENTS_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+
+    def run():
+        events = spark.readStream.schema(ST.TURN_EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+        rows = ST.run_to_table(ST.turn_close_stream(events, "10 minutes"), name, "append").drop("epoch").collect()
+        return sorted(map(tuple, rows))
+
+    put([(1, 1, 1, 0, "tool_call", None), (1, 1, 2, 1, "tool_result", True), (1, 1, 2, 1, "tool_result", True),
+         (1, 1, 3, 2, "figure", None), (2, 1, 1, 0, "tool_call", None)])
+    assert run() == []
+    put([(1, 1, 4, 3, "tool_call", None), (1, 1, 5, 3, "tool_result", False), (1, 1, 6, 4, "done", None)])
+    closed = (1, 1, 2, 1, 1, 1, 0, "done")
+    assert run() == [closed]
+    put([(1, 1, 7, 4, "tool_call", None), (3, 9, 1, 5, "error", None), (3, 9, 2, 6, "saved", None)])      # after the end
+    assert run() == [closed, (3, 9, 0, 0, 0, 0, 1, "saved")]
+    put([(4, 1, 1, 600, "tool_call", None)])                                                               # moves the watermark on
+    put([(4, 1, 2, 601, "done", None)])
+    assert run() == [closed, (2, 1, 1, 0, 0, 0, 0, "timeout"), (3, 9, 0, 0, 0, 0, 1, "saved"), (4, 1, 1, 0, 0, 0, 0, "done")]
