@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostlens.functions.text import clean_term, collapse_ws, cut, strip_ws
+from hostlens.session import cut_lineage
 
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 NAME_CLASS_PRIORITY = {"scientific name": 1, "synonym": 2, "acronym": 3, "common name": 4}
@@ -129,6 +130,7 @@ def name_fallback_search(terms: DataFrame, taxa: DataFrame, name_col: str,
                                   F.struct(F.lit(2).alias("level"),
                                            F.element_at(F.split(strip_ws(F.col("term")), r"(?U)\s+"), 1).alias("text")))).alias("a")) \
         .select("term", "a.level", "a.text")
+    asked = cut_lineage(asked)  # read several times below
     found = contains_join(asked.select(F.col("text").alias("term")).distinct(), names).withColumnRenamed("term", "text")
     hits = asked.join(found, "text")
     best = hits.groupBy("term").agg(F.min("level").alias("level"))
