@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import checkpointed
+from hostlens.llm.common import drop_stored, stored
 
 DIMS = ("source", "lang", "topic")
 TOLERANCE = 1e-4            # largest relative gap of a marginal that ends the fitting
@@ -56,15 +56,16 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> tuple[DataFrame, li
     for d, t in targets.items():
         here = cells.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("n")).where("n > 0").join(t, "value")
         s = here.agg(F.sum("target")).first()[0] or 1.0
-        want[d] = checkpointed(here.select(F.col("value").alias(d), (F.col("target") / s * total).alias("want")))
-    out, gaps = checkpointed(cells.withColumn("weight", F.lit(1.0)).withColumn("gap", F.lit(0.0))), []
+        want[d], _ = stored(here.select(F.col("value").alias(d), (F.col("target") / s * total).alias("want")))
+    (out, path), gaps = stored(cells.withColumn("weight", F.lit(1.0)).withColumn("gap", F.lit(0.0))), []
     for _ in range(SWEEPS):
         w = out.drop("gap").withColumn("gap", F.lit(0.0))
         for d in targets:
             have = w.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have"))
             f = have.join(want[d], d, "left").select(d, F.when(F.col("have") > 0, F.coalesce("want", F.lit(0.0)) / F.col("have")).otherwise(1.0).alias("f"))
             w = w.join(f, d).withColumn("gap", F.greatest("gap", F.abs(F.col("f") - 1))).withColumn("weight", F.col("weight") * F.col("f")).drop("f")
-        out = checkpointed(w)
+        old, (out, path) = path, stored(w)
+        drop_stored(cells.sparkSession, old)
         gaps.append(out.where("weight > 0").agg(F.max("gap")).first()[0] or 0.0)
         # targets that no weights can meet (a language that has one source, say) leave a gap that stays
         if gaps[-1] <= TOLERANCE or len(gaps) > 3 and gaps[-1] > STALLED * gaps[-2]:
@@ -90,7 +91,7 @@ def mix(docs: DataFrame, topic: Column | None = None, powers: dict[str, float] |
     rows = docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
                        F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"),
                        (rough_topic(text) if topic is None else topic).alias("topic"), n_tokens(text).alias("n_tokens"))
-    cells = checkpointed(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
+    cells, _ = stored(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
     weights, _ = rake(cells, targets or power_targets(cells, powers or POWERS))
     some = weights.agg(F.count("*").alias("n"), F.max(F.when(F.col("tokens") > 0, F.col("weight"))).alias("top")).first()
     weights = weights.select(*DIMS, "weight", F.least(F.lit(1.0), F.col("weight") / F.lit(some["top"] or 1.0)).alias("probability"))
