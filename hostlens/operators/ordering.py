@@ -1,9 +1,7 @@
 """Row numbering without a single-partition window.
 
 ``row_number() OVER (ORDER BY ...)`` with no PARTITION BY moves every row
-into one task, and ``OVER (PARTITION BY g ...)`` moves a whole group into one
-task, which fails when one group holds a large share of the data.  Both are
-computed here from a range-partitioned sort instead:
+into one task.  Here it is computed from a range-partitioned sort instead:
 
 1. only the sort-key columns are range-partitioned (``repartitionByRange``:
    sampled boundaries; a hot group is split across ranges);
@@ -16,10 +14,6 @@ computed here from a range-partitioned sort instead:
 Steps 2 and 3 must see the same ranges, and a second sampling could draw
 other boundaries, so the sorted keys are checkpointed to the shared folder
 and both steps read that copy.
-
-``rank_within`` turns the global position into a position inside a group by
-subtracting the global position of the group's first row (a partial+final
-aggregate with one row per group).
 """
 
 from __future__ import annotations
@@ -75,18 +69,3 @@ def global_rank(df: DataFrame, order: Sequence[OrderSpec], name: str = "rank",
         eq = df[c].eqNullSafe(ranks[f"_k{i}"])
         cond = eq if cond is None else cond & eq
     return df.join(ranks, cond).drop(*[c for c, _ in kspecs])
-
-
-def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[OrderSpec],
-                name: str = "rank") -> DataFrame:
-    """1-based position of each row inside its group, ordered by ``order``."""
-    ranked = global_rank(df, [*group, *order], name="_g")
-    first = ranked.groupBy(*[F.col(g).alias(f"_grp{i}") for i, g in enumerate(group)]) \
-        .agg(F.min("_g").alias("_first"))
-    cond = None
-    for i, g in enumerate(group):
-        eq = ranked[g].eqNullSafe(first[f"_grp{i}"])
-        cond = eq if cond is None else cond & eq
-    return (ranked.join(first, cond)
-            .withColumn(name, F.col("_g") - F.col("_first") + 1)
-            .drop("_g", "_first", *[f"_grp{i}" for i in range(len(group))]))

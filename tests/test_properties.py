@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from hostlens.operators import search as S
-from hostlens.operators.ordering import rank_within
+from hostlens.operators.ordering import global_rank
 
 SETTINGS = settings(max_examples=8, deadline=None,
                     suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -12,15 +12,12 @@ SETTINGS = settings(max_examples=8, deadline=None,
 
 @SETTINGS
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(-5, 5)), min_size=1, max_size=60))
-def test_rank_within_is_a_per_group_sort(spark, rows):
+def test_global_rank_is_a_sort(spark, rows):
     data = [(i, g, v) for i, (g, v) in enumerate(rows)]
     df = spark.createDataFrame(data, "id BIGINT, g BIGINT, v BIGINT")
-    got = {r.id: r.rank for r in rank_within(df, ["g"], [("v", False), "id"]).collect()}
-    expect = {}
-    for g in {r[1] for r in data}:
-        grp = sorted((r for r in data if r[1] == g), key=lambda r: (-r[2], r[0]))
-        expect.update({r[0]: i + 1 for i, r in enumerate(grp)})
-    assert got == expect
+    got = {r.id: r["rank"] for r in global_rank(df, ["g", ("v", False), "id"]).collect()}
+    expect = sorted(data, key=lambda r: (r[1], -r[2], r[0]))
+    assert got == {r[0]: i + 1 for i, r in enumerate(expect)}
 
 
 words = st.text(alphabet="abcRé ", min_size=1, max_size=8)
