@@ -34,6 +34,7 @@ BOUND = 1.5                    # standard errors below the log-odds
 STRONG = 2.0                   # a word above this counts as strong
 LEAST = 0.5                    # words below this say nothing
 CACHE = 300_000                # words a process remembers
+LONGEST = 64                   # characters decoded at once; a longer run without blanks is read in pieces
 SINGLES = 3                    # so many single characters in a row are read as one spaced word at least
 
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
@@ -181,7 +182,7 @@ class Reader:
         if got is None:
             if len(self._read) > CACHE:
                 self._read.clear()
-            got = self._read[word] = self._decode(word)
+            got = self._read[word] = [r for a in range(0, len(word), LONGEST) for r in self._decode(word[a:a + LONGEST])]
         return got
 
     def texts(self, texts: pd.Series) -> list[list[str]]:

@@ -124,6 +124,12 @@ def test_viterbi_is_the_best_reading():
         assert d(w) == best[1].split()
 
 
+def test_long_runs_without_blanks_are_read_in_pieces():
+    r = noisy_channel.Reader(char_model(["idiot"] * 50))
+    read = r.restored("1d10t" * 20_000)
+    assert len(read) > 1000 and r.restored("1d10t") == ["idiot"]
+
+
 def test_spaced_words_are_joined():
     assert noisy_channel.tokens("You I d i o t, go 1 a") == ["you", "i d i o t", "go", "1", "a"]
 
