@@ -38,9 +38,9 @@ def histogram(df: DataFrame, col: str, bins: int = 10, digits: int = 6) -> DataF
     """Equal-width bins between min and max; the top edge falls in the
     last bin.  Empty bins are not emitted (as a bar of height 0 is not drawn)."""
     x = F.col(col).cast("double")
-    stats = df.select(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    lo = stats.select("lo").scalar()
-    hi = stats.select("hi").scalar()
+    # one scalar subquery for both bounds: one pass over the data
+    bounds = df.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
+    lo, hi = bounds["lo"], bounds["hi"]
     width = (hi - lo) / F.lit(float(bins))
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((x - lo) / width), F.lit(bins - 1))).cast("int")

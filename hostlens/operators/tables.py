@@ -89,9 +89,9 @@ def set_null_on_delete(rows: DataFrame, deleted_users: DataFrame, fk: str = "use
 def platform_stats(users: DataFrame, conversations: DataFrame, messages: DataFrame) -> DataFrame:
     """Totals in long form (metric, key, n): users per role and in total from
     one ROLLUP pass, then conversation and message counts."""
-    by_role = users.rollup("role").agg(F.count(F.lit(1)).alias("n"))
+    by_role = users.rollup("role").agg(F.count(F.lit(1)).alias("n"), F.grouping("role").alias("_all"))
     users_part = by_role.select(
-        F.when(F.col("role").isNull(), F.lit("users_total")).otherwise(F.lit("users_by_role"))
+        F.when(F.col("_all") == 1, F.lit("users_total")).otherwise(F.lit("users_by_role"))
         .alias("metric"), F.col("role").alias("key"), "n")
     conv = conversations.agg(F.count(F.lit(1)).alias("n")) \
         .select(F.lit("conversations_total").alias("metric"), F.lit(None).cast("string").alias("key"), "n")

@@ -60,14 +60,18 @@ def owned_rows(spark, sf_dir):
 
 
 @query("cascade_delete", oracle("""
-SELECT m.id, m.conversation_id FROM messages m
+SELECT 'message' AS kind, m.id, m.conversation_id FROM messages m
 WHERE m.conversation_id NOT IN (
   SELECT c.id FROM conv_list c JOIN users u ON c.user_email = u.email WHERE u.role = 'admin')
+UNION ALL
+SELECT 'conversation', c.id, c.id FROM conv_list c
+WHERE c.user_email NOT IN (SELECT email FROM users WHERE role = 'admin')
 """, "users", "conv_list", "messages"))
 def cascade_delete(spark, sf_dir):
     session(spark, sf_dir)
-    _, msgs = T.cascade_delete(_deleted(spark), spark.table("conv_list"), spark.table("messages"))
-    return msgs.select("id", "conversation_id")
+    convs, msgs = T.cascade_delete(_deleted(spark), spark.table("conv_list"), spark.table("messages"))
+    return msgs.select(F.lit("message").alias("kind"), "id", "conversation_id").unionByName(
+        convs.select(F.lit("conversation").alias("kind"), "id", F.col("id").alias("conversation_id")))
 
 
 @query("set_null_on_delete", oracle("""

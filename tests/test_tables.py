@@ -112,3 +112,11 @@ def test_email_rule(spark):
     df = spark.createDataFrame([(" Ann@Gmail.com ",), ("a@lab.org",), ("nope",), ("x@localhost",)], "e STRING")
     got = [r[0] for r in df.select(T.email_rule(F.col("e"))).collect()]
     assert got == ["blocked_domain", None, "invalid", "invalid"]
+
+
+def test_platform_stats_with_an_unknown_role(spark):
+    users = spark.createDataFrame([("a", "user"), ("b", None)], "email STRING, role STRING")
+    none = spark.createDataFrame([], "id BIGINT")
+    rows = [tuple(r) for r in T.platform_stats(users, none, none).collect()]
+    assert sorted(rows, key=str) == sorted([("users_by_role", "user", 1), ("users_by_role", None, 1), ("users_total", None, 2),
+                                            ("conversations_total", None, 0), ("messages_total", None, 0)], key=str)
