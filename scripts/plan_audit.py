@@ -8,12 +8,13 @@ import re
 import sys
 
 sys.path.insert(0, ".")
-import __spark_entry__ as E  # noqa: E402
+from hostlens.plans.registry import QUERIES, load_all  # noqa: E402
 from hostlens.session import build_spark  # noqa: E402
 
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 spark = build_spark()
-for k, fn in sorted(E.queries().items()):
+load_all()
+for k, fn in sorted(QUERIES.items()):
     plan = fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
     flags = []
     if "CartesianProduct" in plan:
