@@ -143,10 +143,17 @@ def _parsed(spark, sf_dir):
     return A.with_parsed_args(ca, "raw").select("call_id", "tool", "args")
 
 
+def _entries(df, args):
+    """(call_id, key, lit) per member of ``args``.  For a plain explode the
+    optimizer would test size(args) in a pushed-down filter and so parse
+    every text again, several times over."""
+    return df.select("call_id", F.explode_outer(args).alias("key", "lit")).filter(F.col("key").isNotNull())
+
+
 @query("tolerant_json", oracle(_PARSED_ORACLE + "SELECT call_id, key, value FROM parsed", "tool_calls"))
 def tolerant_json(spark, sf_dir):
     p = _parsed(spark, sf_dir)
-    return p.select("call_id", F.explode("args").alias("key", "lit")) \
+    return _entries(p, F.col("args")) \
         .select("call_id", "key", A.arg_text(F.col("lit")).alias("value"))
 
 
@@ -198,7 +205,7 @@ def sanitize_args(spark, sf_dir):
     props = F.coalesce(F.col("properties"), F.array().cast("array<string>"))
     req = F.coalesce(F.col("required"), F.array().cast("array<string>"))
     clean = A.sanitize_args(F.col("args"), props, req, defaults)
-    return j.select("call_id", F.explode(clean).alias("key", "lit")) \
+    return _entries(j, clean) \
         .select("call_id", "key", A.arg_text(F.col("lit")).alias("value"))
 
 
