@@ -8,24 +8,32 @@ can be with no probability above one, so the expected tokens of the sample
 have the target marginals exactly and no document is repeated.
 
 Only the cell table takes part in the iteration; it has one row per
-combination that occurs, however many documents there are.
+combination that occurs, however many documents there are.  Targets that
+contradict each other leave a gap; it is logged and returned with the rows.
 """
 
 from __future__ import annotations
 
+import logging
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hostlens.llm.common import drop_stored, stored
 
 DIMS = ("source", "lang", "topic")
 TOLERANCE = 1e-4            # largest relative gap of a marginal that ends the fitting
-STALLED = 0.95              # a gap that shrinks by less in a sweep ends it as well
-SWEEPS = 30                 # at most
-BROADCAST_CELLS = 100_000   # a larger cell table (about 10 MB) is joined by a shuffle
+PATIENCE = 200              # sweeps
+STALLED = 0.99              # a gap that shrinks by less in PATIENCE sweeps ends it as well
+SWEEPS = 20_000             # at most
+BROADCAST_CELLS = 100_000   # a larger cell table (about 10 MB) is swept and joined by shuffles
 #: default targets: shares of tokens to these powers, so that common values lose and rare ones gain
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 
+_LOG = logging.getLogger(__name__)
+
 
 def n_tokens(text: Column) -> Column:
     """Words between ASCII blanks; a null text has none."""
@@ -46,39 +54,87 @@ def power_targets(cells: DataFrame, powers: dict[str, float]) -> dict[str, DataF
             for d, p in powers.items()}
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> tuple[DataFrame, list[float]]:
-    """cells (dimensions, tokens) with a weight each, and the largest relative gap
-    of a marginal after each sweep.  targets: per dimension value and share;
-    values without a target get nothing, values without tokens are left out
-    and the other shares of the dimension rescaled."""
+def _want(cells: DataFrame, targets: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Per dimension a stored table (the dimension, want): tokens each value should have."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     want = {}
     for d, t in targets.items():
         here = cells.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("n")).where("n > 0").join(t, "value")
         s = here.agg(F.sum("target")).first()[0] or 1.0
         want[d], _ = stored(here.select(F.col("value").alias(d), (F.col("target") / s * total).alias("want")))
+    return want
+
+
+def _done(gaps: list[float]) -> bool:
+    """Whether the targets are met, or cannot be: a table that only converges
+    slowly still gains over many sweeps, one whose targets contradict each other does not."""
+    return gaps[-1] <= TOLERANCE or len(gaps) > PATIENCE and min(gaps) > STALLED * min(gaps[:-PATIENCE])
+
+
+def _fit_here(cells: DataFrame, want: dict[str, DataFrame]) -> tuple[DataFrame, list[float]]:
+    """The sweeps over a table of at most BROADCAST_CELLS cells, in arrays."""
+    rows = cells.collect()
+    n = np.array([r["tokens"] or 0 for r in rows], dtype=float)
+    dims = []
+    for d, t in want.items():
+        at, goal = {}, {r[d]: r["want"] for r in t.join(cells.select(d).distinct(), d, "left_semi").collect()}
+        code = np.array([at.setdefault(r[d], len(at)) for r in rows], dtype=int)
+        dims.append((code, np.array([goal.get(v, 0.0) for v in at])))
+    w, gaps = np.ones(len(rows)), []
+    while rows and len(gaps) < SWEEPS:
+        gap = np.zeros(len(rows))
+        for code, goal in dims:
+            have = np.bincount(code, n * w, minlength=len(goal))
+            f = np.divide(goal, have, out=np.ones(len(goal)), where=have > 0)[code]
+            w, gap = w * f, np.maximum(gap, np.abs(f - 1))
+        gaps.append(float(gap[w > 0].max(initial=0.0)))
+        if _done(gaps):
+            break
+    schema = T.StructType([*cells.schema.fields, T.StructField("weight", T.DoubleType())])
+    out, _ = stored(cells.sparkSession.createDataFrame([(*r, float(x)) for r, x in zip(rows, w)], schema))
+    return out, gaps or [0.0]
+
+
+def _fit_far(cells: DataFrame, want: dict[str, DataFrame]) -> tuple[DataFrame, list[float]]:
+    """The same sweeps as DataFrame steps; each sweep is written once."""
     (out, path), gaps = stored(cells.withColumn("weight", F.lit(1.0)).withColumn("gap", F.lit(0.0))), []
-    for _ in range(SWEEPS):
+    while len(gaps) < SWEEPS:
         w = out.drop("gap").withColumn("gap", F.lit(0.0))
-        for d in targets:
+        for d in want:
             have = w.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have"))
             f = have.join(want[d], d, "left").select(d, F.when(F.col("have") > 0, F.coalesce("want", F.lit(0.0)) / F.col("have")).otherwise(1.0).alias("f"))
             w = w.join(f, d).withColumn("gap", F.greatest("gap", F.abs(F.col("f") - 1))).withColumn("weight", F.col("weight") * F.col("f")).drop("f")
         old, (out, path) = path, stored(w)
         drop_stored(cells.sparkSession, old)
         gaps.append(out.where("weight > 0").agg(F.max("gap")).first()[0] or 0.0)
-        # targets that no weights can meet (a language that has one source, say) leave a gap that stays
-        if gaps[-1] <= TOLERANCE or len(gaps) > 3 and gaps[-1] > STALLED * gaps[-2]:
+        if _done(gaps):
             break
     return out.drop("gap"), gaps
 
 
+def _fit(cells: DataFrame, want: dict[str, DataFrame]) -> tuple[DataFrame, list[float]]:
+    cells = cells.dropna(subset=list(want))
+    out, gaps = (_fit_here if cells.count() <= BROADCAST_CELLS else _fit_far)(cells, want)
+    if gaps[-1] > TOLERANCE:
+        _LOG.warning("raking ended after %d sweeps with a marginal %.3g off its target", len(gaps), gaps[-1])
+    return out, gaps
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> tuple[DataFrame, list[float]]:
+    """cells (dimensions, tokens) with a weight each, and the largest relative gap
+    of a marginal after each sweep.  targets: per dimension value and share;
+    values without a target get nothing, values without tokens are left out
+    and the other shares of the dimension rescaled."""
+    return _fit(cells, _want(cells, targets))
+
+
 def mix(docs: DataFrame, topic: Column | None = None, powers: dict[str, float] | None = None,
         targets: dict[str, DataFrame] | None = None, seed: int = 11, carry: bool = False) -> DataFrame:
     """Sampling probability and decision for each row of ``docs`` (doc_id, text, source, lang).
 
     Returns doc_id (with ``carry``: ``row``, a struct of the input's columns),
-    source, lang, topic, n_tokens, weight, probability and kept.  The decision
+    source, lang, topic, n_tokens, weight, probability, kept and gap (the largest
+    relative gap of a marginal that the fitting left).  The decision
     compares a hash of doc_id with the probability: it is the same in every
     run, and rows of equal doc_id stay or go together.
 
@@ -92,11 +148,12 @@ def mix(docs: DataFrame, topic: Column | None = None, powers: dict[str, float] |
                        F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"),
                        (rough_topic(text) if topic is None else topic).alias("topic"), n_tokens(text).alias("n_tokens"))
     cells, _ = stored(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
-    weights, _ = rake(cells, targets or power_targets(cells, powers or POWERS))
+    weights, gaps = rake(cells, targets or power_targets(cells, powers or POWERS))
     some = weights.agg(F.count("*").alias("n"), F.max(F.when(F.col("tokens") > 0, F.col("weight"))).alias("top")).first()
     weights = weights.select(*DIMS, "weight", F.least(F.lit(1.0), F.col("weight") / F.lit(some["top"] or 1.0)).alias("probability"))
     if some["n"] <= BROADCAST_CELLS:
         weights = F.broadcast(weights)
     u = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
     who = F.col("row") if carry else F.col("row.doc_id").alias("doc_id")
-    return rows.join(weights, list(DIMS)).select(who, *DIMS, "n_tokens", "weight", "probability", (u < F.col("probability")).alias("kept"))
+    return rows.join(weights, list(DIMS)).select(who, *DIMS, "n_tokens", "weight", "probability", (u < F.col("probability")).alias("kept"),
+                                                F.lit(gaps[-1]).alias("gap"))

@@ -39,6 +39,27 @@ def test_query_meets_targets(spark):
     assert abs(p.kept.mean() - p.probability.mean()) < 0.05
 
 
+@pytest.mark.parametrize("near", [raking.BROADCAST_CELLS, 0])
+def test_rake_goes_on_while_it_converges(spark, monkeypatch, near):
+    """Languages mostly in their own source: slow, but the targets can be met.  Above
+    BROADCAST_CELLS the sweeps are jobs, so that path gets a table that needs fewer."""
+    monkeypatch.setattr(raking, "BROADCAST_CELLS", near)
+    n = np.diag([6e8, 3e8, 1e8]) + (1e5 if near else 1.5e7)
+    cells = spark.createDataFrame([(f"s{i}", f"l{j}", "t", int(n[i, j])) for i, j in np.ndindex(n.shape)], "source string, lang string, topic string, tokens long")
+    targets = raking.power_targets(cells, raking.POWERS)
+    out, gaps = raking.rake(cells, targets)
+    assert gaps[-1] <= raking.TOLERANCE and len(gaps) > (100 if near else 4)
+    have = out.selectExpr("source", "lang", "tokens * weight as x").toPandas()
+    for d, axis in (("source", 1), ("lang", 0)):
+        t = n.sum(axis=axis) ** raking.POWERS[d]
+        assert np.allclose(have.groupby(d).x.sum() / have.x.sum(), t / t.sum(), rtol=1e-3)
+
+
+def test_contradicting_targets_end_with_their_gap(spark):
+    docs = docs_of(spark, [(i, "a b c", f"l{i % 3 % 2}", f"s{i % 3 % 2}") for i in range(30)])
+    assert {r["gap"] > raking.TOLERANCE for r in raking.mix(docs).collect()} == {True}
+
+
 def test_mix_awkward(spark, awkward, no_docs):
     rows = raking.mix(awkward).collect()
     assert len(rows) == len(AWKWARD) and all(r["probability"] is not None for r in rows)
