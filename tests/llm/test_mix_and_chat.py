@@ -55,6 +55,21 @@ def test_rake_goes_on_while_it_converges(spark, monkeypatch, near):
         assert np.allclose(have.groupby(d).x.sum() / have.x.sum(), t / t.sum(), rtol=1e-3)
 
 
+@pytest.mark.parametrize("near", [raking.BROADCAST_CELLS, 0])
+def test_one_rare_source_does_not_change_the_kept_share(spark, monkeypatch, near):
+    monkeypatch.setattr(raking, "BROADCAST_CELLS", near)
+    rows = [(i, prose(i, 100), f"l{i % 7 // 3}", f"s{i % 11 // 4}") for i in range(400)]
+    shares = {}
+    for name, more in (("none", []), ("short", [(1000, "a b c", "l0", "rare")]), ("null", [(1000, prose(7, 50), None, None)])):
+        p = raking.mix(docs_of(spark, rows + more)).toPandas()
+        shares[name] = (p.n_tokens * p.probability).sum() / p.n_tokens.sum()
+        assert p.gap.max() <= raking.TOLERANCE and p.probability.max() <= 1 and 0 <= p.shortfall.max() < 0.1
+        assert (p.shortfall.max() > 0) == bool(more)
+        if more:
+            assert p[p.doc_id == 1000].probability.item() > 0.99
+    assert all(x == pytest.approx(raking.SHARE, rel=1e-3) for x in shares.values())
+
+
 def test_contradicting_targets_end_with_their_gap(spark):
     docs = docs_of(spark, [(i, "a b c", f"l{i % 3 % 2}", f"s{i % 3 % 2}") for i in range(30)])
     assert {r["gap"] > raking.TOLERANCE for r in raking.mix(docs).collect()} == {True}
