@@ -34,7 +34,7 @@ BOUND = 1.5                    # standard errors below the log-odds
 STRONG = 2.0                   # a word above this counts as strong
 LEAST = 0.5                    # words below this say nothing
 CACHE = 300_000                # words a process remembers
-LONGEST = 64                   # characters decoded at once; a longer run without blanks is read in pieces
+LONGEST = 64                   # in a longer run without blanks, words may end anywhere
 SINGLES = 3                    # so many single characters in a row are read as one spaced word at least
 
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
@@ -129,6 +129,7 @@ class Decoder:
 
     def _lattice(self, word: str) -> list[list[tuple[str, float]]]:
         """For every run of a character, the readings with their channel costs."""
+        anywhere = len(word) > LONGEST and " " not in word
         out = []
         for m in re.finditer(r"(.)\1*", word, re.S):
             c, n = m[1], len(m[0])
@@ -142,15 +143,19 @@ class Decoder:
                 here += [(x + x, k + REPEAT_COST * (n - 2)) for x, k in reads]
             if not c.isalpha():
                 here += [("", DROP_COST + (1.5 if c.isdigit() else 0.0)), (c, SAME_COST)]
+            if anywhere:
+                here += [(" " + x, k + BREAK_COST) for x, k in here if x]
             out.append(here)
         return out
 
     def __call__(self, word: str) -> list[str]:
-        """The likeliest reading, as words.  Ties keep the first reading listed."""
-        best = {("^", "^"): (0.0, "")}
+        """The likeliest reading, as words.  Ties keep the first reading listed.
+        One pass over the whole word; a reading is a chain (chain before, added),
+        whose parts the readings share, so time and memory are linear."""
+        best: dict[tuple[str, str], tuple[float, tuple | None]] = {("^", "^"): (0.0, None)}
         for reads in [*self._lattice(word), [("$", 0.0)]]:
-            step: dict[tuple[str, str], tuple[float, str]] = {}
-            for (a, b), (cost, text) in best.items():
+            step: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, chain) in best.items():
                 for add, k in reads:
                     x, y, total = a, b, cost + k
                     for c in add:
@@ -161,10 +166,14 @@ class Decoder:
                             total += self._cost(x, y, c)
                             x, y = y, c
                     if (x, y) not in step or total < step[x, y][0]:
-                        step[x, y] = (total, text + add)
+                        step[x, y] = (total, (chain, add) if add else chain)
             best = step
-        _, text = min(best.values(), key=lambda v: v[0])
-        return text[:-1].split()
+        _, chain = min(best.values(), key=lambda v: v[0])
+        parts = []
+        while chain is not None:
+            chain, add = chain
+            parts.append(add)
+        return "".join(reversed(parts))[:-1].split()
 
 
 class Reader:
@@ -182,7 +191,7 @@ class Reader:
         if got is None:
             if len(self._read) > CACHE:
                 self._read.clear()
-            got = self._read[word] = [r for a in range(0, len(word), LONGEST) for r in self._decode(word[a:a + LONGEST])]
+            got = self._read[word] = self._decode(word)
         return got
 
     def texts(self, texts: pd.Series) -> list[list[str]]:

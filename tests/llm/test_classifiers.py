@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from hostlens.llm import langmix, noisy_channel, queries, subword
@@ -130,6 +132,16 @@ def test_long_runs_without_blanks_are_read_in_pieces():
     assert len(read) > 1000 and r.restored("1d10t") == ["idiot"]
 
 
+def test_a_word_is_found_anywhere_in_a_long_run():
+    r = noisy_channel.Reader(char_model(["idiot", "stupid", "the", "class"] * 50))
+    for n in range(40):
+        assert r.restored(" ".join("the" * n + "idiot" + "class" * 10)) == ["the"] * n + ["idiot"] + ["class"] * 10
+        assert r.restored("-".join(["th3"] * n + ["st.u.p.i.d"] + ["cl4ss"] * 15)) == ["the"] * n + ["stupid"] + ["class"] * 15
+        x = r.features(pd.Series([" ".join("the" * n + "idiot" + "class" * 10)]))
+        assert np.expm1(x[0, 4]) == pytest.approx(n + 11)
+    assert r.restored("1d10t" * 5_000) == ["idiot"] * 5_000
+
+
 def test_spaced_words_are_joined():
     assert noisy_channel.tokens("You I d i o t, go 1 a") == ["you", "i d i o t", "go", "1", "a"]
 
