@@ -6,8 +6,10 @@ Two texts that share ``span`` words share the least hash of that span, so an
 equi-join on kept hashes finds every such span; each hit is then extended to
 the whole span by comparing the words themselves.
 
-Documents are scanned once.  A document's kept hashes are exploded together
-with one marker row, so clean documents come out of the same join.
+While the benchmark is small, documents are scanned once: a document's kept
+hashes are exploded together with one marker row, so clean documents come out
+of the same broadcast join.  Otherwise bare hashes go through the shuffle, and
+what they meet goes to its document, whose words are compared there.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import LOWER, UPPER
+from hostlens.llm.common import LOWER, UPPER, stored
 
 SPAN = 10                      # words of a window
 K = 5                          # words of a hashed k-gram
@@ -55,6 +57,55 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     return full.unionByName(short).groupBy("len", "key", "win").agg(F.collect_set("item").alias("items"))
 
 
+def _starts(k: str, w: str) -> str:
+    """Where a kept hash k (len, at, key) that meets a window's w stands for the whole window."""
+    to = f"{k}.at + {RUN - 1} - {k}.at % {RUN}"  # the last start that this kept hash stands for
+    return f"""case when {k}.len < {SPAN} then if(slice(ws, {k}.at + 1, {k}.len) = {w}, array({k}.at), cast(array() as array<int>))
+        else filter(sequence({k}.at, least({to}, size(least) - 1)),
+                    i -> least[i] = {k}.key and slice(ws, i + 1, {SPAN}) = {w}) end"""
+
+
+def _hits(rows: DataFrame, wins: DataFrame, parts: list[str]) -> DataFrame:
+    """Per row: row, n_words, spans (a list per hit) and items, by a broadcast of the windows."""
+    marker = rows.sparkSession.range(1).select(
+        F.lit(0).alias("w_len"), F.lit(0).cast("long").alias("w_key"), F.lit(None).cast("array<string>").alias("win"),
+        F.lit(None).cast(wins.schema["items"].dataType).alias("items"))
+    parts = ["array(named_struct('len', 0, 'at', 0, 'key', bigint(0)))", *parts]
+    d = _least(_words(rows)).withColumn("n_words", F.expr("bigint(size(ws))")).withColumn("kept", F.expr(f"concat({', '.join(parts)})"))
+    cols = ["uid", "n_words", "row"]
+    # explode_outer: for explode the optimizer would add a filter that computes kept once more
+    d = d.select(*cols, "ws", "least", F.explode_outer("kept").alias("k"))
+    hit = d.join(F.broadcast(wins.unionByName(marker)), (F.col("k.len") == F.col("w_len")) & (F.col("k.key") == F.col("w_key")))
+    # no filter on starts here: it would move into the join, which then leaves the generated
+    # code together with explode and copies the word array for every kept hash
+    starts = f"case when w_len = 0 then cast(array() as array<int>) else {_starts('k', 'win')} end"
+    found = hit.select(*cols, F.col("w_len").alias("len"), "items", F.expr(starts).alias("starts"))
+    return found.groupBy("uid").agg(
+        F.max("n_words").alias("n_words"), F.first(F.expr("if(len = 0, row, null)"), ignorenulls=True).alias("row"),
+        F.collect_list(F.expr("if(len > 0, transform(starts, s -> named_struct('start', s, 'len', len)), null)")).alias("spans"),
+        F.collect_set(F.expr("if(size(starts) > 0, items, null)")).alias("items"))
+
+
+def _far_hits(rows: DataFrame, wins: DataFrame, parts: list[str]) -> DataFrame:
+    """The same by shuffles: (uid, hash) meets the windows, then a document gets
+    its windows.  Texts go through a shuffle once, by uid."""
+    carried = "text" in (f.name.lower() for f in rows.schema["row"].dataType.fields)
+    rows, _ = stored(rows.drop("text") if carried else rows)      # uid must be the same on both ways
+    text = F.col("row.text" if carried else "text").alias("text")
+    kept = _least(_words(rows.select("uid", text))).select("uid", F.explode_outer(F.expr(f"concat({', '.join(parts)})")).alias("k"))
+    met = kept.join(wins, (F.col("k.len") == F.col("w_len")) & (F.col("k.key") == F.col("w_key")))
+    met = met.groupBy("uid").agg(F.collect_list(F.struct("k", "win", "items")).alias("met"))
+    # words only where something was met; n_words of the others needs no hashes
+    d = rows.join(met, "uid", "left").withColumn("text", text)
+    d = _least(_words(d).withColumn("n_words", F.expr("bigint(size(ws))")).withColumn(
+        "wh", F.expr("if(met is null, cast(array() as array<bigint>), wh)")))
+    d = d.withColumn("found", F.expr(f"""filter(transform(coalesce(met, array()), m -> named_struct(
+        'len', m.k.len, 'items', m.items, 'starts', {_starts('m.k', 'm.win')})), f -> size(f.starts) > 0)"""))
+    return d.select("uid", "row", "n_words", F.expr(
+        "transform(found, f -> transform(f.starts, s -> named_struct('start', s, 'len', f.len)))").alias("spans"),
+        F.expr("transform(found, f -> f.items)").alias("items"))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, carry: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text) the words inside occurrences of ``items`` (item_id, text).
 
@@ -72,45 +123,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, carry: bool = False) -> Dat
         "64 + 16 * size(win) + octet_length(array_join(win, '')) + 8 * size(items)")).alias("b"),
         F.collect_set("len").alias("lens")).first()  # one row; lens holds at most SPAN numbers
     short = sorted(x for x in size["lens"] if x < SPAN)
-    marker = docs.sparkSession.range(1).select(
-        F.lit(0).alias("len"), F.lit(0).cast("long").alias("key"), F.lit(None).cast("array<string>").alias("win"),
-        F.lit(None).cast(wins.schema["items"].dataType).alias("items"))
-    wins = wins.unionByName(marker).withColumnsRenamed({"len": "w_len", "key": "w_key"})
+    wins = wins.withColumnsRenamed({"len": "w_len", "key": "w_key"})
 
     # a window's hash is kept where it changes and, so that no run grows, at every RUN-th start
     kept = f"""transform(filter(sequence(0, size(wh) - {SPAN}), i -> i % {RUN} = 0 or least[i] <> least[i - 1]),
                          i -> named_struct('len', {SPAN}, 'at', i, 'key', least[i]))"""
-    parts = ["array(named_struct('len', 0, 'at', 0, 'key', bigint(0)))",
-             f"if(size(wh) < {SPAN}, cast(array() as array<struct<len:int,at:int,key:bigint>>), {kept})"]
+    parts = [f"if(size(wh) < {SPAN}, cast(array() as array<struct<len:int,at:int,key:bigint>>), {kept})"]
     parts += [f"""if(size(wh) < {n}, cast(array() as array<struct<len:int,at:int,key:bigint>>),
                   transform(sequence(0, size(wh) - {n}), i -> named_struct('len', {n}, 'at', i, 'key', xxhash64(slice(wh, i + 1, {n})))))"""
               for n in short]
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.struct("doc_id")
-    d = _least(_words(docs.select(row.alias("row"), "text").withColumn("uid", F.monotonically_increasing_id())))
-    d = d.withColumn("n_words", F.expr("bigint(size(ws))")).withColumn("kept", F.expr(f"concat({', '.join(parts)})"))
-    cols = ["uid", "n_words", "row"]
-    # explode_outer: for explode the optimizer would add a filter that computes kept once more
-    d = d.select(*cols, "ws", "least", F.explode_outer("kept").alias("k"))
-    on = (F.col("k.len") == F.col("w_len")) & (F.col("k.key") == F.col("w_key"))
-    to = f"k.at + {RUN - 1} - k.at % {RUN}"  # the last start that this kept hash stands for
-    if (size["b"] or 0) <= BROADCAST_BYTES:
-        hit = d.join(F.broadcast(wins), on)
-    else:  # only the words that a hit can need go through the shuffle, cut out of the text as ws and least from k.at on
-        near = d.select(*cols, "k", F.expr(f"slice(ws, k.at + 1, {SPAN + RUN})").alias("ws"),
-                        F.expr(f"slice(least, k.at + 1, {RUN})").alias("least"), F.col("k.at").alias("base"))
-        hit = near.join(wins, on)
-    base = "base" if "base" in hit.columns else "0"
-    starts = f"""case when w_len = 0 then cast(array() as array<int>)
-        when w_len < {SPAN} then if(slice(ws, k.at - {base} + 1, w_len) = win, array(k.at), cast(array() as array<int>))
-        else filter(sequence(k.at, least({to}, {base} + size(least) - 1)),
-                    i -> least[i - {base}] = k.key and slice(ws, i - {base} + 1, {SPAN}) = win) end"""
-    # no filter on starts here: it would move into the join, which then leaves the generated
-    # code together with explode and copies the word array for every kept hash
-    found = hit.select(*cols, F.col("w_len").alias("len"), "items", F.expr(starts).alias("starts"))
-    per = found.groupBy("uid").agg(
-        F.max("n_words").alias("n_words"), F.first(F.expr("if(len = 0, row, null)"), ignorenulls=True).alias("row"),
-        F.collect_list(F.expr("if(len > 0, transform(starts, s -> named_struct('start', s, 'len', len)), null)")).alias("spans"),
-        F.collect_set(F.expr("if(size(starts) > 0, items, null)")).alias("items"))
+    rows = docs.select(row.alias("row"), "text").withColumn("uid", F.monotonically_increasing_id())
+    per = (_hits if (size["b"] or 0) <= BROADCAST_BYTES else _far_hits)(rows, wins, parts)
     out = per.withColumn("spans", F.expr("array_sort(array_distinct(flatten(spans)))")).withColumn(
         "items", F.expr("array_sort(transform(array_distinct(flatten(items)), x -> string(x)))")).withColumn(
         # words covered: each span adds what lies beyond the furthest end so far (spans are sorted by start)

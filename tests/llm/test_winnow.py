@@ -70,6 +70,18 @@ def test_spans_and_carried_row(spark):
     assert r["row"].asDict() == docs.first().asDict()
 
 
+def test_shuffled_hashes_do_not_carry_the_document(spark, monkeypatch):
+    monkeypatch.setattr(winnow, "BROADCAST_BYTES", 0)
+    docs, items = passages(spark)
+    docs = [*docs, (20, f"{prose(5, 20_000, 5000)} {prose(11, 40)} {prose(6, 50)}")]
+    df = winnow.decontaminate(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string"), carry=True)
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    steps = [x for x in plan if "Project" in x and re.search(r"\bk#", x)]
+    assert steps and not any(re.search(r"\b(row|ws|least)#", x) for x in steps)
+    assert sorted((str(r["row"]["doc_id"]), r["row"]["text"], r["n_hit"]) for r in df.collect()) == sorted(
+        (str(d), t, n) for (d, t), n in [(x, brute([x], items)[0][2]) for x in docs])
+
+
 def test_query_runs_without_python(spark):
     plan = queries.op3(spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
