@@ -12,7 +12,9 @@ What the nodes connect are candidate groups only.  Each group then gets the
 full sets of its members, and a link counts when the sets' Jaccard similarity
 reaches the threshold.  Inside a group, members that confirmed links have
 joined already need no comparison, so thousands of near copies cost about one
-comparison each.  Groups above ``BLOCK`` members are dealt over several tasks.
+comparison each.  Groups above ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles
+are dealt over several blocks; between blocks sketches are compared first, and
+the texts follow only of members that look alike across a pair of blocks.
 
 Recall: a pair at the threshold 0.8 that must go down all four levels meets in
 a tree with probability 0.8 * 0.96 ** 3 = 0.71, so all ten trees miss it with
@@ -41,6 +43,7 @@ SMALL = 200
 SKETCH = 64
 ALIKE = 35
 BLOCK = 1500
+BLOCK_SHINGLES = 4_000_000
 _TOKENS = 1 + BRANCHES * (LEVELS - 1)      # minwise tokens a tree may use
 _CHUNK = 4096
 
@@ -197,10 +200,10 @@ def _links(a: list, b: list, uf: _Union, ia: np.ndarray, ib: np.ndarray, near: n
 
 def _confirm(k: int, num: int, den: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows (grp, blk, role, id, sketch, text) sorted by grp, blk, role.  role 0:
-        visitors, to be compared with all; 1: the block's own members."""
+        """Rows (grp, blk, home, role, id, sketch, text) sorted by grp, blk, home, role.
+        role 0: visitors from block home, to be compared with all; 1: the block's own members."""
         hashes, out = WordHashes(), []
-        for g in _runs(batches, ["grp", "blk"]):
+        for g in _runs(batches, ["grp", "blk", "home"]):
             ids = g["id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             g, ids = g.iloc[order], ids[order]
@@ -226,15 +229,28 @@ def _confirm(k: int, num: int, den: int):
     return run
 
 
+def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows (grp, blk, home, role, id, sketch) sorted by grp, blk, home: the members
+    of each pair of blocks that look like one of the other block."""
+    for g in _runs(batches, ["grp", "blk", "home"]):
+        own = g["role"].to_numpy() == 1
+        s = np.frombuffer(b"".join(g["sketch"]), dtype=np.uint8).reshape(len(g), SKETCH)
+        near = _alike(s[~own], s[own])
+        stay = np.zeros(len(g), dtype=bool)
+        stay[~own], stay[own] = near.any(axis=1), near.any(axis=0)
+        yield g.loc[stay, ["grp", "blk", "home", "role", "id"]]
+
+
 def _confirmed(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Edges between classes whose sets reach the threshold.  groups: u, v
     (class and the least class of its candidate group)."""
     n = width(docs.sparkSession)
     member = groups.select(F.col("u").alias("id"), F.col("v").alias("grp")).unionByName(
         groups.select(F.col("v").alias("id"), F.col("v").alias("grp")).distinct())
-    sizes = groups.groupBy(F.col("v").alias("grp")).agg((F.count("*") + 1).alias("size"))
-    member = member.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).join(
-        classes.select("id", "sketch"), "id")
+    member = member.join(classes.select("id", "sketch", "n"), "id")
+    sizes = member.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    member = member.drop("n").join(sizes.select("grp", F.ceil(F.greatest(
+        F.col("size") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "grp")
     full = checkpointed(member.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").withColumn(
         "blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     # one block: done in one pass.  More: every block also gets the group's least member as
@@ -242,20 +258,27 @@ def _confirmed(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, n
     first = full.unionByName(full.where("blocks > 1 and id = grp").withColumn(
         "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("at <> blk").withColumn("blk", F.col("at")).drop("at"))
 
+    by = ["grp", "blk", "home"]
+
     def compare(rows: DataFrame) -> DataFrame:
-        return (rows.select("grp", "blk", "role", "id", "sketch", "text").repartition(n, "grp", "blk")
-                .sortWithinPartitions("grp", "blk", "role").mapInPandas(_confirm(k, num, den), "u long, v long"))
+        return (rows.select(*by, "role", "id", "sketch", "text").repartition(n, *by)
+                .sortWithinPartitions(*by, "role").mapInPandas(_confirm(k, num, den), "u long, v long"))
 
-    edges = checkpointed(compare(first.withColumn("role", F.lit(1))))
+    edges = checkpointed(compare(first.withColumn("home", F.col("blk")).withColumn("role", F.lit(1))))
     big = full.where("blocks > 1")
     if big.isEmpty():
         return edges
-    # members that are not yet in the component of the least one visit every other block of the group
+    # members that are not yet in the component of the least one are compared with every other block of the group
     joined = edges.join(big.select(F.col("grp").alias("v")).distinct(), "v", "left_semi").select(F.col("u").alias("id"))
-    strangers = big.where("id <> grp").join(joined.distinct(), "id", "left_anti").withColumn(
-        "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("at <> blk").withColumn("blk", F.col("at")).drop("at")
-    visits = strangers.withColumn("role", F.lit(0)).unionByName(big.withColumn("role", F.lit(1)))
-    return edges.unionByName(compare(visits))
+    strangers = big.where("id <> grp").join(joined.distinct(), "id", "left_anti")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    visits = strangers.select("grp", every.alias("blk"), F.col("blk").alias("home"), F.lit(0).alias("role"), "id", "sketch").where("blk <> home")
+    homes = strangers.select("grp", F.col("blk").alias("home")).distinct()
+    hosts = big.join(homes, "grp").where("blk <> home").select(*by, F.lit(1).alias("role"), "id", "sketch")
+    grp = full.schema["grp"].dataType.simpleString()
+    met = checkpointed(visits.unionByName(hosts).repartition(n, *by).sortWithinPartitions(*by).mapInPandas(
+        _meetings, f"grp {grp}, blk int, home int, role int, id {grp}"))
+    return edges.unionByName(compare(met.join(big.select("grp", "id", "sketch", "text"), ["grp", "id"])))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int = 100) -> DataFrame:
@@ -271,8 +294,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
     """
     sets = checkpointed(_sketches(docs, shingle))
     usable = sets.where("doc_id is not null and n > 0")
-    classes = checkpointed(usable.groupBy("key").agg(F.min(F.struct("doc_id", "tokens", "sketch")).alias("x")).select(
-        "key", F.col("x.doc_id").alias("id"), "x.tokens", "x.sketch"))
+    classes = checkpointed(usable.groupBy("key").agg(F.min(F.struct("doc_id", "tokens", "sketch", "n")).alias("x")).select(
+        "key", F.col("x.doc_id").alias("id"), "x.tokens", "x.sketch", "x.n"))
     groups = components(_candidates(classes))
     links = components(_confirmed(docs, classes.dropDuplicates(["id"]), groups, shingle, num, den))
     # a document id that occurs with several texts ties those classes together

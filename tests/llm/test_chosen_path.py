@@ -72,6 +72,36 @@ def test_large_groups_take_every_path(spark, monkeypatch):
     check(spark, rows, 2)
 
 
+@pytest.mark.parametrize("limit", ["BLOCK", "BLOCK_SHINGLES"])
+def test_texts_follow_only_alike_sketches(spark, monkeypatch, scratch_dir, limit):
+    """A group of texts that share a passage, dealt over blocks: texts are read once, and again only of alike pairs."""
+    monkeypatch.setattr(chosen_path, limit, {"BLOCK": 20, "BLOCK_SHINGLES": 4000}[limit])
+    real = chosen_path._confirm
+
+    def counting(*args):
+        run = real(*args)
+
+        def seen(batches):
+            for b in batches:
+                with open(f"{scratch_dir}/rows", "a") as f:
+                    f.write(f"{len(b)}\n")
+                yield b
+
+        return lambda batches: run(seen(batches))
+
+    monkeypatch.setattr(chosen_path, "_confirm", counting)
+    r, common = random.Random(3), prose(3, 60, 5000)
+    rows = [(i, common + " " + prose(100 + i, 140, 5000)) for i in range(120)]
+    rows += [(200 + i, variant(rows[i][1], r, 2)) for i in (30, 60, 90, 95)]
+    docs = docs_of(spark, rows)
+    classes = chosen_path._sketches(docs, 2).withColumnRenamed("doc_id", "id")
+    groups = classes.where("id > 0").selectExpr("id as u", "0L as v")
+    got = {tuple(sorted(e)) for e in chosen_path._confirmed(docs, classes, groups, 2, 80, 100).collect()}
+    assert got == {(i, 200 + i) for i in (30, 60, 90, 95)}
+    with open(f"{scratch_dir}/rows") as f:
+        assert len(rows) < sum(map(int, f)) < 2 * len(rows)
+
+
 def test_threshold_is_exact(spark):
     w = [f"q{i}" for i in range(40)]
     a = " ".join(w[:10])                     # 9 shingles
