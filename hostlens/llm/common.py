@@ -110,3 +110,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
         picked = some if picked is None else picked.unionByName(some)
     # 2 * per_class rows of two numbers, whatever the input
     return checkpointed(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
+
+
+def lowered(text: str) -> Column:
+    """Text with A-Z lower-cased and nothing else; null counts as ''."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    ascii_only = F.octet_length(t) == F.length(t)
+    return F.when(ascii_only, F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
+
+
+#: keys that hold more than one part in HOT_PARTS of all rows are joined by broadcast
+HOT_PARTS = 10_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Left join on ``key`` that no hot key can bring into one task.
+
+    ``right`` has each key once and ``weight``, the number of rows of ``left``
+    with that key; ``total`` is the number of rows of ``left``.  The weights add
+    up to ``total`` at most, so at most HOT_PARTS keys lie above one part in
+    HOT_PARTS: those are broadcast, whatever the input, and only the rest shuffles."""
+    hot = F.broadcast(right.where(F.col(weight) > total // HOT_PARTS))
+    rest = right.where(F.col(weight) <= total // HOT_PARTS)
+    return left.join(hot, key).unionByName(left.join(hot, key, "left_anti").join(rest, key, "left").select(
+        *left.columns, *(c for c in right.columns if c != key)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import backoff_lm, chat, chosen_path, hilbert, langmix, noisy_channel, oph, raking, subword, winnow
+from hostlens.llm import backoff_lm, bloom_dedup, chat, chosen_path, hilbert, langmix, noisy_channel, oph, raking, subword, winnow
 from hostlens.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling probability of every document, raked to source, language and topic targets."""
     return raking.mix(read_table(spark, sf_dir, "documents"))
+
+
+@register("op11_two_pass_bloom_dedup", oracle="""
+WITH d AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+  FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
+FROM d WINDOW g AS (PARTITION BY text_sha256)
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents with equal texts; the largest id of each stays."""
+    return bloom_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
