@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import backoff_lm, bloom_dedup, chat, chosen_path, hilbert, langmix, noisy_channel, oph, raking, subword, winnow
+from hostlens.llm import backoff_lm, bloom_dedup, chat, chosen_path, hilbert, langmix, noisy_channel, oph, raking, structure, subword, winnow
 from hostlens.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,9 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with equal texts; the largest id of each stays."""
     return bloom_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
+
+
+@register("op12_run_length_structure")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and repaired text of every damaged conversation."""
+    return structure.summarise(*structure.damaged(read_table(spark, sf_dir, "conversations")))
