@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import backoff_lm, bloom_dedup, chat, chosen_path, hilbert, langmix, noisy_channel, oph, raking, structure, subword, winnow
+from hostlens.llm import backoff_lm, bloom_dedup, chat, chosen_path, hilbert, langmix, noisy_channel, oph, prefix_trie, raking, structure, subword, winnow
 from hostlens.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,46 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest repair and repaired text of every damaged conversation."""
     return structure.summarise(*structure.damaged(read_table(spark, sf_dir, "conversations")))
+
+
+@register("op13_prefix_trie_collapse", oracle=r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                            sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (  -- bytes of the decimal id, each followed by eight shifts
+  SELECT c, list_prepend(4294967295, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''),
+                                                            lambda s: [ascii(s), -1, -1, -1, -1, -1, -1, -1, -1]))) AS b
+  FROM (SELECT DISTINCT c FROM t)),
+ids AS (
+  SELECT c, c - c % 20 AS donor,
+         xor(list_reduce(list_transform(b, lambda y: CAST(y AS BIGINT)), lambda a, y:
+             CASE WHEN y >= 0 THEN xor(a, y) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 4 AS h
+  FROM bits),
+s AS (
+  SELECT c, 0 AS k, i, r, x FROM ids JOIN (SELECT c AS donor, i, r, x FROM t) USING (donor) WHERE i <= h
+  UNION ALL SELECT c, 1, i, r, x FROM t JOIN ids USING (c) WHERE i > h),
+n AS (
+  SELECT c, list(sha256(length(r) || ':' || r || x) ORDER BY k, i) AS turns,
+         list(len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) ORDER BY k, i) AS words FROM s GROUP BY c),
+a AS (SELECT c, coalesce(turns, []) AS turns, words FROM ids LEFT JOIN n USING (c)),
+p AS (
+  SELECT c, d, len(turns) AS n, array_to_string(list_slice(turns, 1, d), ',') AS key,
+         CASE WHEN d > 0 THEN array_to_string(list_slice(turns, 1, d - 1), ',') END AS up, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS w
+  FROM (SELECT c, turns, words, unnest(range(0, len(turns) + 1)) AS d FROM a)),
+node AS (
+  SELECT key, any_value(up) AS up, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS own,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = n), '')) AS ends_sha256
+  FROM p GROUP BY key),
+kids AS (SELECT up AS key, count(*) AS n FROM node WHERE up IS NOT NULL GROUP BY up),
+below AS (
+  SELECT t.key, CAST(sum(v.own) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE kids.n IS NULL) AS n_leaves
+  FROM node t JOIN node v ON starts_with(v.key, t.key) LEFT JOIN kids ON kids.key = v.key GROUP BY t.key)
+SELECT node.conv_id, CAST(node.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children,
+       n_leaves, saved_tokens, node.ends_sha256
+FROM node JOIN below USING (key) LEFT JOIN kids ON kids.key = node.key LEFT JOIN node up ON up.key = node.up
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.shared_openings(read_table(spark, sf_dir, "conversations")).drop("node", "parent")
