@@ -146,7 +146,62 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
-@register("op12_run_length_structure")
+@register("op12_run_length_structure", oracle=r"""
+WITH RECURSIVE bits AS (
+  SELECT DISTINCT conv_id AS c, turn AS t, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+crc AS (
+  SELECT c, t, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(k, ''),
+      lambda s: [CAST(ascii(s) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, y:
+      CASE WHEN y >= 0 THEN xor(a, y) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 20 AS k
+  FROM bits),
+dam AS (
+  SELECT conv_id AS c, turn AS t, CASE WHEN k = 4 THEN 'user' ELSE coalesce(role, ' ') END AS r,
+         CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS x, copy
+  FROM conversations JOIN crc ON conv_id IS NOT DISTINCT FROM c AND turn IS NOT DISTINCT FROM t,
+       LATERAL (SELECT unnest(CASE WHEN k = 0 THEN [] WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy)),
+num AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY t NULLS FIRST, r, sha256(x), copy) AS i, rtrim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS z FROM dam),
+f AS (
+  SELECT *, left(r, 1) AS a, CASE WHEN z = '' THEN 'b' WHEN row_number() OVER (PARTITION BY c, r, x ORDER BY i) > 1 THEN 'd'
+                                  WHEN right(z, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         lag(left(r, 1)) OVER (PARTITION BY c ORDER BY i) || left(r, 1) AS pair FROM num),
+ins(s, m, l) AS (VALUES ('', '', ''), ('', 'u', 'I'), ('', 'a', 'II'), ('s', 's', ''), ('s', 'u', 'I'), ('s', 'a', 'II'), ('u', 'u', ''), ('u', 'a', 'I'), ('a', 'a', ''), ('a', 'u', 'I')),
+way AS (  -- by one row from state s to state n
+  SELECT s, l || e AS l, n, need, 2 * length(l) + cost AS cost, a FROM ins JOIN (
+    VALUES ('', 'D', '', 3, 'any', ''), ('s', 'D', 's', 3, 'any', ''), ('u', 'D', 'u', 3, 'any', ''), ('a', 'D', 'a', 3, 'any', ''),
+           ('', 'R', 'u', 2, 'ok', ''), ('s', 'R', 'u', 2, 'ok', ''), ('u', 'R', 'a', 2, 'ok', ''), ('a', 'R', 'u', 2, 'ok', ''),
+           ('', 'K', 's', 0, 'as', 's'), ('', 'K', 'u', 0, 'as', 'u'), ('s', 'K', 'u', 0, 'as', 'u'), ('u', 'K', 'a', 0, 'as', 'a'), ('a', 'K', 'u', 0, 'as', 'u'))
+    AS e(m, e, n, cost, need, a) USING (m)),
+ids AS (SELECT DISTINCT conv_id AS c FROM conversations),
+dp AS (
+  SELECT c, CAST(0 AS BIGINT) AS i, '' AS s, CAST(0 AS BIGINT) AS cost, '' AS audit FROM ids
+  UNION ALL
+  SELECT c, i, s, b.cost, b.audit FROM (
+    SELECT dp.c, f.i, way.n AS s, min({'cost': dp.cost + way.cost + CASE WHEN f.fault = 't' AND way.need <> 'any' THEN 1 ELSE 0 END, 'audit': dp.audit || way.l}) AS b
+    FROM dp JOIN f ON f.c IS NOT DISTINCT FROM dp.c AND f.i = dp.i + 1 JOIN way ON way.s = dp.s
+         AND (way.need = 'any' OR f.fault NOT IN ('b', 'd') AND (way.need = 'ok' OR way.a = f.a))
+    GROUP BY dp.c, f.i, way.n)),
+last AS (SELECT c, max(i) AS i FROM dp GROUP BY c),
+best AS (
+  SELECT dp.c, min({'cost': cost + 2 * length(e.l), 'audit': audit || e.l}) AS b
+  FROM dp JOIN last ON last.c IS NOT DISTINCT FROM dp.c AND last.i = dp.i JOIN (VALUES ('', ''), ('s', 'II'), ('u', 'I'), ('a', '')) AS e(s, l) USING (s)
+  GROUP BY dp.c),
+letters AS (
+  SELECT c, p, audit[p] AS e, length(replace(left(audit, p), 'I', '')) AS i, audit
+  FROM (SELECT c, b.audit AS audit, unnest(range(1, length(b.audit) + 1)) AS p FROM best)),
+made AS (
+  SELECT letters.c, p, CASE WHEN e = 'K' THEN r ELSE NULL END AS kept, CASE WHEN e <> 'I' THEN x ELSE '' END AS x,
+         row_number() OVER (PARTITION BY letters.c ORDER BY p) AS o, max(CASE WHEN e = 'K' AND a = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY letters.c) AS sys
+  FROM letters LEFT JOIN f ON f.c IS NOT DISTINCT FROM letters.c AND f.i = letters.i AND e <> 'I' WHERE e <> 'D'),
+body AS (
+  SELECT c, string_agg(coalesce(kept, CASE WHEN (o - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || x, chr(10) ORDER BY o) AS body FROM made GROUP BY c),
+counts AS (
+  SELECT c, coalesce(max(t) - min(t) + 1 - count(DISTINCT t), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY c)
+SELECT ids.c AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, best.b.cost AS cost, best.b.audit AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM ids JOIN best ON best.c IS NOT DISTINCT FROM ids.c LEFT JOIN counts ON counts.c IS NOT DISTINCT FROM ids.c LEFT JOIN body ON body.c IS NOT DISTINCT FROM ids.c
+""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest repair and repaired text of every damaged conversation."""
     return structure.summarise(*structure.damaged(read_table(spark, sf_dir, "conversations")))
