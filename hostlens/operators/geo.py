@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from hostlens.functions.wkb import with_point_coords
 
-MISSING_COLUMN_MSG = ("Error: the map must include 'sample_id' in hover_data so every "
-                      "point can be traced back to its sample.")
-MISSING_VALUE_MSG = ("Error: some points have no sample_id; use "
-                     "COALESCE(primary_id, secondary_id) AS sample_id.")
+MISSING_COLUMN_MSG = "Error: a map frame needs the column sample_id, or its points lead nowhere."
+MISSING_VALUE_MSG = "Error: sample_id is missing for some points. geo.sample_id() takes the second identifier where the first is null."
 
 
 def sample_id(primary: str = "primary_id", secondary: str = "secondary_id") -> Column:

@@ -13,26 +13,35 @@ reference's order:
 (``parquet.`/x```) are refused by a fourth text rule and are unresolvable
 anyway because ``spark.sql.runSQLOnFiles`` is off.
 
-A statement that passes the text check is parsed (not run) and its plan is
-walked, subqueries included: no script transformation (``TRANSFORM ... USING``
-runs a shell command), no call into the JVM by name (``reflect`` and its
-kin), and no relation but temporary views and the statement's own CTEs.
+A statement that passes the text check is parsed (not run): no IDENTIFIER
+clause, no script transformation (``TRANSFORM ... USING`` runs a shell
+command), and no function that is not on a list of pure ones (``reflect`` and
+its kin call into the JVM).  It is then resolved, still without running, and
+the resolved plan is walked, subqueries included: its leaves must be views of
+the session, whatever names the text holds, and its steps and expressions must
+be of known classes.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlens.functions.text import strip_ws
 from hostlens.session import EngineSession
 
-# Fixed values that must equal the reference's guard.
+# Fixed values that must equal the reference's: the guard's patterns, keywords
+# and messages, and the variable names that the emptiness check looks at.
+_SELECT_START = r"^\(?\s*SELECT\b"
+_STAR = r"SELECT\s+\*\s+FROM"
+CHECKED_FRAMES = ("data", "result", "df_filtered", "df")
 FORBIDDEN_KEYWORDS = (
     "INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "ATTACH",
     "DETACH", "COPY", "PRAGMA", "EXPORT", "IMPORT", "CALL",
@@ -44,14 +53,14 @@ FORBIDDEN_MSG = ("Error: query contains a forbidden keyword — only a read-only
 # Own wording.
 STAR_MSG = "Error: name the columns to read; `SELECT * FROM` is refused."
 EMPTY_MSG = "Error: no row matched. Loosen the filter, or look up the stored values with SELECT DISTINCT first."
-PROGRAM_MSG = "Error: running scripts or Java methods from SQL is refused."
-RELATION_MSG = "Error: {!r} is not a registered view."
+PROGRAM_MSG = "Error: running scripts from SQL is refused."
+IDENTIFIER_MSG = "Error: write table and function names out; IDENTIFIER is refused."
+FUNCTION_MSG = "Error: {!r} is not a function that a query may call."
+RELATION_MSG = "Error: a query may read these views only: {}."
 MAX_PREVIEW_ROWS = 1000
 DEFAULT_PREVIEW_ROWS = 50
 
-_SELECT_START = r"^\(?\s*SELECT\b"
 _FORBIDDEN = r"\b(" + "|".join(FORBIDDEN_KEYWORDS) + r")\b"
-_STAR = r"SELECT\s+\*\s+FROM"
 # file-path tables (format.`/path`); refused by text as well as by
 # spark.sql.runSQLOnFiles=false, in case a session cannot change that setting
 _FILE_TABLE = r"\b\w+\s*\.\s*`[^`]*[/\\:][^`]*`"
@@ -93,41 +102,149 @@ def audit_rule(statement: Column) -> Column:
     )
 
 
-# functions that call a method of the JVM by name
-_JVM_CALLS = ("reflect", "java_method", "try_reflect")
+# Functions a statement may call: all built-in ones of these groups of Spark's
+# function registry, pure functions of the group "misc", and the session's own.
+_GROUPS = frozenset(f"{g}_funcs" for g in (
+    "agg", "array", "bitwise", "collection", "conditional", "conversion", "csv", "datetime", "generator", "hash", "json",
+    "lambda", "map", "math", "predicate", "st", "string", "struct", "url", "variant", "window", "xml"))
+_PURE_MISC = re.compile(r"typeof|(bitmap|hll|theta|kll|approx_top_k)_\w+")
+
+# Expressions that come from syntax, from coercion, or from functions whose
+# registry entry names a builder instead of the class it builds.
+_EXPRESSIONS = frozenset("""
+    Alias AttributeReference OuterReference LateralColumnAliasReference Literal Cast SortOrder MultiAlias
+    ScalarSubquery ListQuery Exists InSubquery LateralSubquery LambdaFunction NamedLambdaVariable
+    WindowExpression WindowSpecDefinition SpecifiedWindowFrame UnboundedPreceding$ UnboundedFollowing$ CurrentRow$
+    AggregateExpression GroupingSets Rollup Cube Grouping GroupingID GetStructField GetArrayItem GetMapValue GetArrayStructFields
+    CreateNamedStruct CheckOverflow TryEval GeneratorOuter TimeAdd TimestampAddInterval DateAddInterval DateAddYMInterval
+    TimestampAddYMInterval SubtractDates SubtractTimestamps DatetimeSub Extract
+    Ceil RoundCeil Floor RoundFloor Average Sum Mode PercentileCont PercentileDisc CountMinSketchAgg Explode PosExplode Inline
+    Second SecondWithFraction Hour Minute SecondsOfTime SecondsOfTimeWithFraction HoursOfTime MinutesOfTime DatePart CurrentDate CurDateExpressionBuilder
+    MakeTimestamp MakeTimestampNTZ MakeTimestampLTZ TryMakeTimestamp TryMakeTimestampNTZ TryMakeTimestampLTZ ParseToDate ParseToTimestamp TryToTimestampExpressionBuilder
+    StringLPad StringRPad BinaryPad Contains StartsWith EndsWith Like ILike RLike LikeAll NotLikeAll LikeAny NotLikeAny Collate Collation ToCharacter ToBinary Mask
+    With CommonExpressionDef CommonExpressionRef PipeOperator VariantGet ParseJson InSet ArrayTransform ListAgg Count PivotFirst
+    PreciseTimestampConversion MultiplyYMInterval MultiplyDTInterval DivideYMInterval DivideDTInterval MakeTimestampFromDateTime
+    TryMakeTimestampFromDateTime ExtractANSIIntervalYears ExtractANSIIntervalMonths ExtractANSIIntervalDays ExtractANSIIntervalHours
+    ExtractANSIIntervalMinutes ExtractANSIIntervalSeconds BinaryPredicate StringDecode ResolvedCollation TypedNullLiteral KnownNullable KnownNotNull
+""".split())
+
+# Steps a resolved statement may be made of, besides the session's views.
+_STEPS = frozenset("""
+    Project Filter Aggregate Join LateralJoin Sort GlobalLimit LocalLimit Offset Distinct Deduplicate Union Intersect Except Window
+    WithWindowDefinition Expand Generate Pivot Unpivot Sample SubqueryAlias WithCTE CTERelationDef CTERelationRef ResolvedHint UnresolvedHint
+    RepartitionByExpression RebalancePartitions OneRowRelation LocalRelation Range View
+""".split())
+# what a table function may be
+_TABLE_FUNCTIONS = frozenset(("range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"))
+_SPARK_SQL = "org.apache.spark.sql.catalyst."
+
+
+@functools.lru_cache(maxsize=1)
+def _allowed() -> tuple[frozenset[str], frozenset[str]]:
+    """(names, classes) of the built-in functions that a statement may call."""
+    registry = SparkSession.getActiveSession()._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+    names, classes, found = set(), set(), registry.listFunction().iterator()
+    while found.hasNext():
+        info = registry.lookupFunction(found.next()).get()
+        name = info.getName().lower()
+        if info.getGroup() in _GROUPS or _PURE_MISC.fullmatch(name):
+            names.add(name)
+            classes.add(info.getClassName().rsplit(".", 1)[-1])
+    return frozenset(names), frozenset(classes) | _EXPRESSIONS
+
+
+def _trees(x):
+    """The trees in a JSON value: (node, its child trees) from nodes listed in preorder."""
+    if isinstance(x, list) and x and isinstance(x[0], dict) and "num-children" in x[0]:
+        at = 0
+
+        def take():
+            nonlocal at
+            node = x[at]
+            at += 1
+            return node, [take() for _ in range(node["num-children"])]
+
+        while at < len(x):
+            yield take()
+    elif isinstance(x, list | dict):
+        for y in x if isinstance(x, list) else x.values():
+            yield from _trees(y)
+
+
+def _nodes(trees, below_views: bool = True):
+    """All nodes of trees, expressions and subqueries included, but not what a
+    temporary view is made of unless ``below_views``."""
+    for node, children in trees:
+        yield node
+        if below_views or not _kind(node) == "View":
+            yield from _nodes(_trees([v for v in node.values() if isinstance(v, list | dict)]), below_views)
+            yield from _nodes(children, below_views)
+
+
+def _kind(node: dict) -> str:
+    return node["class"].rsplit(".", 1)[-1]
 
 
-def check_plan(spark: SparkSession, sql: str) -> str | None:
-    """Refusal message for what the parsed (unresolved) plan of ``sql`` would
-    run or read, or None.  Parsing alone executes and resolves nothing."""
-    nodes = json.loads(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toJSON())
-    views = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
-    views |= {m.lower() for m in _CTE_NAME_RE.findall(sql)}
-    relations: list[str] = []
+def _name(parts) -> list[str]:
+    """Parts of a name as toJSON writes it: ``[a, b]`` or a list."""
+    return [p.strip() for p in parts.strip("[]").split(",")] if isinstance(parts, str) else list(parts or [""])
 
-    def walk(x) -> str | None:
-        if isinstance(x, list):
-            return next((m for y in x if (m := walk(y))), None)
-        if not isinstance(x, dict):
-            return None
-        kind = str(x.get("class", "")).rsplit(".", 1)[-1]
-        if "ScriptTransformation" in kind or kind == "CallMethodViaReflection":
-            return PROGRAM_MSG
-        if kind == "UnresolvedFunction" and _name(x.get("nameParts"))[-1].lower() in _JVM_CALLS:
+
+def check_parsed(session: EngineSession, sql: str) -> str | None:
+    """Refusal message for what ``sql`` asks for by name, before any name is
+    looked up: no IDENTIFIER clause, no script, no function or table function
+    off the lists."""
+    plan = session.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    own = {f.lower() for f in session.functions}
+    for node in _nodes(_trees(json.loads(plan.toJSON()))):
+        kind = _kind(node)
+        if "UnresolvedIdentifier" in kind:
+            return IDENTIFIER_MSG
+        if "ScriptTransformation" in kind:
             return PROGRAM_MSG
-        if kind == "UnresolvedRelation":
-            relations.append(".".join(_name(x.get("multipartIdentifier"))))
-        return walk(list(x.values()))
+        if kind == "UnresolvedTableValuedFunction":
+            name = ".".join(_name(node.get("functionName") or node.get("name"))).lower()
+            if name not in _TABLE_FUNCTIONS:
+                return FUNCTION_MSG.format(name)
+        elif kind == "UnresolvedFunction":
+            name = ".".join(_name(node.get("nameParts"))).lower()
+            if name not in own and name not in _allowed()[0]:
+                return FUNCTION_MSG.format(name)
+    return None
 
-    return walk(nodes) or next((RELATION_MSG.format(r) for r in relations if r.lower() not in views), None)
 
+def check_resolved(session: EngineSession, df: DataFrame) -> str | None:
+    """Refusal message for what the resolved plan of a statement reads or runs.
+
+    Whatever a name was written as, or where, only what it resolved to counts:
+    every leaf must be one of the session's views (or rows written in the
+    statement), every step and expression must be on the lists."""
+    views, own = {v.lower() for v in session.views}, {f.lower() for f in session.functions}
+    for node in _nodes(_trees(json.loads(df._jdf.queryExecution().analyzed().toJSON())), below_views=False):
+        kind, place = _kind(node), node["class"]
+        if kind == "View":
+            name = node.get("desc", {}).get("identifier", {})
+            if not node.get("isTempView") or name.get("database") or name.get("table", "").lower() not in views:
+                return _unknown_relation(session)
+        elif kind in ("PythonUDF", "ScalaUDF", "SQLScalarFunction", "SQLFunctionExpression"):
+            if str(node.get("name") or _declared(node)).lower() not in own:
+                return FUNCTION_MSG.format(node.get("name"))
+        elif place.startswith(_SPARK_SQL + "plans."):
+            if kind not in _STEPS:
+                return _unknown_relation(session)
+        elif not place.startswith(_SPARK_SQL + "expressions.") or kind not in _allowed()[1]:
+            return _unknown_relation(session) if ".execution.datasources" in place or "Relation" in kind else FUNCTION_MSG.format(kind)
+    return None
 
-_CTE_NAME_RE = re.compile(r"`?(\w+)`?\s+AS\s*\(", re.IGNORECASE)
 
+def _unknown_relation(session: EngineSession) -> str:
+    """The same words for what does not exist and for what may not be read."""
+    return RELATION_MSG.format(", ".join(sorted(session.views)))
 
-def _name(parts) -> list[str]:
-    """Parts of a name as toJSON writes it: ``[a, b]`` or a list."""
-    return [p.strip() for p in parts.strip("[]").split(",")] if isinstance(parts, str) else list(parts or [""])
+
+def _declared(node: dict) -> str:
+    """Name of the SQL function a node stands for."""
+    return ((node.get("function") or {}).get("name") or {}).get("funcName", "")
 
 
 def guarded_sql(session: EngineSession, sql: str, check_empty: bool = True) -> DataFrame:
@@ -138,10 +255,17 @@ def guarded_sql(session: EngineSession, sql: str, check_empty: bool = True) -> D
     the previous ``df_host``.
     """
     sql = sql.strip()
-    msg = check_sql(sql) or check_plan(session.spark, sql)
-    if msg:
+    if msg := check_sql(sql) or check_parsed(session, sql):
+        raise GuardError(msg)
+    try:
+        df = session.spark.sql(sql)      # resolved, not run
+    except AnalysisException as e:
+        if e.getCondition() in ("TABLE_OR_VIEW_NOT_FOUND", "SCHEMA_NOT_FOUND", "REQUIRES_SINGLE_PART_NAMESPACE"):
+            raise GuardError(_unknown_relation(session)) from None
+        raise
+    if msg := check_resolved(session, df):
         raise GuardError(msg)
-    df, path = session.stage(session.spark.sql(sql))
+    df, path = session.stage(df)
     if check_empty and df.isEmpty():
         session.drop(path)
         raise GuardError(EMPTY_MSG)
@@ -181,7 +305,7 @@ def query_frames(session: EngineSession, fn: FrameFn, check_empty: bool = True)
 
 def check_not_empty(frames: dict[str, DataFrame]) -> str | None:
     """The first of data/result/df_filtered/df that is empty → message."""
-    for name in ("data", "result", "df_filtered", "df"):
+    for name in CHECKED_FRAMES:
         df = frames.get(name)
         if isinstance(df, DataFrame) and df.isEmpty():
             return f"Error: nothing to show, '{name}' has 0 rows."
@@ -226,6 +350,6 @@ def table_result(df: DataFrame, preview_rows: int = DEFAULT_PREVIEW_ROWS) -> Pre
     lines += [" | ".join("" if r.get(c) is None else str(r.get(c)) for c in df.columns) for r in rows]
     text = "\n".join(lines)
     if total > preview_rows:
-        text += f"\n... and {total - preview_rows} more rows"
-    content = f"Query returned {total} row{'s' if total != 1 else ''}.\nPreview:\n{text}"
+        text += f"\n({total - preview_rows} further rows are not shown)"
+    content = f"The result has {total} row{'s' if total != 1 else ''}.\n{text}"
     return Preview(total=total, rows=rows, columns=list(df.columns), text=content)

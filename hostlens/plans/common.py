@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hostlens.operators.guard import guarded_sql
 from hostlens.session import EngineSession
-from hostlens.sources.standins import oracle_with
-from hostlens.sources.tables import register_all
+from hostlens.sources.standins import STANDIN_VIEWS, oracle_with
+from hostlens.sources.tables import RAW_TABLES, register_all
 
 
 def session(spark: SparkSession, sf_dir: str, materialise: bool = False) -> EngineSession:
     """Register the tables of ``sf_dir`` and open an engine session over them.
     The registered queries use a result once, so it stays lazy."""
     register_all(spark, sf_dir)
-    return EngineSession(spark, host=spark.table("host"), taxonomy=spark.table("taxonomy"), materialise=materialise)
+    return EngineSession(spark, host=spark.table("host"), taxonomy=spark.table("taxonomy"), materialise=materialise,
+                         views=(*RAW_TABLES, *STANDIN_VIEWS))
 
 
 def guarded(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

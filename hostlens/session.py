@@ -107,9 +107,14 @@ class EngineSession:
     """
 
     def __init__(self, spark: SparkSession, host: DataFrame | None = None,
-                 taxonomy: DataFrame | None = None, materialise: bool = True):
+                 taxonomy: DataFrame | None = None, materialise: bool = True,
+                 views: tuple[str, ...] = (), functions: tuple[str, ...] = ()):
+        """``views`` and ``functions`` are temporary ones, besides the session's
+        own, that guarded SQL may name."""
         self.spark = spark
         self.materialise = materialise
+        self.views = {"host", "taxonomy", "df_host", *views}
+        self.functions = {"ST_X", "ST_Y", *functions}
         self._df_host: DataFrame | None = None
         self._path: str | None = None
         apply_engine_conf(spark)

@@ -53,7 +53,7 @@ def test_table_results(spark):
     r = api.query_dataframe(s, lambda taxo, host: taxo, preview_rows=20)
     art = r["artifacts"][0]
     assert r["success"] and art["type"] == "table" and art["columns"] == ["id", "part"]
-    assert art["total_rows"] == 120 and len(art["rows"]) == 20 and "and 100 more rows" in r["content"]
+    assert art["total_rows"] == 120 and len(art["rows"]) == 20 and "100 further rows" in r["content"]
     for fn in (lambda taxo, host: taxo.select("nope"), lambda taxo, host: 1 / 0, lambda taxo, host: "text", lambda taxo, host: host.limit(1),
                lambda taxo, host: taxo.limit(0)):
         failed = api.query_dataframe(s, fn)
