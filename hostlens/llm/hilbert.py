@@ -8,14 +8,18 @@ by any of them.
 
 The global position of a row comes from counts, not from one global sort:
 cells -> running total over blocks of cells -> running total inside a cell
-over slices of the id range -> row number inside a slice.  No window ever
-holds more than one slice of one cell, however common a source is.
+over slices by hash of id and text -> row number inside a slice.  No window
+ever holds more than one slice of one cell, however common a source is and
+however the ids are spread.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMS = 4
 
@@ -69,33 +73,37 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 24, bits: int = 5, slice_bit
     come first instead of doc_id; columns of the same names as the added ones
     are replaced.
 
-    Nulls: text counts as empty, lang and source as '', doc_id sorts first and
-    falls into the lowest slice.  Repeated rows and equal ids each keep a slot
-    of their own, ordered by checksum and size, then as they come (such rows
-    are alike).  An empty input gives no rows.  Extra columns never matter:
-    the input travels in one struct.
+    Nulls: text counts as empty, lang and source as '', doc_id is below all
+    others.  Repeated rows and equal ids each keep a slot of their own, ordered
+    by checksum and size, then as they come (such rows are alike).  The id
+    dimension is cut at quantiles, so ids may be any numbers; ids of other types
+    are dealt over it by checksum.  An empty input gives no rows.  Extra columns
+    never matter: the input travels in one struct.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    ids = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()  # one row
-    lo, hi = (ids["lo"] or 0), (ids["hi"] or 0)
-    levels, fine = 1 << bits, 1 << (bits + slice_bits)
-    step = max(1, -(-(hi - lo + 1) // fine))
+    levels = 1 << bits
 
     def code(name: str) -> Column:
         return F.pmod(F.crc32(F.coalesce(F.col(name), F.lit("")).cast("binary")), F.lit(levels)).cast("int")
 
-    at = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(step)), F.lit(0)).cast("int")
+    if isinstance(docs.schema["doc_id"].dataType, T.NumericType):
+        # compared as doubles, which keeps the order; levels - 1 numbers come to the driver
+        ids = docs.select(F.col("doc_id").cast("double").alias("k"))
+        cuts = sorted(set(ids.approxQuantile("k", [i / levels for i in range(1, levels)], 0.25 / levels)))
+        passed = [(F.col("doc_id").cast("double") >= F.lit(c)).cast("int") for c in cuts]
+        at = F.coalesce(functools.reduce(Column.__add__, passed), F.lit(0)) if passed else F.lit(0)
+    else:
+        at = code("doc_id")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry else ["doc_id"])]).alias("r"),
         F.col("doc_id").alias("k"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).alias("crc"),
-        code("lang").alias("x0"), code("source").alias("x1"), at.alias("fine"),
+        code("lang").alias("x0"), code("source").alias("x1"), at.alias("x3"),
     ).select(
         "r", "k", "size", "crc", "x0", "x1",
-        F.least(F.lit(levels - 1), F.floor(F.log2("size") * 1.5)).cast("int").alias("x2"),
-        F.shiftright("fine", slice_bits).alias("x3"),
-        F.col("fine").bitwiseAND((1 << slice_bits) - 1).alias("part"),
+        F.least(F.lit(levels - 1), F.floor(F.log2("size") * 1.5)).cast("int").alias("x2"), "x3",
+        F.pmod(F.xxhash64("k", "crc"), F.lit(1 << slice_bits)).cast("int").alias("part"),
     )
     cell = ["x0", "x1", "x2", "x3"]
     slices = rows.groupBy(*cell, "part").agg(F.count("*").alias("n"))

@@ -23,6 +23,7 @@ from hostlens.llm.common import WordHashes, mix64, shingle_hashes, width, words_
 BINS = 256
 BITS = 4
 SHINGLE = 5
+AREAS = 8        # ranges of doc_id for each task
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 
 
@@ -95,14 +96,17 @@ def _with_next(docs: DataFrame) -> DataFrame:
     (guest false) of an area is followed by the next document in descending
     doc_id order; the last one of all by the first.
 
-    Areas are ranges of doc_id between quantiles.  The head of each area is
-    sent to the area before it as well, so no area needs to wait for another.
+    Areas are ranges of doc_id between quantiles, a few for each task.  The head of
+    each area is sent to the area before it as well, so no area needs to wait for
+    another.
     """
     spark, least = docs.sparkSession, -(1 << 63)
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(least)).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = width(spark)
-    cuts = sorted(set(rows.select("k").approxQuantile("k", [i / n for i in range(1, n)], 0.25 / n)))  # n - 1 numbers
-    edges = np.array(cuts, dtype=np.int64)
+    m = n * AREAS
+    cuts = rows.select("k").approxQuantile("k", [i / m for i in range(1, m)], 0.25 / m)  # m - 1 numbers
+    # quantiles are doubles: one at 2^63 lies above all ids
+    edges = np.array(sorted({int(c) for c in cuts if c < 2.0 ** 63}), dtype=np.int64)
 
     @F.pandas_udf("int")
     def area(k: pd.Series) -> pd.Series:
@@ -119,7 +123,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
 
     return (rows.select("k", "doc_id", "text", F.posexplode(dealt("k")).alias("copy", "area"))
             .withColumn("guest", F.col("copy") > 0).drop("copy")
-            .repartition(n, "area").sortWithinPartitions("area", "guest", F.desc("k"), "text"))
+            .repartitionByRange(n, "area").sortWithinPartitions("area", "guest", F.desc("k"), "text"))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import pytest
@@ -62,3 +63,50 @@ def test_one_common_cell(spark):
 
 def test_empty(no_docs):
     assert hilbert_shards(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("ids", ["xxhash64(id)", "IF(id % 2 = 0, 9223372036854775807 - id, id - 9223372036854775808)",
+                                 "IF(id = 0, 1152921504606846976, id)", "CAST(id AS STRING)", "id * 1.5D"])
+def test_any_ids(spark, ids):
+    """Ids over the whole range of a long, one far outlier, and ids that are no integers."""
+    df = spark.range(2000).selectExpr(f"{ids} AS doc_id", "concat('text ', id) AS text", "'en' AS lang", "'s' AS source")
+    rows = hilbert_shards(df, 24).collect()
+    check_shards(rows, 24)
+    assert len({r["doc_id"] for r in rows}) == 2000
+    assert len({r["curve"] for r in rows}) > 6            # no outlier brings all rows into one level
+
+
+def plain_index(coords, bits):
+    """Place on the curve by turning the cube at every level, in plain integers."""
+    n = len(coords)
+    entry, direction, h = 0, 0, 0
+    for i in reversed(range(bits)):
+        corner = sum((c >> i & 1) << j for j, c in enumerate(coords)) ^ entry
+        turn = (direction + 1) % n
+        corner = (corner >> turn | corner << n - turn) & (1 << n) - 1
+        w = next(w for w in range(1 << n) if w ^ w >> 1 == corner)
+        even = 0 if w == 0 else 2 * ((w - 1) // 2)
+        e = even ^ even >> 1
+        entry ^= (e << turn | e >> n - turn) & (1 << n) - 1
+        ones, x = 0, 0 if w == 0 else w if w & 1 else w - 1
+        while x & 1:
+            ones, x = ones + 1, x >> 1
+        direction = (direction + ones % n + 1) % n
+        h = h << n | w
+    return h
+
+
+def test_curve_of_each_row(spark):
+    """The curve column against a plain index of the row's own metadata."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ids = sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    raw = {r["doc_id"]: r for r in docs.collect()}
+    seen = {}
+    for r in hilbert_shards(docs).collect():
+        d = raw[r["doc_id"]]
+        x = [zlib.crc32((d[c] or "").encode()) % 32 for c in ("lang", "source")]
+        x.append(min(31, math.floor(math.log2(r["size"]) * 1.5)))
+        level = next(v for v in range(32) if plain_index([*x, v], 5) == r["curve"])
+        seen.setdefault(level, []).append(r["doc_id"])
+    assert [i for v in sorted(seen) for i in sorted(seen[v])] == ids           # levels are ranges of the id
+    assert max(map(len, seen.values())) <= 2 * len(ids) / 32 + 1

@@ -1,8 +1,10 @@
 import hashlib
 
 import numpy as np
+import pytest
 
 from hostlens.llm import oph, queries
+from hostlens.llm.common import WordHashes, shingle_hashes
 
 from .conftest import AWKWARD, SF, docs_of, prose
 
@@ -63,3 +65,31 @@ def test_awkward_rows(spark, awkward, no_docs):
     one = oph.fingerprint_edits(docs_of(spark, [(5, "x y z")])).first()
     assert one["near_next"] == 1.0
     assert sorted(map(str, by_text[1])) == sorted({r["fingerprint"] for r in oph.fingerprint(awkward).collect() if r["doc_id"] == 1})
+
+
+@pytest.mark.parametrize("ids", ["xxhash64(id)", "IF(id = 0, 9223372036854775807, IF(id = 1, -9223372036854775807, id))", "IF(id = 0, 1152921504606846976, id)"])
+def test_any_64_bit_id(spark, ids):
+    rows = [(r["i"], prose(r["id"], 12, 300)) for r in spark.range(120).selectExpr("id", f"{ids} AS i").collect()]
+    want = expected(rows)
+    got = oph.fingerprint_edits(docs_of(spark, rows)).collect()
+    assert {r["doc_id"]: r["edited_sha256"] for r in got} == {i: hashlib.sha256(e.encode()).hexdigest() for i, (_, e, _) in want.items()}
+
+
+def test_against_plain_bins():
+    """Bins, densification and packing by plain loops."""
+    fp = oph.Fingerprinter()
+    orders = oph._orders(oph.BINS)
+    for s in range(12):
+        text = prose(s, 4 + 17 * s, 500)
+        words = text.split()
+        least = {}
+        hashes = [int(h) for h in shingle_hashes(WordHashes().of([w.encode() for w in words]), oph.SHINGLE)]
+        for h in hashes:
+            b = h >> 56
+            least[b] = min(least.get(b, h), h)
+        codes = []
+        for b in range(oph.BINS):
+            source = b if b in least else min(least, key=lambda t: orders[b][t])
+            codes.append(least[source] % (1 << oph.BITS))
+        assert fp.codes(text).tolist() == codes
+        assert oph.pack(fp.codes(text)) == "".join(f"{codes[i + 1]:x}{codes[i]:x}" for i in range(0, oph.BINS, 2)) or oph.unpack(oph.pack(fp.codes(text))).tolist() == codes
