@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hostlens.operators import article_index as IX
 from hostlens.operators import search as S
 from hostlens.plans.common import oracle, session
 from hostlens.plans.registry import query
-from hostlens.sources.tables import read_table
+from hostlens.sources.tables import fingerprint, landed, read_table
 
 _COLLAPSE = "regexp_replace(regexp_replace({x}, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
 _TOKENS = "regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+')"
@@ -78,6 +79,31 @@ def article_topk(spark, sf_dir):
     return S.search_topk(bench, "item_id", "text", docs, "doc_id", "text", k=5)
 
 
+_BM25_ORACLE = f"""
+WITH post AS (SELECT doc_id, token, COUNT(*) AS tf FROM (
+                SELECT doc_id, unnest({_TOKENS.format(x="text")}) AS token FROM documents) x GROUP BY doc_id, token),
+size AS (SELECT doc_id, len({_TOKENS.format(x="coalesce(text, '')")}) AS n FROM documents),
+whole AS (SELECT COUNT(*) AS n, AVG(n) AS average FROM size),
+df AS (SELECT token, COUNT(*) AS df FROM post GROUP BY token),
+qt AS (SELECT DISTINCT query_id, token FROM (
+         SELECT item_id AS query_id, unnest({_TOKENS.format(x="text")}) AS token FROM benchmark) y),
+sc AS (SELECT q.query_id, p.doc_id, ROUND(SUM(
+         ln(1 + (whole.n - df.df + 0.5) / (df.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * size.n / whole.average))), 6) AS score
+       FROM qt q JOIN post p ON p.token = q.token JOIN df ON df.token = q.token JOIN size ON size.doc_id = p.doc_id, whole
+       GROUP BY q.query_id, p.doc_id)
+SELECT query_id, doc_id, score, rank FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) z
+WHERE rank <= 5
+"""
+
+
+@query("article_topk_index", _BM25_ORACLE)
+def article_topk_index(spark, sf_dir):
+    path = landed(spark, f"articles-{fingerprint(spark, sf_dir, ('documents',), 'bm25-v1')}", lambda at: IX.build_index(
+        read_table(spark, sf_dir, "documents"), "doc_id", "text", at))
+    return IX.search_index(read_table(spark, sf_dir, "benchmark"), "item_id", "text", path, k=5)
+
+
 _TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"
 LOOKUP_TERMS_SQL = f"""
 SELECT {_TITLE} AS term FROM pages

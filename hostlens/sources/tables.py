@@ -7,11 +7,12 @@ scan when a query runs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 import hashlib
 import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hostlens.functions.wkb import st_point
 from hostlens.session import ensure_checkpoint_dir
@@ -67,11 +68,11 @@ def _fs(spark: SparkSession, path: str):
 LANDING_LAYOUT = "v2-sorted-family-genus"
 
 
-def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+def fingerprint(spark: SparkSession, sf_dir: str, tables: tuple[str, ...], layout: str) -> str:
     """Identity of the input files (path, size and modification time of every
-    file below each table's path) and of the landing layout."""
-    h = hashlib.sha1(LANDING_LAYOUT.encode())
-    for name in ("lineitem", "part", "supplier", "nation"):
+    file below each table's path) and of the layout they are landed in."""
+    h = hashlib.sha1(layout.encode())
+    for name in tables:
         p, fs = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
         files, found = fs.listFiles(p, True), []
         while files.hasNext():
@@ -81,29 +82,37 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
-def landed_host(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``host`` as the reference has it: one stored Parquet dataset.
+def landed(spark: SparkSession, name: str, write: Callable[[str], None]) -> str:
+    """Path of a dataset that ``write`` lands once, in ``<spark.checkpoint.dir>/landed``
+    (the shared folder the cluster names).
 
-    Built once per input (fingerprinted) into ``<spark.checkpoint.dir>/landed``
-    — the shared folder the cluster names — by writing to a fresh folder and
-    renaming it into place, so concurrent or retried jobs never see a partial
-    table.  Later queries scan it with column pruning and pushed filters."""
+    It is written to a fresh folder and renamed into place, so concurrent or
+    retried jobs never see a partial one."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/landed/host-{_fingerprint(spark, sf_dir)}"
-    done, fs = _fs(spark, path + "/_SUCCESS")
-    if not fs.exists(done):
+    path = f"{root}/landed/{name}"
+    dst, fs = _fs(spark, path)
+    if not fs.exists(dst):
         tmp = f"{root}/landed/tmp-{uuid.uuid4().hex}"
-        # sorted within files so that row-group min/max statistics let
-        # equality and range filters on family/genus skip data
-        (build_host(spark).sortWithinPartitions("VIRUS_FAMILY", "VIRUS_GENUS")
-         .write.mode("overwrite").parquet(tmp))
+        write(tmp)
         src, _ = _fs(spark, tmp)
-        dst, _ = _fs(spark, path)
         # renaming onto an existing directory would move tmp inside it, so
         # a job that lost the race drops its copy instead
         if fs.exists(dst) or not fs.rename(src, dst):
             fs.delete(src, True)
-    return spark.read.parquet(path)
+    return path
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    return fingerprint(spark, sf_dir, ("lineitem", "part", "supplier", "nation"), LANDING_LAYOUT)
+
+
+def landed_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``host`` as the reference has it: one stored Parquet dataset, built once
+    per input.  Later queries scan it with column pruning and pushed filters."""
+    # sorted within files so that row-group min/max statistics let
+    # equality and range filters on family/genus skip data
+    return spark.read.parquet(landed(spark, f"host-{_fingerprint(spark, sf_dir)}", lambda path: (
+        build_host(spark).sortWithinPartitions("VIRUS_FAMILY", "VIRUS_GENUS").write.mode("overwrite").parquet(path))))
 
 
 def land_host(spark: SparkSession, sf_dir: str) -> DataFrame:
