@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hostlens.operators import article_index as IX
+from hostlens.operators import regex_search as RX
 from hostlens.operators import search as S
 from hostlens.plans.common import oracle, session
 from hostlens.plans.registry import query
@@ -164,3 +165,29 @@ def name_fallback_search(spark, sf_dir):
     session(spark, sf_dir)
     return S.name_fallback_search(spark.sql(FALLBACK_TERMS_SQL), spark.table("taxonomy"),
                                   "ORGANISM_NAME", "tax_id")
+
+
+# anchors, alternation, classes, optional and repeated parts, and a term that only its first word finds
+REGEX_TERMS_SQL = """
+SELECT concat('^', upper(ORGANISM_NAME), '$') AS term FROM taxonomy
+UNION SELECT concat('(', split_part(ORGANISM_NAME, ' ', 1), '|zzz) +(', split_part(ORGANISM_NAME, ' ', 2), '|none)') AS term FROM taxonomy
+UNION SELECT concat('[', substring(ORGANISM_NAME, 1, 1), 'qx]', substring(ORGANISM_NAME, 2, 2), '(yy)?', substring(ORGANISM_NAME, 4, 4)) AS term FROM taxonomy
+UNION SELECT concat(substring(ORGANISM_NAME, 1, 2), '.*', split_part(ORGANISM_NAME, ' ', 2), '$') AS term FROM taxonomy
+UNION SELECT concat(split_part(ORGANISM_NAME, ' ', 1), ' z{2,}') AS term FROM taxonomy
+UNION SELECT concat(split_part(ORGANISM_NAME, ' ', 2), '\\\\b|[0-9]+x') AS term FROM taxonomy
+"""
+
+
+@query("name_regex_search", oracle(f"""
+WITH terms AS ({REGEX_TERMS_SQL.replace(chr(92) * 2, chr(92))}),
+hit AS (SELECT t.term, x.tax_id, x.ORGANISM_NAME AS name FROM terms t
+        JOIN taxonomy x ON regexp_matches(x.ORGANISM_NAME, t.term, 'i')),
+missed AS (SELECT term FROM terms WHERE term NOT IN (SELECT term FROM hit)),
+genus AS (SELECT m.term, x.tax_id, x.ORGANISM_NAME AS name FROM missed m
+          JOIN taxonomy x ON regexp_matches(x.ORGANISM_NAME, split_part(trim(m.term), ' ', 1), 'i'))
+SELECT term, 'species' AS match_level, tax_id, name FROM hit
+UNION ALL SELECT term, 'genus' AS match_level, tax_id, name FROM genus
+""", "taxonomy"))
+def name_regex_search(spark, sf_dir):
+    session(spark, sf_dir)
+    return RX.name_regex_search(spark.sql(REGEX_TERMS_SQL), spark.table("taxonomy"), "ORGANISM_NAME", "tax_id")
