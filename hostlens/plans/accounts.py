@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from hostlens.operators import reports as RP
 from hostlens.operators import tables as T
 from hostlens.operators.ordering import global_rank
 from hostlens.plans.common import oracle, session
@@ -356,3 +357,31 @@ def email_domain_rule(spark, sf_dir):
     email = F.lower(F.trim("raw"))
     return found.select("doc_id", email.alias("email"), T.email_domain(email).alias("domain"),
                         T.email_rule(email).alias("verdict"))
+
+
+# every error event files a report; every event is a line of its month's log
+LOG_LINES_SQL = """
+SELECT event_id, ts, substring(CAST(ts AS VARCHAR(30)), 1, 7) AS month,
+       concat(substring(CAST(ts AS VARCHAR(30)), 1, 19), ' | ', CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END, ' | ',
+              event_type, ' by ', CAST(user_id AS VARCHAR(20))) AS line
+FROM events
+"""
+
+
+@query("report_recent_logs", f"""
+WITH lines AS ({LOG_LINES_SQL}),
+l AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY month ORDER BY ts, event_id) AS pos FROM lines),
+r AS (SELECT l.event_id AS report_id, l.month, MAX(pos) OVER (PARTITION BY l.month ORDER BY l.ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last,
+             event_type FROM l JOIN (SELECT event_id, event_type FROM events) e USING (event_id))
+SELECT report_id, COUNT(*) AS n_lines, MIN(l.line) AS least_line, sha256(string_agg(l.line, chr(10) ORDER BY l.pos)) AS lines_sha256
+FROM (SELECT * FROM r WHERE event_type = 'error') r JOIN l ON l.month = r.month AND l.pos <= r.last AND l.pos > r.last - 200
+GROUP BY report_id
+""")
+def report_recent_logs(spark, sf_dir):
+    read_table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    lines = spark.sql(LOG_LINES_SQL).withColumnRenamed("event_id", "line_key")
+    reports = spark.table("events").where("event_type = 'error'").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
+    out = RP.with_recent_logs(reports, lines)
+    return out.select(F.col("id").alias("report_id"), F.size("recent_logs").cast("bigint").alias("n_lines"),
+                      F.array_min("recent_logs").alias("least_line"),
+                      F.sha2(F.array_join("recent_logs", "\n").cast("binary"), 256).alias("lines_sha256"))

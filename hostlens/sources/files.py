@@ -238,6 +238,11 @@ def read_logs(spark: SparkSession, path: str, month: str | None = None) -> DataF
     return parse_log_lines(raw)
 
 
+def log_lines(parsed: DataFrame) -> DataFrame:
+    """month, ts, line_key and line (the whole text) of parsed log lines."""
+    return parsed.select("month", "ts", "line_key", F.col("value").alias("line"))
+
+
 def log_tail(spark: SparkSession, path: str, month: str, lines: int = TAIL_DEFAULT) -> DataFrame:
     """The last ``lines`` lines of one month's log (clamped to 1..2000), in
     file order; no other month's file is opened, and only ``lines`` rows
@@ -261,14 +266,18 @@ def tool_events(parsed: DataFrame) -> DataFrame:
 def export_reports(reports: DataFrame, path: str) -> None:
     """One JSON object per report (id, timestamp, user_email, user_comment,
     question, answer, executed_codes, recent_logs), partitioned by month, to
-    a fresh path."""
+    a path that does not exist yet.  Lists may be arrays or their JSON text."""
     arr = "ARRAY<STRING>"
+
+    def listed(name: str) -> F.Column:
+        value = F.col(name) if isinstance(reports.schema[name].dataType, T.ArrayType) else F.from_json(name, arr)
+        return F.coalesce(value, F.array().cast(arr)).alias(name)
+
     out = reports.select(
         "id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
         "user_email", F.col("comment").alias("user_comment") if "comment" in reports.columns
         else F.lit(None).cast("string").alias("user_comment"),
         "question", "answer",
-        F.coalesce(F.from_json("executed_codes", arr), F.array().cast(arr)).alias("executed_codes"),
-        F.coalesce(F.from_json("recent_logs", arr), F.array().cast(arr)).alias("recent_logs"),
+        listed("executed_codes"), listed("recent_logs"),
         F.date_format("created_at", "yyyy-MM").alias("month"))
-    out.write.mode("overwrite").partitionBy("month").json(path)
+    out.write.partitionBy("month").json(path)
