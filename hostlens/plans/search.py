@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hostlens.operators import article_index as IX
+from hostlens.operators import closest as CL
 from hostlens.operators import regex_search as RX
 from hostlens.operators import search as S
 from hostlens.plans.common import oracle, session
@@ -191,3 +192,38 @@ UNION ALL SELECT term, 'genus' AS match_level, tax_id, name FROM genus
 def name_regex_search(spark, sf_dir):
     session(spark, sf_dir)
     return RX.name_regex_search(spark.sql(REGEX_TERMS_SQL), spark.table("taxonomy"), "ORGANISM_NAME", "tax_id")
+
+
+# titles as they are, with one to three edits, and with more than may count
+TYPO_TERMS_SQL = f"""
+SELECT {_TITLE} AS term FROM pages
+UNION SELECT concat(substring({_TITLE}, 1, 2), substring({_TITLE}, 4)) AS term FROM pages
+UNION SELECT concat(substring({_TITLE}, 1, 5), 'q', substring({_TITLE}, 7), 'x') AS term FROM pages
+UNION SELECT concat('z', substring({_TITLE}, 3), 'w') AS term FROM pages
+UNION SELECT concat('far away ', {_TITLE}) AS term FROM pages
+"""
+_PLAIN_KEY = "translate(" + _KEY + f", '{CL.MARKED}', '{CL.PLAIN}')"
+
+_CLOSEST_ORACLE = f"""
+WITH terms AS ({TYPO_TERMS_SQL}),
+raw AS (SELECT page_id, {_TITLE} AS title, html FROM pages),
+arts AS (SELECT page_id, title, {_PLAIN_KEY.format(x="title")} AS key FROM raw),
+t AS (SELECT key, length(key) AS l, MIN(page_id) AS page_id FROM arts WHERE key <> '' GROUP BY key),
+q AS (SELECT DISTINCT term, {_PLAIN_KEY.format(x="term")} AS key FROM terms),
+k AS (SELECT DISTINCT key, length(key) AS n, least(3, length(key) // 4) AS e FROM q WHERE key <> ''),
+near AS (SELECT k.key, t.page_id, levenshtein(k.key, t.key) AS edits, e FROM k JOIN t ON t.l BETWEEN n - e AND n + e),
+best AS (SELECT key, page_id, edits FROM (
+           SELECT *, ROW_NUMBER() OVER (PARTITION BY key ORDER BY edits, page_id) AS rn FROM near WHERE edits <= e) x WHERE rn = 1),
+body AS (SELECT page_id, title, {_COLLAPSE.format(x="regexp_replace(html, '<[^>]*>', ' ', 'g')")} AS body FROM raw
+         WHERE page_id IN (SELECT page_id FROM best))
+SELECT q.term, b.page_id, body.title, CAST(b.edits AS BIGINT) AS edits, b.page_id IS NOT NULL AS found,
+       CASE WHEN length(body) > 4000 THEN concat(substring(body, 1, 4000), '... [truncated]') ELSE body END AS extract
+FROM q LEFT JOIN best b ON b.key = q.key LEFT JOIN body ON body.page_id = b.page_id
+""".replace("\\\\", "\\")
+
+
+@query("article_closest", _CLOSEST_ORACLE)
+def article_closest(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    pages.createOrReplaceTempView("pages")
+    return CL.article_closest(spark.sql(TYPO_TERMS_SQL), pages)
