@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hostlens.session import cut_lineage
+
+
 def enrich(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Observations joined to a dimension (e.g. taxonomy).  The side to
     broadcast is the planner's choice: by ``spark.sql.autoBroadcastJoinThreshold``
@@ -14,6 +17,18 @@ def enrich(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left
     return big.join(small, list(on), how)
 
 
+def lookup_join(left: DataFrame, right: DataFrame, key: str, parts: int = 10_000) -> DataFrame:
+    """Left join with a table that has each key once, which no hot key brings into one task.
+
+    Keys that more than one in ``parts`` rows of ``left`` hold, ``parts`` keys at
+    most, are joined by broadcast; only the rest shuffles."""
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    hot = cut_lineage(counts.where(F.col("_n") > left.count() // parts).select(key))
+    known = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    usual = left.join(F.broadcast(hot), key, "left_anti").join(right, key, "left")
+    return left.join(F.broadcast(hot), key, "left_semi").join(known, key, "left").unionByName(usual)
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str,
               right_cols: Sequence[str], left_key: Sequence[str],
               bucket_seconds: int = 3600) -> DataFrame:

@@ -31,6 +31,8 @@ def oracle(sql: str, *views: str) -> str:
         return sql
     head = oracle_with(*views)
     body = sql.lstrip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return head.rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return head.rstrip() + ",\n" + body[5:]
     return head + body

@@ -9,6 +9,7 @@ from hostlens.operators import article_index as IX
 from hostlens.operators import closest as CL
 from hostlens.operators import regex_search as RX
 from hostlens.operators import search as S
+from hostlens.operators import taxon_tree as TT
 from hostlens.plans.common import oracle, session
 from hostlens.plans.registry import query
 from hostlens.sources.tables import fingerprint, landed, read_table
@@ -227,3 +228,32 @@ def article_closest(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages")
     pages.createOrReplaceTempView("pages")
     return CL.article_closest(spark.sql(TYPO_TERMS_SQL), pages)
+
+
+# life > family > genus > species > taxon
+_FAMILY = "COALESCE(FAMILY_NAME, 'unplaced')"
+_GENUS = f"concat({_FAMILY}, '/', COALESCE(GENUS_NAME, '?'))"
+_SPECIES = f"concat({_GENUS}, '/', ORGANISM_NAME)"
+TAXON_EDGES_SQL = f"""
+SELECT 'life' AS node, CAST(NULL AS STRING) AS parent
+UNION SELECT {_FAMILY}, 'life' FROM taxonomy
+UNION SELECT {_GENUS}, {_FAMILY} FROM taxonomy
+UNION SELECT {_SPECIES}, {_GENUS} FROM taxonomy
+UNION SELECT concat('taxon ', CAST(tax_id AS STRING)), {_SPECIES} FROM taxonomy
+"""
+
+
+@query("taxon_subtree_counts", oracle(f"""
+WITH RECURSIVE edges AS ({TAXON_EDGES_SQL}),
+up AS (SELECT node, node AS above FROM edges
+       UNION ALL SELECT up.node, e.parent FROM up JOIN edges e ON e.node = up.above WHERE e.parent IS NOT NULL),
+obs AS (SELECT concat('taxon ', CAST(tax_id AS STRING)) AS node, COUNT(*) AS n FROM host GROUP BY tax_id),
+deep AS (SELECT node, COUNT(*) AS depth FROM up GROUP BY node)
+SELECT above AS node, deep.depth, COUNT(*) - 1 AS n_below, CAST(SUM(COALESCE(obs.n, 0)) AS BIGINT) AS n_obs
+FROM up LEFT JOIN obs ON obs.node = up.node JOIN deep ON deep.node = up.above GROUP BY above, deep.depth
+""", "host", "taxonomy"))
+def taxon_subtree_counts(spark, sf_dir):
+    session(spark, sf_dir)
+    seen = spark.table("host").groupBy("tax_id").agg(F.count("*").alias("n_obs")).select(
+        F.concat(F.lit("taxon "), F.col("tax_id").cast("string")).alias("node"), "n_obs")
+    return TT.subtree_sums(TT.nested_intervals(spark.sql(TAXON_EDGES_SQL)), seen, "n_obs").select("node", "depth", "n_below", "n_obs")
