@@ -19,7 +19,8 @@ def tokens(text):
 class Plain:
     """The same model from the text-book formulas, word by word."""
 
-    def __init__(self, texts):
+    def __init__(self, texts, prior):
+        self.prior = prior
         self.c, self.b = collections.Counter(), collections.Counter()
         for t in texts:
             w = tokens(t)
@@ -32,7 +33,16 @@ class Plain:
 
     def p(self, h, w):
         c = self.c[END] if h is START else self.c[h]
-        return (self.b[h, w] + backoff_lm.PRIOR * self.p1(w)) / (c + backoff_lm.PRIOR) if c else self.p1(w)
+        return (self.b[h, w] + self.prior * self.p1(w)) / (c + self.prior) if c else self.p1(w)
+
+    def check_prior(self):
+        """Failure arcs take as many training tokens as there are training bigrams that occur once."""
+        if not self.n:
+            assert self.prior == 1
+            return
+        new = sum(x == 1 for x in self.b.values())
+        taken = sum(x * self.prior / (x + self.prior) for x in self.c.values())
+        assert taken == pytest.approx(new, rel=0.05) or self.prior > 9e5 or self.prior < 2e-3
 
     def row(self, text):
         w = tokens(text)
@@ -42,9 +52,11 @@ class Plain:
 
 def check(rows, docs, folds=7, held=2):
     fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % folds
-    m = Plain([t for i, t in docs if fold(i) != held])
+    (prior,) = {r["prior"] for r in rows}
+    m = Plain([t for i, t in docs if fold(i) != held], prior)
+    m.check_prior()
     want = sorted([(i, fold(i) == held, *m.row(t)) for i, t in docs], key=str)
-    got = sorted([tuple(r) for r in rows], key=str)
+    got = sorted([tuple(r)[:-1] for r in rows], key=str)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want):
         assert g[5:] == pytest.approx(w[5:], rel=1e-9)
@@ -62,7 +74,7 @@ def test_many_blocks_give_the_same(spark, monkeypatch):
 
 
 def test_distribution_sums_to_one():
-    m = Plain([prose(i, 30, 8) for i in range(5)])
+    m = Plain([prose(i, 30, 8) for i in range(5)], 7.5)
     for h in {START, *m.c} - {END}:  # nothing follows the end
         assert sum(m.p(h, w) for w in m.c) + m.p(h, b"?") == pytest.approx(1)
 
@@ -78,3 +90,24 @@ def test_awkward_rows(awkward, no_docs):
 def test_held_out_copies_score_above_unigrams(spark):
     rows = queries.op5(spark, SF.replace("0.001", "0.01")).where("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+def test_a_small_sketch_estimates_the_same_prior(spark, monkeypatch):
+    """The sketch against exact counts, whatever the blocks."""
+    docs = docs_of(spark, [(i, prose(i, 200, 900)) for i in range(120)])
+    train = queries.fold("doc_id", 7) != 2
+    exact = backoff_lm.score(docs, train).first()["prior"]
+    monkeypatch.setattr(backoff_lm, "LOWEST", 2000)
+    one = backoff_lm.score(docs, train).first()["prior"]
+    monkeypatch.setattr(backoff_lm, "BLOCK_TOKENS", 700)
+    many = backoff_lm.score(docs.repartition(5), train).first()["prior"]
+    assert one == many == pytest.approx(exact, rel=0.25) and one != exact
+
+
+def test_held_out_rows_teach_nothing(spark):
+    """Scores of training rows do not depend on held-out texts."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7
+    rows = [(i, prose(i, 60, 80)) for i in range(80)]
+    other = [(i, t if fold(i) != 2 else "something else " * 50) for i, t in rows]
+    a, b = ({r["doc_id"]: tuple(r) for r in backoff_lm.score(docs_of(spark, x), queries.fold("doc_id", 7) != 2).collect() if not r["held_out"]} for x in (rows, other))
+    assert a == b
