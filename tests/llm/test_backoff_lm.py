@@ -94,7 +94,7 @@ def test_held_out_copies_score_above_unigrams(spark):
 
 def test_a_small_sketch_estimates_the_same_prior(spark, monkeypatch):
     """The sketch against exact counts, whatever the blocks."""
-    docs = docs_of(spark, [(i, prose(i, 200, 900)) for i in range(120)])
+    docs = docs_of(spark, [(i, prose(i, 200, 60)) for i in range(120)])
     train = queries.fold("doc_id", 7) != 2
     exact = backoff_lm.score(docs, train).first()["prior"]
     monkeypatch.setattr(backoff_lm, "LOWEST", 2000)
