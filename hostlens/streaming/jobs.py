@@ -1,10 +1,10 @@
 """Structured Streaming twins of the turn rollup (T1) and the log feed.
 
 The reference streams one turn's events to a browser; a Spark user builds
-the same folds over an append-only feed: event-time windows, a watermark
-for late data, duplicates dropped within the watermark, and ``update``
-output (in ``append`` mode the last open windows of a finite replay are
-never emitted).  Rows and checkpoints live under ``spark.checkpoint.dir`` by
+the same folds over an append-only feed: event-time windows that drop repeats
+and close by timer once the watermark has passed them (the last open windows of
+a finite replay are not emitted), turns that close on their last event, and
+counts in ``update`` mode.  Rows and checkpoints live under ``spark.checkpoint.dir`` by
 name, so a stream that is started again resumes.
 """
 
@@ -12,10 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hostlens.session import ensure_checkpoint_dir
@@ -31,21 +33,74 @@ EVENTS_SCHEMA = T.StructType([
 ])
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class WindowRollup(StatefulProcessor):
+    """One window of one user: drops repeats, counts, and closes by timer.
+
+    State: the counts, and the event ids seen, packed into buckets so that a batch
+    reads and writes only the buckets of its own ids.  The timer at the window's
+    end emits the one row of the window and clears all of it.  What arrives for a
+    window whose end the watermark has passed finds it closed and is ignored, so an
+    emitted window never changes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._counts = handle.getValueState("counts", "n LONG, ok LONG")
+        self._seen = handle.getMapState("seen", "bucket INT", "ids BINARY")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        _, end = key
+        if int(end.timestamp() * 1000) <= timerValues.getCurrentWatermarkInMs():
+            return iter(())
+        old = self._counts.get()
+        n, ok = old if old is not None else (0, 0)
+        if old is None:
+            self._handle.registerTimer(int(end.timestamp() * 1000))
+        for batch in rows:
+            batch = batch.drop_duplicates("event_id")
+            ids, good = batch["event_id"].to_numpy(dtype=np.int64), batch["ok"].to_numpy(dtype=bool)
+            bucket = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype(int)        # 64 buckets
+            for j in np.unique(bucket):
+                mine = bucket == j
+                held = self._seen.getValue((int(j),)) if self._seen.containsKey((int(j),)) else None
+                known = np.frombuffer(held[0], dtype=np.int64) if held is not None else np.empty(0, dtype=np.int64)
+                new = ~np.isin(ids[mine], known)
+                if new.any():
+                    self._seen.updateValue((int(j),), (np.concatenate([known, ids[mine][new]]).tobytes(),))
+                    n, ok = n + int(new.sum()), ok + int(good[mine][new].sum())
+        self._counts.update((n, ok))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, ok = self._counts.get()
+        self._counts.clear()
+        self._seen.clear()
+        user, end = key
+        yield pd.DataFrame({"user_id": [user], "end": [end], "n_events": [n], "n_ok": [ok], "n_failed": [n - ok]})
+
+    def close(self) -> None:
+        pass
+
+
 def turn_rollup_stream(spark: SparkSession, events_dir: str, window: str = "1 day",
                        watermark: str = "1 day", max_files: int | None = None) -> DataFrame:
-    """Per user and event-time window, events and outcomes; duplicate
-    event ids within the watermark are ignored."""
+    """Per user and event-time window, events and outcomes, one row per window,
+    emitted when the watermark passes its end (append mode).  Repeated event
+    ids count once; events older than that change nothing.  Rows without an
+    event id, user or time are left out."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     reader = spark.readStream.schema(EVENTS_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    ev = reader.parquet(events_dir)
+    ev = reader.parquet(events_dir).where("event_id IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL")
     ev = ev.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need TIMESTAMP
-    dedup = ev.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
-    ok = F.col("event_type") != "error"
-    return (dedup.groupBy("user_id", F.window("ts", window).alias("w"))
-            .agg(F.count(F.lit(1)).alias("n_events"), F.count_if(ok).alias("n_ok"),
-                 F.count_if(~ok).alias("n_failed"))
-            .select("user_id", F.col("w.start").alias("window_start"), "n_events", "n_ok", "n_failed"))
+    keyed = ev.withWatermark("ts", watermark).select(
+        "user_id", "ts", "event_id", F.coalesce(F.col("event_type") != "error", F.lit(False)).alias("ok"), F.window("ts", window).end.alias("end"))
+    closed = keyed.groupBy("user_id", "end").transformWithStateInPandas(
+        WindowRollup(), "user_id LONG, end TIMESTAMP, n_events LONG, n_ok LONG, n_failed LONG", "Append", "EventTime")
+    return closed.select("user_id", (F.col("end") - F.expr(f"INTERVAL {window}")).alias("window_start"), "n_events", "n_ok", "n_failed")
 
 
 def tool_log_stream(spark: SparkSession, logs_dir: str, window: str = "1 hour",

@@ -19,9 +19,15 @@ def test_turn_rollup_stream_equals_batch(spark, scratch_dir):
     ev.repartition(4).write.mode("overwrite").parquet(os.path.join(src, "part"))
     dup = ev.filter(F.col("event_type") == "click")
     dup.write.mode("overwrite").parquet(os.path.join(src, "dups"))
+    # one event far ahead closes every other window
+    last = ev.orderBy(F.desc("ts")).limit(1).withColumns({"event_id": F.lit(-1).cast("bigint"), "user_id": F.lit(-1).cast("bigint"), "ts": F.expr("ts + INTERVAL 90 DAYS")})
+    stamp = 2_000_000_000
+    last.coalesce(1).write.parquet(os.path.join(src, "ahead"))
+    for f in os.listdir(os.path.join(src, "ahead")):
+        os.utime(os.path.join(src, "ahead", f), (stamp, stamp))
     stream = ST.turn_rollup_stream(spark, os.path.join(src, "*"), window="1 day", watermark="30 days",
                                    max_files=2)
-    got = ST.latest_rows(ST.run_to_table(stream, f"t1_rollup-{os.path.basename(scratch_dir)}"), ["user_id", "window_start"]) \
+    got = ST.run_to_table(stream, f"t1_rollup-{os.path.basename(scratch_dir)}", "append") \
         .withColumn("window_start", F.col("window_start").cast("timestamp_ntz").cast("string"))
     batch = TU.turn_rollup(ev, "1 day")
     cols = ["user_id", "window_start", "n_events", "n_ok", "n_failed"]
@@ -50,13 +56,10 @@ def test_tool_log_stream_counts(spark, scratch_dir):
     assert got.agg(F.sum("n")).first()[0] == 80
 
 
-def test_duplicates_ignored_and_late_event_behaviour(spark, scratch_dir):
-    """Three arrivals: a, then b (moves the watermark two days on), then c with
-    an event older than the watermark and a duplicate id.  The duplicate is
-    ignored.  Observed on Spark 4.1: with dropDuplicatesWithinWatermark
-    followed by the windowed aggregation, the late event is still folded
-    into its (already closed) window, so the result equals the batch fold
-    over distinct events; this test pins that behaviour."""
+def test_late_events_never_change_a_closed_window(spark, scratch_dir):
+    """Arrivals: two events of a day; one three days on, which closes that day; then an
+    event of the closed day, a repeat, and an event of a day still open with a repeat of
+    its own; at last one far ahead.  The closed day is emitted once, as it was."""
     import datetime as dt
 
     from hostlens.streaming.jobs import EVENTS_SCHEMA
@@ -78,14 +81,26 @@ def test_duplicates_ignored_and_late_event_behaviour(spark, scratch_dir):
 
     drop("a", [(1, t0, 7, "click", 1.0, "{}"), (2, t0 + dt.timedelta(hours=1), 7, "error", 1.0, "{}")])
     drop("b", [(3, t0 + dt.timedelta(days=3), 7, "click", 1.0, "{}")])        # moves the watermark on
-    drop("c", [(4, t0 - dt.timedelta(hours=1), 7, "click", 1.0, "{}"),      # late: before watermark
-               (2, t0 + dt.timedelta(hours=1), 7, "error", 1.0, "{}")])     # duplicate id
-    stream = ST.turn_rollup_stream(spark, os.path.join(src, "*"), window="1 day",
-                                   watermark="1 day", max_files=1)
-    got = ST.latest_rows(ST.run_to_table(stream, f"t1_late-{os.path.basename(scratch_dir)}"), ["user_id", "window_start"]) \
-        .withColumn("day", F.col("window_start").cast("date").cast("string"))
-    rows = {r.day: (r.n_events, r.n_ok, r.n_failed) for r in got.collect()}
-    assert rows == {"2024-01-10": (3, 2, 1), "2024-01-13": (1, 1, 0)}
+    drop("c", [(9, t0 + dt.timedelta(days=3, hours=1), 7, "click", 1.0, "{}")])
+    drop("d", [(4, t0 - dt.timedelta(hours=1), 7, "click", 1.0, "{}"),      # late: its day is closed
+               (2, t0 + dt.timedelta(hours=1), 7, "error", 1.0, "{}"),      # late and a repeat
+               (3, t0 + dt.timedelta(days=3), 7, "click", 1.0, "{}"),       # a repeat in an open day
+               (5, t0 + dt.timedelta(days=3, hours=2), 7, "error", 1.0, "{}"),
+               (6, t0 + dt.timedelta(days=2, hours=2), 8, "click", 1.0, "{}"),
+               (None, t0 + dt.timedelta(days=3), 7, "click", 1.0, "{}")])
+    name = f"t1_late-{os.path.basename(scratch_dir)}"
+
+    def run():
+        stream = ST.turn_rollup_stream(spark, os.path.join(src, "*"), window="1 day", watermark="1 day", max_files=1)
+        rows = ST.run_to_table(stream, name, "append").collect()
+        return sorted((r.user_id, str(r.window_start)[:10], r.n_events, r.n_ok, r.n_failed) for r in rows)
+
+    closed = (7, "2024-01-10", 2, 1, 1)
+    assert run() == [closed]
+    drop("e", [(7, t0 + dt.timedelta(days=30), 9, "click", 1.0, "{}")])
+    drop("f", [(8, t0 + dt.timedelta(days=31), 9, "click", 1.0, "{}")])
+    # the stream goes on where it stopped; every day appears once
+    assert run() == [closed, (7, "2024-01-13", 3, 2, 1), (8, "2024-01-12", 1, 1, 0)]
 
 
 def test_turns_close_and_streams_resume(spark, scratch_dir):
