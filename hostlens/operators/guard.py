@@ -226,8 +226,8 @@ def check_resolved(session: EngineSession, df: DataFrame) -> str | None:
             name = node.get("desc", {}).get("identifier", {})
             if not node.get("isTempView") or name.get("database") or name.get("table", "").lower() not in views:
                 return _unknown_relation(session)
-        elif kind in ("PythonUDF", "ScalaUDF", "SQLScalarFunction", "SQLFunctionExpression"):
-            if str(node.get("name") or _declared(node)).lower() not in own:
+        elif kind in ("PythonUDF", "ScalaUDF"):
+            if str(node.get("name")).lower() not in own:
                 return FUNCTION_MSG.format(node.get("name"))
         elif place.startswith(_SPARK_SQL + "plans."):
             if kind not in _STEPS:
@@ -242,11 +242,6 @@ def _unknown_relation(session: EngineSession) -> str:
     return RELATION_MSG.format(", ".join(sorted(session.views)))
 
 
-def _declared(node: dict) -> str:
-    """Name of the SQL function a node stands for."""
-    return ((node.get("function") or {}).get("name") or {}).get("funcName", "")
-
-
 def guarded_sql(session: EngineSession, sql: str, check_empty: bool = True) -> DataFrame:
     """G1: run a guarded SELECT; on success it becomes ``df_host``.
 

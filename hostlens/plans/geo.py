@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hostlens.functions.wkb import has_coordinates, st_point, with_point_coords
-from hostlens.operators import geo
+from hostlens.operators import geo, places
 from hostlens.plans.common import guarded, oracle, session
 from hostlens.plans.registry import query
-from hostlens.sources.tables import read_table
+from hostlens.sources.tables import fingerprint, landed, read_table
 
 
 @query("point_coordinates", """
@@ -65,3 +65,16 @@ def traceability_gate(spark, sf_dir):
     s = session(spark, sf_dir)
     frame = s.host.filter(has_coordinates(F.col("geometry"))).select("VIRUS_FAMILY", geo.sample_id().alias("sample_id"))
     return geo.traceability(frame, ["VIRUS_FAMILY"])
+
+
+@query("map_box", oracle("""
+SELECT obs_order, obs_line, lon_src AS lon, lat_src AS lat, COALESCE(primary_id, secondary_id) AS sample_id, VIRUS_SPECIES AS species
+FROM host
+WHERE lon_src BETWEEN 10 AND 45 AND lat_src BETWEEN 30 AND 55
+""", "host"))
+def map_box(spark, sf_dir):
+    s = session(spark, sf_dir)
+    path = landed(spark, f"points-{fingerprint(spark, sf_dir, ('lineitem', 'part', 'supplier', 'nation'), 'cells-v1')}", lambda at: places.land_points(
+        s.host.select("obs_order", "obs_line", "geometry", "primary_id", "secondary_id", "VIRUS_SPECIES"), at))
+    return places.in_box(spark.read.parquet(path), 10, 30, 45, 55).select(
+        "obs_order", "obs_line", "lon", "lat", geo.sample_id().alias("sample_id"), F.col("VIRUS_SPECIES").alias("species"))

@@ -63,3 +63,16 @@ def test_chart_gate_counts_points(spark):
     df = spark.createDataFrame([(None, 1.0), (None, None)], "x DOUBLE, y DOUBLE")
     r = chart_has_points(df, ["x", "y"]).first()
     assert (r.x, r.y) == (0, 1)
+
+
+def test_every_kind_of_double_decodes_exactly(spark):
+    import random
+
+    r = random.Random(3)
+    values = [struct.unpack(">d", r.randbytes(8))[0] for _ in range(3000)] + [r.uniform(-180, 180) for _ in range(3000)]
+    values += [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, math.inf, -math.inf, math.nan]
+    rows = [(i, bytearray(wkb(v, -v, i % 2 == 0, 4326 if i % 3 == 0 else None))) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "i INT, g BINARY").select("i", st_x(F.col("g")).alias("x"), st_y(F.col("g")).alias("y"))
+    for row in df.collect():
+        for got, want in ((row.x, values[row.i]), (row.y, -values[row.i])):
+            assert got is None if math.isnan(want) else struct.pack(">d", got) == struct.pack(">d", want)
