@@ -23,6 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hostlens.operators.joins import lookup_join
 from hostlens.session import cut_lineage
 
 OrderSpec = str | tuple[str, bool]
@@ -69,3 +70,17 @@ def global_rank(df: DataFrame, order: Sequence[OrderSpec], name: str = "rank",
         eq = df[c].eqNullSafe(ranks[f"_k{i}"])
         cond = eq if cond is None else cond & eq
     return df.join(ranks, cond).drop(*[c for c, _ in kspecs])
+
+
+def group_rank(df: DataFrame, by: str, order: Sequence[OrderSpec], name: str = "rank") -> DataFrame:
+    """1-based position of each row among the rows of equal ``by`` (null ones count
+    as equal), in the total order ``order``.
+
+    The position over all rows by (``by``, ``order``) less that of the group's first
+    row, so no window holds a group, however large one is."""
+    ranked = cut_lineage(global_rank(df, [by, *order], name="_at"))
+    first = ranked.groupBy(by).agg(F.min("_at").alias("_first"))
+    known = first.where(F.col(by).isNotNull())
+    none = first.where(F.col(by).isNull()).select("_first").first()         # one row
+    start = F.coalesce("_first", F.lit(none["_first"] if none else None).cast("bigint"))
+    return lookup_join(ranked, known, by).withColumn(name, F.col("_at") - start + 1).drop("_at", "_first")

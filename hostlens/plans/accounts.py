@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hostlens.operators import reports as RP
 from hostlens.operators import tables as T
-from hostlens.operators.ordering import global_rank
+from hostlens.operators.ordering import global_rank, group_rank
 from hostlens.plans.common import oracle, session
 from hostlens.plans.registry import query
 from hostlens.sources.tables import read_table
@@ -107,8 +106,7 @@ FROM conv_list WHERE user_email = 'user7@example.org'
 def conversation_list(spark, sf_dir):
     session(spark, sf_dir)
     out = T.conversation_list(spark.table("conv_list"), _LIST_USER.strip().lower())
-    rank = F.row_number().over(Window.partitionBy(F.lit(_LIST_USER)).orderBy(F.desc("updated_at"), F.desc("id")))
-    return out.select("id", "title", _ts("created_at"), _ts("updated_at"), rank.cast("bigint").alias("rank"))
+    return global_rank(out, [("updated_at", False), ("id", False)]).select("id", "title", _ts("created_at"), _ts("updated_at"), "rank")
 
 
 def _joined(c):
@@ -128,9 +126,8 @@ FROM messages
 def message_list(spark, sf_dir):
     session(spark, sf_dir)
     decoded = T.decode_payload(spark.table("messages"))
-    rank = F.row_number().over(Window.partitionBy("conversation_id").orderBy("id"))
-    return decoded.select("id", "conversation_id", "role", "content", _ts("created_at"),
-                          *[_joined(k) for k in T.PAYLOAD_KEYS], rank.cast("bigint").alias("rank"))
+    return group_rank(decoded, "conversation_id", ["id"]).select(
+        "id", "conversation_id", "role", "content", _ts("created_at"), *[_joined(k) for k in T.PAYLOAD_KEYS], "rank")
 
 
 @query("report_list_by_status", oracle("""

@@ -113,3 +113,12 @@ def test_asof_ties_are_deterministic(spark):
     got = {r.event_id: r.r_event_id for r in
            asof_join(L, same, ["user_id"], "ts", ["event_id"], ["event_id"], bucket_seconds=3600).collect()}
     assert got == {1: 21, 2: 21}
+
+
+def test_group_rank_with_a_hot_and_a_null_group(spark):
+    from hostlens.operators.ordering import group_rank
+
+    rows = [((7, None, i % 50)[i % 3], (i * 37) % 300) for i in range(300)]
+    got = {(r.g, r.i): r["rank"] for r in group_rank(spark.createDataFrame(rows, "g BIGINT, i BIGINT").repartition(5), "g", [("i", False)]).collect()}
+    assert got == {(g, i): 1 + sum(h == g and j > i for h, j in rows) for g, i in rows}
+    assert group_rank(spark.createDataFrame([], "g BIGINT, i BIGINT"), "g", ["i"]).count() == 0
