@@ -26,7 +26,7 @@ from hostlens.llm.common import checkpointed, labelled_sample
 # What a written character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
-LEET_COST, SAME_COST, DROP_COST, REPEAT_COST, BREAK_COST = 1.5, 6.0, 0.7, 0.4, 3.0
+LEET_COST, SAME_COST, DROP_COST, JOIN_COST, REPEAT_COST, BREAK_COST = 1.5, 6.0, 0.7, 2.0, 0.4, 3.0
 
 PER_CLASS = 10_000             # labelled rows of each class to learn from, at most
 CHAR_SLOTS = 1 << 18           # hashed character trigrams of the language model
@@ -34,9 +34,10 @@ BOUND = 1.5                    # standard errors below the log-odds
 STRONG = 2.0                   # a word above this counts as strong
 LEAST = 0.5                    # words below this say nothing
 CACHE = 300_000                # words a process remembers
-LONGEST = 64                   # in a longer run without blanks, words may end anywhere
 SINGLES = 3                    # so many single characters in a row are read as one spaced word at least
 
+# a sign with three letters or digits on either side more likely parts two words than interrupts one
+_THREE = re.compile(r"[^\W_]{3}")
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _LONG = re.compile(r"(.)\1\1")
 _EDGE = re.compile(r"^[^\w@$!|+(<€£]+|[^\w@$|+(<€£]+$|[^\w]{3,}$")   # three signs at the end are no letters
@@ -129,7 +130,7 @@ class Decoder:
 
     def _lattice(self, word: str) -> list[list[tuple[str, float]]]:
         """For every run of a character, the readings with their channel costs."""
-        anywhere = len(word) > LONGEST and " " not in word
+        anywhere = " " not in word
         out = []
         for m in re.finditer(r"(.)\1*", word, re.S):
             c, n = m[1], len(m[0])
@@ -142,7 +143,10 @@ class Decoder:
             if n > 1:
                 here += [(x + x, k + REPEAT_COST * (n - 2)) for x, k in reads]
             if not c.isalpha():
-                here += [("", DROP_COST + (1.5 if c.isdigit() else 0.0)), (c, SAME_COST)]
+                between = m.start() > 2 and _THREE.match(word, m.start() - 3) and _THREE.match(word, m.end())
+                here += [("", DROP_COST + (1.5 if c.isdigit() else JOIN_COST if between else 0.0)), (c, SAME_COST)]
+                if not c.isdigit():
+                    here.append((" ", 0.0 if between else DROP_COST))        # a sign between two words
             if anywhere:
                 here += [(" " + x, k + BREAK_COST) for x, k in here if x]
             out.append(here)

@@ -142,6 +142,18 @@ def test_a_word_is_found_anywhere_in_a_long_run():
     assert r.restored("1d10t" * 5_000) == ["idiot"] * 5_000
 
 
+@pytest.mark.parametrize("sign", ["-", ".", "/", "_", "...", ",-"])
+def test_a_word_is_found_at_every_place_of_a_joined_run(sign):
+    """Runs of 2 to 30 words joined by signs, shorter and longer than any buffer."""
+    r = noisy_channel.Reader(char_model(["idiot", "stupid", "the", "class", "with", "this"] * 50))
+    for n in range(2, 31):
+        for at in range(0, n, max(1, n // 6)):
+            words = [("the", "class", "with", "this")[i % 4] for i in range(n)]
+            written = list(words)
+            words[at], written[at] = "idiot", ("idiot", "1d10t", "idi0t")[n % 3]
+            assert r.restored(sign.join(written)) == words
+
+
 def test_spaced_words_are_joined():
     assert noisy_channel.tokens("You I d i o t, go 1 a") == ["you", "i d i o t", "go", "1", "a"]
 
