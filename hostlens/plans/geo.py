@@ -67,14 +67,20 @@ def traceability_gate(spark, sf_dir):
     return geo.traceability(frame, ["VIRUS_FAMILY"])
 
 
+def landed_points(spark, sf_dir) -> str:
+    """Path of the observations by place."""
+    s = session(spark, sf_dir)
+    name = f"points-{fingerprint(spark, sf_dir, ('lineitem', 'part', 'supplier', 'nation'), 'cells-v1')}"
+    return landed(spark, name, lambda at: places.land_points(
+        s.host.select("obs_order", "obs_line", "geometry", "primary_id", "secondary_id", "VIRUS_SPECIES"), at))
+
+
 @query("map_box", oracle("""
 SELECT obs_order, obs_line, lon_src AS lon, lat_src AS lat, COALESCE(primary_id, secondary_id) AS sample_id, VIRUS_SPECIES AS species
 FROM host
 WHERE lon_src BETWEEN 10 AND 45 AND lat_src BETWEEN 30 AND 55
 """, "host"))
 def map_box(spark, sf_dir):
-    s = session(spark, sf_dir)
-    path = landed(spark, f"points-{fingerprint(spark, sf_dir, ('lineitem', 'part', 'supplier', 'nation'), 'cells-v1')}", lambda at: places.land_points(
-        s.host.select("obs_order", "obs_line", "geometry", "primary_id", "secondary_id", "VIRUS_SPECIES"), at))
+    path = landed_points(spark, sf_dir)
     return places.in_box(spark.read.parquet(path), 10, 30, 45, 55).select(
         "obs_order", "obs_line", "lon", "lat", geo.sample_id().alias("sample_id"), F.col("VIRUS_SPECIES").alias("species"))

@@ -100,10 +100,15 @@ WHERE rank <= 5
 """
 
 
+def landed_articles(spark, sf_dir) -> str:
+    """Path of the index over the articles."""
+    return landed(spark, f"articles-{fingerprint(spark, sf_dir, ('documents',), 'bm25-v1')}", lambda at: IX.build_index(
+        read_table(spark, sf_dir, "documents"), "doc_id", "text", at))
+
+
 @query("article_topk_index", _BM25_ORACLE)
 def article_topk_index(spark, sf_dir):
-    path = landed(spark, f"articles-{fingerprint(spark, sf_dir, ('documents',), 'bm25-v1')}", lambda at: IX.build_index(
-        read_table(spark, sf_dir, "documents"), "doc_id", "text", at))
+    path = landed_articles(spark, sf_dir)
     return IX.search_index(read_table(spark, sf_dir, "benchmark"), "item_id", "text", path, k=5)
 
 
