@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostlens.llm.common import WordHashes, checkpointed, mix64, shingle_hashes, width, words_of
+from hostlens.llm.common import WordHashes, checkpointed, join_hot, mix64, shingle_hashes, width, words_of
 from hostlens.llm.graph import components
 
 TREES = 10
@@ -67,9 +67,9 @@ def minwise(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), key (digest of the set), tokens (of all trees), sketch."""
+    """doc_id, th (hash of the text), n (set size), key (digest of the set), tokens (of all trees), sketch."""
     n_tokens = TREES * _TOKENS
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()),
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("th", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()),
                            T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("sketch", T.BinaryType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,9 +86,10 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
                     out.append((0, None, None, None))
             got = pd.DataFrame(out, columns=["n", "key", "tokens", "sketch"])
             got.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            got.insert(1, "th", batch["th"].to_numpy())
             yield got
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInPandas(run, schema)
 
 
 def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -242,16 +243,16 @@ def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Edges between classes whose sets reach the threshold.  groups: u, v
-    (class and the least class of its candidate group)."""
+    """Edges between classes (id, doc_id and th of their text, sketch, n) whose sets
+    reach the threshold.  groups: u, v (class and the least class of its candidate group)."""
     n = width(docs.sparkSession)
     member = groups.select(F.col("u").alias("id"), F.col("v").alias("grp")).unionByName(
         groups.select(F.col("v").alias("id"), F.col("v").alias("grp")).distinct())
-    member = member.join(classes.select("id", "sketch", "n"), "id")
+    member = member.join(classes.select("id", "doc_id", "th", "sketch", "n"), "id")
     sizes = member.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
     member = member.drop("n").join(sizes.select("grp", F.ceil(F.greatest(
         F.col("size") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "grp")
-    full = checkpointed(member.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").withColumn(
+    full = checkpointed(member.join(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), ["doc_id", "th"]).drop("doc_id", "th").withColumn(
         "blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     # one block: done in one pass.  More: every block also gets the group's least member as
     # its own, so whatever is linked with that one is in one component at once
@@ -290,17 +291,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
     with nothing; a row without doc_id is linked with nothing, has no
     component and is kept.  A text shorter than a shingle is one shingle.
     Repeated rows count as one document and come out as often as they came
-    in.  An empty table gives no rows; other columns are not read.
+    in; an id with several texts is linked through each of them.  doc_id may be
+    of any type that has an order.  An empty table gives no rows; other columns
+    are not read.
     """
+    n = width(docs.sparkSession)
     sets = checkpointed(_sketches(docs, shingle))
     usable = sets.where("doc_id is not null and n > 0")
-    classes = checkpointed(usable.groupBy("key").agg(F.min(F.struct("doc_id", "tokens", "sketch", "n")).alias("x")).select(
-        "key", F.col("x.doc_id").alias("id"), "x.tokens", "x.sketch", "x.n"))
-    groups = components(_candidates(classes))
-    links = components(_confirmed(docs, classes.dropDuplicates(["id"]), groups, shingle, num, den))
-    # a document id that occurs with several texts ties those classes together
-    comp = classes.select("key", F.col("id").alias("u")).join(links, "u", "left").select(
-        "key", F.coalesce("v", "u").alias("component_id"))
+    # classes are numbered in the order of their least document, so the least class of a component has its least document
+    classes = checkpointed(usable.groupBy("key").agg(F.min(F.struct("doc_id", "th", "tokens", "sketch", "n")).alias("x")).select(
+        "key", "x.doc_id", "x.th", "x.tokens", "x.sketch", "x.n").repartitionByRange(n, "doc_id", "key")
+        .sortWithinPartitions("doc_id", "key").withColumn("id", F.monotonically_increasing_id()))
+    edges = _confirmed(docs, classes, components(_candidates(classes)), shingle, num, den)
+    # a document id that occurs with several texts ties their classes together
+    several = checkpointed(usable.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("doc_id"))
+    if not several.isEmpty():
+        held = usable.join(several, "doc_id", "left_semi").select("doc_id", "key").distinct().join(classes.select("key", "id"), "key")
+        least = held.groupBy("doc_id").agg(F.min("id").alias("v"))
+        edges = edges.unionByName(held.join(least, "doc_id").select(F.col("id").alias("u"), "v"))
+    links = checkpointed(components(edges))
+    roots = links.groupBy("v").agg(F.count("*").alias("members")).join(
+        classes.select(F.col("id").alias("v"), F.col("doc_id").alias("component_id")), "v")
+    named = join_hot(links, checkpointed(roots), "v", "members", links.count()).select("u", "component_id")
+    comp = classes.select("key", F.col("id").alias("u"), "doc_id").join(named, "u", "left").select(
+        "key", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = sets.select("doc_id", "n", "key").join(comp, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),

@@ -94,7 +94,7 @@ def test_texts_follow_only_alike_sketches(spark, monkeypatch, scratch_dir, limit
     rows = [(i, common + " " + prose(100 + i, 140, 5000)) for i in range(120)]
     rows += [(200 + i, variant(rows[i][1], r, 2)) for i in (30, 60, 90, 95)]
     docs = docs_of(spark, rows)
-    classes = chosen_path._sketches(docs, 2).withColumnRenamed("doc_id", "id")
+    classes = chosen_path._sketches(docs, 2).selectExpr("*", "doc_id AS id")
     groups = classes.where("id > 0").selectExpr("id as u", "0L as v")
     got = {tuple(sorted(e)) for e in chosen_path._confirmed(docs, classes, groups, 2, 80, 100).collect()}
     assert got == {(i, 200 + i) for i in (30, 60, 90, 95)}
@@ -133,3 +133,25 @@ def test_components_of_paths_and_stars(spark):
     got = {x["u"]: x["v"] for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 100 for i in range(101, 140)}, **{i: 5 for i in range(6, 60)}, 301: 300}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_an_id_with_several_texts_is_linked_through_each(spark):
+    """20 ids with two unlike texts each; the first, then the second, has a near copy under another id."""
+    r = random.Random(9)
+    rows = []
+    for i in range(20):
+        a, b = prose(2 * i, 120, 5000), prose(2 * i + 1, 120, 5000)
+        rows += [(1000 + i, a), (1000 + i, b), (2000 + i, variant(a, r, 1)), (500 + i, variant(b, r, 1))]
+    r.shuffle(rows)
+    got = {(x["doc_id"], x["component_id"]) for x in chosen_path.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == {(d + i, 500 + i) for i in range(20) for d in (500, 1000, 2000)}
+
+
+def test_ids_of_other_types(spark):
+    r, base = random.Random(2), prose(1, 120, 5000)
+    rows = [("b", base), ("a", variant(base, r, 2)), ("c", prose(5, 120, 5000)), (None, base)]
+    out = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {(x["doc_id"], x["component_id"], x["kept"]) for x in out} == {("a", "a", True), ("b", "a", False), ("c", "c", True), (None, None, True)}
+    wide = [(-2**63, base), (2**63 - 1, variant(base, r, 2)), (0, prose(6, 120, 5000))]
+    out = chosen_path.near_duplicates(docs_of(spark, wide)).collect()
+    assert {x["doc_id"]: x["component_id"] for x in out} == {-2**63: -2**63, 2**63 - 1: -2**63, 0: 0}
