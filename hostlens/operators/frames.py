@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,16 +38,14 @@ def histogram(df: DataFrame, col: str, bins: int = 10, digits: int = 6) -> DataF
     """Equal-width bins between min and max; the top edge falls in the
     last bin.  Empty bins are not emitted (as a bar of height 0 is not drawn)."""
     x = F.col(col).cast("double")
-    # one scalar subquery for both bounds: one pass over the data
+    # one pass for both bounds, one subquery; a row carries them to its bin
     bounds = df.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
-    lo, hi = bounds["lo"], bounds["hi"]
-    width = (hi - lo) / F.lit(float(bins))
-    b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((x - lo) / width), F.lit(bins - 1))).cast("int")
-    return (df.filter(F.col(col).isNotNull()).select(b.alias("bin"))
-            .groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("bin_lo", F.round(lo + F.col("bin") * width, digits))
-            .withColumn("bin_hi", F.round(lo + (F.col("bin") + 1) * width, digits)))
+    lo, width = F.col("b.lo"), (F.col("b.hi") - F.col("b.lo")) / F.lit(float(bins))
+    place = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1))).cast("int")
+    return (df.filter(F.col(col).isNotNull()).select(x.alias("x"), bounds.alias("b"))
+            .groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.first("b").alias("b"))
+            .select("bin", "n", F.round(lo + F.col("bin") * width, digits).alias("bin_lo"),
+                    F.round(lo + (F.col("bin") + 1) * width, digits).alias("bin_hi")))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -114,7 +112,3 @@ def distinct_count(df: DataFrame, key: str, col: str, name: str,
 def chart_has_points(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """M3: per-column non-null counts; the chart gate passes when any > 0."""
     return df.agg(*[F.count(F.col(c)).alias(c) for c in cols])
-
-
-def count_if(cond: Column, name: str) -> Column:
-    return F.count_if(cond).alias(name)

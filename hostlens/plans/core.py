@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlens.operators import frames, guard
+from hostlens.operators import member_sketches as MS
 from hostlens.plans.common import guarded, oracle, session
 from hostlens.plans.registry import query
+from hostlens.sources.tables import fingerprint, landed
 
 # -- G1 + A1 + P2: the flagship ---------------------------------------------
 GROUP_COUNT_SQL = """
@@ -304,3 +306,22 @@ FROM (SELECT COUNTRY, COUNT(*) AS n FROM host GROUP BY COUNTRY) c
 def sort_nulls(spark, sf_dir):
     # the ranking runs over the grouped rows (one per country), not over host
     return guarded(spark, sf_dir, SORT_NULLS_SQL)
+
+
+_ROLLUP_LEVELS = [["VIRUS_FAMILY", "VIRUS_GENUS"], ["VIRUS_FAMILY"], ["MONTH"], []]
+
+
+@query("species_sketch_rollup", oracle("""
+SELECT concat_ws(',', CASE WHEN GROUPING(VIRUS_FAMILY) = 0 THEN 'VIRUS_FAMILY' END, CASE WHEN GROUPING(VIRUS_GENUS) = 0 THEN 'VIRUS_GENUS' END,
+                 CASE WHEN GROUPING(MONTH) = 0 THEN 'MONTH' END) AS level,
+       VIRUS_FAMILY, VIRUS_GENUS, MONTH, COUNT(*) AS n_rows, COUNT(DISTINCT VIRUS_SPECIES) AS n_members
+FROM (SELECT VIRUS_FAMILY, VIRUS_GENUS, VIRUS_SPECIES, substring(CAST(COLLECTION_DATE AS VARCHAR), 1, 7) AS MONTH FROM host) h
+GROUP BY GROUPING SETS ((VIRUS_FAMILY, VIRUS_GENUS), (VIRUS_FAMILY), (MONTH), ())
+""", "host"))
+def species_sketch_rollup(spark, sf_dir):
+    s = session(spark, sf_dir)
+    name = f"members-{fingerprint(spark, sf_dir, ('lineitem', 'part', 'supplier', 'nation'), 'hll-v1')}"
+    path = landed(spark, name, lambda at: MS.add_batch(
+        s.host.select("VIRUS_FAMILY", "VIRUS_GENUS", "VIRUS_SPECIES", F.substring(F.col("COLLECTION_DATE").cast("string"), 1, 7).alias("MONTH")),
+        ["VIRUS_FAMILY", "VIRUS_GENUS", "MONTH"], "VIRUS_SPECIES", at, "1"))
+    return MS.members(spark, path, _ROLLUP_LEVELS)
