@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hostlens.operators import bucket_tables as BT
 from hostlens.operators import reports as RP
 from hostlens.operators import tables as T
 from hostlens.operators.ordering import global_rank, group_rank
 from hostlens.plans.common import oracle, session
 from hostlens.plans.registry import query
-from hostlens.sources.tables import read_table
+from hostlens.sources.tables import fingerprint, landed, read_table
 
 # Users removed in the deletion scenarios: every admin.
 _DELETED = "SELECT email FROM users WHERE role = 'admin'"
@@ -191,6 +192,23 @@ def upsert_latest(spark, sf_dir):
     return T.upsert_latest(base, batches, ["email"], ["seq"])
 
 
+@query("upsert_buckets", oracle("WITH batches AS (" + _UPSERT_BATCHES + """),
+allrows AS (SELECT email, first_name, role, last_login, 0 AS seq FROM users UNION ALL SELECT * FROM batches)
+SELECT email, first_name, role, last_login, seq FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY email ORDER BY seq DESC) AS rn FROM allrows) x
+WHERE rn = 1
+""", "users"))
+def upsert_buckets(spark, sf_dir):
+    session(spark, sf_dir)
+    base = spark.table("users").select("email", "first_name", "role", "last_login", F.lit(0).alias("seq"))
+
+    def write(path):
+        BT.create(base, ["email"], path, 16)
+        BT.apply_batch(spark, path, spark.sql(_UPSERT_BATCHES), ["email"], ["seq"], 16)
+
+    return BT.read(spark, landed(spark, f"users-{fingerprint(spark, sf_dir, ('customer',), 'buckets-v1')}", write), base.schema)
+
+
 # -- U2: report status changes derived from orders -----------------------------------
 _CHANGES = """
 SELECT o_orderkey * 4 AS change_id, o_orderkey AS id, 'in_progress' AS status
