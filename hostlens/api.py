@@ -9,6 +9,7 @@ callable over DataFrames instead of a code string.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from hostlens.functions.text import WIKI_URL, ncbi_url
 from hostlens.operators import frames as FR
-from hostlens.operators import geo, guard, search
+from hostlens.operators import article_index, closest, geo, guard, search
 from hostlens.session import EngineSession
 
 MAX_PUBMED_RESULTS = 5
@@ -72,15 +73,23 @@ def query_dataframe(session: EngineSession, fn: Callable[[DataFrame, DataFrame],
     return _table(guard.query_frames(session, fn), preview_rows)
 
 
-def _drawn(session: EngineSession, frame: DataFrame, preview_rows: int, **about) -> tuple[int, dict]:
+@contextlib.contextmanager
+def _once(session: EngineSession, frame: DataFrame):
+    """The rows of ``frame`` computed once, and their path; removed again if what
+    is done with them fails, so gates and artifact see the same rows."""
+    rows, path = session.stage(frame)
+    try:
+        yield rows, path
+    except BaseException:
+        session.drop(path)
+        raise
+
+
+def _drawn(rows: DataFrame, path: str | None, preview_rows: int, **about) -> tuple[int, dict]:
     """(rows, artifact) of a frame to draw: every row of it as a table in the
-    shared folder (``path``, and the lazy ``frame``), a few as a preview."""
-    if session.materialise:
-        frame, path = session.stage(frame)
-    else:
-        path = None
-    p = guard.table_result(frame, preview_rows)
-    return p.total, {**about, "rows": p.rows, "columns": p.columns, "total_rows": p.total, "path": path, "frame": frame}
+    shared folder (``path``, and the ``frame``), a few as a preview."""
+    p = guard.table_result(rows, preview_rows)
+    return p.total, {**about, "rows": p.rows, "columns": p.columns, "total_rows": p.total, "path": path, "frame": rows}
 
 
 @tool
@@ -94,11 +103,15 @@ def create_visualization(session: EngineSession, fn: Callable[[DataFrame, DataFr
              "histogram": lambda b: FR.histogram(b, x), "scatter": lambda b: b.select(x, y)}
     if kind not in kinds:
         raise guard.GuardError(f"Error: unknown chart kind {kind!r}.")
-    frame = kinds[kind](guard.query_frames(session, fn))
-    counts = FR.chart_has_points(frame, frame.columns).first()
-    if not any(counts[c] for c in frame.columns):
-        raise guard.GuardError("Error: the figure has no data points.")
-    total, artifact = _drawn(session, frame, preview_rows, type="chart", kind=kind)
+    with _once(session, guard.query_frames(session, fn, check_empty=False)) as (base, base_path):
+        if msg := guard.check_not_empty({"result": base}):
+            raise guard.GuardError(msg)
+        with _once(session, kinds[kind](base)) as (chart, path):
+            counts = FR.chart_has_points(chart, chart.columns).first()
+            if not any(counts[c] for c in chart.columns):
+                raise guard.GuardError("Error: the figure has no data points.")
+            total, artifact = _drawn(chart, path, preview_rows, type="chart", kind=kind)
+    session.drop(base_path)
     return Outcome(f"{kind} chart with {total} rows.", [artifact])
 
 
@@ -108,22 +121,27 @@ def create_map(session: EngineSession, fn: Callable[[DataFrame, DataFrame], Data
     """Map frame (lon, lat, sample_id, ...): refused without a single point
     that has coordinates, then by both traceability gates.  Every point is
     in the artifact's table."""
-    frame = guard.query_frames(session, fn)
-    points = frame.dropna(subset=["lon", "lat"])
-    if points.isEmpty():
-        raise guard.GuardError("Error: the map has no point with coordinates.")
-    if msg := geo.check_traceability(points):
-        raise guard.GuardError(msg)
-    total, artifact = _drawn(session, points, preview_rows, type="map")
+    frame = guard.query_frames(session, fn, check_empty=False)
+    with _once(session, frame.dropna(subset=["lon", "lat"])) as (points, path):
+        if points.isEmpty():
+            raise guard.GuardError("Error: the map has no point with coordinates.")
+        if msg := geo.check_traceability(points):
+            raise guard.GuardError(msg)
+        total, artifact = _drawn(points, path, preview_rows, type="map")
     return Outcome(f"Map with {total} points.", [artifact])
 
 
 @tool
 def wikipedia_search(pages: DataFrame, search_term: str,
                      wikipedia_limit: int = DEFAULT_WIKIPEDIA_LIMIT) -> Outcome:
-    """Exact-then-closest article from landed pages (one row collected)."""
+    """Article from landed pages: the exact title, else the closest within a few edits,
+    else one that shares the rarest word (one row collected)."""
     terms = pages.sparkSession.createDataFrame([(search_term,)], "term STRING")
-    r = search.article_lookup(terms, pages, wikipedia_limit).first()
+    near = closest.article_closest(terms, pages, wikipedia_limit).first()
+    if near is not None and near["found"]:
+        r = {**near.asDict(), "fuzzy": near["edits"] > 0}
+    else:
+        r = search.article_lookup(terms, pages, wikipedia_limit).first()
     if r is None or not r["found"]:
         raise guard.GuardError(f"Error: no article matches {search_term!r}.")
     url = WIKI_URL + (r["title"] or "").replace(" ", "_")
@@ -141,11 +159,15 @@ def article_details(top: DataFrame, articles: DataFrame, id_col: str = "pmid") -
 
 @tool
 def pubmed_search(articles: DataFrame, query: str, max_results: int = MAX_PUBMED_RESULTS,
-                  id_col: str = "pmid", text_col: str = "text") -> Outcome:
-    """Top articles for one query by shared tokens (at most ``max_results``),
-    with their bibliographic fields where the table has them."""
+                  id_col: str = "pmid", text_col: str = "text", index: str | None = None) -> Outcome:
+    """Top articles for one query (at most ``max_results``), with their bibliographic
+    fields where the table has them: by BM25 from the stored ``index``
+    (``article_index.build_index``) where there is one, else by shared tokens."""
     q = articles.sparkSession.createDataFrame([(0, query)], "qid BIGINT, text STRING")
-    top = search.search_topk(q, "qid", "text", articles, id_col, text_col, k=max_results)
+    if index:
+        top, unit = article_index.search_index(q, "qid", "text", index, k=max_results), "score"
+    else:
+        top, unit = search.search_topk(q, "qid", "text", articles, id_col, text_col, k=max_results), "shared words"
     rows = article_details(top, articles, id_col).orderBy("rank").collect()
     if not rows:
         raise guard.GuardError(f"Error: no article shares a word with {query!r}.")
@@ -153,7 +175,7 @@ def pubmed_search(articles: DataFrame, query: str, max_results: int = MAX_PUBMED
     for r in rows:
         d = r.asDict()
         more = [", ".join(d[f]) if isinstance(d[f], list) else str(d[f]) for f in ARTICLE_FIELDS if d.get(f)]
-        parts.append("\n".join([f"{d['rank']}. PMID {d['doc_id']}, {d['score']} shared words", *more]))
+        parts.append("\n".join([f"{d['rank']}. PMID {d['doc_id']}, {d['score']} {unit}", *more]))
     return Outcome("\n\n".join(parts), [{"type": "pubmed", "pmids": [int(r["doc_id"]) for r in rows]}])
 
 

@@ -102,3 +102,33 @@ def test_chart_kinds(spark):
     empty = api.create_visualization(s, lambda taxo, host: host.selectExpr("CAST(NULL AS DOUBLE) AS x"),
                                      "scatter", "x", "x")
     assert not empty["success"]
+
+
+def test_callables_run_once(spark, scratch_dir):
+    """Gates, preview and artifact read one copy; a refused frame leaves nothing behind."""
+    import os
+
+    s = EngineSession(spark, taxonomy=spark.range(500).repartition(3).selectExpr("id % 50 - 0.5D AS lon", "id % 40 + 0.25D AS lat", "CAST(id AS STRING) AS sample_id", "rand() AS r"))
+    art = api.create_map(s, lambda taxo, host: taxo.limit(40))["artifacts"][0]
+    assert sorted(r["sample_id"] for r in art["rows"]) == sorted(r["sample_id"] for r in art["frame"].collect())
+    seen, stage = [], s.stage
+    s.stage = lambda df: seen.append(stage(df)) or seen[-1]
+    bad = api.create_map(s, lambda taxo, host: taxo.selectExpr("lon", "lat", "CAST(NULL AS STRING) AS sample_id"))
+    chart = api.create_visualization(s, lambda taxo, host: taxo, "histogram", "r")
+    assert not bad["success"] and chart["success"] and len(seen) == 3
+    there = [os.path.exists(p.removeprefix("file:")) for _, p in seen]
+    assert there == [False, False, True]
+
+
+def test_typo_finds_the_page_and_index_ranks(spark, scratch_dir):
+    from hostlens.operators import article_index
+
+    pages = spark.createDataFrame([(1, "<title>Vaccinia virus</title><p>body one"), (2, "<title>Cowpox</title><p>virus two")], "page_id long, html string")
+    r = api.wikipedia_search(pages, "vacinia virus")
+    assert r["success"] and "Vaccinia_virus" in r["content"] and "closest" in r["content"]
+    assert "closest" not in api.wikipedia_search(pages, "cowpox")["content"]
+    assert "Vaccinia" in api.wikipedia_search(pages, "virus of some sort")["content"]
+    arts = spark.createDataFrame([(i, "virus " * (1 + i % 3) + ("rabies" if i == 7 else "x")) for i in range(30)], "pmid BIGINT, text STRING")
+    article_index.build_index(arts, "pmid", "text", scratch_dir + "/ix")
+    found = api.pubmed_search(arts, "rabies virus", 3, index=scratch_dir + "/ix")
+    assert found["success"] and found["artifacts"][0]["pmids"][0] == 7 and len(found["artifacts"][0]["pmids"]) == 3
