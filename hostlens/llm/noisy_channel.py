@@ -265,7 +265,9 @@ def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.nd
 def learn(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column, per_class: int = PER_CLASS) -> dict:
     """Character model from all training texts; log-odds and logistic layer from
     at most ``per_class`` labelled rows of each class (half of them each).
-    Without rows of both classes every text scores zero."""
+    Without rows of both classes every text scores zero.  Null texts are empty ones; rows
+    without id or 0/1 label teach no word; repeated rows of an id each count, of several
+    labels of an id the larger counts; ties in the sample go by id.  Other columns are not read."""
     counts = count_characters(docs.where(F.coalesce(train_rows, F.lit(False))))
     spark = docs.sparkSession
     chars = spark.sparkContext.broadcast(counts)     # a table of fixed size

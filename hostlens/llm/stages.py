@@ -47,17 +47,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten consecutive words of a benchmark item, or a whole shorter item."""
+    """Drops documents that hold ten consecutive words of a benchmark item, or a whole shorter item.
+
+    A null or empty text has no words and stays; every row is judged by itself, so repeated
+    rows and ids, and null ids, share one fate.  Texts are read whole.  An empty table or
+    benchmark drops nothing; other columns, whatever their names, are only carried."""
     out = winnow.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), carry=True)
     return out.where(~F.col("contaminated")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents towards the default source, language and topic targets."""
+    """Samples documents towards the default source, language and topic targets.
+
+    A null source or language is the empty one, a null text has no tokens; whether a row
+    stays depends on its id and its cell, so rows of one id and cell stay or go together.  An
+    empty table stays empty; other columns, whatever their names, are only carried."""
     out = raking.mix(docs, carry=True)
     return out.where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the shard of each document and its slot there, in Hilbert order of the metadata."""
+    """Adds the shard of each document and its slot there, in Hilbert order of the metadata.
+
+    All rows stay, repeated ones with slots of their own; nulls, ids of any type and ties as in
+    ``hilbert.hilbert_shards``.  Of clashing names the added columns win.  An empty table stays empty."""
     return hilbert.hilbert_shards(docs, carry=True)

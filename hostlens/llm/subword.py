@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of the learned vectors of its words and of the byte
-n-grams of its text, all hashed into one table; a softmax layer on the average
+A document is the average of the learned vectors of its words and of the character
+n-grams of its words, all hashed into one table; a softmax layer on the average
 gives the class.  Vectors and layer are trained by stochastic gradient descent
 in numpy on a bounded sample of labelled rows.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from hostlens.llm.common import WordHashes, labelled_sample, mix64
 
 SLOTS_LOG2 = 18
-GRAMS = (2, 3, 4)            # bytes of the n-grams
+GRAMS = (2, 3, 4)            # characters of the n-grams
 DIM = 16
 EPOCHS = 6
 RATE = 0.4
@@ -32,23 +32,29 @@ _K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint64)
 
 
 class Features:
-    """Hashed features of a text: its words, whether a word repeats the one
-    before, and the byte n-grams (blanks and case kept: both tell quality)."""
+    """Hashed features of a text: its words, whether a word repeats the one before,
+    and the n-grams of characters (code points, case kept) inside words.  A blank
+    before or after a word is its border and may begin or end an n-gram."""
 
     def __init__(self):
         self._hash = WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        raw = text.encode("utf-8", "replace") if text else b""
-        b = np.frombuffer(raw, dtype=np.uint8).astype(np.uint64)
-        w = self._hash.of(raw.split())
+        text = text or ""
+        c = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+        w = self._hash.of(text.encode("utf-8", "replace").split())
         parts = [w, np.full(int((w[1:] == w[:-1]).sum()), _REPEAT)]
+        letter = c > 32
         for n in GRAMS:
-            if len(b) >= n:
-                h = np.full(len(b) - n + 1, np.uint64(n))
+            m = len(c) - n + 1
+            if m > 0:
+                h = np.full(m, np.uint64(n))
                 for j in range(n):
-                    h = (h + b[j:len(b) - n + 1 + j]) * _K[j]
-                parts.append(h)
+                    h = (h + c[j:m + j]) * _K[j]
+                inside = np.ones(m, dtype=bool)
+                for j in range(1, n - 1):
+                    inside &= letter[j:m + j]
+                parts.append(h[inside])
         return (mix64(np.concatenate(parts)) >> np.uint64(64 - SLOTS_LOG2)).astype(np.int32)
 
 
@@ -83,7 +89,10 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], prior: float) -> t
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
     """Model learnt from the labelled rows where ``train_rows`` (over doc_id) holds.
-    Without rows of both classes every text scores one half."""
+    Without rows of both classes every text scores one half.  Null texts are empty ones;
+    rows without id or 0/1 label teach nothing; repeated rows of an id in ``docs`` each
+    count as examples, of several labels of an id the larger counts; ties in the sample go by
+    id.  Other columns are not read."""
     sample = labelled_sample(docs, labels, label, train_rows, per_class)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -169,3 +169,49 @@ def test_toxicity_awkward(spark, awkward, no_docs):
     assert len(out) == len(AWKWARD) and all(0 <= r["s"] <= 1 for r in out)
     none = noisy_channel.learn(no_docs, labels, "toxic", F.lit(True))
     assert all(r["s"] < 0.01 for r in awkward.select(noisy_channel.score(none, F.col("text"), spark).alias("s")).collect())
+
+
+def test_subword_features_are_character_grams_of_words():
+    """Against plain slices: two letters of Cyrillic or one of CJK are as many characters, not bytes."""
+    f = subword.Features()
+
+    def slots(parts):
+        h = np.array(parts, dtype=np.uint64)
+        return sorted((subword.mix64(h) >> np.uint64(64 - subword.SLOTS_LOG2)).tolist())
+
+    def gram(g):
+        h = len(g)
+        for j, c in enumerate(g):
+            h = (h + ord(c)) * int(subword._K[j]) % 2**64
+        return h
+
+    for text in ("Привет мир", "漢字 x", "aa aa  b", "é", "", None, "word"):
+        t = text or ""
+        words = [int(h) for h in subword.WordHashes().of(t.encode().split())]
+        grams = [t[i:i + n] for n in subword.GRAMS for i in range(len(t) - n + 1)]
+        want = words + [int(subword._REPEAT)] * sum(a == b for a, b in zip(words, words[1:])) + [gram(g) for g in grams if " " not in g[1:-1]]
+        assert sorted(f(text).tolist()) == (slots(want) if want else [])
+
+
+def test_training_against_a_plain_gradient_loop():
+    """Weights of a document's slots after training rank documents as plain softmax regression on averaged vectors does."""
+    r = np.random.default_rng(4)
+    examples = []
+    for i in range(60):
+        y = i % 2
+        slots = np.unique(np.concatenate([r.integers(0, 40, 6), [100 + y]])).astype(np.int32)
+        examples.append((slots, np.ones(len(slots), dtype=np.float32), y))
+    weights, offset = subword.train(examples, 1.0)
+    score = lambda s: offset + weights[s].mean()
+    assert all((score(s) > 0) == y for s, _, y in examples) and weights[101] > 0 > weights[100]
+    # plain: gradient descent of logistic regression on the share of each slot
+    x, y = np.zeros((60, 102)), np.array([e[2] for e in examples])
+    for i, (s, c, _) in enumerate(examples):
+        x[i, s] = c / c.sum()
+    w, b = np.zeros(102), 0.0
+    for _ in range(3000):
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        w, b = w - 5 * x.T @ (p - y) / 60, b - 5 * (p - y).mean()
+    plain = x @ w + b
+    mine = np.array([score(s) for s, _, _ in examples])
+    assert np.corrcoef(plain, mine)[0, 1] > 0.9
