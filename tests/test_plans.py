@@ -7,8 +7,8 @@ from hostlens.plans.registry import QUERIES, load_all
 
 SF = "/root/testdata/sf0.001"
 load_all()
-# vectorised batches: WKB coordinates, and scoring with a top-k kept inside the task
-ARROW = {"point_coordinates", "map_points", "map_points_sql", "article_topk"}
+# vectorised batches: WKB coordinates, scoring with a top-k kept inside the task, segments of candidates, Python's regular expressions
+ARROW = {"point_coordinates", "map_points", "map_points_sql", "article_topk", "article_topk_index", "name_regex_search"}
 
 
 def plan(spark, key):
