@@ -304,12 +304,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
         .sortWithinPartitions("doc_id", "key").withColumn("id", F.monotonically_increasing_id()))
     edges = _confirmed(docs, classes, components(_candidates(classes)), shingle, num, den)
     # a document id that occurs with several texts ties their classes together
-    several = checkpointed(usable.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("doc_id"))
-    if not several.isEmpty():
+    several = usable.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("doc_id")
+    if several.count():
         held = usable.join(several, "doc_id", "left_semi").select("doc_id", "key").distinct().join(classes.select("key", "id"), "key")
         least = held.groupBy("doc_id").agg(F.min("id").alias("v"))
         edges = edges.unionByName(held.join(least, "doc_id").select(F.col("id").alias("u"), "v"))
-    links = checkpointed(components(edges))
+    links = components(edges)
     roots = links.groupBy("v").agg(F.count("*").alias("members")).join(
         classes.select(F.col("id").alias("v"), F.col("doc_id").alias("component_id")), "v")
     named = join_hot(links, checkpointed(roots), "v", "members", links.count()).select("u", "component_id")
