@@ -36,7 +36,7 @@ SELECT u.email, u.first_name, u.last_name, u.role, u.created_at, u.last_login,
 FROM users u
 """, "users", "conv_list"))
 def users_with_counts(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     return T.users_with_counts(spark.table("users"), spark.table("conv_list"))
 
 
@@ -45,7 +45,7 @@ SELECT c.id, c.user_email FROM conv_list c
 WHERE c.user_email IS NOT NULL AND NOT EXISTS (SELECT 1 FROM users_after u WHERE u.email = c.user_email)
 """, "users", "conv_list"))
 def orphan_rows(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     return T.orphans(spark.table("conv_list"), _users_after(spark), "user_email", "email") \
         .select("id", "user_email")
 
@@ -55,7 +55,7 @@ SELECT c.id, c.user_email FROM conv_list c
 WHERE EXISTS (SELECT 1 FROM users_after u WHERE u.email = c.user_email)
 """, "users", "conv_list"))
 def owned_rows(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     return T.owned(spark.table("conv_list"), _users_after(spark), "user_email", "email") \
         .select("id", "user_email")
 
@@ -69,7 +69,7 @@ SELECT 'conversation', c.id, c.id FROM conv_list c
 WHERE c.user_email NOT IN (SELECT email FROM users WHERE role = 'admin')
 """, "users", "conv_list", "messages"))
 def cascade_delete(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     convs, msgs = T.cascade_delete(_deleted(spark), spark.table("conv_list"), spark.table("messages"))
     return msgs.select(F.lit("message").alias("kind"), "id", "conversation_id").unionByName(
         convs.select(F.lit("conversation").alias("kind"), "id", F.col("id").alias("conversation_id")))
@@ -81,7 +81,7 @@ SELECT r.id, CASE WHEN r.user_email IN (SELECT email FROM users WHERE role = 'ad
 FROM reports r
 """, "users", "reports"))
 def set_null_on_delete(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     return T.set_null_on_delete(spark.table("reports"), _deleted(spark)).select("id", "user_email")
 
 
@@ -92,7 +92,7 @@ UNION ALL SELECT 'conversations_total', NULL, COUNT(*) FROM conv_list
 UNION ALL SELECT 'messages_total', NULL, COUNT(*) FROM messages
 """, "users", "conv_list", "messages"))
 def platform_stats(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     return T.platform_stats(spark.table("users"), spark.table("conv_list"), spark.table("messages"))
 
 
@@ -105,7 +105,7 @@ SELECT id, title, CAST(created_at AS VARCHAR) AS created_at, CAST(updated_at AS
 FROM conv_list WHERE user_email = 'user7@example.org'
 """, "conv_list"))
 def conversation_list(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     out = T.conversation_list(spark.table("conv_list"), _LIST_USER.strip().lower())
     return global_rank(out, [("updated_at", False), ("id", False)]).select("id", "title", _ts("created_at"), _ts("updated_at"), "rank")
 
@@ -125,7 +125,7 @@ SELECT id, conversation_id, role, content, CAST(created_at AS VARCHAR) AS create
 FROM messages
 """, "messages"))
 def message_list(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     decoded = T.decode_payload(spark.table("messages"))
     return group_rank(decoded, "conversation_id", ["id"]).select(
         "id", "conversation_id", "role", "content", _ts("created_at"), *[_joined(k) for k in T.PAYLOAD_KEYS], "rank")
@@ -141,7 +141,7 @@ SELECT id, user_email, question, answer, comment, CAST(created_at AS VARCHAR) AS
 FROM reports WHERE status = 'open'
 """, "reports"))
 def report_list_by_status(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     out = global_rank(T.report_list(spark.table("reports"), "open"), [("id", False)])
     return out.select("id", "user_email", "question", "answer", "comment", F.col("created_at").cast("string").alias("created_at"),
                       F.col("updated_at").cast("string").alias("updated_at"), "status", _joined("executed_codes"), _joined("recent_logs"),
@@ -152,7 +152,7 @@ def report_list_by_status(spark, sf_dir):
     "SELECT COUNT(*) FILTER (WHERE status = 'open') AS n_open, COUNT(*) AS n_reports FROM reports",
     "reports"))
 def open_report_count(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     return spark.table("reports").agg(F.count_if(F.col("status") == "open").alias("n_open"),
                                       F.count(F.lit(1)).alias("n_reports"))
 
@@ -163,7 +163,7 @@ WHERE contains(lower(COALESCE(email, '')), 'user12') OR contains(lower(COALESCE(
    OR contains(lower(COALESCE(last_name, '')), 'user12')
 """, "users"))
 def user_search(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     return T.user_search(spark.table("users"), "  USER12 ").select("email", "first_name", "last_name")
 
 
@@ -185,7 +185,7 @@ SELECT email, first_name, role, last_login, seq FROM (
 WHERE rn = 1
 """, "users"))
 def upsert_latest(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     base = spark.table("users").select("email", "first_name", "role", "last_login",
                                        F.lit(0).alias("seq"))
     batches = spark.sql(_UPSERT_BATCHES)
@@ -199,7 +199,7 @@ SELECT email, first_name, role, last_login, seq FROM (
 WHERE rn = 1
 """, "users"))
 def upsert_buckets(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     base = spark.table("users").select("email", "first_name", "role", "last_login", F.lit(0).alias("seq"))
 
     def write(path):
@@ -225,7 +225,7 @@ WHERE o_orderpriority = '5-LOW' AND o_totalprice > 400000
 
 
 def _apply(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     changes = spark.sql(_CHANGES)
     touched = F.lit("2024-06-01 00:00:00").cast("timestamp")
     return T.apply_status_changes(spark.table("reports"), changes, touched)
@@ -262,7 +262,7 @@ FROM conv_list c LEFT JOIN (SELECT conversation_id, MAX(created_at) AS last_at F
                             GROUP BY conversation_id) m ON c.id = m.conversation_id
 """, "conv_list", "messages"))
 def touch_from_messages(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     out = T.touch_from_messages(spark.table("conv_list"), spark.table("messages"))
     return out.select("id", F.col("updated_at").cast("string").alias("updated_at"))
 
@@ -283,7 +283,7 @@ SELECT c.id, CASE WHEN l.id IS NULL THEN c.title WHEN trim(l.title) = '' THEN 'N
 FROM conv_list c LEFT JOIN last l ON l.id = c.id
 """, "conv_list"))
 def rename_and_touch(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     out = T.rename_conversations(spark.table("conv_list"), spark.sql(_RENAMES))
     return out.select("id", "title", _ts("updated_at"))
 
@@ -311,7 +311,7 @@ SELECT COALESCE(u.email, r.email) AS email,
 FROM users u FULL JOIN rejected r ON r.email = u.email
 """, "users"))
 def set_roles(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     users, rejects = T.apply_user_changes(spark.table("users"), spark.sql(_USER_CHANGES))
     n = rejects.groupBy("email").agg(F.count(F.lit(1)).alias("n_rejected"))
     return users.join(n, "email", "full").select("email", "role", "last_login", F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"))
@@ -340,7 +340,7 @@ FROM rows r LEFT JOIN conv_list c ON c.id = r.conversation_id
 LEFT JOIN (SELECT conversation_id, max(created_at) AS last FROM known GROUP BY conversation_id) t ON t.conversation_id = c.id
 """, "messages", "conv_list"))
 def append_messages(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     empty = F.array().cast("array<string>")
     none = F.lit(None).cast("array<string>")
     new = spark.sql(_NEW_MESSAGES).select(

@@ -10,17 +10,18 @@ from hostlens.sources.standins import STANDIN_VIEWS, oracle_with
 from hostlens.sources.tables import RAW_TABLES, register_all
 
 
-def session(spark: SparkSession, sf_dir: str, materialise: bool = False) -> EngineSession:
+def session(spark: SparkSession, sf_dir: str, materialise: bool = False, land: bool = True) -> EngineSession:
     """Register the tables of ``sf_dir`` and open an engine session over them.
-    The registered queries use a result once, so it stays lazy."""
-    register_all(spark, sf_dir)
+    The registered queries use a result once, so it stays lazy.  Queries that do
+    not read ``host`` say ``land=False``, and it is not built for them."""
+    register_all(spark, sf_dir, land)
     return EngineSession(spark, host=spark.table("host"), taxonomy=spark.table("taxonomy"), materialise=materialise,
                          views=(*RAW_TABLES, *STANDIN_VIEWS))
 
 
-def guarded(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def guarded(spark: SparkSession, sf_dir: str, sql: str, land: bool = True) -> DataFrame:
     """Run user SQL through the guard (no emptiness job at plan time)."""
-    return guarded_sql(session(spark, sf_dir), sql, check_empty=False)
+    return guarded_sql(session(spark, sf_dir, land=land), sql, check_empty=False)
 
 
 def oracle(sql: str, *views: str) -> str:

@@ -66,7 +66,7 @@ FROM statements
 @query("sql_audit", oracle("WITH statements AS (" + STATEMENTS_SQL + ")\n" + SQL_AUDIT_ORACLE,
                           "tool_calls"))
 def sql_audit(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     stmts = spark.sql(STATEMENTS_SQL)
     return stmts.select("call_id", guard.audit_rule(F.col("statement")).alias("rule"))
 

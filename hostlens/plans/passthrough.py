@@ -22,7 +22,7 @@ def shape(key: str, spark_sql: str, views: tuple[str, ...], duck_sql: str | None
     SHAPES[key] = (spark_sql, duck_sql, views)
 
     def run(spark, sf_dir, _sql=spark_sql):
-        return guarded(spark, sf_dir, _sql)
+        return guarded(spark, sf_dir, _sql, land="host" in views)
 
     run.__name__ = key
     query(key, oracle(duck_sql or spark_sql, *views))(run)

@@ -41,7 +41,7 @@ FROM g
 
 @query("pmid_whitelist", oracle(_PMID_ORACLE, "messages", "artifacts"))
 def pmid_whitelist(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     answers = spark.sql(ANSWERS_SQL)
     real = TU.real_pmids(spark.table("artifacts")).withColumn("_real", F.lit(True))
     mentions = answers.select("id", "conv_id", "turn",
@@ -132,7 +132,7 @@ SELECT 'ncbi', CAST(tax_id AS VARCHAR), concat('https://www.ncbi.nlm.nih.gov/Tax
 FROM taxonomy
 """, "artifacts", "taxonomy"))
 def source_links(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     pages = spark.table("pages")
     title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
     wiki = pages.select(F.lit("wiki").alias("source"), F.col("page_id").cast("string").alias("key"),
@@ -156,7 +156,7 @@ SELECT tax_id, depth, ancestor FROM (
 WHERE ancestor <> ''
 """, "taxonomy"))
 def lineage_explode(spark, sf_dir):
-    session(spark, sf_dir)
+    session(spark, sf_dir, land=False)
     t = spark.table("taxonomy").select("tax_id", F.expr(LINEAGE_SQL).alias("lineage"))
     return t.select("tax_id", F.posexplode(X.lineage_items(F.col("lineage"))).alias("pos", "ancestor")) \
         .select("tax_id", (F.col("pos") + 1).cast("bigint").alias("depth"), "ancestor")

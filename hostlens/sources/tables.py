@@ -123,12 +123,12 @@ def land_host(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Resolved frames per (application, folder, input files): building them lists
 # files and reads footers; re-binding the temp views is only catalog work.
-_FRAMES: dict[tuple[str, str, str], dict[str, DataFrame]] = {}
+_FRAMES: dict[tuple[str, str, str, bool], dict[str, DataFrame]] = {}
 
 
 def register_all(spark: SparkSession, sf_dir: str, land: bool = True) -> None:
     """Raw tables plus the domain views (host, taxonomy, users, ...)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _fingerprint(spark, sf_dir) if land else "")
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _fingerprint(spark, sf_dir), land)
     frames = _FRAMES.get(key)
     if frames is None:
         frames = {}
