@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -95,6 +97,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def partitions_for(spark: SparkSession, rows: int, a_task: int) -> int:
+    """Partitions to shuffle ``rows`` rows into: as many as the session says, or
+    more, so that a task gets about ``a_task`` rows however many there are."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // a_task))
+
+
+@contextmanager
+def shuffled_into(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """What runs inside shuffles into ``partitions`` partitions and merges none of them."""
+    inside = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in inside}
+    try:
+        for k, v in inside.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class EngineSession:
     """Views ``taxonomy``/``host`` plus the last successful result ``df_host``.
 

@@ -10,12 +10,13 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlens.functions.wkb import st_point
-from hostlens.session import ensure_checkpoint_dir
+from hostlens.session import ensure_checkpoint_dir, shuffled_into
 from hostlens.sources.standins import STANDIN_VIEWS
 
 RAW_TABLES = (
@@ -50,11 +51,11 @@ def host_scan(spark: SparkSession, parquet_glob: str, timeout_ms: int = S3A_TIME
     return df
 
 
-def build_host(spark: SparkSession) -> DataFrame:
+def build_host(spark: SparkSession, src: DataFrame | None = None) -> DataFrame:
     """The observation table from the registered raw views: the stand-in
     join plus a WKB ``geometry`` (odd lines little endian, even lines big
     endian, so both byte orders occur)."""
-    src = spark.table("host_src")
+    src = spark.table("host_src") if src is None else src
     geometry = st_point(F.col("lon_src"), F.col("lat_src"), F.col("obs_line") % 2 == 1)
     return src.withColumn("geometry", geometry).drop("lon_src", "lat_src")
 
@@ -106,13 +107,39 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return fingerprint(spark, sf_dir, ("lineitem", "part", "supplier", "nation"), LANDING_LAYOUT)
 
 
+#: rows of host that a task joins and sorts
+LANDED_ROWS = 300_000
+#: suppliers that are broadcast instead of shuffling every observation once more
+MOST_BROADCAST = 500_000
+
+
+def _write_host(spark: SparkSession, path: str) -> None:
+    """The observations, from one shuffle of them if the suppliers are few.  The
+    number of partitions goes by the rows, so no task has more to sort on larger input."""
+    rows = spark.table("lineitem").count()
+    hints = {"supplier": "broadcast"} if spark.table("supplier").count() <= MOST_BROADCAST else {}
+    n = max(spark.sparkContext.defaultParallelism, -(-rows // LANDED_ROWS))
+    if large := rows > 4 * LANDED_ROWS:
+        hints["part"] = "merge"      # a broadcast would leave the rows in partitions as large as the files' blocks
+    raw = {name: spark.table(name) for name in hints}
+    try:
+        for name, hint in hints.items():
+            raw[name].hint(hint).createOrReplaceTempView(name)
+        src = spark.sql(STANDIN_VIEWS["host_src"])
+    finally:
+        for name, df in raw.items():
+            df.createOrReplaceTempView(name)
+    with shuffled_into(spark, n) if large else nullcontext():
+        # sorted within files so that row-group min/max statistics let
+        # equality and range filters on family/genus skip data
+        build_host(spark, src).sortWithinPartitions("VIRUS_FAMILY", "VIRUS_GENUS").write.mode("overwrite") \
+            .option("compression", "zstd").parquet(path)
+
+
 def landed_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``host`` as the reference has it: one stored Parquet dataset, built once
     per input.  Later queries scan it with column pruning and pushed filters."""
-    # sorted within files so that row-group min/max statistics let
-    # equality and range filters on family/genus skip data
-    return spark.read.parquet(landed(spark, f"host-{_fingerprint(spark, sf_dir)}", lambda path: (
-        build_host(spark).sortWithinPartitions("VIRUS_FAMILY", "VIRUS_GENUS").write.mode("overwrite").parquet(path))))
+    return spark.read.parquet(landed(spark, f"host-{_fingerprint(spark, sf_dir)}", lambda path: _write_host(spark, path)))
 
 
 def land_host(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,3 +196,37 @@ def test_shared_folder_is_required_off_local(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         S.ensure_checkpoint_dir(Fake())
+
+
+def test_host_is_built_only_for_queries_that_read_it(spark, monkeypatch):
+    from hostlens.plans.registry import QUERIES, load_all
+    from hostlens.sources import tables
+
+    load_all()
+    monkeypatch.setattr(tables, "_FRAMES", {})
+    monkeypatch.setattr(tables, "landed_host", lambda *_: (_ for _ in ()).throw(AssertionError("host was built")))
+    for key in ("report_list_by_status", "sanitize_args", "conversation_list", "name_regex_search", "fn_date", "sql_audit", "source_links"):
+        QUERIES[key](spark, "/root/testdata/sf0.001")
+    with __import__("pytest").raises(AssertionError, match="host was built"):
+        QUERIES["join_semi"](spark, "/root/testdata/sf0.001")
+
+
+def test_landing_sorts_no_more_rows_in_a_task_when_there_are_more(spark, monkeypatch, scratch_dir):
+    """Its partitions go by the rows, whatever the joins are, and the settings and views are as before."""
+    from hostlens.sources import tables
+
+    tables.register_all(spark, "/root/testdata/sf0.001", land=False)
+    conf = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    supplier = spark.table("supplier")._jdf.queryExecution().analyzed().toString()
+    want = sorted(map(str, tables.build_host(spark).collect()))
+    n = spark.table("lineitem").count()
+    monkeypatch.setattr(tables, "LANDED_ROWS", n // 20)
+    for most in (0, 500_000):
+        monkeypatch.setattr(tables, "MOST_BROADCAST", most)
+        tables._write_host(spark, f"{scratch_dir}/{most}")
+        out = spark.read.parquet(f"{scratch_dir}/{most}")
+        assert sorted(map(str, out.collect())) == want
+        sizes = [r["count"] for r in out.groupBy("_metadata.file_path").count().collect()]
+        assert len(sizes) >= 18 and max(sizes) < n // 5
+    assert conf == {k: spark.conf.get(k) for k in conf}
+    assert "ResolvedHint" not in spark.table("supplier")._jdf.queryExecution().analyzed().toString() and "Relation" in supplier
