@@ -8,7 +8,7 @@ Spark 4.1 has no ``ST_X``/``ST_Y``.  A WKB point is
     then        x, y as IEEE-754 doubles in that byte order
 
 Coordinates are decoded and encoded by vectorised functions over Arrow
-batches (numpy reads the doubles of a whole batch at once); whether a value
+batches (numpy reads and writes the bytes of a whole batch at once); whether a value
 is a point with coordinates at all is a test of a few bytes and stays a
 built-in expression.  NULL, non-point, short input and NaN coordinates
 (``POINT EMPTY``) give NULL.
@@ -17,7 +17,7 @@ built-in expression.  NULL, non-point, short input and NaN coordinates
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,36 +61,47 @@ def has_coordinates(wkb: Column) -> Column:
     return F.coalesce(ok & number(0) & number(1), F.lit(False))
 
 
-def _decode(wkb: pd.Series) -> pd.DataFrame:
-    """x and y of a batch of WKB values."""
+def _decode(wkb: pa.Array) -> np.ndarray:
+    """x and y of a batch of WKB values, NaN where there is none."""
+    wkb = wkb.cast(pa.large_binary())
     out = np.full((len(wkb), 2), np.nan)
-    at = np.array([i for i, v in enumerate(wkb) if v is not None and len(v) >= 21], dtype=np.int64)
+    _, offsets, data = wkb.buffers()
+    if not len(wkb) or data is None:
+        return out
+    ends = np.frombuffer(offsets, dtype=np.int64)[wkb.offset:wkb.offset + len(wkb) + 1]
+    sizes = np.where(wkb.is_valid().to_numpy(zero_copy_only=False), np.diff(ends), 0)
+    at = np.flatnonzero(sizes >= 21)
     if len(at):
-        head = np.frombuffer(b"".join(bytes(wkb.iloc[i][:25]).ljust(25, b"\0") for i in at), dtype=np.uint8).reshape(-1, 25)
-        size = np.array([len(wkb.iloc[i]) for i in at])
+        # a short last value is read on into zeros
+        bytes_ = np.concatenate([np.frombuffer(data, dtype=np.uint8)[:ends[-1]], np.zeros(25, dtype=np.uint8)])
+        head, size = bytes_[ends[at][:, None] + np.arange(25)], sizes[at]
         for order, end in ((0, ">"), (1, "<")):
             kind = np.ascontiguousarray(head[:, 1:5]).view(end + "u4").ravel()
             srid = (kind & _EWKB_SRID_FLAG) != 0
             for flag, start in ((False, 5), (True, 9)):
                 use = (head[:, 0] == order) & ((kind & 0xFFFF) == 1) & (srid == flag) & (size >= start + 16)
                 out[at[use]] = np.ascontiguousarray(head[use, start:start + 16]).view(end + "f8")
-    xy = pd.DataFrame(out, columns=["x", "y"]).astype(object)
-    return xy.where(~np.isnan(out), None)
+    return out
 
 
-@F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-def _point(wkb: pd.Series) -> pd.DataFrame:
-    return _decode(wkb)
+def _numbers(values: np.ndarray) -> pa.Array:
+    return pa.array(values, mask=np.isnan(values))
 
 
-@F.pandas_udf(T.DoubleType())
-def _st_x(wkb: pd.Series) -> pd.Series:
-    return _decode(wkb)["x"]
+@F.arrow_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+def _point(wkb: pa.Array) -> pa.Array:
+    xy = _decode(wkb)
+    return pa.StructArray.from_arrays([_numbers(xy[:, 0]), _numbers(xy[:, 1])], names=["x", "y"])
 
 
-@F.pandas_udf(T.DoubleType())
-def _st_y(wkb: pd.Series) -> pd.Series:
-    return _decode(wkb)["y"]
+@F.arrow_udf(T.DoubleType())
+def _st_x(wkb: pa.Array) -> pa.Array:
+    return _numbers(_decode(wkb)[:, 0])
+
+
+@F.arrow_udf(T.DoubleType())
+def _st_y(wkb: pa.Array) -> pa.Array:
+    return _numbers(_decode(wkb)[:, 1])
 
 
 def st_x(wkb: Column) -> Column:
@@ -109,19 +120,27 @@ def register_functions(spark: SparkSession) -> None:
     spark.udf.register("ST_Y", _st_y)
 
 
-@F.pandas_udf(T.BinaryType())
-def _encode(x: pd.Series, y: pd.Series, little: pd.Series, srid: pd.Series) -> pd.Series:
-    xy = np.column_stack([x.to_numpy(dtype=float, na_value=np.nan), y.to_numpy(dtype=float, na_value=np.nan)])
-    body = {True: xy.astype("<f8").tobytes(), False: xy.astype(">f8").tobytes()}
-    out = []
-    for i, (a, b, le, code) in enumerate(zip(x, y, little, srid)):
-        if a is None or b is None or pd.isna(a) or pd.isna(b):
-            out.append(None)
-            continue
-        order, le = ("little", True) if le else ("big", False)
-        head = (1).to_bytes(4, order) if pd.isna(code) else (1 | _EWKB_SRID_FLAG).to_bytes(4, order) + int(code).to_bytes(4, order)
-        out.append(bytes([le]) + head + body[le][16 * i:16 * i + 16])
-    return pd.Series(out, dtype=object)
+@F.arrow_udf(T.BinaryType())
+def _encode(x: pa.Array, y: pa.Array, little: pa.Array, srid: pa.Array) -> pa.Array:
+    """WKB values of a batch, written side by side into one buffer."""
+    xy = np.column_stack([v.cast(pa.float64()).to_numpy(zero_copy_only=False) for v in (x, y)])
+    known = ~np.isnan(xy).any(axis=1)
+    le = little.fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+    coded, code = srid.is_valid().to_numpy(zero_copy_only=False), srid.fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(np.where(known, np.where(coded, 25, 21), 0))])
+    data = np.zeros(ends[-1], dtype=np.uint8)
+    for order, end in ((False, ">"), (True, "<")):
+        for has_code in (False, True):
+            at = np.flatnonzero(known & (le == order) & (coded == has_code))
+            if len(at):
+                words = [np.full(len(at), 1 | (_EWKB_SRID_FLAG if has_code else 0)), *([code[at]] if has_code else [])]
+                parts = [np.full((len(at), 1), int(order), dtype=np.uint8),
+                         *[w.astype(end + ("i4" if i else "u4")).reshape(-1, 1).view(np.uint8) for i, w in enumerate(words)],
+                         np.ascontiguousarray(xy[at]).astype(end + "f8").view(np.uint8)]
+                body = np.hstack(parts)
+                data[ends[at][:, None] + np.arange(body.shape[1])] = body
+    valid = pa.py_buffer(np.packbits(known, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(known), [valid, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def st_point(x: Column, y: Column, little_endian: Column | bool = True,
