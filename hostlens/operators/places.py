@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.functions.wkb import with_point_coords
+from hostlens.session import partitions_for
 
 BITS = 16                 # of each coordinate
 MOST_RANGES = 48
 ROW_GROUP_BYTES = 8 << 20
+ROWS_A_TASK = 500_000     # that a task sorts
 
 
 def _spread(v: Column) -> Column:
@@ -40,7 +42,7 @@ def cell(lon: Column, lat: Column) -> Column:
 def land_points(host: DataFrame, path: str, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
     """Write the observations that have a point, with lon, lat and cell, in order of cell."""
     points = with_point_coords(host, "geometry").where("lon IS NOT NULL AND lat IS NOT NULL").withColumn("cell", cell(F.col("lon"), F.col("lat")))
-    n = int(host.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(host.sparkSession, host.count(), ROWS_A_TASK)
     # more places than one cell holds are split by their coordinates
     points.repartitionByRange(n, "cell", "lon", "lat").sortWithinPartitions("cell").write.option("parquet.block.size", row_group_bytes).parquet(path)
 

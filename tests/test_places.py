@@ -66,3 +66,11 @@ def test_row_groups_outside_the_box_are_not_read(points):
 def test_bad_box(points):
     with pytest.raises(ValueError):
         PL.in_box(points[1], 0, 10, 1, 5)
+
+
+def test_partitions_go_by_the_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(PL, "ROWS_A_TASK", 100)
+    df = spark.range(2000).select("id", st_point(F.col("id") / 100, F.col("id") / 200).alias("geometry"))
+    PL.land_points(df, str(tmp_path / "points"))
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "points")).groupBy("_metadata.file_path").count().collect()]
+    assert sum(sizes) == 2000 and len(sizes) >= 15 and max(sizes) <= 300
