@@ -101,3 +101,13 @@ def test_lookup_join(spark):
     for parts in (1, 10, 10_000):
         got = {r["i"]: r["v"] for r in lookup_join(left, right, "k", parts).collect()}
         assert got == {i: 1 if i % 3 == 0 else {2: 2, 5: 3}.get(i) for i in range(90)}
+
+
+def test_rounds_go_by_depth(spark, monkeypatch):
+    """A flat tree takes few rounds however many nodes it has, also with roots that hold nothing and a cycle."""
+    jumps, jump = [], TT._jump
+    monkeypatch.setattr(TT, "_jump", lambda t: jumps.append(1) or jump(t))
+    edges = [("top", None), *((f"g{i}", "top") for i in range(20)), *((f"s{i}", f"g{i % 20}") for i in range(400)), *((f"r{i}", None) for i in range(300))]
+    assert found(TT.nested_intervals(spark.createDataFrame(edges, EDGES))) == brute(edges)
+    assert len(jumps) <= 2
+    assert found(TT.nested_intervals(spark.createDataFrame([*edges[:50], ("x", "y"), ("y", "x"), ("z", "x")], EDGES))) == brute(edges[:50])
