@@ -47,18 +47,17 @@ def _bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per document and token."""
-    from collections import Counter
+def _counted(rows: DataFrame) -> DataFrame:
+    """token, id, tf, len: one row per row of ``rows`` (id, words) and token.
 
-    for b in batches:
-        counts = [Counter(w) for w in b["words"]]
-        sizes = np.array([len(c) for c in counts], dtype=np.int64)
-        if not sizes.sum():
-            continue
-        yield pd.DataFrame({"token": [t for c in counts for t in c], "id": np.repeat(b["id"].to_numpy(), sizes),
-                            "tf": np.fromiter((n for c in counts for n in c.values()), dtype=np.int64, count=int(sizes.sum())),
-                            "len": np.repeat(np.array([len(w) for w in b["words"]], dtype=np.int64), sizes)})
+    The words of a text are sorted and counted by runs inside its row, so nothing is
+    shuffled for it and no batch of whole texts goes to Python."""
+    words = rows.select("id", F.sort_array("words").alias("w"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    runs = words.where(F.size("w") > 0).withColumn("starts", starts).withColumn("len", F.size("w").cast("bigint"))
+    tf = F.coalesce(F.get("starts", F.col("at") + 1), F.col("len")) - F.col("start")
+    return runs.select("id", "w", "starts", "len", F.posexplode("starts").alias("at", "start")).select(
+        F.get("w", F.col("start")).alias("token"), "id", tf.cast("bigint").alias("tf"), "len")
 
 
 def _blocks(average: float, edges: list[int]):
@@ -107,7 +106,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, path: str, buckets:
     edges = sorted({int(c) for c in rows.select(F.col("id").cast("double")).approxQuantile("id", [i / segments for i in range(1, segments)], 0.25 / segments)}) if n else []
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = ["bucket", "token", "id"]
-    postings = (rows.mapInPandas(_counted, "token string, id bigint, tf bigint, len bigint").withColumn("bucket", _bucket(F.col("token"), buckets))
+    postings = (_counted(rows).withColumn("bucket", _bucket(F.col("token"), buckets))
                 .repartitionByRange(width, *sort).sortWithinPartitions(*sort))
     (postings.select("token", "id", "tf", "len").mapInPandas(
         _blocks(float(average or 1.0), edges), _POSTINGS)

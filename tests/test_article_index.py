@@ -92,3 +92,12 @@ def test_empty(spark, scratch_dir):
         path = f"{scratch_dir}/{n}"
         IX.build_index(spark.createDataFrame(rows, "i long, t string"), "i", "t", path)
         assert IX.search_index(spark.createDataFrame([(1, "x y")], "q long, t string"), "q", "t", path).count() == 0
+
+
+def test_words_are_counted_without_python(spark):
+    """No batch of whole texts goes to Python; rows of one id count by themselves."""
+    rows = spark.createDataFrame([(1, ["b", "a", "b"]), (1, ["a"]), (2, []), (3, ["é", "E", "é", "é"])], "id long, words array<string>")
+    got = IX._counted(rows)
+    assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.select("token", "id", "tf", "len").collect())) == [
+        ("E", 3, 1, 4), ("a", 1, 1, 1), ("a", 1, 1, 3), ("b", 1, 2, 3), ("é", 3, 3, 4)]
