@@ -55,9 +55,10 @@ def _counted(rows: DataFrame) -> DataFrame:
     words = rows.select("id", F.sort_array("words").alias("w"))
     starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
     runs = words.where(F.size("w") > 0).withColumn("starts", starts).withColumn("len", F.size("w").cast("bigint"))
-    tf = F.coalesce(F.get("starts", F.col("at") + 1), F.col("len")) - F.col("start")
-    return runs.select("id", "w", "starts", "len", F.posexplode("starts").alias("at", "start")).select(
-        F.get("w", F.col("start")).alias("token"), "id", tf.cast("bigint").alias("tf"), "len")
+    entries = F.transform("starts", lambda start, at: F.struct(
+        F.get("w", start).alias("token"), (F.coalesce(F.get("starts", at + 1), F.size("w")) - start).cast("bigint").alias("tf")))
+    # the arrays themselves must not go along with every word
+    return runs.select("id", "len", F.explode(entries).alias("e")).select("e.token", "id", "e.tf", "len")
 
 
 def _blocks(average: float, edges: list[int]):
