@@ -8,13 +8,16 @@ the whole span by comparing the words themselves.
 
 While the benchmark is small, documents are scanned once: a document's kept
 hashes are exploded together with one marker row, so clean documents come out
-of the same broadcast join.  Otherwise bare hashes go through the shuffle, and
-what they meet goes to its document, whose words are compared there.
+of the same broadcast join.  There a long text goes on as several rows, and a
+hit takes along the words around it only: a task needs memory for a piece of a
+text and its hits, not for the words of a whole text, nor once more for every
+hit.  Otherwise bare hashes go through the shuffle, and what they meet goes to
+its document, whose words are compared there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.llm.common import LOWER, UPPER, stored
@@ -23,13 +26,42 @@ SPAN = 10                      # words of a window
 K = 5                          # words of a hashed k-gram
 RUN = SPAN - K + 1             # k-grams of a window
 BROADCAST_BYTES = 64 << 20     # benchmark windows above this are joined by a shuffle
+PIECE = 1 << 16                # letters of a longer text that go on as one row
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+REST_OF_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*+"  # in a text whose A-Z are not lower-cased yet
+
+
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NOT_WORD), "")
 
 
 def _words(df: DataFrame) -> DataFrame:
     """Adds ws (words) and wh (their hashes)."""
-    text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    return df.withColumn("ws", F.array_remove(F.split(text, NOT_WORD), "")).withColumn(
+    return df.withColumn("ws", _split(F.col("text"))).withColumn("wh", F.expr("transform(ws, w -> xxhash64(w))"))
+
+
+def _pieces(rows: DataFrame) -> DataFrame:
+    """Rows (uid, row, text) as rows uid, base, row, n_words, ws, wh of at most about
+    PIECE letters.  A piece ends where a word ends; ws has its n_words words and the
+    first SPAN - 1 that follow, so every window begins in one piece and is whole there.
+    base: words before the piece; row comes with the first piece only."""
+    def measured(piece: Column) -> Column:
+        return F.transform(F.array(_split(piece)), lambda w: F.struct(
+            piece.alias("text"), F.size(w).alias("n"), F.slice(w, 1, SPAN - 1).alias("head")))[0]
+
+    # each part has a word, so the heads of the next SPAN - 1 hold all the words that may be needed
+    parts = F.when(F.length("text") > PIECE, F.filter(F.transform(F.regexp_extract_all(
+        "text", F.lit(rf"(?s).{{1,{PIECE}}}+{REST_OF_WORD}"), F.lit(0)), measured), lambda x: x["n"] > 0))
+    several = F.transform("parts", lambda x, i: F.struct(
+        F.aggregate(F.slice("parts", 1, i), F.lit(0), lambda n, y: n + y["n"]).alias("base"),
+        x["text"].alias("text"),
+        F.slice(F.flatten(F.transform(F.slice("parts", i + 2, SPAN - 1), lambda y: y["head"])), 1, SPAN - 1).alias("tail"),
+        F.when(i == 0, F.col("row")).alias("row")))
+    whole = F.array(F.struct(F.lit(0).alias("base"), "text", F.expr("cast(array() as array<string>)").alias("tail"), "row"))
+    pieces = rows.withColumn("parts", parts).select("uid", F.explode_outer(
+        F.when(F.size("parts") > 1, several).otherwise(whole)).alias("piece")).select("uid", "piece.*")
+    return pieces.withColumn("ws", F.concat(_split(F.col("text")), "tail")).select(
+        "uid", "base", "row", F.expr("bigint(size(ws) - size(tail))").alias("n_words"), "ws").withColumn(
         "wh", F.expr("transform(ws, w -> xxhash64(w))"))
 
 
@@ -57,12 +89,14 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     return full.unionByName(short).groupBy("len", "key", "win").agg(F.collect_set("item").alias("items"))
 
 
-def _starts(k: str, w: str) -> str:
-    """Where a kept hash k (len, at, key) that meets a window's w stands for the whole window."""
-    to = f"{k}.at + {RUN - 1} - {k}.at % {RUN}"  # the last start that this kept hash stands for
-    return f"""case when {k}.len < {SPAN} then if(slice(ws, {k}.at + 1, {k}.len) = {w}, array({k}.at), cast(array() as array<int>))
-        else filter(sequence({k}.at, least({to}, size(least) - 1)),
-                    i -> least[i] = {k}.key and slice(ws, i + 1, {SPAN}) = {w}) end"""
+def _starts(k: str, w: str, ws: str = "ws", least: str = "least", at: str | None = None) -> str:
+    """Where a kept hash k (len, at, key) that meets a window's w stands for the whole window.
+    at: its place in ws and least, if they are not all of the words."""
+    at = at or f"{k}.at"
+    to = f"{at} + {RUN - 1} - {k}.at % {RUN}"  # the last start that this kept hash stands for
+    return f"""case when {k}.len < {SPAN} then if(slice({ws}, {at} + 1, {k}.len) = {w}, array({at}), cast(array() as array<int>))
+        else filter(sequence({at}, least({to}, size({least}) - 1)),
+                    i -> {least}[i] = {k}.key and slice({ws}, i + 1, {SPAN}) = {w}) end"""
 
 
 def _hits(rows: DataFrame, wins: DataFrame, parts: list[str]) -> DataFrame:
@@ -71,18 +105,21 @@ def _hits(rows: DataFrame, wins: DataFrame, parts: list[str]) -> DataFrame:
         F.lit(0).alias("w_len"), F.lit(0).cast("long").alias("w_key"), F.lit(None).cast("array<string>").alias("win"),
         F.lit(None).cast(wins.schema["items"].dataType).alias("items"))
     parts = ["array(named_struct('len', 0, 'at', 0, 'key', bigint(0)))", *parts]
-    d = _least(_words(rows)).withColumn("n_words", F.expr("bigint(size(ws))")).withColumn("kept", F.expr(f"concat({', '.join(parts)})"))
-    cols = ["uid", "n_words", "row"]
+    d = _least(_pieces(rows)).withColumn("kept", F.expr(f"concat({', '.join(parts)})"))
     # explode_outer: for explode the optimizer would add a filter that computes kept once more
-    d = d.select(*cols, "ws", "least", F.explode_outer("kept").alias("k"))
+    d = d.select("uid", "base", "n_words", "row", "ws", "least", F.explode_outer("kept").alias("k"))
     hit = d.join(F.broadcast(wins.unionByName(marker)), (F.col("k.len") == F.col("w_len")) & (F.col("k.key") == F.col("w_key")))
-    # no filter on starts here: it would move into the join, which then leaves the generated
-    # code together with explode and copies the word array for every kept hash
-    starts = f"case when w_len = 0 then cast(array() as array<int>) else {_starts('k', 'win')} end"
-    found = hit.select(*cols, F.col("w_len").alias("len"), "items", F.expr(starts).alias("starts"))
+    # The generated code of explode and join holds all hits of a row before one goes on, so it ends
+    # with this projection: the words of a hit, not of its text, and the row at the marker.  Nothing
+    # in it may be a function with a lambda, as in _starts: such a projection runs apart from the join.
+    hit = hit.select("uid", "base", F.col("w_len").alias("len"), "k", "win", "items",
+                     F.expr(f"slice(ws, k.at + 1, {SPAN + RUN - 1})").alias("near"), F.expr(f"slice(least, k.at + 1, {RUN})").alias("runs"),
+                     F.expr("if(w_len = 0, n_words, null)").alias("n_words"), F.expr("if(w_len = 0, row, null)").alias("row"))
+    starts = f"case when len = 0 then cast(array() as array<int>) else {_starts('k', 'win', 'near', 'runs', '0')} end"
+    found = hit.select("uid", "len", "items", "n_words", "row", F.expr("base + k.at").alias("at"), F.expr(starts).alias("starts"))
     return found.groupBy("uid").agg(
-        F.max("n_words").alias("n_words"), F.first(F.expr("if(len = 0, row, null)"), ignorenulls=True).alias("row"),
-        F.collect_list(F.expr("if(len > 0, transform(starts, s -> named_struct('start', s, 'len', len)), null)")).alias("spans"),
+        F.sum("n_words").alias("n_words"), F.first("row", ignorenulls=True).alias("row"),
+        F.collect_list(F.expr("if(len > 0, transform(starts, s -> named_struct('start', at + s, 'len', len)), null)")).alias("spans"),
         F.collect_set(F.expr("if(size(starts) > 0, items, null)")).alias("items"))
 
 

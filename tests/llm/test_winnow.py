@@ -55,6 +55,32 @@ def test_against_brute_force(spark, monkeypatch, limit):
     assert got(df) == brute(docs, items)
 
 
+@pytest.mark.parametrize("letters", [1, 7, 40])
+def test_long_texts_in_pieces(spark, monkeypatch, letters):
+    monkeypatch.setattr(winnow, "PIECE", letters)
+    docs, items = passages(spark)
+    a = prose(11, 40).split()
+    docs = [*docs, (30, "  ".join(a).upper() + " " * 100), (31, "\n" * 90 + (" " * 60).join(a) + "."), (32, " " * 200), (33, "w" * 300),
+            (34, f"{'🙂' * 50} {' '.join(a[:10])}{'É' * 60}"), (35, "only" + "-" * 80 + "three" + "-" * 80 + "words"), (36, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got_docs = winnow.decontaminate(docs_of(spark, docs, clash=True), bench)
+    assert got(got_docs) == brute(docs, items)
+    spans = winnow.decontaminate(docs_of(spark, docs[:1]), bench).first()["spans"]
+    monkeypatch.setattr(winnow, "PIECE", 10_000)
+    assert spans == winnow.decontaminate(docs_of(spark, docs[:1]), bench).first()["spans"]
+
+
+def test_hits_do_not_carry_the_document(spark):
+    docs, items = passages(spark)
+    df = winnow.decontaminate(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string"), carry=True)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(plan) if "BroadcastHashJoin" in x)
+    above, join = (re.search(r"\*\((\d+)\) (\w+)", x) for x in plan[at - 1:at + 1])
+    assert above and above[2] == "Project" and above[1] == join[1]   # in the generated code that holds the hits of a row
+    assert not re.search(r"(?<!AS )(?<!\()\b(ws|least|row)#\d+(?=[,\]])", plan[at - 1])
+
+
 def test_awkward_rows_and_empty_tables(spark, awkward, no_docs):
     items = spark.createDataFrame([(1, prose(1, 20)), (2, "a")], "item_id long, text string")
     assert got(winnow.decontaminate(awkward, items)) == brute([r[:2] for r in AWKWARD], [(1, prose(1, 20)), (2, "a")])
