@@ -118,7 +118,8 @@ def _hits(rows: DataFrame, wins: DataFrame, parts: list[str]) -> DataFrame:
     starts = f"case when len = 0 then cast(array() as array<int>) else {_starts('k', 'win', 'near', 'runs', '0')} end"
     found = hit.select("uid", "len", "items", "n_words", "row", F.expr("base + k.at").alias("at"), F.expr(starts).alias("starts"))
     return found.groupBy("uid").agg(
-        F.sum("n_words").alias("n_words"), F.first("row", ignorenulls=True).alias("row"),
+        # first() would copy the whole row again for each hit
+        F.sum("n_words").alias("n_words"), F.collect_list("row")[0].alias("row"),
         F.collect_list(F.expr("if(len > 0, transform(starts, s -> named_struct('start', at + s, 'len', len)), null)")).alias("spans"),
         F.collect_set(F.expr("if(size(starts) > 0, items, null)")).alias("items"))
 

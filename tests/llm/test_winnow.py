@@ -81,6 +81,15 @@ def test_hits_do_not_carry_the_document(spark):
     assert not re.search(r"(?<!AS )(?<!\()\b(ws|least|row)#\d+(?=[,\]])", plan[at - 1])
 
 
+def test_aggregate_does_not_copy_the_row_for_each_hit(spark):
+    docs, items = passages(spark)
+    docs = docs_of(spark, [*docs, (40, f"{prose(11, 40)} " * 500)])
+    df = winnow.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), carry=True)
+    assert "first(row#" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((str(r["row"]["doc_id"]), r["row"]["text"], r["contaminated"]) for r in df.collect()) == sorted(
+        (str(r["doc_id"]), r["text"], brute([(r["doc_id"], r["text"])], items)[0][5]) for r in docs.collect())
+
+
 def test_awkward_rows_and_empty_tables(spark, awkward, no_docs):
     items = spark.createDataFrame([(1, prose(1, 20)), (2, "a")], "item_id long, text string")
     assert got(winnow.decontaminate(awkward, items)) == brute([r[:2] for r in AWKWARD], [(1, prose(1, 20)), (2, "a")])
